@@ -23,12 +23,15 @@ CALL_RECORD = T.StructType([
 ])
 
 
-def read_calls(spark: SparkSession, path: str, keep_rejects: bool = False) -> DataFrame:
+def read_calls(spark: SparkSession, path: str, keep_rejects: bool = False,
+               multi_line: bool = True) -> DataFrame:
     """One row per call file.  The declared schema turns a non-list ``symptom``
     (or a missing key) into NULL instead of failing; ``symptom_guard`` drops it.
+    ``multi_line=True`` reads one JSON document per file (the call-record
+    layout); ``False`` reads JSON Lines.
     Executors parse the files in parallel; the path comes from ``_metadata``."""
     df = (spark.read.schema(CALL_RECORD)
-          .option("multiLine", True).option("mode", "PERMISSIVE")
+          .option("multiLine", multi_line).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", "_corrupt_record")
           .json(path)
           .withColumn("json_path", F.col("_metadata.file_path")))
