@@ -114,3 +114,23 @@ def binary_metrics_cte(src: str, name: str, threshold: str, group: Sequence[str]
 
 
 METRIC_DOUBLES = ["accuracy", "precision", "recall", "specificity", "f1", "npv", "fdr", "brier"]
+
+
+def u_sql(seed: str, key: str) -> str:
+    """DuckDB form of ``functions.uniform_hash``; ``seed`` is a SQL expression."""
+    return (f"(CAST('0x' || substr(md5(CAST({seed} AS VARCHAR) || ':' || CAST({key} AS VARCHAR)), 1, 8) "
+            f"AS UBIGINT) / 4294967296.0)")
+
+
+V2_LABELS = """v2l AS (
+  SELECT id, symptom,
+    coalesce(list_contains(symptom, 'error'), false) AS label,
+    CAST(CASE WHEN coalesce(list_contains(symptom, 'error'), false) THEN 1
+         WHEN coalesce(list_has_any(symptom, ['purchase']), false)
+              OR len(list_filter(symptom, lambda x: list_contains(['click', 'view'], x))) >= 2
+              OR len(list_filter(symptom, lambda x: list_contains(['signup', 'view'], x))) >= 2 THEN 2
+         ELSE 0 END AS INTEGER) AS label1,
+    coalesce(list_has_any(symptom, ['purchase', 'signup']), false) AS label2
+  FROM v2)"""
+VIEWS["v2l"] = V2_LABELS
+_DEPS["v2l"] = ["v2"]
