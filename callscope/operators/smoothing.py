@@ -11,12 +11,14 @@ from callscope.plans import blocked
 
 
 def moving_average(df: DataFrame, window: int, cols: Sequence[str] = ("p",),
-                   id_col: str = "id", seq: str = "seq", suffix: str = "") -> DataFrame:
+                   id_col: str | Sequence[str] = "id", seq: str = "seq",
+                   suffix: str = "") -> DataFrame:
     """trailing mean over the last ``window`` segments of the same id (short
     heads average what exists; window 0 or 1 = identity).  ``seq`` must be a dense
     0..n-1 position (see ``sequence.segment_ordinal`` to make one).  Runs as a
     blocked window with a halo, so a huge call is spread over many tasks."""
-    return blocked.trailing_mean(df, [id_col], seq, window,
+    part = [id_col] if isinstance(id_col, str) else list(id_col)
+    return blocked.trailing_mean(df, part, seq, window,
                                  {c + suffix: c for c in cols})
 
 
