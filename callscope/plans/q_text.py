@@ -1 +1,126 @@
-"""Catalogue part."""
+"""Catalogue: token frequency, vocabulary, bag of words, IDF and TF-IDF
+(documents, V1)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from callscope.functions.fixed_values import VOCAB_TOP_K
+from callscope.operators import resample, sequence, text
+from callscope.plans import views
+from callscope.plans.oracle import sql, u_sql
+from callscope.plans.registry import finish, query
+from callscope.sources.tables import table
+
+BOW_K = 20
+CUM_PERCENT = 85.0
+RUN = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+FREQ_SQL = ("f AS (SELECT term, COUNT(*) AS frequency FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) "
+            "AS term FROM {src}) WHERE length(term) > 0 GROUP BY term)")
+TOP_SQL = "v AS (SELECT term FROM f ORDER BY frequency DESC, term LIMIT {k})"
+COUNT_SQL = "CAST((length({t}) - length(replace({t}, v.term, ''))) / length(v.term) AS BIGINT)"
+
+
+def docs(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "text")
+
+
+def doc_vocab(spark, sf, k=BOW_K):
+    return text.vocabulary(text.term_frequency(docs(spark, sf)), top_k=k)
+
+
+@query("corpus_token_freq", sql([], [FREQ_SQL.format(src="documents")], "SELECT term, frequency FROM f"))
+def corpus_token_freq(spark, sf):
+    return text.term_frequency(docs(spark, sf))
+
+
+_VOCAB_SELECT = ("SELECT term, frequency, 100.0 * SUM(frequency) OVER (ORDER BY frequency DESC, term {run}) / t.total "
+                 "AS cum_percent, row_number() OVER (ORDER BY frequency DESC, term) AS rank FROM f, t")
+
+
+@query("vocab_cumulative_topk", sql(
+    [], [FREQ_SQL.format(src="documents"), "t AS (SELECT SUM(frequency) AS total FROM f)"],
+    _VOCAB_SELECT.format(run=RUN) + f" QUALIFY rank <= {VOCAB_TOP_K}", round6=["cum_percent"]))
+def vocab_cumulative_topk(spark, sf):
+    return finish(text.vocabulary(text.term_frequency(docs(spark, sf)), top_k=VOCAB_TOP_K))
+
+
+@query("vocab_cumulative_pct", sql(
+    [], [FREQ_SQL.format(src="documents"), "t AS (SELECT SUM(frequency) AS total FROM f)"],
+    _VOCAB_SELECT.format(run=RUN) + f" QUALIFY cum_percent <= {CUM_PERCENT}", round6=["cum_percent"]))
+def vocab_cumulative_pct(spark, sf):
+    return finish(text.vocabulary(text.term_frequency(docs(spark, sf)), max_percent=CUM_PERCENT))
+
+
+_BOW_CTES = [FREQ_SQL.format(src="documents"), TOP_SQL.format(k=BOW_K),
+             f"tf AS (SELECT d.doc_id, v.term, {COUNT_SQL.format(t='d.text')} AS tf FROM documents d, v)",
+             "tfs AS (SELECT * FROM tf WHERE tf > 0)"]
+_IDF_CTES = _BOW_CTES + [
+    "nd AS (SELECT COUNT(DISTINCT doc_id) AS n_docs FROM documents)",
+    "dfr AS (SELECT v.term, CAST(COUNT(tfs.doc_id) AS BIGINT) AS df FROM v LEFT JOIN tfs ON v.term = tfs.term GROUP BY v.term)",
+    "idf AS (SELECT dfr.term, dfr.df, nd.n_docs, ln((nd.n_docs + 1.0) / (dfr.df + 1.0)) + 1.0 AS idf FROM dfr, nd)"]
+
+
+@query("bow_counts", sql([], _BOW_CTES, "SELECT doc_id, term, tf FROM tfs"))
+def bow_counts(spark, sf):
+    return text.bag_of_words(docs(spark, sf), doc_vocab(spark, sf), "doc_id")
+
+
+@query("doc_frequency_idf", sql([], _IDF_CTES, "SELECT term, df, n_docs, idf FROM idf", round6=["idf"]))
+def doc_frequency_idf(spark, sf):
+    d, v = docs(spark, sf), doc_vocab(spark, sf)
+    tf = text.bag_of_words(d, v, "doc_id")
+    return finish(text.inverse_document_frequency(tf, d, v).select("term", "df", "n_docs", "idf"))
+
+
+_TFIDF_SELECT = ("w AS (SELECT tfs.doc_id, tfs.term, tfs.tf * idf.idf AS x FROM tfs JOIN idf ON tfs.term = idf.term)",
+                 "SELECT doc_id, term, x / CASE WHEN sqrt(SUM(x * x) OVER (PARTITION BY doc_id)) = 0 THEN 1e-10 "
+                 "ELSE sqrt(SUM(x * x) OVER (PARTITION BY doc_id)) END AS tfidf FROM w")
+
+
+@query("tfidf_l2", sql([], _IDF_CTES + [_TFIDF_SELECT[0]], _TFIDF_SELECT[1], round6=["tfidf"]))
+def tfidf_l2(spark, sf):
+    d, v = docs(spark, sf), doc_vocab(spark, sf)
+    tf = text.bag_of_words(d, v, "doc_id")
+    return finish(text.tfidf(tf, text.inverse_document_frequency(tf, d, v)))
+
+
+_SPLIT_DOCS = [
+    f"r AS (SELECT doc_id, text, row_number() OVER (PARTITION BY lang ORDER BY {u_sql('42', 'doc_id')}, doc_id) AS rk, "
+    "COUNT(*) OVER (PARTITION BY lang) AS n FROM documents)",
+    "sd AS (SELECT doc_id, text, CASE WHEN rk <= ceil(n * 0.2) THEN 'test' "
+    "WHEN rk <= ceil(n * 0.2) + ceil((n - ceil(n * 0.2)) * 0.2) THEN 'valid' ELSE 'train' END AS split FROM r)",
+    "train AS (SELECT doc_id, text FROM sd WHERE split = 'train')",
+    "test AS (SELECT doc_id, text FROM sd WHERE split = 'test')",
+    FREQ_SQL.format(src="train"), TOP_SQL.format(k=BOW_K),
+    f"tfs AS (SELECT * FROM (SELECT d.doc_id, v.term, {COUNT_SQL.format(t='d.text')} AS tf FROM train d, v) WHERE tf > 0)",
+    "nd AS (SELECT COUNT(*) AS n_docs FROM train)",
+    "dfr AS (SELECT v.term, COUNT(tfs.doc_id) AS df FROM v LEFT JOIN tfs ON v.term = tfs.term GROUP BY v.term)",
+    "idf AS (SELECT dfr.term, ln((nd.n_docs + 1.0) / (dfr.df + 1.0)) + 1.0 AS idf FROM dfr, nd)",
+    f"tt AS (SELECT * FROM (SELECT d.doc_id, v.term, {COUNT_SQL.format(t='d.text')} AS tf FROM test d, v) WHERE tf > 0)",
+    "w AS (SELECT tt.doc_id, tt.term, tt.tf * idf.idf AS x FROM tt JOIN idf ON tt.term = idf.term)"]
+
+
+@query("tfidf_apply_train_idf", sql([], _SPLIT_DOCS, _TFIDF_SELECT[1], round6=["tfidf"]))
+def tfidf_apply_train_idf(spark, sf):
+    """Vocabulary and IDF fitted on the train split only, applied to test."""
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    s = resample.stratified_split(d, "doc_id", "lang", 42)
+    train, test = s.filter("split = 'train'"), s.filter("split = 'test'")
+    v = text.vocabulary(text.term_frequency(train), top_k=BOW_K)
+    idf = text.inverse_document_frequency(text.bag_of_words(train, v, "doc_id"), train, v)
+    return finish(text.tfidf(text.bag_of_words(test, v, "doc_id"), idf))
+
+
+_TAG = "'[SPK' || CAST(speaker AS VARCHAR) || '] ' || text"
+
+
+@query("prefix_tf_running", sql(
+    ["v1"],
+    [FREQ_SQL.format(src="v1"), TOP_SQL.format(k=BOW_K),
+     f"s AS (SELECT id, seq, string_agg({_TAG}, ' ') OVER (PARTITION BY id ORDER BY seq {RUN}) AS ptext FROM v1)"],
+    f"SELECT * FROM (SELECT s.id, s.seq, v.term, {COUNT_SQL.format(t='s.ptext')} AS tf FROM s, v) WHERE tf > 0"))
+def prefix_tf_running(spark, sf):
+    utt = sequence.tag_speaker(views.utterances(spark, sf))
+    v = text.vocabulary(text.term_frequency(utt), top_k=BOW_K)
+    return text.prefix_term_frequency(utt, v)
