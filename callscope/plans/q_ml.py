@@ -1 +1,99 @@
-"""Catalogue part."""
+"""Catalogue: model training, scoring and selection (V6 embeddings).
+
+Segments are embedding rows; a call is ``vec_id div 4`` with ``seq = vec_id mod 4``.
+Train / valid calls come from the stratified split on the call label.
+These queries are checked rows-only (no SQL oracle for model fits).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from callscope.operators import ml, resample, scaling
+from callscope.plans import views
+from callscope.plans.registry import finish, query
+
+SEG_PER_CALL = 4
+LR_GRID = ml.logspace(-4, 4, 100)
+TREE_DEPTHS = [1, 2, 3, 4, 5]
+RF_TREES = [100, 200, 300, 400, 500]
+GBT_ITERS = [10, 20]
+WINDOW = 3
+
+
+def prepared(spark, sf, label: str = "y"):
+    """Standardised segment vectors with call keys, split by call."""
+    fv = views.feature_vectors(spark, sf)
+    seg = fv.select("id", (F.col("id") / SEG_PER_CALL).cast("long").alias("call"),
+                    (F.col("id") % SEG_PER_CALL).alias("seq"), "features", "y", "label3")
+    calls = seg.groupBy("call").agg(F.max("y").alias("y"))
+    split = resample.stratified_split(calls, "call", "y", 42)
+    seg = seg.join(split.select("call", "split"), "call")
+    long = scaling.to_long(seg)
+    sc = scaling.fit_scaler(long.join(seg.filter("split = 'train'").select("id"), "id", "left_semi"))
+    z = scaling.to_vectors(scaling.apply_scaler(long, sc))
+    out = seg.drop("features").join(z, "id").withColumn("label", F.col(label).cast("double"))
+    return ml.with_vector(out), calls
+
+
+def _grid(spark, sf, configs_fn, linear=False):
+    data, calls = prepared(spark, sf)
+    data = data.cache()
+    train = data.filter("split = 'train'")
+    valid = data.filter("split = 'valid'")
+    models = ml.fit_all(configs_fn(train), train, parallelism=8)
+    if linear:
+        scored = ml.score_linear(models, valid, ["call", "seq"])
+    else:
+        scored = ml.score_all(models, valid, ["call", "seq"])
+    labels = calls.select(F.col("call"), F.col("y"))
+    res, best = ml.select_best(scored.withColumnRenamed("call", "id"), labels.withColumnRenamed("call", "id"),
+                               window=WINDOW)
+    return res, best
+
+
+@query("train_lr_grid")
+def train_lr_grid(spark, sf):
+    """K3 + K9: 100 values of C, validation AUROC per pooling method."""
+    res, _ = _grid(spark, sf, lambda tr: ml.lr_configs(LR_GRID, ml.n_rows(tr)), linear=True)
+    return finish(res.select("method", "config", "auroc"))
+
+
+@query("train_rf")
+def train_rf(spark, sf):
+    """K4: random forest depth x tree-count grid."""
+    res, _ = _grid(spark, sf, lambda tr: ml.rf_configs(TREE_DEPTHS, RF_TREES))
+    return finish(res.select("method", "config", "auroc"))
+
+
+@query("train_gbt")
+def train_gbt(spark, sf):
+    """K5/K6: gradient-boosted trees, depth x iterations."""
+    res, _ = _grid(spark, sf, lambda tr: ml.gbt_configs(TREE_DEPTHS, GBT_ITERS))
+    return finish(res.select("method", "config", "auroc"))
+
+
+@query("score_and_select")
+def score_and_select(spark, sf):
+    """Every family scored into one table, best per pooling method."""
+    def cfgs(tr):
+        return (ml.lr_configs(LR_GRID[::10], ml.n_rows(tr)) + ml.rf_configs([3, 5], [100])
+                + ml.gbt_configs([2], [10]))
+    _, best = _grid(spark, sf, cfgs)
+    return finish(best)
+
+
+@query("three_way_model")
+def three_way_model(spark, sf):
+    """K7: 3-way targets (multinomial LR, RF, one-vs-rest GBT); class-1
+    probability evaluated against the binarised label."""
+    data, _ = prepared(spark, sf, label="label3")
+    data = data.cache()
+    train, valid = data.filter("split = 'train'"), data.filter("split = 'valid'")
+    cfgs = (ml.lr_configs([1.0], ml.n_rows(train), multinomial=True) + ml.rf_configs([5], [100])
+            + ml.gbt_configs([2], [10], multiclass=True))
+    models = ml.fit_all(cfgs, train)
+    scored = ml.score_all(models, valid, ["id", "label3"], klass=1)
+    from callscope.operators import metrics
+    ev = scored.withColumn("y", (F.col("label3") == 1).cast("int"))
+    return finish(metrics.auroc_ap(ev, "p", "y", ["config"]))
