@@ -45,6 +45,16 @@ def valid_last_index(tokens: str | Column, length: int) -> Column:
     return F.when(first == 0, F.lit(length - 1)).otherwise(F.pmod(first - 2, F.lit(length))).cast("int")
 
 
+def valid_last_long(tok: DataFrame, id_col: str = "id", pos: str = "pos", token: str = "token",
+                    pad: object = PAD, out: str = "valid_last") -> DataFrame:
+    """C14 in long form: per id, the index before the first pad token (no pad:
+    the last index; a pad at position 0 wraps to the last index)."""
+    g = tok.groupBy(id_col).agg(F.min(F.when(F.col(token) == F.lit(pad), F.col(pos))).alias("__fp"),
+                                F.count(F.lit(1)).alias("__len"))
+    return g.select(id_col, F.when(F.col("__fp").isNull(), F.col("__len") - 1)
+                    .otherwise(F.pmod(F.col("__fp") - 1, F.col("__len"))).cast("int").alias(out))
+
+
 def speaker_fill(tok: DataFrame, id_col: str = "id", pos: str = "pos", token: str = "token",
                  out: str = "spk") -> DataFrame:
     """Every token gets the speaker of the latest ``[SPKn]`` token
