@@ -41,7 +41,9 @@ def read_calls(spark: SparkSession, path: str, keep_rejects: bool = False,
 
 
 def media_listing(spark: SparkSession, path: str, ext: str = "wav") -> DataFrame:
-    """Names of existing media files: ``(media_path, stem)``; contents are not read."""
+    """Names of existing media files: ``(media_path, stem)``; only the path
+    column is selected, so file contents are never read.  (Spark's file listing
+    skips zero-byte files: an empty media file counts as missing.)"""
     return (spark.read.format("binaryFile").option("pathGlobFilter", f"*.{ext}")
             .load(path).select(F.col("path").alias("media_path"))
             .withColumn("stem", file_stem("media_path")))

@@ -66,9 +66,10 @@ def _trailing(hist: list[float], new: np.ndarray, window: int) -> np.ndarray:
 
 
 def moving_average_stream(scores: DataFrame, window: int = 3, cut_ms: int | None = None,
-                          watermark: str = "1 day") -> DataFrame:
+                          watermark: str = "1 day", silence_ms: int = 86_400_000) -> DataFrame:
     """L1 (+L3): trailing mean of the last ``window`` scores of each call,
-    emitted for every arriving segment (append mode)."""
+    emitted for every arriving segment (append mode).  A call silent for
+    ``silence_ms`` of event time past the watermark is closed (state dropped)."""
     def fn(key, pdfs, state):
         if state.hasTimedOut:
             state.remove()
@@ -84,8 +85,11 @@ def moving_average_stream(scores: DataFrame, window: int = 3, cut_ms: int | None
             hist = (hist + pdf["p"].tolist())[-(window - 1):] if window > 1 else []
             n += len(pdf)
             yield out
-        state.update((hist, int(n), bool(cut)))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 86_400_000)
+            last_ms = int(pd.Timestamp(pdf["ts"].iloc[-1]).value // 1_000_000)
+            state.update((hist, int(n), bool(cut)))
+            state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + silence_ms)
+        else:
+            state.update((hist, int(n), bool(cut)))
 
     return (scores.withWatermark("ts", watermark).groupBy("id")
             .applyInPandasWithState(fn, MA_OUT, MA_STATE, "append", GroupStateTimeout.EventTimeTimeout))
