@@ -59,9 +59,10 @@ def occurrences(text: str | Column, word: str | Column, regex: bool = False) ->
     Literal by default; ``regex=True`` treats the word as a regular expression.
     """
     t, w = col_(text), (F.lit(word) if isinstance(word, str) else word)
-    if regex:
-        return F.regexp_count(t, w).cast("long")
-    return ((F.length(t) - F.length(F.replace(t, w, F.lit("")))) / F.length(w)).cast("long")
+    if not regex:  # quote the word (as java.util.regex.Pattern.quote does)
+        w = F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    # a regex scan counts without materialising a replaced copy of the text
+    return F.regexp_count(t, w).cast("long")
 
 
 # --- seeded uniform draw, reproducible in any SQL engine with md5 ---------------

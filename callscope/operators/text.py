@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions.scalar import col_, occurrences
 from callscope.plans import blocked
+from callscope.session import cut_lineage
 
 #: default tokenizer: runs of letters, lower-cased (the morphological analyser
 #: of the source pipeline is not available; pass ``tokenizer=`` to plug one in)
@@ -80,11 +81,12 @@ def bag_of_words(docs: DataFrame, vocab: DataFrame, keys: str | Sequence[str] =
 
 def inverse_document_frequency(tf: DataFrame, docs: DataFrame, vocab: DataFrame,
                                key: str = "doc_id") -> DataFrame:
-    """``df`` = documents containing the term, ``n_docs`` = all documents
+    """E2-E4 (``tf`` is sparse: only non-zero counts): ``df`` = documents
+    containing the term, ``n_docs`` = all documents
     (including those without any vocabulary word) and the smoothed
     ``idf = ln((n_docs + 1) / (df + 1)) + 1`` for every vocabulary term."""
     n = docs.select(key).distinct().agg(F.count(F.lit(1)).alias("n_docs"))
-    dfreq = tf.filter(F.col("tf") > 0).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return (vocab.select("term").join(dfreq, "term", "left").crossJoin(n)
             .withColumn("df", F.coalesce("df", F.lit(0)).cast("long"))
             .withColumn("idf", F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + F.lit(1.0)))
@@ -103,6 +105,24 @@ def tfidf(tf: DataFrame, idf: DataFrame, keys: str | Sequence[str] = "doc_id",
     return w.select(*ks, "term", "tfidf")
 
 
+def fit_tfidf(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str = "text",
+              regex: bool = False, materialize: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Bag of words -> IDF -> L2-normalised TF-IDF, every text scanned once.
+
+    The vocabulary (bounded) and the sparse counts each feed several branches;
+    with ``materialize`` they are checkpointed into the session's shared
+    checkpoint folder, so the texts are tokenised and counted exactly once and
+    a lost executor does not send the job back to the raw texts.
+    Returns ``(tfidf, idf)``."""
+    if materialize:
+        vocab = cut_lineage(vocab)
+    tf = bag_of_words(docs, vocab, key, text, regex)
+    if materialize:
+        tf = cut_lineage(tf)
+    idf = inverse_document_frequency(tf, docs, vocab, key)
+    return tfidf(tf, idf, key), idf
+
+
 def prefix_term_frequency(utt: DataFrame, vocab: DataFrame, id_col: str = "id", seq: str = "seq",
                           text: str = "tagged") -> DataFrame:
     """Term counts of every call prefix 0..i, ``(id, seq, term, tf)`` with tf > 0,

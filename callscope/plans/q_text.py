@@ -10,6 +10,7 @@ from callscope.operators import resample, sequence, text
 from callscope.plans import views
 from callscope.plans.oracle import sql, u_sql
 from callscope.plans.registry import finish, query
+from callscope.session import cut_lineage
 from callscope.sources.tables import table
 
 BOW_K = 20
@@ -68,9 +69,8 @@ def bow_counts(spark, sf):
 
 @query("doc_frequency_idf", sql([], _IDF_CTES, "SELECT term, df, n_docs, idf FROM idf", round6=["idf"]))
 def doc_frequency_idf(spark, sf):
-    d, v = docs(spark, sf), doc_vocab(spark, sf)
-    tf = text.bag_of_words(d, v, "doc_id")
-    return finish(text.inverse_document_frequency(tf, d, v).select("term", "df", "n_docs", "idf"))
+    return finish(text.fit_tfidf(docs(spark, sf), doc_vocab(spark, sf), "doc_id")[1]
+                  .select("term", "df", "n_docs", "idf"))
 
 
 _TFIDF_SELECT = ("w AS (SELECT tfs.doc_id, tfs.term, tfs.tf * idf.idf AS x FROM tfs JOIN idf ON tfs.term = idf.term)",
@@ -80,9 +80,7 @@ _TFIDF_SELECT = ("w AS (SELECT tfs.doc_id, tfs.term, tfs.tf * idf.idf AS x FROM
 
 @query("tfidf_l2", sql([], _IDF_CTES + [_TFIDF_SELECT[0]], _TFIDF_SELECT[1], round6=["tfidf"]))
 def tfidf_l2(spark, sf):
-    d, v = docs(spark, sf), doc_vocab(spark, sf)
-    tf = text.bag_of_words(d, v, "doc_id")
-    return finish(text.tfidf(tf, text.inverse_document_frequency(tf, d, v)))
+    return finish(text.fit_tfidf(docs(spark, sf), doc_vocab(spark, sf), "doc_id")[0])
 
 
 _SPLIT_DOCS = [
@@ -107,8 +105,8 @@ def tfidf_apply_train_idf(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text", "lang")
     s = resample.stratified_split(d, "doc_id", "lang", 42)
     train, test = s.filter("split = 'train'"), s.filter("split = 'test'")
-    v = text.vocabulary(text.term_frequency(train), top_k=BOW_K)
-    idf = text.inverse_document_frequency(text.bag_of_words(train, v, "doc_id"), train, v)
+    v = cut_lineage(text.vocabulary(text.term_frequency(train), top_k=BOW_K))  # bounded, used twice
+    _, idf = text.fit_tfidf(train, v, "doc_id", materialize=True)
     return finish(text.tfidf(text.bag_of_words(test, v, "doc_id"), idf))
 
 
