@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.operators.labels import outcome_category
@@ -44,6 +44,8 @@ def first_hits(seg: DataFrame, id_col: str = "id", seq: str = "seq", pred: str =
     )
 
 
-def time_to_hit(hits: DataFrame, call_start: int = 0) -> DataFrame:
-    """Elapsed ms from call start to the end of the hit segment."""
-    return hits.withColumn("elapsed_ms", F.col("endtime") - F.lit(call_start))
+def time_to_hit(hits: DataFrame, call_start: int | Column = 0) -> DataFrame:
+    """Elapsed ms from call start (a constant or a column) to the end of
+    the hit segment."""
+    start = F.lit(call_start) if isinstance(call_start, int) else call_start
+    return hits.withColumn("elapsed_ms", F.col("endtime") - start)

@@ -127,22 +127,25 @@ def time_mapping(spark, sf):
     return finish(hits.time_mapping(v3, views.segment_times(spark, sf)))
 
 
-@query("first_hit_summary", sql(
-    ["v3", "v3t"],
-    [f"seg AS (SELECT v3.id, v3.seq, v3.label1, CAST(v3.p >= {HIT_THRESHOLD} AS INTEGER) AS pred, "
-     "row_number() OVER (PARTITION BY v3.id ORDER BY v3.seq) AS s_num, "
-     "v3t.start_ms AS starttime, v3t.end_ms AS endtime FROM v3 LEFT JOIN v3t ON v3.id = v3t.id AND v3.seq = v3t.seq)",
-     "agg AS (SELECT id, CAST(MAX(pred) AS INTEGER) AS predicted_labels, "
-     "arg_min(s_num, seq) FILTER (WHERE pred = 1) AS h_num, "
-     "arg_min_null(starttime, seq) FILTER (WHERE pred = 1) AS h_s, arg_min_null(endtime, seq) FILTER (WHERE pred = 1) AS h_e, "
-     "arg_max_null(starttime, seq) AS l_s, arg_max_null(endtime, seq) AS l_e, arg_min(label1, seq) AS label1 "
-     "FROM seg GROUP BY id)"],
+_FH_CTES = [
+    f"seg AS (SELECT v3.id, v3.seq, v3.label1, CAST(v3.p >= {HIT_THRESHOLD} AS INTEGER) AS pred, "
+    "row_number() OVER (PARTITION BY v3.id ORDER BY v3.seq) AS s_num, "
+    "v3t.start_ms AS starttime, v3t.end_ms AS endtime FROM v3 LEFT JOIN v3t ON v3.id = v3t.id AND v3.seq = v3t.seq)",
+    "agg AS (SELECT id, CAST(MAX(pred) AS INTEGER) AS predicted_labels, "
+    "arg_min(s_num, seq) FILTER (WHERE pred = 1) AS h_num, "
+    "arg_min_null(starttime, seq) FILTER (WHERE pred = 1) AS h_s, arg_min_null(endtime, seq) FILTER (WHERE pred = 1) AS h_e, "
+    "arg_max_null(starttime, seq) AS l_s, arg_max_null(endtime, seq) AS l_e, arg_min(label1, seq) AS label1 "
+    "FROM seg GROUP BY id)"]
+_FH_SELECT = (
     "SELECT id, CAST(CASE WHEN predicted_labels = 1 THEN h_num ELSE -1 END AS INTEGER) AS s_num, predicted_labels, "
     "CAST(label1 AS INTEGER) AS label1, "
     "CASE WHEN predicted_labels = 1 AND label1 = 1 THEN 'TP' WHEN predicted_labels = 0 AND label1 = 1 THEN 'FN' "
     "WHEN predicted_labels = 1 AND label1 = 0 THEN 'FP' ELSE 'TN' END AS category, "
     "CASE WHEN predicted_labels = 1 THEN h_s ELSE l_s END AS starttime, "
-    "CASE WHEN predicted_labels = 1 THEN h_e ELSE l_e END AS endtime FROM agg"))
+    "CASE WHEN predicted_labels = 1 THEN h_e ELSE l_e END AS endtime FROM agg")
+
+
+@query("first_hit_summary", sql(["v3", "v3t"], _FH_CTES, _FH_SELECT))
 def first_hit_summary(spark, sf):
     v3 = views.segment_scores(spark, sf)
     seg = hits.time_mapping(v3.withColumn("pred", labels.predict("p", HIT_THRESHOLD)),
@@ -235,3 +238,15 @@ def sample_unit_sweep(spark, sf):
     v3 = views.segment_scores(spark, sf)
     su = v3.groupBy("id").agg(F.avg("p").alias("p"), F.max("y").alias("y"))
     return metrics.threshold_sweep(su, n=FV.SWEEP_POINTS, round_sep=5)
+
+
+@query("time_to_first_hit", sql(
+    ["v3", "v3t"], _FH_CTES + [f"fh AS ({_FH_SELECT})",
+                               "st AS (SELECT id, MIN(start_ms) AS call_start FROM v3t GROUP BY id)"],
+    "SELECT fh.id, fh.s_num, fh.endtime - st.call_start AS elapsed_ms FROM fh LEFT JOIN st ON fh.id = st.id "
+    "WHERE fh.s_num > 0"))
+def time_to_first_hit(spark, sf):
+    """Ms from the call's first utterance start to the end of the hit."""
+    h = first_hit_summary(spark, sf).filter(F.col("s_num") > 0)
+    start = views.segment_times(spark, sf).groupBy("id").agg(F.min("start_ms").alias("call_start"))
+    return hits.time_to_hit(h.join(start, "id", "left"), F.col("call_start")).select("id", "s_num", "elapsed_ms")

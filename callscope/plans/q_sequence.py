@@ -177,3 +177,16 @@ def csv_round_trip(spark, sf):
     sinks.write_csv(v4, path, ["time_cut"])
     back = call_src.read_csv(spark, path, "id BIGINT, p DOUBLE, y INT, time_cut INT")
     return finish(back)
+
+
+@query("results_by_time_cut", _assembly_sql(90000))
+def results_by_time_cut(spark, sf):
+    """Assemblies for every cut in one table partitioned by
+    ``time_cut``, read back with a partition filter (only the 90 s folder is
+    scanned)."""
+    parts = [_assembly(c * 1000)(spark, sf).withColumn("time_cut", F.lit(c)) for c in (60, 90, 120)]
+    allc = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    path = _scratch(spark, "assembly-results")
+    sinks.write_results(allc, path)
+    return (spark.read.parquet(path).filter(F.col("time_cut") == 90)
+            .select("id", "text", "end_ms", "n_utterances"))

@@ -20,3 +20,11 @@ def stream_first_hit(spark, sf):
     """L2: one alert per call at the first smoothed score >= threshold."""
     out = st.run_available_now(st.first_hit_stream(st.score_stream(spark, sf), HIT_THRESHOLD, window=3), "hit")
     return finish(out)
+
+
+@query("stream_time_cut")
+def stream_time_cut(spark, sf):
+    """L3 with L1: per call, segments ending more than 6 h after the call's first
+    segment (and everything after) are ignored; trailing mean of the rest."""
+    stream = st.moving_average_stream(st.score_stream(spark, sf), window=3, cut_ms=6 * 3600 * 1000)
+    return finish(st.run_available_now(stream, "cut"))

@@ -22,9 +22,10 @@ from callscope.session import ensure_checkpoint_dir
 
 SCORE_SCHEMA = "id LONG, event_id LONG, ts TIMESTAMP, end_ms LONG, p DOUBLE"
 MA_OUT = "id LONG, event_id LONG, ts TIMESTAMP, seq LONG, p DOUBLE, p_ma DOUBLE"
-MA_STATE = "hist ARRAY<DOUBLE>, n LONG, cut BOOLEAN"
+MA_STATE = "hist ARRAY<DOUBLE>, n LONG, cut BOOLEAN, start LONG"
 HIT_OUT = "id LONG, s_num LONG, event_id LONG, ts TIMESTAMP, p_ma DOUBLE"
-HIT_STATE = "hist ARRAY<DOUBLE>, n LONG, hit BOOLEAN, last_event LONG, last_ts TIMESTAMP, cut BOOLEAN"
+HIT_STATE = ("hist ARRAY<DOUBLE>, n LONG, hit BOOLEAN, last_event LONG, last_ts TIMESTAMP, cut BOOLEAN, "
+             "start LONG")
 
 
 def score_stream(spark: SparkSession, folder: str, file_glob: str = "events.parquet",
@@ -42,13 +43,14 @@ def score_stream(spark: SparkSession, folder: str, file_glob: str = "events.parq
                      (F.col("value") / (F.col("value") + F.lit(50.0))).alias("p"))
 
 
-def _apply_cut(pdf: pd.DataFrame, cut_ms: int | None, already_cut: bool, call_start: int | None):
-    """L3: once an utterance ends after the cut, the call ignores the rest."""
+def _apply_cut(pdf: pd.DataFrame, cut_ms: int | None, already_cut: bool, call_start: int):
+    """L3: once a segment ends more than ``cut_ms`` after the call start, the
+    call ignores it and everything after it (a prefix break, not a filter)."""
     if already_cut:
         return pdf.iloc[0:0], True
     if cut_ms is None:
         return pdf, False
-    rel = pdf["end_ms"] - (call_start if call_start is not None else 0)
+    rel = pdf["end_ms"] - call_start
     over = np.flatnonzero(rel.to_numpy() > cut_ms)
     if len(over):
         return pdf.iloc[: over[0]], True
@@ -74,9 +76,12 @@ def moving_average_stream(scores: DataFrame, window: int = 3, cut_ms: int | None
         if state.hasTimedOut:
             state.remove()
             return
-        hist, n, cut = ([], 0, False) if not state.exists else (list(state.get[0]), state.get[1], state.get[2])
+        hist, n, cut, start = (([], 0, False, None) if not state.exists else
+                               (list(state.get[0]), state.get[1], state.get[2], state.get[3]))
         pdf = pd.concat(list(pdfs)).sort_values(["ts", "event_id"], kind="stable")
-        pdf, cut = _apply_cut(pdf, cut_ms, cut, None)
+        if start is None:  # the call clock starts with its first segment
+            start = int(pdf["end_ms"].iloc[0])
+        pdf, cut = _apply_cut(pdf, cut_ms, cut, start)
         if len(pdf):
             ma = _trailing(hist, pdf["p"].to_numpy(), window)
             out = pd.DataFrame({"id": pdf["id"].to_numpy(), "event_id": pdf["event_id"].to_numpy(),
@@ -86,10 +91,10 @@ def moving_average_stream(scores: DataFrame, window: int = 3, cut_ms: int | None
             n += len(pdf)
             yield out
             last_ms = int(pd.Timestamp(pdf["ts"].iloc[-1]).value // 1_000_000)
-            state.update((hist, int(n), bool(cut)))
+            state.update((hist, int(n), bool(cut), start))
             state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + silence_ms)
         else:
-            state.update((hist, int(n), bool(cut)))
+            state.update((hist, int(n), bool(cut), start))
 
     return (scores.withWatermark("ts", watermark).groupBy("id")
             .applyInPandasWithState(fn, MA_OUT, MA_STATE, "append", GroupStateTimeout.EventTimeTimeout))
@@ -104,19 +109,21 @@ def first_hit_stream(scores: DataFrame, threshold: float, window: int = 3,
     its last segment."""
     def fn(key, pdfs, state):
         if state.hasTimedOut:
-            hist, n, hit, last_event, last_ts, cut = state.get
+            hist, n, hit, last_event, last_ts, cut, start = state.get
             if not hit:
                 yield pd.DataFrame({"id": [key[0]], "s_num": [-1], "event_id": [last_event],
                                     "ts": [last_ts], "p_ma": [np.nan]})
             state.remove()
             return
         if state.exists:
-            hist, n, hit, last_event, last_ts, cut = state.get
+            hist, n, hit, last_event, last_ts, cut, start = state.get
             hist = list(hist)
         else:
-            hist, n, hit, last_event, last_ts, cut = [], 0, False, None, None, False
+            hist, n, hit, last_event, last_ts, cut, start = [], 0, False, None, None, False, None
         pdf = pd.concat(list(pdfs)).sort_values(["ts", "event_id"], kind="stable")
-        pdf, cut = _apply_cut(pdf, cut_ms, cut, None)
+        if start is None:
+            start = int(pdf["end_ms"].iloc[0])
+        pdf, cut = _apply_cut(pdf, cut_ms, cut, start)
         if len(pdf):
             ma = _trailing(hist, pdf["p"].to_numpy(), window)
             if not hit:
@@ -130,10 +137,10 @@ def first_hit_stream(scores: DataFrame, threshold: float, window: int = 3,
             hist = (hist + pdf["p"].tolist())[-(window - 1):] if window > 1 else []
             n += len(pdf)
             last_event, last_ts = int(pdf["event_id"].iloc[-1]), pdf["ts"].iloc[-1]
-            state.update((hist, int(n), bool(hit), last_event, last_ts, bool(cut)))
+            state.update((hist, int(n), bool(hit), last_event, last_ts, bool(cut), start))
             state.setTimeoutTimestamp(int(pd.Timestamp(last_ts).value // 1_000_000) + silence_ms)
-        elif state.exists:
-            state.update((hist, int(n), bool(hit), last_event, last_ts, bool(cut)))
+        elif last_ts is not None:
+            state.update((hist, int(n), bool(hit), last_event, last_ts, bool(cut), start))
 
     return (scores.withWatermark("ts", watermark).groupBy("id")
             .applyInPandasWithState(fn, HIT_OUT, HIT_STATE, "append", GroupStateTimeout.EventTimeTimeout))

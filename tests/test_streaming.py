@@ -47,3 +47,22 @@ def test_stream_first_hit_once_per_call(spark, sf_small):
     ev = spark.read.parquet(f"{sf_small}/events.parquet")
     expect = {r.user_id for r in ev.filter(F.col("value") / (F.col("value") + 50.0) >= 0.8).select("user_id").distinct().collect()}
     assert set(ids) == expect
+
+
+def test_stream_cut_is_a_prefix_break(spark, sf_small):
+    """L3: with a cut, each call keeps only the segments before its first
+    segment ending more than cut_ms after the call's first segment."""
+    cut = 6 * 3600 * 1000
+    out = st.run_available_now(st.moving_average_stream(st.score_stream(spark, sf_small), window=1,
+                                                        cut_ms=cut), "cut-test")
+    got = {(r.id, r.event_id) for r in out.collect()}
+    ev = spark.read.parquet(f"{sf_small}/events.parquet").orderBy("user_id", "ts", "event_id").collect()
+    expect, start, stopped = set(), {}, set()
+    for r in ev:
+        ms = int(r.ts.replace(tzinfo=__import__("datetime").timezone.utc).timestamp() * 1000)
+        start.setdefault(r.user_id, ms)
+        if r.user_id in stopped or ms - start[r.user_id] > cut:
+            stopped.add(r.user_id)
+            continue
+        expect.add((r.user_id, r.event_id))
+    assert got == expect
