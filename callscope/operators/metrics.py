@@ -62,17 +62,18 @@ def auroc_ap(df: DataFrame, p: str = "p", y: str = "y", group: Sequence[str] = (
     c = cumulative_counts(df, p, y, group)
     auc_term = F.col("pos") * ((F.col("n_neg") - F.col("fp")) + F.col("neg") / F.lit(2.0))
     ap_term = F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))
+    # undefined (NULL) when a group has only one class
     return c.groupBy(*group).agg(
-        (F.sum(auc_term) / (F.first("n_pos") * F.first("n_neg"))).alias("auroc"),
-        (F.sum(ap_term) / F.first("n_pos")).alias("ap"))
+        F.try_divide(F.sum(auc_term), F.first("n_pos") * F.first("n_neg")).alias("auroc"),
+        F.try_divide(F.sum(ap_term), F.first("n_pos")).alias("ap"))
 
 
 def roc_points(df: DataFrame, p: str = "p", y: str = "y", group: Sequence[str] = ()) -> DataFrame:
     """(fpr, tpr, threshold) at every distinct score plus the origin
     (threshold NULL).  No intermediate points are dropped."""
     c = cumulative_counts(df, p, y, group)
-    pts = c.select(*group, (F.col("fp") / F.col("n_neg")).alias("fpr"),
-                   (F.col("tp") / F.col("n_pos")).alias("tpr"), F.col(p).cast("double").alias("threshold"))
+    pts = c.select(*group, F.try_divide(F.col("fp"), F.col("n_neg")).alias("fpr"),
+                   F.try_divide(F.col("tp"), F.col("n_pos")).alias("tpr"), F.col(p).cast("double").alias("threshold"))
     origin = c.select(*group).distinct().select(*group, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"),
                                                  F.lit(None).cast("double").alias("threshold"))
     return pts.unionByName(origin)
