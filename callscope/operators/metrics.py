@@ -8,7 +8,9 @@ evaluates all of them.  Ranking metrics use the tie-aware score table
 
 plus descending cumulative counts computed with the blocked running sum of
 ``plans.blocked`` (score blocks of 1/65536 of the unit interval), so one huge
-model never sorts in a single task.
+model never sorts in a single task.  The score table is the only step that
+reads the scored rows; it is checkpointed (``materialize=True``) so that its
+several consumers never recompute the upstream pipeline.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions.scalar import col_, linspace_point
 from callscope.plans import blocked
+from callscope.session import cut_lineage
 
 SCORE_BLOCKS = 1 << 16
 
@@ -35,56 +38,81 @@ def _desc_block(p: str) -> Column:
     return (F.lit(SCORE_BLOCKS - 1) - k).cast("long")
 
 
-def score_counts(df: DataFrame, p: str = "p", y: str = "y",
-                 group: Sequence[str] = ()) -> DataFrame:
-    """(group, p) -> pos, neg.  ``y`` is 1 for positives, anything else negative."""
+def score_counts(df: DataFrame, p: str = "p", y: str = "y", group: Sequence[str] = (),
+                 materialize: bool = False) -> DataFrame:
+    """The score table ``(group, p) -> pos, neg`` (``y == 1`` is positive).
+
+    It is the only step that reads the scored rows; every metric below is
+    derived from it.  With ``materialize`` the (compact) table is checkpointed
+    into the shared checkpoint folder, so the several small branches that read
+    it never recompute the upstream pipeline."""
     pos = (F.col(y) == 1).cast("long")
-    return df.groupBy(*group, p).agg(F.sum(pos).alias("pos"),
-                                     F.sum(F.lit(1) - pos).alias("neg"))
+    c = df.groupBy(*group, F.col(p).cast("double").alias("p")).agg(
+        F.sum(pos).alias("pos"), F.sum(F.lit(1) - pos).alias("neg"))
+    return cut_lineage(c) if materialize else c
+
+
+def _totals(c: DataFrame, group: Sequence[str]) -> DataFrame:
+    return c.groupBy(*group).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
+                                 (F.sum(F.col("pos") * F.pow(F.col("p") - 1.0, 2) + F.col("neg") * F.pow("p", 2))
+                                  / F.sum(F.col("pos") + F.col("neg"))).alias("brier"))
+
+
+def _join_group(a: DataFrame, b: DataFrame, group: Sequence[str]) -> DataFrame:
+    return a.join(b, list(group)) if group else a.crossJoin(b)  # one-row side without groups
 
 
-def cumulative_counts(df: DataFrame, p: str = "p", y: str = "y",
-                      group: Sequence[str] = ()) -> DataFrame:
-    """Per distinct score: pos, neg, tp = #pos with score >= p, fp likewise,
-    and the group totals n_pos, n_neg."""
-    c = score_counts(df, p, y, group)
-    cum = blocked.running_sum(c, list(group), [F.col(p).desc()], _desc_block(p),
+def _cumulative(c: DataFrame, group: Sequence[str]) -> DataFrame:
+    cum = blocked.running_sum(c, list(group), [F.col("p").desc()], _desc_block("p"),
                               {"tp": "pos", "fp": "neg"})
-    tot = c.groupBy(*group).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    if group:
-        return cum.join(tot, list(group))
-    return cum.crossJoin(tot)  # one-row side: global totals
+    return _join_group(cum, _totals(c, group), group)
 
 
-def auroc_ap(df: DataFrame, p: str = "p", y: str = "y", group: Sequence[str] = ()) -> DataFrame:
-    """Exact AUROC (ties count one half) and average precision
-    (step sum over distinct thresholds, as sklearn's average_precision_score)."""
-    c = cumulative_counts(df, p, y, group)
+def cumulative_counts(df: DataFrame, p: str = "p", y: str = "y", group: Sequence[str] = (),
+                      materialize: bool = True) -> DataFrame:
+    """Per distinct score ``p``: pos, neg, tp = #positives with score >= p, fp
+    likewise, and the group totals n_pos, n_neg."""
+    return _cumulative(score_counts(df, p, y, group, materialize), group)
+
+
+def _rank(c: DataFrame, group: Sequence[str]) -> DataFrame:
+    cum = _cumulative(c, group)
     auc_term = F.col("pos") * ((F.col("n_neg") - F.col("fp")) + F.col("neg") / F.lit(2.0))
     ap_term = F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))
     # undefined (NULL) when a group has only one class
-    return c.groupBy(*group).agg(
+    return cum.groupBy(*group).agg(
         F.try_divide(F.sum(auc_term), F.first("n_pos") * F.first("n_neg")).alias("auroc"),
         F.try_divide(F.sum(ap_term), F.first("n_pos")).alias("ap"))
 
 
-def roc_points(df: DataFrame, p: str = "p", y: str = "y", group: Sequence[str] = ()) -> DataFrame:
+def auroc_ap(df: DataFrame, p: str = "p", y: str = "y", group: Sequence[str] = (),
+             materialize: bool = True) -> DataFrame:
+    """Exact AUROC (ties count one half) and average precision
+    (step sum over distinct thresholds, as sklearn's average_precision_score)."""
+    return _rank(score_counts(df, p, y, group, materialize), group)
+
+
+def roc_points(df: DataFrame, p: str = "p", y: str = "y", group: Sequence[str] = (),
+               materialize: bool = True) -> DataFrame:
     """(fpr, tpr, threshold) at every distinct score plus the origin
     (threshold NULL).  No intermediate points are dropped."""
-    c = cumulative_counts(df, p, y, group)
-    pts = c.select(*group, F.try_divide(F.col("fp"), F.col("n_neg")).alias("fpr"),
-                   F.try_divide(F.col("tp"), F.col("n_pos")).alias("tpr"), F.col(p).cast("double").alias("threshold"))
+    c = score_counts(df, p, y, group, materialize)
+    cum = _cumulative(c, group)
+    pts = cum.select(*group, F.try_divide(F.col("fp"), F.col("n_neg")).alias("fpr"),
+                     F.try_divide(F.col("tp"), F.col("n_pos")).alias("tpr"), F.col("p").alias("threshold"))
     origin = c.select(*group).distinct().select(*group, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"),
                                                  F.lit(None).cast("double").alias("threshold"))
     return pts.unionByName(origin)
 
 
-def pr_points(df: DataFrame, p: str = "p", y: str = "y", group: Sequence[str] = ()) -> DataFrame:
+def pr_points(df: DataFrame, p: str = "p", y: str = "y", group: Sequence[str] = (),
+              materialize: bool = True) -> DataFrame:
     """(precision, recall, threshold) at every distinct score plus the
     terminal point precision 1, recall 0 (threshold NULL)."""
-    c = cumulative_counts(df, p, y, group)
-    pts = c.select(*group, (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
-                   _div0(F.col("tp"), F.col("n_pos")).alias("recall"), F.col(p).cast("double").alias("threshold"))
+    c = score_counts(df, p, y, group, materialize)
+    cum = _cumulative(c, group)
+    pts = cum.select(*group, (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
+                     _div0(F.col("tp"), F.col("n_pos")).alias("recall"), F.col("p").alias("threshold"))
     end = c.select(*group).distinct().select(*group, F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"),
                                               F.lit(None).cast("double").alias("threshold"))
     return pts.unionByName(end)
@@ -111,11 +139,27 @@ def _rates(tp: Column, fp: Column, fn: Column, tn: Column) -> list[Column]:
     ]
 
 
+def _binary_from_counts(c: DataFrame, threshold: float, group: Sequence[str]) -> DataFrame:
+    hit = F.col("p") >= F.lit(threshold)
+    g = c.groupBy(*group).agg(
+        F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"),
+        F.sum(F.when(hit, F.col("neg")).otherwise(0)).alias("fp"),
+        F.sum(F.when(~hit, F.col("pos")).otherwise(0)).alias("fn"),
+        F.sum(F.when(~hit, F.col("neg")).otherwise(0)).alias("tn"),
+        (F.sum(F.col("pos") * F.pow(F.col("p") - 1.0, 2) + F.col("neg") * F.pow("p", 2))
+         / F.sum(F.col("pos") + F.col("neg"))).alias("brier"))
+    return g.select(*group, *[F.col(k).cast("long").alias(k) for k in ("tn", "fp", "fn", "tp")],
+                    *_rates(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")), "brier")
+
+
 def binary_metrics(df: DataFrame, p: str = "p", y: str = "y", threshold: float | str = 0.5,
-                   group: Sequence[str] = ()) -> DataFrame:
+                   group: Sequence[str] = (), materialize: bool = False) -> DataFrame:
     """Confusion counts, accuracy, precision, recall, specificity, F1,
-    NPV, FDR at a threshold (``p >= t``), and the Brier score."""
-    t = F.col(threshold) if isinstance(threshold, str) else F.lit(threshold)
+    NPV, FDR at a threshold (``p >= t``), and the Brier score.  ``threshold``
+    may be a column name (per-row thresholds, e.g. from ``labels.apply_thresholds``)."""
+    if not isinstance(threshold, str):
+        return _binary_from_counts(score_counts(df, p, y, group, materialize), threshold, group)
+    t = F.col(threshold)
     pr, yy = F.col(p) >= t, F.col(y) == 1
     s = lambda c: F.sum(c.cast("long"))
     g = df.groupBy(*group).agg(
@@ -126,12 +170,12 @@ def binary_metrics(df: DataFrame, p: str = "p", y: str = "y", threshold: float |
                     *_rates(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")), "brier")
 
 
-def evaluate(df: DataFrame, p: str = "p", y: str = "y", threshold: float | str = 0.5,
-             group: Sequence[str] = ()) -> DataFrame:
-    """E13-E22 in one table: threshold metrics joined with AUROC / AP."""
-    m = binary_metrics(df, p, y, threshold, group)
-    r = auroc_ap(df, p, y, group)
-    return m.join(r, list(group)) if group else m.crossJoin(r)
+def evaluate(df: DataFrame, p: str = "p", y: str = "y", threshold: float = 0.5,
+             group: Sequence[str] = (), materialize: bool = True) -> DataFrame:
+    """E13-E22 in one table: threshold metrics and AUROC / AP, all derived from
+    one (materialised) score table."""
+    c = score_counts(df, p, y, group, materialize)
+    return _join_group(_binary_from_counts(c, threshold, group), _rank(c, group), group)
 
 
 def _bucket(p: Column, n: int) -> Column:
@@ -143,45 +187,43 @@ def _bucket(p: Column, n: int) -> Column:
 
 
 def threshold_sweep(df: DataFrame, p: str = "p", y: str = "y", n: int = 512,
-                    round_sep: int | None = 4, group: Sequence[str] = ()) -> DataFrame:
+                    round_sep: int | None = 4, group: Sequence[str] = (),
+                    materialize: bool = True) -> DataFrame:
     """metrics at ``n`` thresholds ``linspace(0, 1, n)``.
 
-    One pass: rows fall into the bucket of the largest threshold they reach,
-    bucket counts are suffix-summed over the ``n`` thresholds (a fixed-size
-    table), and threshold-free metrics (AUROC, AUPRC, Brier) are computed once
-    and joined, instead of recomputing them at every threshold."""
+    One pass over the score table: distinct scores fall into the bucket of the
+    largest threshold they reach, bucket counts are suffix-summed over the
+    ``n`` thresholds (a fixed-size table), and threshold-free metrics (AUROC,
+    AUPRC, Brier) are computed once and joined, instead of being recomputed at
+    every threshold."""
     spark = df.sparkSession
-    d = df.withColumn("__j", _bucket(F.col(p), n))
-    pos = (F.col(y) == 1).cast("long")
-    b = d.groupBy(*group, "__j").agg(F.sum(pos).alias("__pos"), F.sum(F.lit(1) - pos).alias("__neg"))
-    glob = (d.groupBy(*group).agg(F.sum(pos).alias("n_pos"), F.sum(F.lit(1) - pos).alias("n_neg"),
-                                  F.avg(F.pow(F.col(p) - pos.cast("double"), 2)).alias("BRIER")))
-    ranks = auroc_ap(df, p, y, group).withColumnRenamed("auroc", "AUROC").withColumnRenamed("ap", "AUPRC")
-    glob = glob.join(ranks, list(group)) if group else glob.crossJoin(ranks)
+    c = score_counts(df, p, y, group, materialize)
+    b = (c.withColumn("__j", _bucket(F.col("p"), n)).groupBy(*group, "__j")
+         .agg(F.sum("pos").alias("__pos"), F.sum("neg").alias("__neg")))
+    glob = _join_group(_totals(c, group), _rank(c, group), group)
     grid = F.broadcast(spark.range(n).select(F.col("id").cast("int").alias("__j")))
-    keys = glob.select(*group) if group else None
-    frame = (keys.crossJoin(grid) if keys is not None else grid)
+    frame = c.select(*group).distinct().crossJoin(grid) if group else grid
     w = (Window.partitionBy(*group).orderBy(F.col("__j").desc())
          .rowsBetween(Window.unboundedPreceding, 0))
     s = (frame.join(b, [*group, "__j"], "left")
          .select(*group, "__j",
                  F.sum(F.coalesce("__pos", F.lit(0))).over(w).alias("tp"),
                  F.sum(F.coalesce("__neg", F.lit(0))).over(w).alias("fp")))
-    s = s.join(glob, list(group)) if group else s.crossJoin(glob)
+    s = _join_group(s, glob, group)
     tp, fp = F.col("tp"), F.col("fp")
     fn, tn = F.col("n_pos") - tp, F.col("n_neg") - fp
     cols = {
         "THRESHOLD": linspace_point("__j", n),
         "TH_ACC": _div0(tp + tn, F.col("n_pos") + F.col("n_neg")),
-        "AUROC": F.col("AUROC"), "AUPRC": F.col("AUPRC"),
+        "AUROC": F.col("auroc"), "AUPRC": F.col("ap"),
         "RECALL": _div0(tp, F.col("n_pos")),
         "PRECISION": _div0(tp, tp + fp),
         "SPECIFICITY": _div0(tn, F.col("n_neg")),
         "F1": _div0(2 * tp, 2 * tp + fp + fn),
-        "BRIER": F.col("BRIER"),
+        "BRIER": F.col("brier"),
     }
-    r = (lambda c: F.bround(c, round_sep)) if round_sep is not None else (lambda c: c)
-    return s.select(*group, *[r(c).alias(k) for k, c in cols.items()])
+    r = (lambda x: F.bround(x, round_sep)) if round_sep is not None else (lambda x: x)
+    return s.select(*group, *[r(x).alias(k) for k, x in cols.items()])
 
 
 def label_frequency(df: DataFrame, y: str = "y", group: Sequence[str] = ()) -> DataFrame:
