@@ -133,11 +133,14 @@ def trailing_mean(df: DataFrame, part: Sequence[str], seq: str, window: int,
     if halo >= width:
         width = halo + 1
     blk = F.floor(F.col(seq) / F.lit(width)).cast("long")
-    base = df.withColumn(_BLK, blk).withColumn("__halo", F.lit(False))
-    copies = (df.filter(F.pmod(F.col(seq), F.lit(width)) >= F.lit(width - halo))
-              .withColumn(_BLK, blk + 1).withColumn("__halo", F.lit(True)))
+    # one pass: every row keeps its block; the last `halo` rows of a block are
+    # also emitted into the next block as halo rows (explode, no union / rescan)
+    own = F.struct(blk.alias("b"), F.lit(False).alias("h"))
+    nxt = F.struct((blk + 1).alias("b"), F.lit(True).alias("h"))
+    tail = F.pmod(F.col(seq), F.lit(width)) >= F.lit(width - halo)
+    both = (df.withColumn("__c", F.explode(F.when(tail, F.array(own, nxt)).otherwise(F.array(own))))
+            .withColumn(_BLK, F.col("__c.b")).withColumn("__halo", F.col("__c.h")).drop("__c"))
     w = (Window.partitionBy(*part, _BLK).orderBy(seq).rowsBetween(-halo, 0))
-    both = base.unionByName(copies)
     for name, src in cols.items():
         both = both.withColumn(name, F.avg(F.col(src).cast("double")).over(w))
     return both.filter(~F.col("__halo")).drop(_BLK, "__halo")
