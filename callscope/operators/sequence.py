@@ -89,18 +89,24 @@ def stack_prefixes(utt: DataFrame, id_col: str = "id", seq: str = "seq",
 def wide_slots(utt: DataFrame, max_sentence: int, id_col: str = "id", seq: str = "seq",
                end_col: str = "end_ms") -> DataFrame:
     """Long -> wide ``S{n}_Speaker, S{n}, S{n}_startAt, S{n}_endAt`` for
-    n < max_sentence, null padded.  ``truncated`` flags calls with more slots."""
-    slots = F.array_sort(F.collect_list(F.struct(
-        F.col(seq).alias("seq"), F.col("speaker").cast("int").alias("speaker"),
-        F.col("text").alias("text"), F.col("start_ms").cast("long").alias("start_ms"),
-        F.col(end_col).cast("long").alias("end_ms"))))
-    g = utt.groupBy(id_col).agg(slots.alias("__s"))
+    n < max_sentence, null padded; ``truncated`` flags calls with more slots.
+
+    Only positions below ``max_sentence`` (``seq`` is the 0-based position, as
+    from ``explode_utterances``) are collected — ``collect_list`` skips the
+    NULLs of the others — so every per-call array is bounded by the slot count
+    however long the call is, and the aggregate combines map-side."""
+    keep = F.col(seq) < F.lit(max_sentence)
+    slot = F.struct(F.col(seq).alias("seq"), F.col("speaker").cast("int").alias("speaker"),
+                    F.col("text").alias("text"), F.col("start_ms").cast("long").alias("start_ms"),
+                    F.col(end_col).cast("long").alias("end_ms"))
+    g = utt.groupBy(id_col).agg(F.array_sort(F.collect_list(F.when(keep, slot))).alias("__s"),
+                                (F.max(seq) >= F.lit(max_sentence)).alias("truncated"))
     cols = [F.col(id_col)]
     for n in range(max_sentence):
-        s = F.get(F.col("__s"), n)
-        cols += [s["speaker"].alias(f"S{n}_Speaker"), s["text"].alias(f"S{n}"),
-                 s["start_ms"].alias(f"S{n}_startAt"), s["end_ms"].alias(f"S{n}_endAt")]
-    cols.append((F.size("__s") > F.lit(max_sentence)).alias("truncated"))
+        one = F.get(F.col("__s"), n)  # the n-th utterance in seq order
+        cols += [one["speaker"].alias(f"S{n}_Speaker"), one["text"].alias(f"S{n}"),
+                 one["start_ms"].alias(f"S{n}_startAt"), one["end_ms"].alias(f"S{n}_endAt")]
+    cols.append("truncated")
     return g.select(*cols)
 
 
