@@ -206,7 +206,7 @@ def pr_points(spark, sf):
 
 def _sweep_sql(src: str, rnd: int, views_: list[str], extra: list[str]) -> str:
     step = repr(1.0 / 511)
-    t = f"(CASE WHEN g.j = 511 THEN 1.0 ELSE g.j * {step} END)"
+    t = f"CAST(CASE WHEN g.j = 511 THEN 1.0 ELSE g.j * CAST({step} AS DOUBLE) END AS DOUBLE)"
     return sql(
         views_,
         extra + auroc_ap_ctes(src) + [

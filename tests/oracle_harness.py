@@ -56,6 +56,17 @@ def rows_of(pdf):
     return cols, sorted(out, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
+SPARK_TO_DUCK = {"LongType()": "BIGINT", "IntegerType()": "INTEGER", "DoubleType()": "DOUBLE",
+                 "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN"}
+
+
+def type_diffs(sdf, con, sql):
+    st = {f.name.lower(): SPARK_TO_DUCK.get(repr(f.dataType), repr(f.dataType)) for f in sdf.schema.fields}
+    rel = con.sql(sql)
+    dt = {c.lower(): str(t) for c, t in zip(rel.columns, rel.types)}
+    return [(c, st[c], dt.get(c)) for c in st if st[c] != dt.get(c)]
+
+
 def compare(spark, con, name, fn, sql, sf_dir):
     t0 = time.time()
     sdf = fn(spark, sf_dir)
@@ -63,6 +74,9 @@ def compare(spark, con, name, fn, sql, sf_dir):
     t1 = time.time()
     if sql is None:
         return f"{name}: spark rows={len(spdf)} (no oracle) {t1-t0:.1f}s", True
+    td = type_diffs(sdf, con, sql)
+    if td:
+        return f"{name}: TYPES differ {td[:4]}", False
     dpdf = con.execute(sql).df()
     sc, sr = rows_of(spdf)
     dc, dr = rows_of(dpdf)
