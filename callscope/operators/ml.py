@@ -149,10 +149,26 @@ def select_best(scored: DataFrame, labels: DataFrame, window: int = 0,
     return res, best
 
 
+def save_models(models: Sequence[tuple[str, Model]], base: str) -> list[tuple[str, str, type]]:
+    """Persist every fitted configuration under ``base/<ordinal>``;
+    returns ``(config, path, model class)`` entries."""
+    out = []
+    for i, (name, m) in enumerate(models):
+        path = f"{base.rstrip('/')}/{i}"
+        m.write().overwrite().save(path)
+        out.append((name, path, type(m)))
+    return out
+
+
+def load_models(saved: Sequence[tuple[str, str, type]]) -> list[tuple[str, Model]]:
+    """Load saved configurations back for grid-wide scoring."""
+    return [(name, cls.load(path)) for name, path, cls in saved]
+
+
 def n_rows(df: DataFrame) -> int:
     """Row count for parameters that scale with the training size (one scalar)."""
     return int(df.count())
 
 
 __all__ = ["logspace", "with_vector", "long_to_dense", "lr_configs", "rf_configs", "gbt_configs",
-           "fit_all", "score_all", "score_linear", "select_best", "n_rows", "math"]
+           "fit_all", "score_all", "score_linear", "select_best", "n_rows", "save_models", "load_models", "math"]

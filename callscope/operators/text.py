@@ -61,6 +61,20 @@ def vocabulary(freq: DataFrame, top_k: int | None = None,
     return v.select("term", "frequency", "cum_percent", F.col("rank").cast("long").alias("rank"))
 
 
+#: largest vocabulary folded into one broadcast row (terms); beyond it the
+#: caller must shard the vocabulary (e.g. by first letter) and union the counts
+MAX_BROADCAST_TERMS = 1_000_000
+
+
+def check_vocabulary_size(vocab: DataFrame, limit: int = MAX_BROADCAST_TERMS) -> int:
+    """Size check before a vocabulary is broadcast (one small action on a
+    materialised vocabulary)."""
+    n = vocab.limit(limit + 1).count()
+    if n > limit:
+        raise ValueError(f"vocabulary has more than {limit} terms; shard it before bag_of_words")
+    return n
+
+
 def bag_of_words(docs: DataFrame, vocab: DataFrame, keys: str | Sequence[str] = "doc_id",
                  text: str = "text", regex: bool = False) -> DataFrame:
     """Sparse counts ``(keys..., term, tf)`` of every vocabulary word in
@@ -116,6 +130,7 @@ def fit_tfidf(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str
     Returns ``(tfidf, idf)``."""
     if materialize:
         vocab = cut_lineage(vocab)
+        check_vocabulary_size(vocab)
     tf = bag_of_words(docs, vocab, key, text, regex)
     if materialize:
         tf = cut_lineage(tf)

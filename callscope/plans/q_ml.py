@@ -7,11 +7,14 @@ These queries are checked rows-only (no SQL oracle for model fits).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from callscope.operators import ml, resample, scaling
 from callscope.plans import views
 from callscope.plans.registry import finish, query
+from callscope.session import ensure_checkpoint_dir
 
 SEG_PER_CALL = 4
 LR_GRID = ml.logspace(-4, 4, 100)
@@ -36,12 +39,15 @@ def prepared(spark, sf, label: str = "y"):
     return ml.with_vector(out), calls
 
 
-def _grid(spark, sf, configs_fn, linear=False):
+def _grid(spark, sf, configs_fn, linear=False, persist=False):
     data, calls = prepared(spark, sf)
     data = data.cache()
     train = data.filter("split = 'train'")
     valid = data.filter("split = 'valid'")
     models = ml.fit_all(configs_fn(train), train, parallelism=8)
+    if persist:  # A6 + K10: score the saved grid, as a separate scoring job would
+        base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
+        models = ml.load_models(ml.save_models(models, base))
     if linear:
         scored = ml.score_linear(models, valid, ["call", "seq"])
     else:
@@ -79,7 +85,7 @@ def score_and_select(spark, sf):
     def cfgs(tr):
         return (ml.lr_configs(LR_GRID[::10], ml.n_rows(tr)) + ml.rf_configs([3, 5], [100])
                 + ml.gbt_configs([2], [10]))
-    _, best = _grid(spark, sf, cfgs)
+    _, best = _grid(spark, sf, cfgs, persist=True)
     return finish(best)
 
 

@@ -46,3 +46,30 @@ def test_select_best_first_wins_ties(spark, data):
     labels = data.groupBy(F.col("call").alias("id")).agg(F.max("y").alias("y"))
     _, best = ml.select_best(scored, labels, window=3)
     assert {r.method: r.ordinal for r in best.collect()} == {"max": 0, "average": 0}
+
+
+def test_saved_models_score_like_fitted(spark, data):
+    from pyspark.ml.classification import RandomForestClassificationModel
+    models = ml.fit_all(ml.rf_configs([2], [5, 10]), data, parallelism=2)
+    saved = ml.save_models(models, tempfile.mkdtemp(prefix="callscope-grid-"))
+    back = ml.load_models(saved)
+    assert all(isinstance(m, RandomForestClassificationModel) for _, m in back)
+    a = {(r.config, r.id): r.p for r in ml.score_all(models, data, ["id"]).collect()}
+    b = {(r.config, r.id): r.p for r in ml.score_all(back, data, ["id"]).collect()}
+    assert a == pytest.approx(b)
+
+
+def test_pluggable_pandas_tokenizer(spark):
+    """A pandas UDF tokenizer plugs into term_frequency."""
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    from callscope.operators import text
+
+    @pandas_udf("array<string>")
+    def upper_words(s: pd.Series) -> pd.Series:
+        return s.str.upper().str.split()
+
+    docs = spark.createDataFrame([("a b a",), ("b c",)], "text string")
+    got = {r.term: r.frequency for r in text.term_frequency(docs, tokenizer=upper_words).collect()}
+    assert got == {"A": 2, "B": 2, "C": 1}
