@@ -19,12 +19,15 @@ def time_mapping(scores: DataFrame, times: DataFrame, id_col: str = "id", seq: s
 
 
 def first_hits(seg: DataFrame, id_col: str = "id", seq: str = "seq", pred: str = "pred",
-               label: str = "label1", start: str = "starttime", end: str = "endtime") -> DataFrame:
+               label: str = "label1", start: str = "starttime", end: str = "endtime",
+               dense_seq: bool = False) -> DataFrame:
     """Per id, whether any segment is predicted 1; the first such segment's
     ordinal (1-based) and times, else ``s_num = -1`` with the last segment's
     times; the call label and the outcome category.  Aggregates only (min_by /
-    max_by combine map-side)."""
-    d = segment_ordinal(seg, id_col, seq, out="s_num")
+    max_by combine map-side).  ``dense_seq=True`` declares ``seq`` to be the
+    0-based position already, so the ordinal is ``seq + 1`` (no ranking pass)."""
+    d = (seg.withColumn("s_num", (F.col(seq) + 1).cast("long")) if dense_seq
+         else segment_ordinal(seg, id_col, seq, out="s_num"))
     hit = F.when(F.col(pred) == 1, F.col(seq))
     g = d.groupBy(id_col).agg(
         F.max(F.col(pred)).cast("int").alias("predicted_labels"),

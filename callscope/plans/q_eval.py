@@ -150,7 +150,7 @@ def first_hit_summary(spark, sf):
     v3 = views.segment_scores(spark, sf)
     seg = hits.time_mapping(v3.withColumn("pred", labels.predict("p", HIT_THRESHOLD)),
                             views.segment_times(spark, sf))
-    return hits.first_hits(seg, pred="pred", label="label1")
+    return hits.first_hits(seg, pred="pred", label="label1", dense_seq=True)  # V3 seq is dense
 
 
 # --- E13-E22 on V4 ----------------------------------------------------------------------------

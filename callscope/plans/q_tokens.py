@@ -9,6 +9,7 @@ from callscope.operators import resample, scaling, sequence, smoothing, tokens
 from callscope.plans import blocked, views
 from callscope.plans.oracle import sql, u_sql
 from callscope.plans.registry import finish, query
+from callscope.session import cut_lineage
 from callscope.sources.tables import table
 
 MAX_LEN = 32
@@ -54,7 +55,8 @@ def call_tokens(spark, sf):
     "SELECT id, CAST(pos AS BIGINT) AS pos, token, CAST(CASE WHEN token IN ('<pad>', '<unk>', '<cls>', '<sep>') THEN 0 "
     f"ELSE coalesce(last_value(mk IGNORE NULLS) OVER (PARTITION BY id ORDER BY pos {RUN}), 0) END AS INTEGER) AS spk FROM m"))
 def speaker_forward_fill(spark, sf):
-    return tokens.speaker_fill(call_tokens(spark, sf))
+    # the token table is a stage boundary (token tensors): materialise it once
+    return tokens.speaker_fill(cut_lineage(call_tokens(spark, sf)))
 
 
 _SEG_CTES = [
