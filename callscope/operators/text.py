@@ -139,18 +139,20 @@ def fit_tfidf(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str
 
 
 def prefix_term_frequency(utt: DataFrame, vocab: DataFrame, id_col: str = "id", seq: str = "seq",
-                          text: str = "tagged") -> DataFrame:
+                          text: str = "tagged", materialize: bool = True) -> DataFrame:
     """Term counts of every call prefix 0..i, ``(id, seq, term, tf)`` with tf > 0,
     without building the quadratic prefix texts: count per utterance, then a
     running sum per ``(id, term)``.  Equal to counting on the space-joined
     prefix text for terms without whitespace (a match cannot cross the joining
-    space).  ``seq`` must be dense per call."""
+    space).  ``seq`` must be dense per call.  The per-utterance counts feed three
+    branches and are checkpointed (``materialize``) so the texts are counted once."""
     per = bag_of_words(utt, vocab, [id_col, seq], text)
+    if materialize:
+        per = cut_lineage(per)
     last = utt.groupBy(id_col).agg(F.max(seq).alias("__last"))
     first = per.groupBy(id_col, "term").agg(F.min(seq).alias("__first"))
     grid = (first.join(last, id_col)
             .select(id_col, "term", F.explode(F.sequence("__first", "__last")).alias(seq)))
-    w = (Window.partitionBy(id_col, "term").orderBy(seq)
-         .rowsBetween(Window.unboundedPreceding, 0))
-    return (grid.join(per, [id_col, seq, "term"], "left")
-            .select(id_col, seq, "term", F.sum(F.coalesce("tf", F.lit(0))).over(w).alias("tf")))
+    cum = blocked.running_sum(grid.join(per, [id_col, seq, "term"], "left"), [id_col, "term"], [seq],
+                              blocked.seq_block(seq), {"__tf": F.coalesce("tf", F.lit(0))})
+    return cum.select(id_col, seq, "term", F.col("__tf").alias("tf"))
