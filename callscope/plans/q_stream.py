@@ -1,4 +1,10 @@
-"""Catalogue: streaming smoothing and first-hit alerts over the events table."""
+"""Catalogue: streaming smoothing, first-hit alerts and time cut over the events table.
+
+The streamed segment scores are V3's (``p = value / (value + 50)`` per user in
+``(ts, event_id)`` order), so the smoothing and cut results have batch SQL
+oracles; the first-hit stream depends on watermark progress (timeouts) and is
+checked rows-only here and against the batch operator in the tests.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +12,19 @@ from callscope.plans.registry import finish, query
 from callscope.streaming import calls as st
 
 HIT_THRESHOLD = 0.85
+CUT_MS = 6 * 3600 * 1000
+_OUT = ["id", "event_id", "seq", "p", "p_ma"]
+_MA = "AVG(p) OVER (PARTITION BY id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"
 
 
-@query("stream_moving_average")
+@query("stream_moving_average", f"""SELECT id, event_id, seq, round(p, 6) AS p, round({_MA}, 6) AS p_ma FROM (
+  SELECT user_id AS id, event_id, value / (value + 50.0) AS p,
+         CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS seq
+  FROM events) AS s""")
 def stream_moving_average(spark, sf):
-    """L1/L3: incremental trailing mean per call, one output row per segment."""
+    """L1: incremental trailing mean per call, one output row per segment."""
     out = st.run_available_now(st.moving_average_stream(st.score_stream(spark, sf), window=3), "ma")
-    return finish(out)
+    return finish(out.select(*_OUT))
 
 
 @query("stream_first_hit")
@@ -22,9 +34,16 @@ def stream_first_hit(spark, sf):
     return finish(out)
 
 
-@query("stream_time_cut")
+@query("stream_time_cut", f"""WITH s AS (
+  SELECT user_id AS id, event_id, ts, value / (value + 50.0) AS p, epoch_ms(ts) AS e FROM events),
+f AS (SELECT *, FIRST_VALUE(e) OVER (PARTITION BY id ORDER BY ts, event_id) AS st FROM s),
+g AS (SELECT *, MAX(CASE WHEN e - st > {CUT_MS} THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY ts, event_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stopped FROM f),
+k AS (SELECT id, event_id, p, CAST(row_number() OVER (PARTITION BY id ORDER BY ts, event_id) - 1 AS BIGINT) AS seq
+      FROM g WHERE stopped = 0)
+SELECT id, event_id, seq, round(p, 6) AS p, round({_MA}, 6) AS p_ma FROM k""")
 def stream_time_cut(spark, sf):
-    """L3 with L1: per call, segments ending more than 6 h after the call's first
-    segment (and everything after) are ignored; trailing mean of the rest."""
-    stream = st.moving_average_stream(st.score_stream(spark, sf), window=3, cut_ms=6 * 3600 * 1000)
-    return finish(st.run_available_now(stream, "cut"))
+    """L3 with L1: per call, the segment ending more than 6 h after the call's
+    first segment and everything after it are ignored; trailing mean of the rest."""
+    stream = st.moving_average_stream(st.score_stream(spark, sf), window=3, cut_ms=CUT_MS)
+    return finish(st.run_available_now(stream, "cut").select(*_OUT))
