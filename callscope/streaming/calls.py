@@ -37,9 +37,11 @@ def score_stream(spark: SparkSession, folder: str, file_glob: str = "events.parq
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     ev = r.parquet(folder)
-    ts = F.col("ts").cast("timestamp")  # event time must be a (session-zone) TIMESTAMP
-    return ev.select(F.col("user_id").alias("id"), "event_id", ts.alias("ts"),
-                     (F.unix_micros(ts) / 1000).cast("long").alias("end_ms"),
+    # the table's wall-clock TIMESTAMP_NTZ read as UTC, whatever the session zone;
+    # the watermark needs an instant (TIMESTAMP)
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
+    return ev.select(F.col("user_id").alias("id"), "event_id", F.timestamp_micros(micros).alias("ts"),
+                     F.floor(micros / 1000).cast("long").alias("end_ms"),
                      (F.col("value") / (F.col("value") + F.lit(50.0))).alias("p"))
 
 
