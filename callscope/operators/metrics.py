@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callscope.functions.scalar import col_, linspace_point
+from callscope.functions.scalar import linspace_point
 from callscope.plans import blocked
 from callscope.session import cut_lineage
 
@@ -232,5 +232,4 @@ def label_frequency(df: DataFrame, y: str = "y", group: Sequence[str] = ()) -> D
 
 
 __all__ = ["score_counts", "cumulative_counts", "auroc_ap", "roc_points", "pr_points",
-           "confusion", "binary_metrics", "evaluate", "threshold_sweep", "label_frequency",
-           "col_"]
+           "confusion", "binary_metrics", "evaluate", "threshold_sweep", "label_frequency"]

@@ -10,7 +10,6 @@ with ``parallelism``; each fit is itself a distributed Spark job.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -171,4 +170,4 @@ def n_rows(df: DataFrame) -> int:
 
 
 __all__ = ["logspace", "with_vector", "long_to_dense", "lr_configs", "rf_configs", "gbt_configs",
-           "fit_all", "score_all", "score_linear", "select_best", "n_rows", "save_models", "load_models", "math"]
+           "fit_all", "score_all", "score_linear", "select_best", "n_rows", "save_models", "load_models"]

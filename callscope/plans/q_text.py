@@ -3,7 +3,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from callscope.functions.fixed_values import VOCAB_TOP_K
 from callscope.operators import resample, sequence, text

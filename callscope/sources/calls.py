@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callscope.functions.scalar import file_name, file_stem
+from callscope.functions.scalar import file_stem
 
 UTTERANCE = T.StructType([
     T.StructField("startAt", T.LongType()),
@@ -63,4 +63,4 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
 
 
 __all__ = ["CALL_RECORD", "UTTERANCE", "read_calls", "media_listing", "with_media",
-           "read_csv", "file_name"]
+           "read_csv"]

@@ -5,7 +5,6 @@ Usage: python tests/oracle_harness.py [sf_dir] [name-substring ...]
 
 from __future__ import annotations
 
-import math
 import os
 import sys
 import time
