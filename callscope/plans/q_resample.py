@@ -9,6 +9,7 @@ from callscope.plans import views
 from callscope.plans.oracle import auroc_ap_ctes, binary_metrics_cte, sql, u_sql
 from callscope.plans.q_eval import smoothed_calls
 from callscope.plans.registry import finish, query
+from callscope.session import cut_lineage
 from callscope.sources.tables import table
 
 BOOT_METRICS = ["auroc", "auprc", "f1", "accuracy", "brier", "recall", "precision",
@@ -61,7 +62,7 @@ _CALLS_SQL = [
 def bootstrap_ids(spark, sf):
     """J3/D8 + E25: id-cluster bootstrap of pooled call scores (drawn with
     replacement, each drawn id scored once)."""
-    calls = smoothed_calls(spark, sf, 3, "max")
+    calls = cut_lineage(smoothed_calls(spark, sf, 3, "max"))  # call-level stage table, read 3 times
     draws = resample.bootstrap_ids(calls, "id", BOOT_K, BOOT_RATE, SEED, distinct=True)
     s = draws.join(calls, "id")
     return finish(resample.bootstrap_summary(per_replicate(s), BOOT_METRICS))

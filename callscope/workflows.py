@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions import fixed_values as FV
 from callscope.operators import hits, labels, metrics, resample, sequence, smoothing, text
+from callscope.session import cut_lineage
 from callscope.sources import calls as call_src
 
 #: The time cut applies to validation and test, never to training
@@ -71,7 +72,8 @@ def evaluate_segments(segments: DataFrame, call_labels: DataFrame, window: int =
     ``(id, seq, p)`` -> smoothed, pooled call scores joined with ``(id, y)``
     -> metrics, 512-point sweep and the id-bootstrap summary."""
     sm = smoothing.moving_average(segments, window, ["p"])
-    calls = smoothing.call_score(sm, method).join(call_labels.select("id", "y"), "id")
+    # the pooled call table (one row per call) feeds four results: materialise it once
+    calls = cut_lineage(smoothing.call_score(sm, method).join(call_labels.select("id", "y"), "id"))
     draws = resample.bootstrap_ids(calls, "id", n_boot, rate, seed)
     per = metrics.evaluate(draws.join(calls, "id"), threshold=threshold, group=["k"])
     names = ["auroc", "ap", "f1", "accuracy", "brier", "recall", "precision", "specificity", "npv", "fdr"]
