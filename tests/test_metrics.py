@@ -75,3 +75,22 @@ def test_binary_metrics(spark):
     assert (r.tn, r.fp, r.fn, r.tp) == (1, 1, 1, 1)
     assert r.accuracy == 0.5 and r.npv == 0.5 and r.fdr == 0.5
     assert r.brier == pytest.approx((0.01 + 0.36 + 0.36 + 0.01) / 4)
+
+
+def test_sweep_exact_at_threshold_values(spark):
+    """Scores equal to the linspace points themselves land on the right side."""
+    step = 1.0 / 511
+    pts = [0.0, 1.0] + [j * step for j in (1, 2, 100, 255, 256, 510)] + [j / 511 for j in (3, 77, 509)]
+    rows = [(p, i % 2) for i, p in enumerate(pts)] + [(0.5, 1), (0.999, 0)]
+    df = spark.createDataFrame(rows, "p double, y int")
+    sw = metrics.threshold_sweep(df, n=512, round_sep=None, materialize=False).collect()
+    got = {round(r.THRESHOLD, 12): r for r in sw}
+    P = sum(y for _, y in rows)
+    N = len(rows) - P
+    for j in range(512):
+        t = 1.0 if j == 511 else j * step
+        tp = sum(1 for p, y in rows if p >= t and y == 1)
+        fp = sum(1 for p, y in rows if p >= t and y != 1)
+        r = got[round(t, 12)]
+        assert r.RECALL == pytest.approx(tp / P), j
+        assert r.SPECIFICITY == pytest.approx((N - fp) / N), j
