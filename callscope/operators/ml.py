@@ -46,12 +46,13 @@ def long_to_dense(long: DataFrame, size: int, id_col: str = "id", index: str = "
 
 
 def lr_configs(cs: Sequence[float], n_train: int, multinomial: bool = False) -> list[tuple[str, Estimator]]:
-    """K3: sklearn's ``C`` maps to ``regParam = 1 / (C * n)`` with no elastic net
-    and no internal standardisation."""
+    """K3: sklearn's ``C`` maps to ``regParam = 1 / (C * n)`` with no elastic net,
+    no internal standardisation, and sklearn's default tolerance (1e-4) and
+    iteration cap (100)."""
     fam = "multinomial" if multinomial else "binomial"
     return [(f"lr_C={c:.6g}", LogisticRegression(featuresCol="fv", labelCol="label", regParam=1.0 / (c * n_train),
                                                  elasticNetParam=0.0, standardization=False,
-                                                 maxIter=100, family=fam))
+                                                 maxIter=100, tol=1e-4, family=fam))
             for c in cs]
 
 
