@@ -93,11 +93,24 @@ def auroc_ap(df: DataFrame, p: str = "p", y: str = "y", group: Sequence[str] = (
 
 
 def roc_points(df: DataFrame, p: str = "p", y: str = "y", group: Sequence[str] = (),
-               materialize: bool = True) -> DataFrame:
-    """(fpr, tpr, threshold) at every distinct score plus the origin
-    (threshold NULL).  No intermediate points are dropped."""
+               materialize: bool = True, drop_intermediate: bool = True) -> DataFrame:
+    """(fpr, tpr, threshold) at the distinct scores plus the origin
+    (threshold NULL), like sklearn's ``roc_curve``: with ``drop_intermediate``
+    a point is kept only where the curve turns (non-zero second difference of
+    fp or tp), the first and last points always.  Neighbours are found by a
+    join on ``(group, rank)`` of a blocked rank, not by a window over a group."""
     c = score_counts(df, p, y, group, materialize)
     cum = _cumulative(c, group)
+    if drop_intermediate:
+        r = blocked.row_number(cum, list(group), [F.col("p").desc()], _desc_block("p"), out="__r")
+        prev = r.select(*group, (F.col("__r") + 1).alias("__r"), F.col("tp").alias("__tp0"),
+                        F.col("fp").alias("__fp0"))
+        nxt = r.select(*group, (F.col("__r") - 1).alias("__r"), F.col("tp").alias("__tp2"),
+                       F.col("fp").alias("__fp2"))
+        j = r.join(prev, [*group, "__r"], "left").join(nxt, [*group, "__r"], "left")
+        corner = ((F.col("__fp2") - 2 * F.col("fp") + F.col("__fp0")) != 0) | \
+                 ((F.col("__tp2") - 2 * F.col("tp") + F.col("__tp0")) != 0)
+        cum = j.filter(F.col("__tp0").isNull() | F.col("__tp2").isNull() | corner)
     pts = cum.select(*group, F.try_divide(F.col("fp"), F.col("n_neg")).alias("fpr"),
                      F.try_divide(F.col("tp"), F.col("n_pos")).alias("tpr"), F.col("p").alias("threshold"))
     origin = c.select(*group).distinct().select(*group, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"),

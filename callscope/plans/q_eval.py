@@ -187,9 +187,12 @@ _CUM = auroc_ap_ctes("v4")[:3]
 
 
 @query("roc_points", sql(
-    ["v4"], _CUM,
+    ["v4"], _CUM + [
+        "rk AS (SELECT *, LAG(tp) OVER (ORDER BY p DESC) AS tp0, LAG(fp) OVER (ORDER BY p DESC) AS fp0, "
+        "LEAD(tp) OVER (ORDER BY p DESC) AS tp2, LEAD(fp) OVER (ORDER BY p DESC) AS fp2 FROM r_cum)"],
     'SELECT CAST(fp AS DOUBLE) / t.n_neg AS fpr, CAST(tp AS DOUBLE) / t.n_pos AS tpr, CAST(p AS DOUBLE) AS threshold '
-    "FROM r_cum, r_tot t UNION ALL SELECT 0.0, 0.0, NULL", round6=["fpr", "tpr", "threshold"]))
+    "FROM rk, r_tot t WHERE tp0 IS NULL OR tp2 IS NULL OR fp2 - 2 * fp + fp0 <> 0 OR tp2 - 2 * tp + tp0 <> 0 "
+    "UNION ALL SELECT 0.0, 0.0, NULL", round6=["fpr", "tpr", "threshold"]))
 def roc_points(spark, sf):
     return finish(metrics.roc_points(views.call_scores(spark, sf)))
 

@@ -94,3 +94,15 @@ def test_sweep_exact_at_threshold_values(spark):
         r = got[round(t, 12)]
         assert r.RECALL == pytest.approx(tp / P), j
         assert r.SPECIFICITY == pytest.approx((N - fp) / N), j
+
+
+def test_roc_drop_intermediate_like_sklearn(spark):
+    # collinear middle points are dropped; corners, first and last are kept
+    rows = [(0.9, 1), (0.8, 1), (0.7, 1), (0.6, 0), (0.5, 0), (0.4, 1)]
+    df = spark.createDataFrame(rows, "p double, y int")
+    full = sorted((r.fpr, r.tpr) for r in metrics.roc_points(df, drop_intermediate=False, materialize=False).collect())
+    kept = sorted((r.threshold, r.fpr, r.tpr) for r in metrics.roc_points(df, materialize=False).collect()
+                  if r.threshold is not None)
+    assert len(full) == 7
+    # thresholds 0.9 (first), 0.7 (corner), 0.5 (corner), 0.4 (last); 0.8 and 0.6 lie on straight runs
+    assert [t for t, _, _ in kept] == [0.4, 0.5, 0.7, 0.9]
