@@ -62,9 +62,11 @@ def _join_group(a: DataFrame, b: DataFrame, group: Sequence[str]) -> DataFrame:
     return a.join(b, list(group)) if group else a.crossJoin(b)  # one-row side without groups
 
 
-def _cumulative(c: DataFrame, group: Sequence[str]) -> DataFrame:
-    cum = blocked.running_sum(c, list(group), [F.col("p").desc()], _desc_block("p"),
-                              {"tp": "pos", "fp": "neg"})
+def _cumulative(c: DataFrame, group: Sequence[str], rank: bool = False) -> DataFrame:
+    cols = {"tp": "pos", "fp": "neg"}
+    if rank:  # 1-based position among the distinct scores, same blocked pass
+        cols["__r"] = F.lit(1).cast("long")
+    cum = blocked.running_sum(c, list(group), [F.col("p").desc()], _desc_block("p"), cols)
     return _join_group(cum, _totals(c, group), group)
 
 
@@ -100,9 +102,9 @@ def roc_points(df: DataFrame, p: str = "p", y: str = "y", group: Sequence[str] =
     fp or tp), the first and last points always.  Neighbours are found by a
     join on ``(group, rank)`` of a blocked rank, not by a window over a group."""
     c = score_counts(df, p, y, group, materialize)
-    cum = _cumulative(c, group)
+    cum = _cumulative(c, group, rank=drop_intermediate)
     if drop_intermediate:
-        r = blocked.row_number(cum, list(group), [F.col("p").desc()], _desc_block("p"), out="__r")
+        r = cut_lineage(cum) if materialize else cum  # compact; read three times below
         prev = r.select(*group, (F.col("__r") + 1).alias("__r"), F.col("tp").alias("__tp0"),
                         F.col("fp").alias("__fp0"))
         nxt = r.select(*group, (F.col("__r") - 1).alias("__r"), F.col("tp").alias("__tp2"),

@@ -92,7 +92,7 @@ def inference_extract(spark, sf):
     "SELECT id, seq, y, false AS is_copy FROM v3 UNION ALL "
     "SELECT id, seq, y, true AS is_copy FROM v3 WHERE y = 1 AND id IN (SELECT id FROM ch)"))
 def upsample_by_id(spark, sf):
-    v3 = views.segment_scores(spark, sf).select("id", "seq", "y")
+    v3 = cut_lineage(views.segment_scores(spark, sf).select("id", "seq", "y"))  # stage table, read 3 times
     return resample.upsample(v3, "id", "y", rate=0.35, by_id=True, seed=SEED)
 
 
@@ -103,8 +103,8 @@ def upsample_by_id(spark, sf):
     "SELECT id, seq, y, false AS is_copy FROM v3 UNION ALL "
     "SELECT id, seq, y, true AS is_copy FROM r WHERE rk <= round_even(n * 0.35, 0)"))
 def upsample_by_row(spark, sf):
-    v3 = views.segment_scores(spark, sf).select("id", "seq", "y")
-    v3 = v3.withColumn("s_id", F.concat_ws("_", "id", "seq"))
+    v3 = cut_lineage(views.segment_scores(spark, sf).select("id", "seq", "y")
+                     .withColumn("s_id", F.concat_ws("_", "id", "seq")))  # stage table, read twice
     return resample.upsample(v3, "id", "y", rate=0.35, by_id=False, row_key="s_id", seed=SEED).drop("s_id")
 
 
