@@ -28,10 +28,51 @@ def _with_counts(df: DataFrame, part: Sequence[str], out: str = "__n") -> DataFr
     return df.join(n, list(part)) if part else df.crossJoin(n)
 
 
+def split_cuts(df: DataFrame, id_col: str = "id", stratum: str = "label1", seed: int = 42,
+               test_size: float = 0.2, valid_size: float = 0.2) -> DataFrame:
+    """Per stratum, the last ``(u, id)`` key of the test and of the valid share
+    (``ceil(test_size*n)`` lowest hash ranks are test, the next
+    ``ceil(valid_size*(n-n_test))`` valid).  Only ``(id, stratum)`` is ranked;
+    the result has one row per stratum."""
+    ids = df.select(id_col, stratum)
+    r = _with_counts(_ranked(ids, [stratum], seed, id_col, "__r"), [stratum])
+    n_test = F.ceil(F.col("__n") * F.lit(test_size))
+    n_valid = F.ceil((F.col("__n") - n_test) * F.lit(valid_size))
+    key = F.struct(uniform_hash(seed, id_col).alias("u"), F.col(id_col).alias("k"))
+    r = r.withColumn("__key", key)
+    test = r.filter(F.col("__r") == n_test).select(stratum, F.col("__key").alias("test_cut"))
+    valid = r.filter(F.col("__r") == n_test + n_valid).select(stratum, F.col("__key").alias("valid_cut"))
+    strata = ids.select(stratum).distinct()
+    return strata.join(test, stratum, "left").join(valid, stratum, "left")
+
+
+def apply_split(df: DataFrame, cuts: DataFrame, id_col: str = "id", stratum: str = "label1",
+                seed: int = 42, out: str = "split") -> DataFrame:
+    """Tag rows by comparing their ``(u, id)`` key with the stratum's cut keys.
+    The cut table has one row per stratum and is broadcast, so the tagged
+    table (texts and all) is never shuffled."""
+    c = F.broadcast(cuts.withColumnRenamed(stratum, "__s"))
+    key = F.struct(uniform_hash(seed, id_col).alias("u"), F.col(id_col).alias("k"))
+    d = df.join(c, df[stratum].eqNullSafe(c["__s"]), "left")
+    tag = (F.when(F.col("test_cut").isNotNull() & (key <= F.col("test_cut")), F.lit("test"))
+           .when(F.col("valid_cut").isNotNull() & (key <= F.col("valid_cut")), F.lit("valid"))
+           .otherwise(F.lit("train")))
+    return d.withColumn(out, tag).drop("__s", "test_cut", "valid_cut")
+
+
 def stratified_split(df: DataFrame, id_col: str = "id", stratum: str = "label1", seed: int = 42,
-                     test_size: float = 0.2, valid_size: float = 0.2, out: str = "split") -> DataFrame:
+                     test_size: float = 0.2, valid_size: float = 0.2, out: str = "split",
+                     tag_in_place: bool = False) -> DataFrame:
     """Per stratum, the ``ceil(test_size*n)`` lowest hash ranks are test,
-    the next ``ceil(valid_size*(n-n_test))`` valid, the rest train (64/16/20)."""
+    the next ``ceil(valid_size*(n-n_test))`` valid, the rest train (64/16/20).
+
+    Default: blocked ranks joined back (right for narrow index tables).
+    ``tag_in_place=True`` ranks ``(id, stratum)`` only and tags the rows against
+    per-stratum cut keys with a broadcast of one row per stratum, so wide rows
+    (texts) are never shuffled."""
+    if tag_in_place:
+        return apply_split(df, split_cuts(df, id_col, stratum, seed, test_size, valid_size),
+                           id_col, stratum, seed, out)
     r = _with_counts(_ranked(df, [stratum], seed, id_col, "__r"), [stratum])
     n_test = F.ceil(F.col("__n") * F.lit(test_size))
     n_valid = F.ceil((F.col("__n") - n_test) * F.lit(valid_size))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions.scalar import col_, occurrences
 from callscope.plans import blocked
-from callscope.session import cut_lineage
+from callscope.session import cut_lineage, spread
 
 #: default tokenizer: runs of letters, lower-cased (the morphological analyser
 #: of the source pipeline is not available; pass ``tokenizer=`` to plug one in)
@@ -32,7 +32,7 @@ def term_frequency(docs: DataFrame, text: str = "text",
     """Corpus frequency ``(term, frequency)``.  ``tokenizer`` maps a text
     column to an ``ARRAY<STRING>`` column (built-in expression or pandas UDF)."""
     tok = (tokenizer or default_tokens)(F.col(text))
-    return (docs.select(F.explode(tok).alias("term")).filter(F.length("term") > 0)
+    return (spread(docs.select(text)).select(F.explode(tok).alias("term")).filter(F.length("term") > 0)
             .groupBy("term").agg(F.count(F.lit(1)).alias("frequency")))
 
 
@@ -88,7 +88,7 @@ def bag_of_words(docs: DataFrame, vocab: DataFrame, keys: str | Sequence[str] =
     arr = F.broadcast(vocab.agg(F.collect_list("term").alias("__vocab")))
     counts = F.transform("__vocab", lambda w: F.struct(w.alias("term"),
                                                        occurrences(F.col(text), w, regex).alias("tf")))
-    return (docs.select(*ks, text).crossJoin(arr)
+    return (spread(docs.select(*ks, text)).crossJoin(arr)
             .select(*ks, F.explode(counts).alias("c"))
             .select(*ks, "c.term", "c.tf").filter(F.col("tf") > 0))
 

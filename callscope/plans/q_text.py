@@ -102,10 +102,10 @@ _SPLIT_DOCS = [
 def tfidf_apply_train_idf(spark, sf):
     """Vocabulary and IDF fitted on the train split only, applied to test."""
     d = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    # split the ids only (small, materialised), then read each split's texts once
-    s = cut_lineage(resample.stratified_split(d.select("doc_id", "lang"), "doc_id", "lang", 42))
-    train = d.join(s.filter("split = 'train'").select("doc_id"), "doc_id", "left_semi")
-    test = d.join(s.filter("split = 'test'").select("doc_id"), "doc_id", "left_semi")
+    # rank ids only; the per-language cut keys (one row per language) tag the texts in place
+    cuts = cut_lineage(resample.split_cuts(d, "doc_id", "lang", 42))
+    s = resample.apply_split(d, cuts, "doc_id", "lang", 42)
+    train, test = s.filter("split = 'train'"), s.filter("split = 'test'")
     v = cut_lineage(text.vocabulary(text.term_frequency(train), top_k=BOW_K))  # bounded, used twice
     _, idf = text.fit_tfidf(train, v, "doc_id", materialize=True)
     return finish(text.tfidf(text.bag_of_words(test, v, "doc_id"), idf))

@@ -52,3 +52,14 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (never a local one)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition to the cluster's parallelism before CPU-heavy
+    row work when the input comes from fewer files than cores (a few large
+    row groups leave most scan splits empty); a no-op for many-file inputs
+    and for inputs that already went through a wider shuffle."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() <= n and len(df.inputFiles()) < n:
+        return df.repartition(n)
+    return df

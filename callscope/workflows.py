@@ -30,7 +30,8 @@ def labelled_index(spark: SparkSession, json_dir: str, media_dir: str | None = N
     if media_dir is not None:
         calls = call_src.with_media(calls, call_src.media_listing(spark, media_dir))
     lab = labels.label_columns(calls).withColumnRenamed("_id", "id")
-    return resample.stratified_split(lab, "id", "label1", seed)
+    # call records carry whole transcripts: tag them in place instead of shuffling them
+    return resample.stratified_split(lab, "id", "label1", seed, tag_in_place=True)
 
 
 def call_rows(index: DataFrame, cuts: Mapping[str, int | None] = DEFAULT_CUTS,

@@ -44,9 +44,12 @@ def test_invariant_under_repartition(spark, segs, op):
         assert x == pytest.approx(y)
 
 
-def test_split_sizes(spark):
+@pytest.mark.parametrize("in_place", [False, True])
+def test_split_sizes(spark, in_place):
     df = spark.range(1000).select(F.col("id"), (F.col("id") % 3).cast("int").alias("label1"))
-    s = resample.stratified_split(df, "id", "label1")
+    s = resample.stratified_split(df, "id", "label1", tag_in_place=in_place)
+    other = resample.stratified_split(df, "id", "label1", tag_in_place=not in_place)
+    assert {r.id: (r.label1, r.split) for r in s.collect()} == {r.id: (r.label1, r.split) for r in other.collect()}
     got = {(r.label1, r.split): r.n for r in s.groupBy("label1", "split").agg(F.count("*").alias("n")).collect()}
     for k in range(3):
         n = sum(v for (lab, _), v in got.items() if lab == k)
