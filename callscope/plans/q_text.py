@@ -26,7 +26,10 @@ def docs(spark, sf):
 
 
 def doc_vocab(spark, sf, k=BOW_K):
-    return text.vocabulary(text.term_frequency(docs(spark, sf)), top_k=k)
+    """Top-k vocabulary, materialised once and size-checked before any broadcast."""
+    v = cut_lineage(text.vocabulary(text.term_frequency(docs(spark, sf)), top_k=k))
+    text.check_vocabulary_size(v)
+    return v
 
 
 @query("corpus_token_freq", sql([], [FREQ_SQL.format(src="documents")], "SELECT term, frequency FROM f"))
@@ -107,6 +110,7 @@ def tfidf_apply_train_idf(spark, sf):
     s = resample.apply_split(d, cuts, "doc_id", "lang", 42)
     train, test = s.filter("split = 'train'"), s.filter("split = 'test'")
     v = cut_lineage(text.vocabulary(text.term_frequency(train), top_k=BOW_K))  # bounded, used twice
+    text.check_vocabulary_size(v)
     _, idf = text.fit_tfidf(train, v, "doc_id", materialize=True)
     return finish(text.tfidf(text.bag_of_words(test, v, "doc_id"), idf))
 
@@ -121,5 +125,6 @@ _TAG = "'[SPK' || CAST(speaker AS VARCHAR) || '] ' || text"
     f"SELECT * FROM (SELECT s.id, s.seq, v.term, {COUNT_SQL.format(t='s.ptext')} AS tf FROM s, v) WHERE tf > 0"))
 def prefix_tf_running(spark, sf):
     utt = sequence.tag_speaker(views.utterances(spark, sf))
-    v = text.vocabulary(text.term_frequency(utt), top_k=BOW_K)
+    v = cut_lineage(text.vocabulary(text.term_frequency(utt), top_k=BOW_K))
+    text.check_vocabulary_size(v)
     return text.prefix_term_frequency(utt, v)
