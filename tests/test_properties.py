@@ -82,3 +82,28 @@ def test_bootstrap_sizes(spark, segs):
     draws = resample.bootstrap_ids(calls, "id", k=4, rate=0.75, distinct=False)
     assert {r.k: r.n for r in draws.groupBy("k").agg(F.count("*").alias("n")).collect()} == \
         {k: int(0.75 * n) for k in range(4)}
+
+
+def test_k_of_group_matches_rule(spark):
+    """B3 against the rule stated in words: any element is a flat entry, or at
+    least two elements (duplicates counted) fall into one group."""
+    from hypothesis import given, settings, strategies as st
+
+    from callscope.functions.scalar import k_of_group
+
+    flat, groups = ["a"], [["b", "c"], ["c", "d"]]
+
+    def rule(xs):
+        return any(x in flat for x in xs) or any(sum(1 for x in xs if x in g) >= 2 for g in groups)
+
+    cases = []
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.lists(st.sampled_from(["a", "b", "c", "d", "e"]), max_size=6))
+    def collect(xs):
+        cases.append(xs)
+
+    collect()
+    df = spark.createDataFrame([(i, xs) for i, xs in enumerate(cases)], "i int, s array<string>")
+    got = {r.i: r.h for r in df.select("i", k_of_group("s", flat, groups).alias("h")).collect()}
+    assert all(got[i] == rule(xs) for i, xs in enumerate(cases))
