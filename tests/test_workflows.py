@@ -36,3 +36,12 @@ def test_evaluation_and_hits(spark):
     assert len(rows) == 20
     assert all((r.s_num == -1) == (r.predicted_labels == 0) for r in rows)
     assert all(r.elapsed_ms == r.endtime for r in rows)
+
+
+def test_tfidf_features_train_fitted(spark):
+    rows = spark.createDataFrame([("a", "train", "x y x"), ("b", "train", "y z"), ("c", "test", "x q")],
+                                 "id string, split string, text string")
+    feats, idf, vocab = workflows.tfidf_features(rows, top_k=3)
+    assert {r.term for r in vocab.collect()} == {"x", "y", "z"}
+    got = {(r.id, r.term) for r in feats.collect()}
+    assert ("c", "x") in got and not any(t == "q" for _, t in got)
