@@ -27,11 +27,28 @@ def stream_moving_average(spark, sf):
     return finish(out.select(*_OUT))
 
 
-@query("stream_first_hit")
+DAY_MS = 86_400_000
+
+
+@query("stream_first_hit", f"""WITH s AS (
+  SELECT user_id AS id, event_id, epoch_ms(ts) AS e, value / (value + 50.0) AS p,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+m AS (SELECT *, AVG(p) OVER (PARTITION BY id ORDER BY rn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS p_ma FROM s),
+h AS (SELECT id, MIN(rn) FILTER (WHERE p_ma >= {HIT_THRESHOLD}) AS hit_rn, MAX(e) AS last_e,
+      arg_max(event_id, rn) AS last_event FROM m GROUP BY id),
+mx AS (SELECT MAX(epoch_ms(ts)) AS max_e FROM events)
+SELECT m.id, CAST(m.rn AS BIGINT) AS s_num, m.event_id, round(m.p_ma, 6) AS p_ma
+FROM m JOIN h ON m.id = h.id AND m.rn = h.hit_rn
+UNION ALL
+SELECT h.id, CAST(-1 AS BIGINT), h.last_event, CAST(NULL AS DOUBLE) FROM h, mx
+WHERE h.hit_rn IS NULL AND h.last_e + {DAY_MS} < mx.max_e - {DAY_MS}""")
 def stream_first_hit(spark, sf):
-    """L2: one alert per call at the first smoothed score >= threshold."""
-    out = st.run_available_now(st.first_hit_stream(st.score_stream(spark, sf), HIT_THRESHOLD, window=3), "hit")
-    return finish(out)
+    """L2: one alert per call at the first smoothed score >= threshold; calls
+    silent for a day of event time past the (1 day) watermark without a hit
+    report ``s_num = -1`` with their last segment when the watermark passes."""
+    out = st.run_available_now(st.first_hit_stream(st.score_stream(spark, sf), HIT_THRESHOLD, window=3,
+                                                   watermark="1 day", silence_ms=DAY_MS), "hit")
+    return finish(out.select("id", "s_num", "event_id", "p_ma"))
 
 
 @query("stream_time_cut", f"""WITH s AS (
