@@ -59,7 +59,7 @@ def _totals(c: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 def _join_group(a: DataFrame, b: DataFrame, group: Sequence[str]) -> DataFrame:
-    return a.join(b, list(group)) if group else a.crossJoin(b)  # one-row side without groups
+    return a.join(b, list(group)) if group else a.crossJoin(F.broadcast(b))  # one-row side
 
 
 def _cumulative(c: DataFrame, group: Sequence[str], rank: bool = False) -> DataFrame:

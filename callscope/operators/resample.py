@@ -25,7 +25,7 @@ def _ranked(df: DataFrame, part: Sequence[str], seed: int | str, key: str, out:
 
 def _with_counts(df: DataFrame, part: Sequence[str], out: str = "__n") -> DataFrame:
     n = df.groupBy(*part).agg(F.count(F.lit(1)).alias(out))
-    return df.join(n, list(part)) if part else df.crossJoin(n)
+    return df.join(n, list(part)) if part else df.crossJoin(F.broadcast(n))  # one row
 
 
 def split_cuts(df: DataFrame, id_col: str = "id", stratum: str = "label1", seed: int = 42,

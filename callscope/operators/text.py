@@ -55,7 +55,7 @@ def vocabulary(freq: DataFrame, top_k: int | None = None,
         blk = F.struct((-F.col("frequency")).alias("f"), F.substring("term", 1, 1).alias("t"))
         v = blocked.running_sum(freq.withColumn("__one", F.lit(1)), [], order, blk,
                                 {"__cum": "frequency", "rank": "__one"}).drop("__one")
-    v = v.crossJoin(total).withColumn("cum_percent", F.lit(100.0) * F.col("__cum") / F.col("__total"))
+    v = v.crossJoin(F.broadcast(total)).withColumn("cum_percent", F.lit(100.0) * F.col("__cum") / F.col("__total"))
     if max_percent is not None:
         v = v.filter(F.col("cum_percent") <= F.lit(max_percent))
     return v.select("term", "frequency", "cum_percent", F.col("rank").cast("long").alias("rank"))
@@ -101,7 +101,7 @@ def inverse_document_frequency(tf: DataFrame, docs: DataFrame, vocab: DataFrame,
     ``idf = ln((n_docs + 1) / (df + 1)) + 1`` for every vocabulary term."""
     n = docs.select(key).distinct().agg(F.count(F.lit(1)).alias("n_docs"))
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return (vocab.select("term").join(dfreq, "term", "left").crossJoin(n)
+    return (vocab.select("term").join(dfreq, "term", "left").crossJoin(F.broadcast(n))
             .withColumn("df", F.coalesce("df", F.lit(0)).cast("long"))
             .withColumn("idf", F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + F.lit(1.0)))
 
