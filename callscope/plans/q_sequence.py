@@ -67,6 +67,20 @@ def prefix_stack(spark, sf):
     return sequence.stack_prefixes(sequence.tag_speaker(views.utterances(spark, sf)))
 
 
+@query("prefix_stack_cut90", sql(
+    ["v1"],
+    [f"k AS (SELECT *, MAX(end_ms) OVER (PARTITION BY id ORDER BY seq {RUN}) AS run_max FROM v1)",
+     f"s AS (SELECT id, seq, CAST(id AS VARCHAR) || '_' || CAST(seq AS VARCHAR) AS s_id, "
+     f"string_agg({TAG_SQL}, ' ') OVER (PARTITION BY id ORDER BY seq {RUN}) AS text, end_ms FROM k "
+     "WHERE run_max <= 90000)"],
+    "SELECT * FROM s"))
+def prefix_stack_cut90(spark, sf):
+    """B12 + C4: the stacked test-mode rows — prefixes of the call as heard
+    until the first utterance ending after 90 s."""
+    utt = sequence.time_cut(views.utterances(spark, sf), 90000)
+    return sequence.stack_prefixes(sequence.tag_speaker(utt))
+
+
 @query("prefix_stack_min", _stack_sql("seq >= 1 AND seq - 1 + 2 >= 3"))
 def prefix_stack_min(spark, sf):
     return sequence.stack_prefixes(sequence.tag_speaker(views.utterances(spark, sf)),
