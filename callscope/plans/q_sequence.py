@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from callscope.functions.fixed_values import MAX_SENTENCE
-from callscope.operators import labels, sequence
+from callscope import workflows
+from callscope.operators import labels, resample, sequence
 from callscope.plans import views
-from callscope.plans.oracle import sql
+from callscope.plans.oracle import sql, u_sql
 from callscope.plans.registry import finish, query
 from callscope.session import ensure_checkpoint_dir
 from callscope.sources import calls as call_src
@@ -204,3 +205,28 @@ def results_by_time_cut(spark, sf):
     sinks.write_results(allc, path)
     return (spark.read.parquet(path).filter(F.col("time_cut") == 90)
             .select("id", "text", "end_ms", "n_utterances"))
+
+
+@query("split_call_rows", sql(
+    ["v1"],
+    ["idx AS (SELECT DISTINCT conv_id AS id, CAST(conv_id % 3 AS INTEGER) AS label1, conv_id % 3 = 1 AS label, "
+     "conv_id % 2 = 0 AS label2 FROM conversations)",
+     f"r AS (SELECT *, row_number() OVER (PARTITION BY label1 ORDER BY {u_sql('42', 'id')}, id) AS rk, "
+     "COUNT(*) OVER (PARTITION BY label1) AS n FROM idx)",
+     "sp AS (SELECT id, label, label1, label2, CASE WHEN rk <= ceil(n * 0.2) THEN 'test' "
+     "WHEN rk <= ceil(n * 0.2) + ceil((n - ceil(n * 0.2)) * 0.2) THEN 'valid' ELSE 'train' END AS split FROM r)",
+     f"k AS (SELECT v1.*, sp.split, sp.label, sp.label1, sp.label2, "
+     f"MAX(v1.end_ms) OVER (PARTITION BY v1.id ORDER BY v1.seq {RUN}) AS run_max FROM v1 JOIN sp ON v1.id = sp.id)"],
+    f"SELECT id, string_agg({TAG_SQL}, ' ' ORDER BY seq) AS text, arg_max(end_ms, seq) AS end_ms, "
+    "COUNT(*) AS n_utterances, split, label, label1, label2 FROM k WHERE split = 'train' OR run_max <= 60000 "
+    "GROUP BY id, split, label, label1, label2"))
+def split_call_rows(spark, sf):
+    """H24 with J1: call records labelled, split 64/16/20 in place (the
+    transcripts are not shuffled for the split), then assembled per call with
+    the 60 s cut on valid and test only."""
+    calls = views.calls_nested(spark, sf)
+    rec = calls.select(F.col("_id").alias("id"), "utterances",
+                       (F.col("_id") % 3 == 1).alias("label"), (F.col("_id") % 3).cast("int").alias("label1"),
+                       (F.col("_id") % 2 == 0).alias("label2"))
+    index = resample.stratified_split(rec, "id", "label1", 42, tag_in_place=True)
+    return workflows.call_rows(index, cuts={"train": None, "valid": 60000, "test": 60000})
