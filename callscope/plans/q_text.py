@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from callscope.functions.fixed_values import VOCAB_TOP_K
 from callscope.operators import resample, sequence, text
@@ -122,9 +123,13 @@ _TAG = "'[SPK' || CAST(speaker AS VARCHAR) || '] ' || text"
     ["v1"],
     [FREQ_SQL.format(src="v1"), TOP_SQL.format(k=BOW_K),
      f"s AS (SELECT id, seq, string_agg({_TAG}, ' ') OVER (PARTITION BY id ORDER BY seq {RUN}) AS ptext FROM v1)"],
-    f"SELECT * FROM (SELECT s.id, s.seq, v.term, {COUNT_SQL.format(t='s.ptext')} AS tf FROM s, v) WHERE tf > 0"))
+    f"SELECT * FROM (SELECT s.id, s.seq, CAST(s.id AS VARCHAR) || '_' || CAST(s.seq AS VARCHAR) AS s_id, v.term, "
+    f"{COUNT_SQL.format(t='s.ptext')} AS tf FROM s, v) WHERE tf > 0"))
 def prefix_tf_running(spark, sf):
+    """Term counts of every stacked prefix, keyed by both the call id and the
+    segment id ``s_id`` (H20)."""
     utt = sequence.tag_speaker(views.utterances(spark, sf))
     v = cut_lineage(text.vocabulary(text.term_frequency(utt), top_k=BOW_K))
     text.check_vocabulary_size(v)
-    return text.prefix_term_frequency(utt, v)
+    out = text.prefix_term_frequency(utt, v)
+    return out.withColumn("s_id", F.concat_ws("_", F.col("id").cast("string"), F.col("seq").cast("string")))
