@@ -75,15 +75,26 @@ def check_vocabulary_size(vocab: DataFrame, limit: int = MAX_BROADCAST_TERMS) ->
     return n
 
 
+#: a term made of letters only can match only inside one maximal run of letters
+LETTER_RUN = r"(\p{L}+)"
+LETTERS_ONLY = r"^\p{L}+$"
+
+
 def bag_of_words(docs: DataFrame, vocab: DataFrame, keys: str | Sequence[str] = "doc_id",
-                 text: str = "text", regex: bool = False) -> DataFrame:
+                 text: str = "text", regex: bool = False, method: str = "scan") -> DataFrame:
     """Sparse counts ``(keys..., term, tf)`` of every vocabulary word in
     every text — non-overlapping occurrences of the word as a literal substring
     (``regex=True``: as a regular expression).
 
-    The vocabulary must be bounded (e.g. ``vocabulary(top_k=...)``): it is
-    folded into one array row and broadcast, so every document is read once
-    and never replicated per term."""
+    ``method="scan"``: the vocabulary (bounded, e.g. ``vocabulary(top_k=...)``)
+    is folded into one broadcast array row and every text is scanned once per
+    term — cost ``text x terms``, best for small vocabularies.
+    ``method="runs"`` (literal, letters-only terms): cost independent of the
+    vocabulary size — see ``bag_of_words_by_runs``."""
+    if method == "runs":
+        if regex:
+            raise ValueError("method='runs' counts literal terms only")
+        return bag_of_words_by_runs(docs, vocab, keys, text)
     ks = [keys] if isinstance(keys, str) else list(keys)
     arr = F.broadcast(vocab.agg(F.collect_list("term").alias("__vocab")))
     counts = F.transform("__vocab", lambda w: F.struct(w.alias("term"),
@@ -93,6 +104,41 @@ def bag_of_words(docs: DataFrame, vocab: DataFrame, keys: str | Sequence[str] =
             .select(*ks, "c.term", "c.tf").filter(F.col("tf") > 0))
 
 
+def bag_of_words_by_runs(docs: DataFrame, vocab: DataFrame, keys: str | Sequence[str] = "doc_id",
+                         text: str = "text") -> DataFrame:
+    """Literal counts of letters-only terms without scanning each text once per
+    term.  Such a term can only match inside one maximal run of letters, and
+    left-to-right non-overlapping matching restarts at every non-letter, so
+
+        tf(doc, term) = sum over letter runs r of doc:  m(doc, r) * count(term in r)
+
+    Plan: letter runs per document are counted (one tokenising pass, combined
+    map-side); for the *distinct* runs only, every substring whose length is a
+    vocabulary term length is matched against the broadcast vocabulary, and the
+    non-overlapping count inside the run is taken for the matching pairs; the
+    per-document run counts are then joined on the run and summed.  Terms with
+    non-letters must use ``method="scan"``."""
+    ks = [keys] if isinstance(keys, str) else list(keys)
+    runs = (spread(docs.select(*ks, text))
+            .select(*ks, F.explode(F.regexp_extract_all(F.col(text), F.lit(LETTER_RUN), 1)).alias("run")))
+    per_doc = runs.groupBy(*ks, "run").agg(F.count(F.lit(1)).alias("__m"))
+    terms = vocab.select("term").distinct()
+    lens = F.broadcast(terms.agg(F.array_distinct(F.collect_list(F.length("term"))).alias("__lens")))
+    subs = F.flatten(F.transform("__lens", lambda n: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length("run") - n + 1, F.lit(0))), lambda i: F.substring("run", i, n))))
+    cand = (per_doc.select("run").distinct().crossJoin(lens)
+            .select("run", F.explode(subs).alias("term")).distinct())
+    pairs = cand.join(F.broadcast(terms), "term")  # bounded vocabulary
+    run_tf = pairs.select("run", "term", occurrences("run", F.col("term")).alias("__c"))
+    return (per_doc.join(run_tf, "run")
+            .groupBy(*ks, "term").agg(F.sum(F.col("__m") * F.col("__c")).alias("tf")))
+
+
+def letters_only(vocab: DataFrame) -> bool:
+    """True when every term is a run of letters (one small action)."""
+    return vocab.filter(~F.col("term").rlike(LETTERS_ONLY)).limit(1).count() == 0
+
+
 def inverse_document_frequency(tf: DataFrame, docs: DataFrame, vocab: DataFrame,
                                key: str = "doc_id") -> DataFrame:
     """E2-E4 (``tf`` is sparse: only non-zero counts): ``df`` = documents

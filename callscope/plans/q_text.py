@@ -70,6 +70,19 @@ def bow_counts(spark, sf):
     return text.bag_of_words(docs(spark, sf), doc_vocab(spark, sf), "doc_id")
 
 
+@query("bow_counts_vocab776", sql(
+    [], [FREQ_SQL.format(src="documents"), TOP_SQL.format(k=VOCAB_TOP_K),
+         f"tf AS (SELECT d.doc_id, v.term, {COUNT_SQL.format(t='d.text')} AS tf FROM documents d, v)"],
+    "SELECT doc_id, term, tf FROM tf WHERE tf > 0"))
+def bow_counts_vocab776(spark, sf):
+    """I1/D5 with the study's vocabulary size (776 terms), counted by letter runs:
+    the cost does not grow with the number of terms (``method="runs"``)."""
+    v = doc_vocab(spark, sf, VOCAB_TOP_K)
+    if not text.letters_only(v):
+        raise ValueError("the letter-run counting path needs letters-only terms")
+    return text.bag_of_words(docs(spark, sf), v, "doc_id", method="runs").select("doc_id", "term", "tf")
+
+
 @query("doc_frequency_idf", sql([], _IDF_CTES, "SELECT term, df, n_docs, idf FROM idf", round6=["idf"]))
 def doc_frequency_idf(spark, sf):
     return finish(text.fit_tfidf(docs(spark, sf), doc_vocab(spark, sf), "doc_id")[1]
