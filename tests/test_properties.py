@@ -107,3 +107,15 @@ def test_k_of_group_matches_rule(spark):
     df = spark.createDataFrame([(i, xs) for i, xs in enumerate(cases)], "i int, s array<string>")
     got = {r.i: r.h for r in df.select("i", k_of_group("s", flat, groups).alias("h")).collect()}
     assert all(got[i] == rule(xs) for i, xs in enumerate(cases))
+
+
+def test_bag_of_words_runs_equals_scan(spark):
+    from callscope.operators import text
+    docs = spark.createDataFrame(
+        [(1, "aaaa ab aab, Xaa! été-été"), (2, "bababa ab\nÉté"), (3, ""), (4, "naïve naïveté aaa")],
+        "doc_id int, text string")
+    vocab = spark.createDataFrame([(w,) for w in ["aa", "ab", "ba", "x", "Xa", "été", "na", "ïve", "aaa"]], "term string")
+    assert text.letters_only(vocab)
+    a = sorted(tuple(r) for r in text.bag_of_words(docs, vocab, method="scan").collect())
+    b = sorted(tuple(r) for r in text.bag_of_words(docs, vocab, method="runs").select("doc_id", "term", "tf").collect())
+    assert a == b
