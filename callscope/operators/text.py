@@ -165,6 +165,10 @@ def tfidf(tf: DataFrame, idf: DataFrame, keys: str | Sequence[str] = "doc_id",
     return w.select(*ks, "term", "tfidf")
 
 
+#: above this many (letters-only) terms, counting by letter runs replaces per-term scans
+RUNS_MIN_TERMS = 2048
+
+
 def fit_tfidf(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str = "text",
               regex: bool = False, materialize: bool = True) -> tuple[DataFrame, DataFrame]:
     """Bag of words -> IDF -> L2-normalised TF-IDF, every text scanned once.
@@ -174,10 +178,13 @@ def fit_tfidf(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str
     checkpoint folder, so the texts are tokenised and counted exactly once and
     a lost executor does not send the job back to the raw texts.
     Returns ``(tfidf, idf)``."""
+    method = "scan"
     if materialize:
         vocab = cut_lineage(vocab)
-        check_vocabulary_size(vocab)
-    tf = bag_of_words(docs, vocab, key, text, regex)
+        n_terms = check_vocabulary_size(vocab)
+        if not regex and n_terms > RUNS_MIN_TERMS and letters_only(vocab):
+            method = "runs"
+    tf = bag_of_words(docs, vocab, key, text, regex, method=method)
     if materialize:
         tf = cut_lineage(tf)
     idf = inverse_document_frequency(tf, docs, vocab, key)
