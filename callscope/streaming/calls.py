@@ -59,6 +59,13 @@ def _apply_cut(pdf: pd.DataFrame, cut_ms: int | None, already_cut: bool, call_st
     return pdf, False
 
 
+def _drop_late(pdf: pd.DataFrame, state) -> pd.DataFrame:
+    """L3: segments older than the current watermark are late and ignored
+    (stateful pandas operators do not filter them by themselves)."""
+    wm = state.getCurrentWatermarkMs()
+    return pdf[pdf["end_ms"] >= wm] if wm > 0 else pdf
+
+
 def _trailing(hist: list[float], new: np.ndarray, window: int) -> np.ndarray:
     vals = np.concatenate([np.asarray(hist, dtype=float), new.astype(float)])
     if window <= 1:
@@ -80,7 +87,11 @@ def moving_average_stream(scores: DataFrame, window: int = 3, cut_ms: int | None
             return
         hist, n, cut, start = (([], 0, False, None) if not state.exists else
                                (list(state.get[0]), state.get[1], state.get[2], state.get[3]))
-        pdf = pd.concat(list(pdfs)).sort_values(["ts", "event_id"], kind="stable")
+        pdf = _drop_late(pd.concat(list(pdfs)), state).sort_values(["ts", "event_id"], kind="stable")
+        if len(pdf) == 0:
+            if state.exists:
+                state.update((hist, int(n), bool(cut), start))
+            return
         if start is None:  # the call clock starts with its first segment
             start = int(pdf["end_ms"].iloc[0])
         pdf, cut = _apply_cut(pdf, cut_ms, cut, start)
@@ -92,7 +103,7 @@ def moving_average_stream(scores: DataFrame, window: int = 3, cut_ms: int | None
             hist = (hist + pdf["p"].tolist())[-(window - 1):] if window > 1 else []
             n += len(pdf)
             yield out
-            last_ms = int(pd.Timestamp(pdf["ts"].iloc[-1]).value // 1_000_000)
+            last_ms = int(pdf["end_ms"].iloc[-1])  # epoch ms, same clock as the watermark
             state.update((hist, int(n), bool(cut), start))
             state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + silence_ms)
         else:
@@ -122,7 +133,11 @@ def first_hit_stream(scores: DataFrame, threshold: float, window: int = 3,
             hist = list(hist)
         else:
             hist, n, hit, last_event, last_ts, cut, start = [], 0, False, None, None, False, None
-        pdf = pd.concat(list(pdfs)).sort_values(["ts", "event_id"], kind="stable")
+        pdf = _drop_late(pd.concat(list(pdfs)), state).sort_values(["ts", "event_id"], kind="stable")
+        if len(pdf) == 0:
+            if last_ts is not None:
+                state.update((hist, int(n), bool(hit), last_event, last_ts, bool(cut), start))
+            return
         if start is None:
             start = int(pdf["end_ms"].iloc[0])
         pdf, cut = _apply_cut(pdf, cut_ms, cut, start)
@@ -140,7 +155,7 @@ def first_hit_stream(scores: DataFrame, threshold: float, window: int = 3,
             n += len(pdf)
             last_event, last_ts = int(pdf["event_id"].iloc[-1]), pdf["ts"].iloc[-1]
             state.update((hist, int(n), bool(hit), last_event, last_ts, bool(cut), start))
-            state.setTimeoutTimestamp(int(pd.Timestamp(last_ts).value // 1_000_000) + silence_ms)
+            state.setTimeoutTimestamp(int(pdf["end_ms"].iloc[-1]) + silence_ms)  # watermark clock
         elif last_ts is not None:
             state.update((hist, int(n), bool(hit), last_event, last_ts, bool(cut), start))
 
