@@ -12,12 +12,17 @@ from callscope.plans import blocked
 
 def moving_average(df: DataFrame, window: int, cols: Sequence[str] = ("p",),
                    id_col: str | Sequence[str] = "id", seq: str = "seq",
-                   suffix: str = "") -> DataFrame:
+                   suffix: str = "", dense: bool = True) -> DataFrame:
     """trailing mean over the last ``window`` segments of the same id (short
-    heads average what exists; window 0 or 1 = identity).  ``seq`` must be a dense
-    0..n-1 position (see ``sequence.segment_ordinal`` to make one).  Runs as a
-    blocked window with a halo, so a huge call is spread over many tasks."""
+    heads average what exists; window 0 or 1 = identity).  With ``dense`` the
+    ``seq`` column is taken as the 0..n-1 position; ``dense=False`` first ranks
+    ``seq`` within the id (blocked row number), for positions with gaps.  Runs
+    as a blocked window with a halo, so a huge call is spread over many tasks."""
     part = [id_col] if isinstance(id_col, str) else list(id_col)
+    if not dense:
+        d = blocked.row_number(df, part, [seq], blocked.seq_block(seq), out="__pos")
+        out = blocked.trailing_mean(d, part, "__pos", window, {c + suffix: c for c in cols})
+        return out.drop("__pos")
     return blocked.trailing_mean(df, part, seq, window,
                                  {c + suffix: c for c in cols})
 

@@ -124,3 +124,10 @@ def test_softmax_argmax(spark):
     e = [math.exp(x - 3.0) for x in (1.0, 3.0, 2.0)]
     assert r.s == pytest.approx([x / sum(e) for x in e])
     assert r.k == 1
+
+
+def test_moving_average_with_gaps(spark):
+    df = spark.createDataFrame([(1, s, p) for s, p in zip([3, 10, 11, 40], [0.1, 0.2, 0.6, 0.9])],
+                               "id int, seq int, p double")
+    got = [r.p for r in smoothing.moving_average(df, 3, dense=False).orderBy("seq").collect()]
+    assert got == pytest.approx([0.1, 0.15, 0.3, 0.5666667], abs=1e-7)
