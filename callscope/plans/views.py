@@ -69,7 +69,9 @@ def _user_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V3: (id, seq, p, label1, y) — per-user ordered scores."""
+    """V3: (id, seq, p, label1, y) — per-user ordered scores.  ``p`` is not
+    rounded to 8 digits: engines round decimal ties differently, which would
+    make the stand-in itself engine-dependent."""
     e = _user_seq(spark, sf_dir)
     return e.select(
         F.col("user_id").alias("id"), (F.col("__rn") - 1).cast("long").alias("seq"),
