@@ -54,3 +54,32 @@ def test_trailing_mean(spark, data, window, width):
     ref = {(r.g, r.s): r.a for r in data.select("g", "s", F.avg("v").over(w).alias("a")).collect()}
     got = {(r.g, r.s): r.a for r in blocked.trailing_mean(data, ["g"], "s", window, {"a": "v"}, width).collect()}
     assert got == pytest.approx(ref)
+
+
+def test_random_layouts_match_windows(spark):
+    """Hypothesis-generated groups, gaps in positions and block widths."""
+    from hypothesis import given, settings, strategies as st
+
+    cases = []
+
+    @settings(max_examples=25, deadline=None)
+    @given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 200), st.integers(-5, 5)), min_size=1, max_size=40,
+                    unique_by=lambda t: (t[0], t[1])),
+           st.integers(1, 50))
+    def collect(rows, width):
+        cases.append((rows, width))
+
+    collect()
+    rows = [(c, g, s, v) for c, (rs, _) in enumerate(cases) for g, s, v in rs]
+    df = spark.createDataFrame(rows, "case int, g int, s int, v int")
+    width_of = {c: w for c, (_, w) in enumerate(cases)}
+    w = Window.partitionBy("case", "g").orderBy("s")
+    ref = {(r.case, r.g, r.s): (r.rn, r.cs) for r in df.select(
+        "case", "g", "s", F.row_number().over(w).alias("rn"),
+        F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cs")).collect()}
+    wexpr = F.element_at(F.create_map(*[x for c, wd in width_of.items() for x in (F.lit(c), F.lit(wd))]), F.col("case"))
+    blk = F.floor(F.col("s") / wexpr).cast("long")
+    rn = {(r.case, r.g, r.s): r.rn for r in blocked.row_number(df, ["case", "g"], ["s"], blk).collect()}
+    cs = {(r.case, r.g, r.s): r.cs for r in blocked.running_sum(df, ["case", "g"], ["s"], blk, {"cs": "v"}).collect()}
+    assert rn == {k: v[0] for k, v in ref.items()}
+    assert cs == {k: v[1] for k, v in ref.items()}
