@@ -66,12 +66,14 @@ def vocabulary(freq: DataFrame, top_k: int | None = None,
 MAX_BROADCAST_TERMS = 1_000_000
 
 
-def check_vocabulary_size(vocab: DataFrame, limit: int = MAX_BROADCAST_TERMS) -> int:
+def check_vocabulary_size(vocab: DataFrame, limit: int = MAX_BROADCAST_TERMS,
+                          strict: bool = True) -> int:
     """Size check before a vocabulary is broadcast (one small action on a
-    materialised vocabulary)."""
+    materialised vocabulary).  Returns the term count, or ``limit + 1`` when it is
+    larger; raises then unless ``strict=False``."""
     n = vocab.limit(limit + 1).count()
-    if n > limit:
-        raise ValueError(f"vocabulary has more than {limit} terms; shard it before bag_of_words")
+    if n > limit and strict:
+        raise ValueError(f"vocabulary has more than {limit} terms; use method='runs' without broadcast")
     return n
 
 
@@ -81,7 +83,8 @@ LETTERS_ONLY = r"^\p{L}+$"
 
 
 def bag_of_words(docs: DataFrame, vocab: DataFrame, keys: str | Sequence[str] = "doc_id",
-                 text: str = "text", regex: bool = False, method: str = "scan") -> DataFrame:
+                 text: str = "text", regex: bool = False, method: str = "scan",
+                 broadcast_terms: bool = True) -> DataFrame:
     """Sparse counts ``(keys..., term, tf)`` of every vocabulary word in
     every text — non-overlapping occurrences of the word as a literal substring
     (``regex=True``: as a regular expression).
@@ -94,7 +97,7 @@ def bag_of_words(docs: DataFrame, vocab: DataFrame, keys: str | Sequence[str] =
     if method == "runs":
         if regex:
             raise ValueError("method='runs' counts literal terms only")
-        return bag_of_words_by_runs(docs, vocab, keys, text)
+        return bag_of_words_by_runs(docs, vocab, keys, text, broadcast_terms)
     ks = [keys] if isinstance(keys, str) else list(keys)
     arr = F.broadcast(vocab.agg(F.collect_list("term").alias("__vocab")))
     counts = F.transform("__vocab", lambda w: F.struct(w.alias("term"),
@@ -105,7 +108,7 @@ def bag_of_words(docs: DataFrame, vocab: DataFrame, keys: str | Sequence[str] =
 
 
 def bag_of_words_by_runs(docs: DataFrame, vocab: DataFrame, keys: str | Sequence[str] = "doc_id",
-                         text: str = "text") -> DataFrame:
+                         text: str = "text", broadcast_terms: bool = True) -> DataFrame:
     """Literal counts of letters-only terms without scanning each text once per
     term.  Such a term can only match inside one maximal run of letters, and
     left-to-right non-overlapping matching restarts at every non-letter, so
@@ -117,7 +120,8 @@ def bag_of_words_by_runs(docs: DataFrame, vocab: DataFrame, keys: str | Sequence
     vocabulary term length is matched against the broadcast vocabulary, and the
     non-overlapping count inside the run is taken for the matching pairs; the
     per-document run counts are then joined on the run and summed.  Terms with
-    non-letters must use ``method="scan"``."""
+    non-letters must use ``method="scan"``.  ``broadcast_terms=False`` (vocabulary
+    above the broadcast limit) matches the candidates with a shuffle join."""
     ks = [keys] if isinstance(keys, str) else list(keys)
     runs = (spread(docs.select(*ks, text))
             .select(*ks, F.explode(F.regexp_extract_all(F.col(text), F.lit(LETTER_RUN), 1)).alias("run")))
@@ -128,7 +132,8 @@ def bag_of_words_by_runs(docs: DataFrame, vocab: DataFrame, keys: str | Sequence
         F.sequence(F.lit(1), F.greatest(F.length("run") - n + 1, F.lit(0))), lambda i: F.substring("run", i, n))))
     cand = (per_doc.select("run").distinct().crossJoin(lens)
             .select("run", F.explode(subs).alias("term")).distinct())
-    pairs = cand.join(F.broadcast(terms), "term")  # bounded vocabulary
+    # a checked vocabulary is broadcast; beyond the limit the match is a shuffle join
+    pairs = cand.join(F.broadcast(terms) if broadcast_terms else terms, "term")
     run_tf = pairs.select("run", "term", occurrences("run", F.col("term")).alias("__c"))
     return (per_doc.join(run_tf, "run")
             .groupBy(*ks, "term").agg(F.sum(F.col("__m") * F.col("__c")).alias("tf")))
@@ -153,12 +158,14 @@ def inverse_document_frequency(tf: DataFrame, docs: DataFrame, vocab: DataFrame,
 
 
 def tfidf(tf: DataFrame, idf: DataFrame, keys: str | Sequence[str] = "doc_id",
-          normalize: bool = True) -> DataFrame:
+          normalize: bool = True, broadcast_idf: bool = True) -> DataFrame:
     """``tf * idf`` (inner join on term: a term missing from the IDF table
     is dropped), then divided by the document's L2 norm (0 -> 1e-10).  The IDF
-    table has one row per vocabulary term and is broadcast."""
+    table has one row per vocabulary term and is broadcast (``broadcast_idf=False``
+    for vocabularies above the broadcast limit: a shuffle join on term)."""
     ks = [keys] if isinstance(keys, str) else list(keys)
-    w = tf.join(F.broadcast(idf.select("term", "idf")), "term").withColumn("tfidf", F.col("tf") * F.col("idf"))
+    side = idf.select("term", "idf")
+    w = tf.join(F.broadcast(side) if broadcast_idf else side, "term").withColumn("tfidf", F.col("tf") * F.col("idf"))
     if normalize:
         norm = F.sqrt(F.sum(F.col("tfidf") * F.col("tfidf")).over(Window.partitionBy(*ks)))
         w = w.withColumn("tfidf", F.col("tfidf") / F.when(norm == 0, F.lit(1e-10)).otherwise(norm))
@@ -176,19 +183,24 @@ def fit_tfidf(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str
     The vocabulary (bounded) and the sparse counts each feed several branches;
     with ``materialize`` they are checkpointed into the session's shared
     checkpoint folder, so the texts are tokenised and counted exactly once and
-    a lost executor does not send the job back to the raw texts.
-    Returns ``(tfidf, idf)``."""
-    method = "scan"
+    a lost executor does not send the job back to the raw texts.  The counted
+    vocabulary size picks the plan: per-term scans up to ``RUNS_MIN_TERMS``,
+    letter-run counting above, and shuffle joins instead of broadcasts above
+    ``MAX_BROADCAST_TERMS``.  Returns ``(tfidf, idf)``."""
+    method, small = "scan", True
     if materialize:
         vocab = cut_lineage(vocab)
-        n_terms = check_vocabulary_size(vocab)
+        n_terms = check_vocabulary_size(vocab, strict=False)
+        small = n_terms <= MAX_BROADCAST_TERMS
         if not regex and n_terms > RUNS_MIN_TERMS and letters_only(vocab):
             method = "runs"
-    tf = bag_of_words(docs, vocab, key, text, regex, method=method)
+        elif not small:
+            raise ValueError("a vocabulary above the broadcast limit needs letters-only literal terms")
+    tf = bag_of_words(docs, vocab, key, text, regex, method=method, broadcast_terms=small)
     if materialize:
         tf = cut_lineage(tf)
     idf = inverse_document_frequency(tf, docs, vocab, key)
-    return tfidf(tf, idf, key), idf
+    return tfidf(tf, idf, key, broadcast_idf=small), idf
 
 
 def prefix_term_frequency(utt: DataFrame, vocab: DataFrame, id_col: str = "id", seq: str = "seq",

@@ -119,3 +119,16 @@ def test_bag_of_words_runs_equals_scan(spark):
     a = sorted(tuple(r) for r in text.bag_of_words(docs, vocab, method="scan").collect())
     b = sorted(tuple(r) for r in text.bag_of_words(docs, vocab, method="runs").select("doc_id", "term", "tf").collect())
     assert a == b
+
+
+def test_fit_tfidf_plans_by_vocabulary_size(spark, monkeypatch):
+    """Small vocabularies scan and broadcast; large ones count by letter runs and
+    join without broadcasting — same numbers either way."""
+    from callscope.operators import text
+    docs = spark.createDataFrame([(1, "aa ab ba"), (2, "abab"), (3, "zz")], "doc_id int, text string")
+    vocab = spark.createDataFrame([("ab",), ("ba",), ("aa",)], "term string")
+    small = sorted((r.doc_id, r.term, round(r.tfidf, 9)) for r in text.fit_tfidf(docs, vocab)[0].collect())
+    monkeypatch.setattr(text, "RUNS_MIN_TERMS", 1)
+    monkeypatch.setattr(text, "MAX_BROADCAST_TERMS", 2)
+    large = sorted((r.doc_id, r.term, round(r.tfidf, 9)) for r in text.fit_tfidf(docs, vocab)[0].collect())
+    assert small == large
