@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from callscope.functions.scalar import speaker_tag
 from callscope.plans import blocked
 
-UTT_COLS = ["id", "seq", "speaker", "text", "start_ms", "end_ms"]
 
 
 def explode_utterances(calls: DataFrame, id_col: str = "_id",
