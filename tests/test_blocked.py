@@ -83,3 +83,11 @@ def test_random_layouts_match_windows(spark):
     cs = {(r.case, r.g, r.s): r.cs for r in blocked.running_sum(df, ["case", "g"], ["s"], blk, {"cs": "v"}).collect()}
     assert rn == {k: v[0] for k, v in ref.items()}
     assert cs == {k: v[1] for k, v in ref.items()}
+
+
+def test_null_group_keys_are_kept(spark):
+    df = spark.createDataFrame([(None, 1, 1.0), (None, 2, 2.0), (1, 1, 5.0)], "g int, s int, v double")
+    rn = {(r.g, r.s): r.rn for r in blocked.row_number(df, ["g"], ["s"], blocked.seq_block("s", 1)).collect()}
+    assert rn == {(None, 1): 1, (None, 2): 2, (1, 1): 1}
+    cs = {(r.g, r.s): r.cs for r in blocked.running_sum(df, ["g"], ["s"], blocked.seq_block("s", 1), {"cs": "v"}).collect()}
+    assert cs == {(None, 1): 1.0, (None, 2): 3.0, (1, 1): 5.0}
