@@ -25,7 +25,8 @@ def _ranked(df: DataFrame, part: Sequence[str], seed: int | str, key: str, out:
 
 def _with_counts(df: DataFrame, part: Sequence[str], out: str = "__n") -> DataFrame:
     n = df.groupBy(*part).agg(F.count(F.lit(1)).alias(out))
-    return df.join(n, list(part)) if part else df.crossJoin(F.broadcast(n))  # one row
+    # null-safe on the stratum (a NULL label is a stratum); one row without parts
+    return blocked._join_blocks(df, n, list(part)) if part else df.crossJoin(F.broadcast(n))
 
 
 def split_cuts(df: DataFrame, id_col: str = "id", stratum: str = "label1", seed: int = 42,
@@ -43,7 +44,11 @@ def split_cuts(df: DataFrame, id_col: str = "id", stratum: str = "label1", seed:
     test = r.filter(F.col("__r") == n_test).select(stratum, F.col("__key").alias("test_cut"))
     valid = r.filter(F.col("__r") == n_test + n_valid).select(stratum, F.col("__key").alias("valid_cut"))
     strata = ids.select(stratum).distinct()
-    return strata.join(test, stratum, "left").join(valid, stratum, "left")
+
+    def left_ns(a, b):  # null-safe left join on the stratum (a NULL label is a stratum)
+        b2 = b.withColumnRenamed(stratum, "__k")
+        return a.join(b2, a[stratum].eqNullSafe(b2["__k"]), "left").drop("__k")
+    return left_ns(left_ns(strata, test), valid)
 
 
 def apply_split(df: DataFrame, cuts: DataFrame, id_col: str = "id", stratum: str = "label1",

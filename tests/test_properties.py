@@ -132,3 +132,11 @@ def test_fit_tfidf_plans_by_vocabulary_size(spark, monkeypatch):
     monkeypatch.setattr(text, "MAX_BROADCAST_TERMS", 2)
     large = sorted((r.doc_id, r.term, round(r.tfidf, 9)) for r in text.fit_tfidf(docs, vocab)[0].collect())
     assert small == large
+
+
+def test_split_keeps_null_strata(spark):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else i % 2) for i in range(40)], "id int, label1 int")
+    for in_place in (False, True):
+        s = resample.stratified_split(df, "id", "label1", tag_in_place=in_place)
+        assert s.count() == 40
+        assert s.filter(F.col("label1").isNull() & (F.col("split") == "test")).count() == 2  # ceil(0.2 * 10)
