@@ -59,7 +59,9 @@ def _totals(c: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 def _join_group(a: DataFrame, b: DataFrame, group: Sequence[str]) -> DataFrame:
-    return a.join(b, list(group)) if group else a.crossJoin(F.broadcast(b))  # one-row side
+    if group:  # null-safe: a NULL group value is a group, as in groupBy
+        return blocked.join_null_safe(a, b, list(group))
+    return a.crossJoin(F.broadcast(b))  # one-row side
 
 
 def _cumulative(c: DataFrame, group: Sequence[str], rank: bool = False) -> DataFrame:

@@ -26,7 +26,7 @@ def _ranked(df: DataFrame, part: Sequence[str], seed: int | str, key: str, out:
 def _with_counts(df: DataFrame, part: Sequence[str], out: str = "__n") -> DataFrame:
     n = df.groupBy(*part).agg(F.count(F.lit(1)).alias(out))
     # null-safe on the stratum (a NULL label is a stratum); one row without parts
-    return blocked._join_blocks(df, n, list(part)) if part else df.crossJoin(F.broadcast(n))
+    return blocked.join_null_safe(df, n, list(part)) if part else df.crossJoin(F.broadcast(n))
 
 
 def split_cuts(df: DataFrame, id_col: str = "id", stratum: str = "label1", seed: int = 42,

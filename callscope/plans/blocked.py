@@ -45,7 +45,7 @@ def hash_block(u: str | Column, blocks: int = HASH_BLOCKS) -> Column:
     return F.least(F.floor(c * F.lit(blocks)).cast("long"), F.lit(blocks - 1))
 
 
-def _join_blocks(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Null-safe equi-join on ``keys`` (a NULL key is a group, as in a window)."""
     r = right.select(*[F.col(k).alias("__r_" + k) for k in keys],
                      *[c for c in right.columns if c not in keys])
@@ -66,7 +66,7 @@ def row_number(df: DataFrame, part: Sequence[str], order: Sequence[str | Column]
             .select(*part, _BLK,
                     F.coalesce(F.sum("__n").over(_prior_window(part)), F.lit(0)).alias("__off")))
     local = Window.partitionBy(*part, _BLK).orderBy(*_cols(order))
-    return (_join_blocks(d.withColumn("__loc", F.row_number().over(local)), offs, [*part, _BLK])
+    return (join_null_safe(d.withColumn("__loc", F.row_number().over(local)), offs, [*part, _BLK])
             .withColumn(out, (F.col("__loc") + F.col("__off")).cast("long"))
             .drop(_BLK, "__off", "__loc"))
 
@@ -85,7 +85,7 @@ def running_sum(df: DataFrame, part: Sequence[str], order: Sequence[str | Column
              .rowsBetween(Window.unboundedPreceding, 0))
     for n in cols:
         d = d.withColumn("__l_" + n, F.sum("__v_" + n).over(local))
-    d = _join_blocks(d, offs, [*part, _BLK])
+    d = join_null_safe(d, offs, [*part, _BLK])
     for n in cols:
         d = d.withColumn(n, F.col("__l_" + n) + F.col("__o_" + n))
     return d.drop(_BLK, *[p + n for n in cols for p in ("__v_", "__l_", "__o_")])
@@ -99,7 +99,7 @@ def running_max(df: DataFrame, part: Sequence[str], order: Sequence[str | Column
             .select(*part, _BLK, F.max("__t").over(_prior_window(part)).alias("__o")))
     local = (Window.partitionBy(*part, _BLK).orderBy(*_cols(order))
              .rowsBetween(Window.unboundedPreceding, 0))
-    return (_join_blocks(d.withColumn("__l", F.max("__v").over(local)), offs, [*part, _BLK])
+    return (join_null_safe(d.withColumn("__l", F.max("__v").over(local)), offs, [*part, _BLK])
             .withColumn(out, F.greatest("__l", "__o"))
             .drop(_BLK, "__v", "__l", "__o"))
 
@@ -115,7 +115,7 @@ def forward_fill(df: DataFrame, part: Sequence[str], order: Sequence[str | Colum
                     F.last("__t", ignorenulls=True).over(_prior_window(part)).alias("__o")))
     local = (Window.partitionBy(*part, _BLK).orderBy(*order_c)
              .rowsBetween(Window.unboundedPreceding, 0))
-    return (_join_blocks(d.withColumn("__l", F.last("__v", ignorenulls=True).over(local)), offs, [*part, _BLK])
+    return (join_null_safe(d.withColumn("__l", F.last("__v", ignorenulls=True).over(local)), offs, [*part, _BLK])
             .withColumn(out, F.coalesce("__l", "__o"))
             .drop(_BLK, "__v", "__l", "__o"))
 
