@@ -43,7 +43,7 @@ def time_cut(utt: DataFrame, cut_ms: int | None, id_col: str = "id", seq: str =
         return utt
     first_over = (utt.filter(F.col(end_col) > F.lit(cut_ms))
                   .groupBy(id_col).agg(F.min(seq).alias("__first_over")))
-    return (utt.join(first_over, id_col, "left")
+    return (blocked.join_null_safe(utt, first_over, [id_col], "left")
             .filter(F.col("__first_over").isNull() | (F.col(seq) < F.col("__first_over")))
             .drop("__first_over"))
 

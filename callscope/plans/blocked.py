@@ -45,12 +45,13 @@ def hash_block(u: str | Column, blocks: int = HASH_BLOCKS) -> Column:
     return F.least(F.floor(c * F.lit(blocks)).cast("long"), F.lit(blocks - 1))
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
+                   how: str = "inner") -> DataFrame:
     """Null-safe equi-join on ``keys`` (a NULL key is a group, as in a window)."""
     r = right.select(*[F.col(k).alias("__r_" + k) for k in keys],
                      *[c for c in right.columns if c not in keys])
     cond = [left[k].eqNullSafe(r["__r_" + k]) for k in keys]
-    return left.join(r, cond).drop(*["__r_" + k for k in keys])
+    return left.join(r, cond, how).drop(*["__r_" + k for k in keys])
 
 
 def _prior_window(part: Sequence[str]):
