@@ -34,3 +34,16 @@ def con(sf_small):
 def test_oracle_small(spark, con, sf_small, name):
     msg, ok = compare(spark, con, name, E.queries()[name], E.oracle_sql()[name], sf_small)
     assert ok, msg
+
+
+@pytest.mark.skipif(not os.environ.get("CALLSCOPE_ORACLE_SF"), reason="set CALLSCOPE_ORACLE_SF=<sf dir> to run")
+def test_oracle_at_larger_scale(spark):
+    """Optional: every SQL-checked query at a larger scale factor (e.g. sf0.1)."""
+    sf = os.environ["CALLSCOPE_ORACLE_SF"]
+    con = duck(sf)
+    bad = []
+    for name, sql in E.oracle_sql().items():
+        msg, ok = compare(spark, con, name, E.queries()[name], sql, sf)
+        if not ok:
+            bad.append(msg)
+    assert not bad, bad
