@@ -8,3 +8,11 @@ hits and evaluated with exact classifier metrics.  Every operator is a lazy
 """
 
 __version__ = "0.1.0"
+
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Functions of this package travel to the executors inside the tasks, so a
+# cluster does not need the package on the workers' Python path.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
