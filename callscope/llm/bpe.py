@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from callscope.llm.common import column, small_batches, worker_cache
+from callscope.llm.common import column, parts, small_batches, worker_cache
 
 #: Bytes of distinct words (or ids of distinct runs) in one DuckDB query.
 BYTES_PER_QUERY = 300_000
@@ -140,16 +140,16 @@ class _Coder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         known = self.parts
-        cut = [_parts(t) for t in texts]
+        cut = [parts(t) for t in texts]
         new = set().union(*cut).difference(known)
         if len(known) + len(new) > CACHE:
             known.clear()
             new = set().union(*cut)
         self._encode_parts(new)
-        return [np.frombuffer(b"".join(map(known.__getitem__, parts)), np.int32) for parts in cut]
+        return [np.frombuffer(b"".join(map(known.__getitem__, its)), np.int32) for its in cut]
 
-    def _encode_parts(self, parts) -> None:
-        words = {part: self.split(part) for part in parts}
+    def _encode_parts(self, new) -> None:
+        words = {part: self.split(part) for part in new}
         known = self.words
         if len(known) > CACHE:
             known.clear()
@@ -199,7 +199,7 @@ class _Coder:
                              "ids": pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids))})
             for run, raw in self.db.execute(DECODE).fetchall():
                 self.runs[keys[run]] = raw
-        return [b"".join(map(self.runs.__getitem__, parts)) for parts in cut]
+        return [b"".join(map(self.runs.__getitem__, its)) for its in cut]
 
     def _runs(self, ids: np.ndarray) -> list[bytes]:
         """Cut before tokens that begin with a space."""
@@ -212,38 +212,6 @@ class _Coder:
         return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
-def _parts(text: str | None) -> list[str]:
-    """Cut before every space that a character other than white space follows."""
-    if not text:
-        return []
-    head, *rest = text.split(" ")
-    out = [head] if head else []
-    spaces = ""
-    for part in rest:
-        spaces += " "
-        if not part:
-            continue
-        if part[0].isspace():  # the white space goes on: no cut here
-            if out:
-                out[-1] += spaces + part
-            else:
-                out.append(spaces + part)
-        else:
-            if len(spaces) > 1:
-                if out:
-                    out[-1] += spaces[1:]
-                else:
-                    out.append(spaces[1:])
-            out.append(" " + part)
-        spaces = ""
-    if spaces:
-        if out:
-            out[-1] += spaces
-        else:
-            out.append(spaces)
-    return out
-
-
 def _chunks(items):
     """Lists of (key, bytes) items of about BYTES_PER_QUERY together."""
     out, size = [], 0

@@ -103,6 +103,38 @@ def small_batches(batches, text: str, max_bytes: int = 8 << 20):
             yield batch.slice(start)
 
 
+def parts(text: str | None) -> list[str]:
+    """Cut before every space that a character other than white space follows."""
+    if not text:
+        return []
+    head, *rest = text.split(" ")
+    out = [head] if head else []
+    spaces = ""
+    for part in rest:
+        spaces += " "
+        if not part:
+            continue
+        if part[0].isspace():  # the white space goes on: no cut here
+            if out:
+                out[-1] += spaces + part
+            else:
+                out.append(spaces + part)
+        else:
+            if len(spaces) > 1:
+                if out:
+                    out[-1] += spaces[1:]
+                else:
+                    out.append(spaces[1:])
+            out.append(" " + part)
+        spaces = ""
+    if spaces:
+        if out:
+            out[-1] += spaces
+        else:
+            out.append(spaces)
+    return out
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
