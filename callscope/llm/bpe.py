@@ -15,6 +15,7 @@ that has the name of an output column is replaced.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 
 import duckdb
@@ -24,12 +25,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from callscope.llm.common import column, parts, small_batches, worker_cache
+from callscope.llm.common import Generations, column, part_text, parts, small_batches, worker_cache
 
 #: Bytes of distinct words (or ids of distinct runs) in one DuckDB query.
-BYTES_PER_QUERY = 300_000
-#: Entries of each cache of a worker; a full cache is emptied.
-CACHE = 400_000
+BYTES_PER_QUERY = 400_000
+#: Entries of a generation of each cache of a worker.
+CACHE = 120_000
+#: Bytes of text (or ids) that are worked on together.
+BATCH = 2 << 20
 #: One word's positions are told apart from its ranks by this factor.
 STRIDE = 1 << 31
 
@@ -125,10 +128,8 @@ class _Coder:
         self.starts_run = np.zeros(size, bool)
         for token, rank in self.ranks.items():
             self.starts_run[rank] = token[:1] == b" "
-        self.parts: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.runs: dict[bytes, bytes] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.parts, self.words, self.runs = Generations(2 * CACHE), Generations(CACHE), Generations(CACHE)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         a, b, rank = vocabulary.merges.T.copy()
         merges = pa.table({"a": a, "b": b, "rank": rank, "self_low": vocabulary.self_low})  # noqa: F841  read by name
         tokens = pa.table({"id": pa.array(self.ranks.values(), pa.int32()),  # noqa: F841
@@ -139,22 +140,16 @@ class _Coder:
     # encoding -------------------------------------------------------------------
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        known = self.parts
         cut = [parts(t) for t in texts]
-        new = set().union(*cut).difference(known)
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = set().union(*cut)
-        self._encode_parts(new)
+        self._encode_parts(self.parts.missing(set().union(*cut)))
+        known = self.parts.new
         return [np.frombuffer(b"".join(map(known.__getitem__, its)), np.int32) for its in cut]
 
     def _encode_parts(self, new) -> None:
-        words = {part: self.split(part) for part in new}
-        known = self.words
-        if len(known) > CACHE:
-            known.clear()
-        todo = {}
-        for word in set().union(*words.values()).difference(known):
+        words = {part: self.split(part_text(part)) for part in new}
+        todo, missing = {}, self.words.missing(set().union(*words.values()))
+        known = self.words.new
+        for word in missing:
             raw = word.encode()
             if raw in self.ranks:
                 known[word] = np.int32(self.ranks[raw]).tobytes()
@@ -164,8 +159,9 @@ class _Coder:
                            (ENCODE_LONG, [x for x in todo.items() if len(x[1]) >= LONG])):
             for chunk in _chunks(own):
                 known.update(zip([w for w, _ in chunk], self._merge(query, [raw for _, raw in chunk]), strict=True))
+        done = self.parts.new
         for part, its in words.items():
-            self.parts[part] = b"".join(map(known.__getitem__, its))
+            done[part] = known[its[0]] if len(its) == 1 else b"".join([known[w] for w in its])
 
     def _merge(self, query: str, words: list[bytes]) -> list[bytes]:
         size = np.array([len(w) for w in words])
@@ -187,10 +183,7 @@ class _Coder:
 
     def decode(self, docs: list[np.ndarray]) -> list[bytes]:
         cut = [self._runs(ids) for ids in docs]
-        new = set().union(*cut).difference(self.runs)
-        if len(self.runs) + len(new) > CACHE:
-            self.runs.clear()
-            new = set().union(*cut)
+        new = self.runs.missing(set().union(*cut))
         for chunk in _chunks((r, r) for r in new):
             keys = [r for r, _ in chunk]
             ids = np.frombuffer(b"".join(keys), np.int32)
@@ -198,8 +191,8 @@ class _Coder:
             runs = pa.table({"run": np.arange(len(keys)),  # noqa: F841  read by name
                              "ids": pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids))})
             for run, raw in self.db.execute(DECODE).fetchall():
-                self.runs[keys[run]] = raw
-        return [b"".join(map(self.runs.__getitem__, its)) for its in cut]
+                self.runs.new[keys[run]] = raw
+        return [b"".join(map(self.runs.new.__getitem__, its)) for its in cut]
 
     def _runs(self, ids: np.ndarray) -> list[bytes]:
         """Cut before tokens that begin with a space."""
@@ -240,8 +233,9 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     passed = schema.names[:-1]
 
     def run(batches):
+        gc.disable()  # the tasks make no cycles, and many small objects
         coder = worker_cache(f"bpe_{vocabulary.key}", lambda: _Coder(vocabulary))
-        for batch in small_batches(batches, text):
+        for batch in small_batches(batches, text, BATCH):
             got = coder.encode(column(batch, text).to_pylist())
             ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
             values = pa.array(np.concatenate(got) if got else np.empty(0, np.int32), pa.int32())
@@ -259,10 +253,11 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out:
     passed = schema.names[:-1]
 
     def run(batches):
+        gc.disable()  # the tasks make no cycles, and many small objects
         coder = worker_cache(f"bpe_{vocabulary.key}", lambda: _Coder(vocabulary))
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 lists = column(part, ids)
                 flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32, copy=False)
                 sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)

@@ -3,6 +3,7 @@ and distributed connected components."""
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 
@@ -103,36 +104,41 @@ def small_batches(batches, text: str, max_bytes: int = 8 << 20):
             yield batch.slice(start)
 
 
-def parts(text: str | None) -> list[str]:
-    """Cut before every space that a character other than white space follows."""
+_CUT = re.compile(r" (?=\S)")
+
+
+def parts(text: str | None) -> list:
+    """Cut before every space that a character other than white space follows.  Such a
+    part is given without its space; what comes before the first is a 1-tuple."""
     if not text:
         return []
-    head, *rest = text.split(" ")
-    out = [head] if head else []
-    spaces = ""
-    for part in rest:
-        spaces += " "
-        if not part:
-            continue
-        if part[0].isspace():  # the white space goes on: no cut here
-            if out:
-                out[-1] += spaces + part
-            else:
-                out.append(spaces + part)
-        else:
-            if len(spaces) > 1:
-                if out:
-                    out[-1] += spaces[1:]
-                else:
-                    out.append(spaces[1:])
-            out.append(" " + part)
-        spaces = ""
-    if spaces:
-        if out:
-            out[-1] += spaces
-        else:
-            out.append(spaces)
-    return out
+    out = _CUT.split(text)
+    if out[0]:
+        out[0] = (out[0],)
+        return out
+    return out[1:]
+
+
+def part_text(part) -> str:
+    return part[0] if isinstance(part, tuple) else " " + part
+
+
+class Generations:
+    """A bounded cache of two generations: what was not asked for while a generation
+    filled up is dropped, so that frequent keys stay."""
+
+    def __init__(self, entries: int):
+        self.entries, self.new, self.old = entries, {}, {}
+
+    def missing(self, keys: set) -> set:
+        """Moves the known keys into the new generation; returns the others."""
+        if len(self.new) + len(keys) > self.entries:
+            self.old, self.new = self.new, {}
+        todo = keys.difference(self.new)
+        found = todo.intersection(self.old)
+        for k in found:
+            self.new[k] = self.old[k]
+        return todo.difference(found)
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:

@@ -14,6 +14,7 @@ its tokens where that is a power of two.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import zlib
 
@@ -25,11 +26,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callscope.llm.common import column, parts, small_batches, worker_cache
+from callscope.llm.common import Generations, column, part_text, parts, small_batches, worker_cache
 from callscope.session import cut_lineage
 
-#: Entries of a worker's cache of encoded text parts; a full cache is emptied.
-CACHE = 600_000
+#: Entries of a generation of a worker's cache of encoded text parts.
+CACHE = 300_000
 
 
 class _Tokenizer:
@@ -42,17 +43,15 @@ class _Tokenizer:
         self.model = Tokenizer.from_str(definition)
         self.model.encode_special_tokens = True
         self.kind = np.uint16 if self.model.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known: dict[str, bytes] = {}
+        self.known = Generations(CACHE)
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
-        known, cut = self.known, [parts(t) for t in texts]
-        new = list(set().union(*cut).difference(known))
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list(set().union(*cut))
+        cut = [parts(t) for t in texts]
+        new = list(self.known.missing(set().union(*cut)))
+        known = self.known.new
         for at in range(0, len(new), 20_000):
             some = new[at:at + 20_000]
-            for part, got in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            for part, got in zip(some, self.model.encode_batch_fast([part_text(p) for p in some], add_special_tokens=False), strict=True):
                 known[part] = np.array(got.ids, self.kind).tobytes()
         tail = self.kind(end).tobytes()
         return [b"".join(map(known.__getitem__, its)) + tail for its in cut]
@@ -67,9 +66,10 @@ def tokenise(df: DataFrame, definition: str, key: str, text: str, end: int) -> D
     name = "tokens_" + hashlib.sha1(definition.encode()).hexdigest()
 
     def run(batches):
+        gc.disable()  # the tasks make no cycles, and many small objects
         model = worker_cache(name, lambda: _Tokenizer(definition))
         width, before, part = np.dtype(model.kind).itemsize, 0, TaskContext.get().partitionId()
-        for batch in small_batches(batches, text):
+        for batch in small_batches(batches, text, 4 << 20):
             ids = model.encode(column(batch, text).to_pylist(), end)
             n = np.array([len(x) // width for x in ids], np.int64)
             yield pa.RecordBatch.from_arrays([column(batch, key), pa.array(np.full(len(n), part, np.int32)),
