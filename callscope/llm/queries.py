@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm import bpe, html_blocks, packing, quality, warc
+from callscope.llm import bpe, html_blocks, packing, quality, secrets, warc
 from callscope.llm.common import table
 from callscope.session import ensure_checkpoint_dir
 
@@ -77,3 +77,15 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     texts = html_blocks.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
     return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(docs, table(spark, sf_dir, "labels"))).select("doc_id", "spans")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"] != "markov")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"),
+                        listed(F.col("spans")).alias("spans"), count("markov"))
