@@ -65,21 +65,51 @@ def shingle_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return mix(out)
 
 
-def window_hashes(words: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
-    """As ``shingle_hashes``, by prefix sums: its cost does not grow with ``k``."""
-    n = len(words) - k + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    base = int(_multipliers(1, seed)[0])
-    up = np.full(len(words), base, np.uint64)
-    up[0] = 1
-    up = np.cumprod(up, dtype=np.uint64)
-    down = np.full(n, pow(base, -1, 2**64), np.uint64)
-    down[0] = 1
-    down = np.cumprod(down, dtype=np.uint64)
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(mix(words) * up, dtype=np.uint64, out=sums[1:])
-    return mix((sums[k:] - sums[:n]) * down)
+class Spans:
+    """Hashes of any spans of a document's words, by prefix sums: their cost does not
+    grow with the spans' length."""
+
+    def __init__(self, words: np.ndarray, seed: int = 1):
+        powers = worker_cache(f"powers_{seed}", lambda: _Powers(seed))
+        up, self.down = powers.get(len(words))
+        self.sums = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(mix(words) * up, dtype=np.uint64, out=self.sums[1:])
+
+    def hash(self, start, end) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[start]) * self.down[start])
+
+    def every(self, k: int) -> np.ndarray:
+        """The hash of every run of ``k`` words (none for fewer words)."""
+        n = max(len(self.sums) - k, 0)
+        return mix((self.sums[k:] - self.sums[:n]) * self.down[:n]) if n else np.empty(0, np.uint64)
+
+
+class _Powers:
+    """Powers of an odd base and of its inverse modulo 2^64."""
+
+    def __init__(self, seed: int):
+        base = int(_multipliers(1, seed)[0])
+        self.bases = [base, pow(base, -1, 2**64)]
+        self.tables = [np.ones(1, np.uint64)] * 2
+
+    def get(self, n: int) -> list[np.ndarray]:
+        if len(self.tables[0]) < n + 1:
+            for i, base in enumerate(self.bases):
+                powers = np.full(2 * n + 1, base, np.uint64)
+                powers[0] = 1
+                self.tables[i] = np.cumprod(powers, dtype=np.uint64)
+        return [t[:n] if i == 0 else t[:n + 1] for i, t in enumerate(self.tables)]
+
+
+def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
+    """The minimum of every ``k`` neighbours, by doubling."""
+    if len(x) < k:
+        return x[:0]
+    width = 1
+    while 2 * width <= k:
+        x = np.minimum(x[:-width], x[width:])
+        width *= 2
+    return np.minimum(x[:len(x) - (k - width)], x[k - width:]) if k > width else x
 
 
 def as_long(h: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm import bpe, html_blocks, packing, quality, secrets, warc
+from callscope.llm import bpe, html_blocks, packing, quality, secrets, substrings, warc
 from callscope.llm.common import table
 from callscope.session import ensure_checkpoint_dir
 
@@ -89,3 +89,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"] != "markov")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"),
                         listed(F.col("spans")).alias("spans"), count("markov"))
+
+
+@query
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-word spans that an earlier one has."""
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"), window=50, keep=["doc_id"])
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
