@@ -30,7 +30,7 @@ from callscope.llm.common import Generations, column, part_text, parts, small_ba
 #: Bytes of distinct words (or ids of distinct runs) in one DuckDB query.
 BYTES_PER_QUERY = 400_000
 #: Entries of a generation of each cache of a worker.
-CACHE = 120_000
+CACHE = 180_000
 #: Bytes of text (or ids) that are worked on together.
 BATCH = 2 << 20
 #: One word's positions are told apart from its ranks by this factor.
