@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm import bpe, html_blocks, packing, quality, secrets, substrings, warc
+from callscope.llm import ann, bpe, html_blocks, packing, quality, rabitq, secrets, substrings, warc
 from callscope.llm.common import table
 from callscope.session import ensure_checkpoint_dir
 
@@ -96,3 +96,15 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 50-word spans that an earlier one has."""
     kept = substrings.remove_repeats(table(spark, sf_dir, "documents"), window=50, keep=["doc_id"])
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of every 50th."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
+@query
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors with a cosine of 0.9 or more."""
+    return rabitq.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
