@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm import ann, bpe, html_blocks, packing, quality, rabitq, secrets, substrings, warc
+from callscope.llm import ann, bpe, html_blocks, jaccard, packing, quality, rabitq, secrets, substrings, warc
 from callscope.llm.common import table
 from callscope.session import ensure_checkpoint_dir
 
@@ -108,3 +108,9 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors with a cosine of 0.9 or more."""
     return rabitq.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+@query
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingles have a similarity of 0.85 or more."""
+    return jaccard.similarity_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
