@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -29,8 +30,10 @@ from pyspark.sql import types as T
 from callscope.llm.common import Generations, column, part_text, parts, small_batches, worker_cache
 from callscope.session import cut_lineage
 
-#: Entries of a generation of a worker's cache of encoded text parts.
+#: Entries of a generation of each of a worker's caches of encoded text parts.
 CACHE = 300_000
+#: Byte-level tokenizers always cut between a letter and a character of no word.
+_AFTER_LETTER = re.compile(r"(?<=[^\W\d_])(?=[^\w\s])")
 
 
 class _Tokenizer:
@@ -43,16 +46,21 @@ class _Tokenizer:
         self.model = Tokenizer.from_str(definition)
         self.model.encode_special_tokens = True
         self.kind = np.uint16 if self.model.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known = Generations(CACHE)
+        self.known, self.words = Generations(CACHE), Generations(CACHE)
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         cut = [parts(t) for t in texts]
-        new = list(self.known.missing(set().union(*cut)))
+        missing = self.known.missing(set().union(*cut))
         known = self.known.new
+        pieces = {part: _AFTER_LETTER.split(part_text(part)) for part in missing}
+        new = list(self.words.missing(set().union(*pieces.values())))
+        words = self.words.new
         for at in range(0, len(new), 20_000):
             some = new[at:at + 20_000]
-            for part, got in zip(some, self.model.encode_batch_fast([part_text(p) for p in some], add_special_tokens=False), strict=True):
-                known[part] = np.array(got.ids, self.kind).tobytes()
+            for word, got in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                words[word] = np.array(got.ids, self.kind).tobytes()
+        for part, its in pieces.items():
+            known[part] = words[its[0]] if len(its) == 1 else b"".join([words[w] for w in its])
         tail = self.kind(end).tobytes()
         return [b"".join(map(known.__getitem__, its)) + tail for its in cut]
 
