@@ -11,9 +11,9 @@ and compute
 * the local running value inside each ``(key, block)`` window,
 
 then add the two.  Every window therefore holds at most one block, and the
-block table is bounded by ``#keys x #blocks``.  Joins are on ``(key, block)``,
-the same keys as the local window, so the window's hash partitioning is reused
-and AQE may turn the join into a broadcast when the block table is small.
+block table is bounded by ``#keys x #blocks``.  Joins are on the one struct
+``(key, block)`` that the local window is partitioned by, so its hash partitioning
+is reused (the rows are shuffled once) and AQE may turn the join into a broadcast when the block table is small.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BLK = "__blk"
+_KEY = "__key"
 
 #: default block width for integer sequence positions (utterances, tokens)
 SEQ_BLOCK = 4096
@@ -54,71 +55,74 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
     return left.join(r, cond, how).drop(*["__r_" + k for k in keys])
 
 
+def _keyed(df: DataFrame, part: Sequence[str], block: Column) -> DataFrame:
+    """Adds the block key: one struct of the group's columns and the block.  Structs
+    compare null-safe under plain equality, so windows, aggregates and joins on it
+    share one hash partitioning and the rows are shuffled once."""
+    return df.withColumn(_KEY, F.struct(*[F.col(p).alias(f"g{i}") for i, p in enumerate(part)], block.alias("b")))
+
+
 def _prior_window(part: Sequence[str]):
-    return (Window.partitionBy(*part).orderBy(_BLK)
+    return (Window.partitionBy(*[F.col(f"{_KEY}.g{i}") for i in range(len(part))]).orderBy(F.col(f"{_KEY}.b"))
             .rowsBetween(Window.unboundedPreceding, -1))
 
 
+def _local_window(order: Sequence[str | Column]):
+    return Window.partitionBy(_KEY).orderBy(*_cols(order))
+
+
 def row_number(df: DataFrame, part: Sequence[str], order: Sequence[str | Column],
                block: Column, out: str = "rn") -> DataFrame:
     """1-based ``row_number() over (partition by part order by order)``."""
-    d = df.withColumn(_BLK, block)
-    offs = (d.groupBy(*part, _BLK).agg(F.count(F.lit(1)).alias("__n"))
-            .select(*part, _BLK,
-                    F.coalesce(F.sum("__n").over(_prior_window(part)), F.lit(0)).alias("__off")))
-    local = Window.partitionBy(*part, _BLK).orderBy(*_cols(order))
-    return (join_null_safe(d.withColumn("__loc", F.row_number().over(local)), offs, [*part, _BLK])
+    d = _keyed(df, part, block)
+    offs = (d.groupBy(_KEY).agg(F.count(F.lit(1)).alias("__n"))
+            .select(_KEY, F.coalesce(F.sum("__n").over(_prior_window(part)), F.lit(0)).alias("__off")))
+    return (d.withColumn("__loc", F.row_number().over(_local_window(order))).join(offs, _KEY)
             .withColumn(out, (F.col("__loc") + F.col("__off")).cast("long"))
-            .drop(_BLK, "__off", "__loc"))
+            .drop(_KEY, "__off", "__loc"))
 
 
 def running_sum(df: DataFrame, part: Sequence[str], order: Sequence[str | Column],
                 block: Column, cols: dict[str, str | Column]) -> DataFrame:
     """Inclusive running sums ``out = sum(expr) over (... rows unbounded preceding)``."""
-    d = df.withColumn(_BLK, block)
+    d = _keyed(df, part, block)
     for name, expr in cols.items():
         d = d.withColumn("__v_" + name, F.col(expr) if isinstance(expr, str) else expr)
-    tot = d.groupBy(*part, _BLK).agg(*[F.sum("__v_" + n).alias("__t_" + n) for n in cols])
-    offs = tot.select(*part, _BLK, *[
-        F.coalesce(F.sum("__t_" + n).over(_prior_window(part)), F.lit(0)).alias("__o_" + n)
-        for n in cols])
-    local = (Window.partitionBy(*part, _BLK).orderBy(*_cols(order))
-             .rowsBetween(Window.unboundedPreceding, 0))
+    tot = d.groupBy(_KEY).agg(*[F.sum("__v_" + n).alias("__t_" + n) for n in cols])
+    offs = tot.select(_KEY, *[F.coalesce(F.sum("__t_" + n).over(_prior_window(part)), F.lit(0)).alias("__o_" + n)
+                              for n in cols])
+    local = _local_window(order).rowsBetween(Window.unboundedPreceding, 0)
     for n in cols:
         d = d.withColumn("__l_" + n, F.sum("__v_" + n).over(local))
-    d = join_null_safe(d, offs, [*part, _BLK])
+    d = d.join(offs, _KEY)
     for n in cols:
         d = d.withColumn(n, F.col("__l_" + n) + F.col("__o_" + n))
-    return d.drop(_BLK, *[p + n for n in cols for p in ("__v_", "__l_", "__o_")])
+    return d.drop(_KEY, *[p + n for n in cols for p in ("__v_", "__l_", "__o_")])
 
 
 def running_max(df: DataFrame, part: Sequence[str], order: Sequence[str | Column],
                 block: Column, col: str | Column, out: str) -> DataFrame:
     """Inclusive running maximum of ``col``."""
-    d = df.withColumn(_BLK, block).withColumn("__v", F.col(col) if isinstance(col, str) else col)
-    offs = (d.groupBy(*part, _BLK).agg(F.max("__v").alias("__t"))
-            .select(*part, _BLK, F.max("__t").over(_prior_window(part)).alias("__o")))
-    local = (Window.partitionBy(*part, _BLK).orderBy(*_cols(order))
-             .rowsBetween(Window.unboundedPreceding, 0))
-    return (join_null_safe(d.withColumn("__l", F.max("__v").over(local)), offs, [*part, _BLK])
+    d = _keyed(df, part, block).withColumn("__v", F.col(col) if isinstance(col, str) else col)
+    offs = (d.groupBy(_KEY).agg(F.max("__v").alias("__t"))
+            .select(_KEY, F.max("__t").over(_prior_window(part)).alias("__o")))
+    local = _local_window(order).rowsBetween(Window.unboundedPreceding, 0)
+    return (d.withColumn("__l", F.max("__v").over(local)).join(offs, _KEY)
             .withColumn(out, F.greatest("__l", "__o"))
-            .drop(_BLK, "__v", "__l", "__o"))
+            .drop(_KEY, "__v", "__l", "__o"))
 
 
 def forward_fill(df: DataFrame, part: Sequence[str], order: Sequence[str | Column],
                  block: Column, col: str | Column, out: str) -> DataFrame:
     """Latest non-null value of ``col`` up to and including the current row."""
-    order_c = _cols(order)
-    d = df.withColumn(_BLK, block).withColumn("__v", F.col(col) if isinstance(col, str) else col)
-    last_in_block = F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*order_c)))
-    offs = (d.groupBy(*part, _BLK).agg(last_in_block.alias("__t"))
-            .select(*part, _BLK,
-                    F.last("__t", ignorenulls=True).over(_prior_window(part)).alias("__o")))
-    local = (Window.partitionBy(*part, _BLK).orderBy(*order_c)
-             .rowsBetween(Window.unboundedPreceding, 0))
-    return (join_null_safe(d.withColumn("__l", F.last("__v", ignorenulls=True).over(local)), offs, [*part, _BLK])
+    d = _keyed(df, part, block).withColumn("__v", F.col(col) if isinstance(col, str) else col)
+    last_in_block = F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*_cols(order))))
+    offs = (d.groupBy(_KEY).agg(last_in_block.alias("__t"))
+            .select(_KEY, F.last("__t", ignorenulls=True).over(_prior_window(part)).alias("__o")))
+    local = _local_window(order).rowsBetween(Window.unboundedPreceding, 0)
+    return (d.withColumn("__l", F.last("__v", ignorenulls=True).over(local)).join(offs, _KEY)
             .withColumn(out, F.coalesce("__l", "__o"))
-            .drop(_BLK, "__v", "__l", "__o"))
+            .drop(_KEY, "__v", "__l", "__o"))
 
 
 def trailing_mean(df: DataFrame, part: Sequence[str], seq: str, window: int,
