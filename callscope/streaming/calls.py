@@ -25,11 +25,13 @@ MA_OUT = "id LONG, event_id LONG, ts TIMESTAMP, seq LONG, p DOUBLE, p_ma DOUBLE"
 MA_STATE = "hist ARRAY<DOUBLE>, n LONG, cut BOOLEAN, start LONG"
 HIT_OUT = "id LONG, s_num LONG, event_id LONG, ts TIMESTAMP, p_ma DOUBLE"
 HIT_STATE = ("hist ARRAY<DOUBLE>, n LONG, hit BOOLEAN, last_event LONG, last_ts TIMESTAMP, cut BOOLEAN, "
-             "start LONG")
+             "start LONG, last_ms LONG")
+#: files of a micro-batch, unless the caller says otherwise
+MAX_FILES = 64
 
 
 def score_stream(spark: SparkSession, folder: str, file_glob: str = "events.parquet",
-                 max_files: int | None = None) -> DataFrame:
+                 max_files: int | None = MAX_FILES) -> DataFrame:
     """Event rows of ``folder`` (files matching ``file_glob``) as segment scores
     ``(id, event_id, ts, end_ms, p)``, the streaming twin of view V3."""
     schema = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING"
@@ -66,6 +68,13 @@ def _drop_late(pdf: pd.DataFrame, state) -> pd.DataFrame:
     return pdf[pdf["end_ms"] >= wm] if wm > 0 else pdf
 
 
+def _keep(state, values: tuple, last_ms: int, silence_ms: int) -> None:
+    """Store the state and set its timeout again (an update clears it): ``silence_ms``
+    after the call's last segment, on the watermark's clock."""
+    state.update(values)
+    state.setTimeoutTimestamp(max(last_ms + silence_ms, state.getCurrentWatermarkMs() + 1))
+
+
 def _trailing(hist: list[float], new: np.ndarray, window: int) -> np.ndarray:
     vals = np.concatenate([np.asarray(hist, dtype=float), new.astype(float)])
     if window <= 1:
@@ -90,8 +99,9 @@ def moving_average_stream(scores: DataFrame, window: int = 3, cut_ms: int | None
         pdf = _drop_late(pd.concat(list(pdfs)), state).sort_values(["ts", "event_id"], kind="stable")
         if len(pdf) == 0:
             if state.exists:
-                state.update((hist, int(n), bool(cut), start))
+                _keep(state, (hist, int(n), bool(cut), start), state.getCurrentWatermarkMs(), silence_ms)
             return
+        last_ms = int(pdf["end_ms"].iloc[-1])  # epoch ms, same clock as the watermark
         if start is None:  # the call clock starts with its first segment
             start = int(pdf["end_ms"].iloc[0])
         pdf, cut = _apply_cut(pdf, cut_ms, cut, start)
@@ -103,11 +113,8 @@ def moving_average_stream(scores: DataFrame, window: int = 3, cut_ms: int | None
             hist = (hist + pdf["p"].tolist())[-(window - 1):] if window > 1 else []
             n += len(pdf)
             yield out
-            last_ms = int(pdf["end_ms"].iloc[-1])  # epoch ms, same clock as the watermark
-            state.update((hist, int(n), bool(cut), start))
-            state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + silence_ms)
-        else:
-            state.update((hist, int(n), bool(cut), start))
+        # a cut call keeps its state while segments arrive, so that they stay ignored
+        _keep(state, (hist, int(n), bool(cut), start), last_ms, silence_ms)
 
     return (scores.withWatermark("ts", watermark).groupBy("id")
             .applyInPandasWithState(fn, MA_OUT, MA_STATE, "append", GroupStateTimeout.EventTimeTimeout))
@@ -117,26 +124,26 @@ def first_hit_stream(scores: DataFrame, threshold: float, window: int = 3,
                      cut_ms: int | None = None, watermark: str = "1 day",
                      silence_ms: int = 86_400_000) -> DataFrame:
     """L2 (+L1, L3): one alert per call — the first segment whose trailing mean
-    reaches ``threshold`` (``s_num`` 1-based).  A call silent for
-    ``silence_ms`` past the watermark without a hit reports ``s_num = -1`` with
-    its last segment."""
+    reaches ``threshold`` (``s_num`` 1-based).  A call without a hit whose last
+    segment (within the cut) lies ``silence_ms`` behind the watermark reports
+    ``s_num = -1`` with that segment; its state is dropped."""
     def fn(key, pdfs, state):
         if state.hasTimedOut:
-            hist, n, hit, last_event, last_ts, cut, start = state.get
+            hist, n, hit, last_event, last_ts, cut, start, last_ms = state.get
             if not hit:
                 yield pd.DataFrame({"id": [key[0]], "s_num": [-1], "event_id": [last_event],
                                     "ts": [last_ts], "p_ma": [np.nan]})
             state.remove()
             return
         if state.exists:
-            hist, n, hit, last_event, last_ts, cut, start = state.get
+            hist, n, hit, last_event, last_ts, cut, start, last_ms = state.get
             hist = list(hist)
         else:
-            hist, n, hit, last_event, last_ts, cut, start = [], 0, False, None, None, False, None
+            hist, n, hit, last_event, last_ts, cut, start, last_ms = [], 0, False, None, None, False, None, None
         pdf = _drop_late(pd.concat(list(pdfs)), state).sort_values(["ts", "event_id"], kind="stable")
         if len(pdf) == 0:
-            if last_ts is not None:
-                state.update((hist, int(n), bool(hit), last_event, last_ts, bool(cut), start))
+            if last_ms is not None:
+                _keep(state, (hist, int(n), bool(hit), last_event, last_ts, bool(cut), start, int(last_ms)), int(last_ms), silence_ms)
             return
         if start is None:
             start = int(pdf["end_ms"].iloc[0])
@@ -153,11 +160,9 @@ def first_hit_stream(scores: DataFrame, threshold: float, window: int = 3,
                                         "p_ma": [ma[i]]})
             hist = (hist + pdf["p"].tolist())[-(window - 1):] if window > 1 else []
             n += len(pdf)
-            last_event, last_ts = int(pdf["event_id"].iloc[-1]), pdf["ts"].iloc[-1]
-            state.update((hist, int(n), bool(hit), last_event, last_ts, bool(cut), start))
-            state.setTimeoutTimestamp(int(pdf["end_ms"].iloc[-1]) + silence_ms)  # watermark clock
-        elif last_ts is not None:
-            state.update((hist, int(n), bool(hit), last_event, last_ts, bool(cut), start))
+            last_event, last_ts, last_ms = int(pdf["event_id"].iloc[-1]), pdf["ts"].iloc[-1], int(pdf["end_ms"].iloc[-1])
+        if last_ms is not None:
+            _keep(state, (hist, int(n), bool(hit), last_event, last_ts, bool(cut), start, int(last_ms)), int(last_ms), silence_ms)
 
     return (scores.withWatermark("ts", watermark).groupBy("id")
             .applyInPandasWithState(fn, HIT_OUT, HIT_STATE, "append", GroupStateTimeout.EventTimeTimeout))
