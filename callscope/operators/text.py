@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callscope.functions.scalar import col_, occurrences
+from callscope.operators import sequence
 from callscope.plans import blocked
 from callscope.session import cut_lineage, spread
 
@@ -61,54 +62,44 @@ def vocabulary(freq: DataFrame, top_k: int | None = None,
     return v.select("term", "frequency", "cum_percent", F.col("rank").cast("long").alias("rank"))
 
 
-#: largest vocabulary folded into one broadcast row (terms); beyond it the
-#: caller must shard the vocabulary (e.g. by first letter) and union the counts
-MAX_BROADCAST_TERMS = 1_000_000
-
-
-def check_vocabulary_size(vocab: DataFrame, limit: int = MAX_BROADCAST_TERMS,
-                          strict: bool = True) -> int:
-    """Size check before a vocabulary is broadcast (one small action on a
-    materialised vocabulary).  Returns the term count, or ``limit + 1`` when it is
-    larger; raises then unless ``strict=False``."""
-    n = vocab.limit(limit + 1).count()
-    if n > limit and strict:
-        raise ValueError(f"vocabulary has more than {limit} terms; use method='runs' without broadcast")
-    return n
-
-
 #: a term made of letters only can match only inside one maximal run of letters
 LETTER_RUN = r"(\p{L}+)"
 LETTERS_ONLY = r"^\p{L}+$"
 
 
 def bag_of_words(docs: DataFrame, vocab: DataFrame, keys: str | Sequence[str] = "doc_id",
-                 text: str = "text", regex: bool = False, method: str = "scan",
-                 broadcast_terms: bool = True) -> DataFrame:
+                 text: str = "text", regex: bool = False, method: str = "auto", lower: bool = True) -> DataFrame:
     """Sparse counts ``(keys..., term, tf)`` of every vocabulary word in
     every text — non-overlapping occurrences of the word as a literal substring
-    (``regex=True``: as a regular expression).
+    (``regex=True``: as a regular expression) of the text in lower case, the form
+    that ``term_frequency`` counts (``lower=False``: as it is).
 
-    ``method="scan"``: the vocabulary (bounded, e.g. ``vocabulary(top_k=...)``)
-    is folded into one broadcast array row and every text is scanned once per
-    term — cost ``text x terms``, best for small vocabularies.
-    ``method="runs"`` (literal, letters-only terms): cost independent of the
-    vocabulary size — see ``bag_of_words_by_runs``."""
-    if method == "runs":
-        if regex:
-            raise ValueError("method='runs' counts literal terms only")
-        return bag_of_words_by_runs(docs, vocab, keys, text, broadcast_terms)
+    Terms made of letters alone are counted by letter runs, at a cost that does not
+    grow with their number (``bag_of_words_by_runs``); each other term, and every
+    regular expression, by one scan of each text.  ``method`` "runs" or "scan" takes
+    one way for all terms."""
     ks = [keys] if isinstance(keys, str) else list(keys)
-    arr = F.broadcast(vocab.agg(F.collect_list("term").alias("__vocab")))
-    counts = F.transform("__vocab", lambda w: F.struct(w.alias("term"),
-                                                       occurrences(F.col(text), w, regex).alias("tf")))
-    return (spread(docs.select(*ks, text)).crossJoin(arr)
-            .select(*ks, F.explode(counts).alias("c"))
-            .select(*ks, "c.term", "c.tf").filter(F.col("tf") > 0))
+    d = docs.select(*ks, F.lower(text).alias(text)) if lower else docs.select(*ks, text)
+    if regex or method == "scan":
+        if method == "runs":
+            raise ValueError("method='runs' counts literal terms only")
+        return _by_scan(d, vocab, ks, text, regex)
+    if method == "runs":
+        return bag_of_words_by_runs(d, vocab, ks, text)
+    by_runs = bag_of_words_by_runs(d, vocab.filter(F.col("term").rlike(LETTERS_ONLY)), ks, text)
+    if letters_only(vocab):
+        return by_runs
+    return by_runs.unionByName(_by_scan(d, vocab.filter(~F.col("term").rlike(LETTERS_ONLY)), ks, text, False))
+
+
+def _by_scan(docs: DataFrame, vocab: DataFrame, ks: list[str], text: str, regex: bool) -> DataFrame:
+    terms = vocab.select("term").distinct()
+    return (docs.crossJoin(terms).select(*ks, "term", occurrences(F.col(text), F.col("term"), regex).alias("tf"))
+            .filter(F.col("tf") > 0))
 
 
 def bag_of_words_by_runs(docs: DataFrame, vocab: DataFrame, keys: str | Sequence[str] = "doc_id",
-                         text: str = "text", broadcast_terms: bool = True) -> DataFrame:
+                         text: str = "text") -> DataFrame:
     """Literal counts of letters-only terms without scanning each text once per
     term.  Such a term can only match inside one maximal run of letters, and
     left-to-right non-overlapping matching restarts at every non-letter, so
@@ -117,11 +108,11 @@ def bag_of_words_by_runs(docs: DataFrame, vocab: DataFrame, keys: str | Sequence
 
     Plan: letter runs per document are counted (one tokenising pass, combined
     map-side); for the *distinct* runs only, every substring whose length is a
-    vocabulary term length is matched against the broadcast vocabulary, and the
+    vocabulary term length is matched against the vocabulary, and the
     non-overlapping count inside the run is taken for the matching pairs; the
     per-document run counts are then joined on the run and summed.  Terms with
-    non-letters must use ``method="scan"``.  ``broadcast_terms=False`` (vocabulary
-    above the broadcast limit) matches the candidates with a shuffle join."""
+    non-letters must use ``method="scan"``.  Spark broadcasts the vocabulary where it
+    is small enough (``spark.sql.autoBroadcastJoinThreshold``)."""
     ks = [keys] if isinstance(keys, str) else list(keys)
     runs = (spread(docs.select(*ks, text))
             .select(*ks, F.explode(F.regexp_extract_all(F.col(text), F.lit(LETTER_RUN), 1)).alias("run")))
@@ -132,8 +123,7 @@ def bag_of_words_by_runs(docs: DataFrame, vocab: DataFrame, keys: str | Sequence
         F.sequence(F.lit(1), F.greatest(F.length("run") - n + 1, F.lit(0))), lambda i: F.substring("run", i, n))))
     cand = (per_doc.select("run").distinct().crossJoin(lens)
             .select("run", F.explode(subs).alias("term")).distinct())
-    # a checked vocabulary is broadcast; beyond the limit the match is a shuffle join
-    pairs = cand.join(F.broadcast(terms) if broadcast_terms else terms, "term")
+    pairs = cand.join(terms, "term")
     run_tf = pairs.select("run", "term", occurrences("run", F.col("term")).alias("__c"))
     return (per_doc.join(run_tf, "run")
             .groupBy(*ks, "term").agg(F.sum(F.col("__m") * F.col("__c")).alias("tf")))
@@ -158,49 +148,33 @@ def inverse_document_frequency(tf: DataFrame, docs: DataFrame, vocab: DataFrame,
 
 
 def tfidf(tf: DataFrame, idf: DataFrame, keys: str | Sequence[str] = "doc_id",
-          normalize: bool = True, broadcast_idf: bool = True) -> DataFrame:
+          normalize: bool = True) -> DataFrame:
     """``tf * idf`` (inner join on term: a term missing from the IDF table
-    is dropped), then divided by the document's L2 norm (0 -> 1e-10).  The IDF
-    table has one row per vocabulary term and is broadcast (``broadcast_idf=False``
-    for vocabularies above the broadcast limit: a shuffle join on term)."""
+    is dropped), then divided by the document's L2 norm (0 -> 1e-10)."""
     ks = [keys] if isinstance(keys, str) else list(keys)
     side = idf.select("term", "idf")
-    w = tf.join(F.broadcast(side) if broadcast_idf else side, "term").withColumn("tfidf", F.col("tf") * F.col("idf"))
+    w = tf.join(side, "term").withColumn("tfidf", F.col("tf") * F.col("idf"))
     if normalize:
         norm = F.sqrt(F.sum(F.col("tfidf") * F.col("tfidf")).over(Window.partitionBy(*ks)))
         w = w.withColumn("tfidf", F.col("tfidf") / F.when(norm == 0, F.lit(1e-10)).otherwise(norm))
     return w.select(*ks, "term", "tfidf")
 
 
-#: above this many (letters-only) terms, counting by letter runs replaces per-term scans
-RUNS_MIN_TERMS = 2048
-
-
 def fit_tfidf(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str = "text",
               regex: bool = False, materialize: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Bag of words -> IDF -> L2-normalised TF-IDF, every text scanned once.
-
-    The vocabulary (bounded) and the sparse counts each feed several branches;
-    with ``materialize`` they are checkpointed into the session's shared
-    checkpoint folder, so the texts are tokenised and counted exactly once and
-    a lost executor does not send the job back to the raw texts.  The counted
-    vocabulary size picks the plan: per-term scans up to ``RUNS_MIN_TERMS``,
-    letter-run counting above, and shuffle joins instead of broadcasts above
-    ``MAX_BROADCAST_TERMS``.  Returns ``(tfidf, idf)``."""
-    method, small = "scan", True
+    """Bag of words -> IDF -> L2-normalised TF-IDF, every text read once.
+
+    The vocabulary and the sparse counts each feed several branches; with
+    ``materialize`` they are checkpointed into the session's shared checkpoint
+    folder, so the texts are tokenised and counted exactly once and a lost executor
+    does not send the job back to the raw texts.  Returns ``(tfidf, idf)``."""
     if materialize:
         vocab = cut_lineage(vocab)
-        n_terms = check_vocabulary_size(vocab, strict=False)
-        small = n_terms <= MAX_BROADCAST_TERMS
-        if not regex and n_terms > RUNS_MIN_TERMS and letters_only(vocab):
-            method = "runs"
-        elif not small:
-            raise ValueError("a vocabulary above the broadcast limit needs letters-only literal terms")
-    tf = bag_of_words(docs, vocab, key, text, regex, method=method, broadcast_terms=small)
+    tf = bag_of_words(docs, vocab, key, text, regex)
     if materialize:
         tf = cut_lineage(tf)
     idf = inverse_document_frequency(tf, docs, vocab, key)
-    return tfidf(tf, idf, key, broadcast_idf=small), idf
+    return tfidf(tf, idf, key), idf
 
 
 def prefix_term_frequency(utt: DataFrame, vocab: DataFrame, id_col: str = "id", seq: str = "seq",
@@ -209,8 +183,15 @@ def prefix_term_frequency(utt: DataFrame, vocab: DataFrame, id_col: str = "id",
     without building the quadratic prefix texts: count per utterance, then a
     running sum per ``(id, term)``.  Equal to counting on the space-joined
     prefix text for terms without whitespace (a match cannot cross the joining
-    space).  ``seq`` must be dense per call.  The per-utterance counts feed three
+    space); terms with whitespace are counted on the joined texts.  ``seq`` must be
+    dense per call.  The per-utterance counts feed three
     branches and are checkpointed (``materialize``) so the texts are counted once."""
+    spaced = vocab.filter(F.col("term").rlike(r"\s"))
+    if spaced.limit(1).count():
+        joined = sequence.stack_prefixes(utt, id_col, seq, text, end_col=seq).select(id_col, seq, "text")
+        rest = vocab.filter(~F.col("term").rlike(r"\s"))
+        return (prefix_term_frequency(utt, rest, id_col, seq, text, materialize)
+                .unionByName(bag_of_words(joined, spaced, [id_col, seq], "text")))
     per = bag_of_words(utt, vocab, [id_col, seq], text)
     if materialize:
         per = cut_lineage(per)

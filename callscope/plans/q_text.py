@@ -13,13 +13,13 @@ from callscope.plans.registry import finish, query
 from callscope.session import cut_lineage
 from callscope.sources.tables import table
 
-BOW_K = 20
+BOW_K = VOCAB_TOP_K
 CUM_PERCENT = 85.0
 RUN = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 FREQ_SQL = ("f AS (SELECT term, COUNT(*) AS frequency FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) "
             "AS term FROM {src}) WHERE length(term) > 0 GROUP BY term)")
 TOP_SQL = "v AS (SELECT term FROM f ORDER BY frequency DESC, term LIMIT {k})"
-COUNT_SQL = "CAST((length({t}) - length(replace({t}, v.term, ''))) / length(v.term) AS BIGINT)"
+COUNT_SQL = "CAST((length(lower({t})) - length(replace(lower({t}), v.term, ''))) / length(v.term) AS BIGINT)"
 
 
 def docs(spark, sf):
@@ -27,10 +27,8 @@ def docs(spark, sf):
 
 
 def doc_vocab(spark, sf, k=BOW_K):
-    """Top-k vocabulary, materialised once and size-checked before any broadcast."""
-    v = cut_lineage(text.vocabulary(text.term_frequency(docs(spark, sf)), top_k=k))
-    text.check_vocabulary_size(v)
-    return v
+    """Top-k vocabulary, materialised once."""
+    return cut_lineage(text.vocabulary(text.term_frequency(docs(spark, sf)), top_k=k))
 
 
 @query("corpus_token_freq", sql([], [FREQ_SQL.format(src="documents")], "SELECT term, frequency FROM f"))
@@ -78,8 +76,6 @@ def bow_counts_vocab776(spark, sf):
     """I1/D5 with the study's vocabulary size (776 terms), counted by letter runs:
     the cost does not grow with the number of terms (``method="runs"``)."""
     v = doc_vocab(spark, sf, VOCAB_TOP_K)
-    if not text.letters_only(v):
-        raise ValueError("the letter-run counting path needs letters-only terms")
     return text.bag_of_words(docs(spark, sf), v, "doc_id", method="runs").select("doc_id", "term", "tf")
 
 
@@ -105,7 +101,7 @@ _SPLIT_DOCS = [
     "sd AS (SELECT doc_id, text, CASE WHEN rk <= ceil(n * 0.2) THEN 'test' "
     "WHEN rk <= ceil(n * 0.2) + ceil((n - ceil(n * 0.2)) * 0.2) THEN 'valid' ELSE 'train' END AS split FROM r)",
     "train AS (SELECT doc_id, text FROM sd WHERE split = 'train')",
-    "test AS (SELECT doc_id, text FROM sd WHERE split = 'test')",
+    "test AS (SELECT doc_id, text FROM sd WHERE split <> 'train')",
     FREQ_SQL.format(src="train"), TOP_SQL.format(k=BOW_K),
     f"tfs AS (SELECT * FROM (SELECT d.doc_id, v.term, {COUNT_SQL.format(t='d.text')} AS tf FROM train d, v) WHERE tf > 0)",
     "nd AS (SELECT COUNT(*) AS n_docs FROM train)",
@@ -117,14 +113,13 @@ _SPLIT_DOCS = [
 
 @query("tfidf_apply_train_idf", sql([], _SPLIT_DOCS, _TFIDF_SELECT[1], round6=["tfidf"]))
 def tfidf_apply_train_idf(spark, sf):
-    """Vocabulary and IDF fitted on the train split only, applied to test."""
+    """Vocabulary and IDF fitted on the train split only, applied to valid and test."""
     d = table(spark, sf, "documents").select("doc_id", "text", "lang")
     # rank ids only; the per-language cut keys (one row per language) tag the texts in place
     cuts = cut_lineage(resample.split_cuts(d, "doc_id", "lang", 42))
     s = resample.apply_split(d, cuts, "doc_id", "lang", 42)
-    train, test = s.filter("split = 'train'"), s.filter("split = 'test'")
+    train, test = s.filter("split = 'train'"), s.filter("split <> 'train'")
     v = cut_lineage(text.vocabulary(text.term_frequency(train), top_k=BOW_K))  # bounded, used twice
-    text.check_vocabulary_size(v)
     _, idf = text.fit_tfidf(train, v, "doc_id", materialize=True)
     return finish(text.tfidf(text.bag_of_words(test, v, "doc_id"), idf))
 
@@ -143,6 +138,5 @@ def prefix_tf_running(spark, sf):
     segment id ``s_id`` (H20)."""
     utt = sequence.tag_speaker(views.utterances(spark, sf))
     v = cut_lineage(text.vocabulary(text.term_frequency(utt), top_k=BOW_K))
-    text.check_vocabulary_size(v)
     out = text.prefix_term_frequency(utt, v)
     return out.withColumn("s_id", F.concat_ws("_", F.col("id").cast("string"), F.col("seq").cast("string")))

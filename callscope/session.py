@@ -59,11 +59,8 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin repartition to the cluster's parallelism before CPU-heavy
-    row work when the input comes from fewer files than cores (a few large
-    row groups leave most scan splits empty); a no-op for many-file inputs
-    and for inputs that already went through a wider shuffle."""
+    """Round-robin repartition to the cluster's parallelism before CPU-heavy row work
+    on an input of fewer files than cores (a few large row groups leave most scan
+    splits empty).  It looks at file names alone and runs no job."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() <= n and len(df.inputFiles()) < n:
-        return df.repartition(n)
-    return df
+    return df.repartition(n) if len(df.inputFiles()) < n else df

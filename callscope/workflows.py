@@ -61,7 +61,6 @@ def tfidf_features(rows: DataFrame, key: str = "id", top_k: int = FV.VOCAB_TOP_K
     train split only, applied to every row.  Returns ``(tfidf, idf, vocab)``."""
     train = rows.filter(F.col("split") == "train")
     vocab = cut_lineage(text.vocabulary(text.term_frequency(train, tokenizer=tokenizer), top_k=top_k))
-    text.check_vocabulary_size(vocab)
     _, idf = text.fit_tfidf(train, vocab, key)
     feats = text.tfidf(text.bag_of_words(rows, vocab, key), idf, key)
     return feats, idf, vocab

@@ -121,17 +121,23 @@ def test_bag_of_words_runs_equals_scan(spark):
     assert a == b
 
 
-def test_fit_tfidf_plans_by_vocabulary_size(spark, monkeypatch):
-    """Small vocabularies scan and broadcast; large ones count by letter runs and
-    join without broadcasting — same numbers either way."""
+def test_bag_of_words_mixed_terms_and_letter_case(spark):
+    """Letters-only terms go by runs, others by scans; texts count in lower case."""
     from callscope.operators import text
-    docs = spark.createDataFrame([(1, "aa ab ba"), (2, "abab"), (3, "zz")], "doc_id int, text string")
-    vocab = spark.createDataFrame([("ab",), ("ba",), ("aa",)], "term string")
-    small = sorted((r.doc_id, r.term, round(r.tfidf, 9)) for r in text.fit_tfidf(docs, vocab)[0].collect())
-    monkeypatch.setattr(text, "RUNS_MIN_TERMS", 1)
-    monkeypatch.setattr(text, "MAX_BROADCAST_TERMS", 2)
-    large = sorted((r.doc_id, r.term, round(r.tfidf, 9)) for r in text.fit_tfidf(docs, vocab)[0].collect())
-    assert small == large
+    docs = spark.createDataFrame([(1, "Chest pain, CHEST-pain"), (2, "a1 A1 chest")], "doc_id int, text string")
+    vocab = spark.createDataFrame([("chest",), ("chest pain",), ("a1",), ("t-p",)], "term string")
+    got = sorted(tuple(r) for r in text.bag_of_words(docs, vocab).collect())
+    assert got == [(1, "chest", 2), (1, "chest pain", 1), (1, "t-p", 1), (2, "a1", 2), (2, "chest", 1)]
+    raw = sorted(tuple(r) for r in text.bag_of_words(docs, vocab, lower=False).collect())
+    assert raw == [(1, "t-p", 0)][:0] + [(2, "a1", 1), (2, "chest", 1)]
+
+
+def test_prefix_counts_of_terms_with_spaces(spark):
+    from callscope.operators import text
+    utt = spark.createDataFrame([(1, 0, "my chest"), (1, 1, "pain and"), (1, 2, "chest pain")], "id int, seq int, tagged string")
+    vocab = spark.createDataFrame([("chest",), ("chest pain",)], "term string")
+    got = sorted(tuple(r) for r in text.prefix_term_frequency(utt, vocab).collect())
+    assert got == [(1, 0, "chest", 1), (1, 1, "chest", 1), (1, 1, "chest pain", 1), (1, 2, "chest", 2), (1, 2, "chest pain", 2)]
 
 
 def test_split_keeps_null_strata(spark):
