@@ -67,10 +67,10 @@ def occurrences(text: str | Column, word: str | Column, regex: bool = False) ->
 
 # --- seeded uniform draw, reproducible in any SQL engine with md5 ---------------
 def uniform_hash(seed: int | str | Column, key: str | Column) -> Column:
-    """u in [0, 1) from the first 32 bits of md5('<seed>:<key>')."""
+    """u in [0, 1) from the first 52 bits of md5('<seed>:<key>')."""
     s = F.lit(str(seed)) if isinstance(seed, (int, str)) else seed.cast("string")
     digest = F.md5(F.concat(s, F.lit(":"), col_(key).cast("string")))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(4503599627370496.0)
 
 
 # --- I3 / I4: softmax and argmax over an array of logits ------------------------

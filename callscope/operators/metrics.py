@@ -111,7 +111,8 @@ def roc_points(df: DataFrame, p: str = "p", y: str = "y", group: Sequence[str] =
                         F.col("fp").alias("__fp0"))
         nxt = r.select(*group, (F.col("__r") - 1).alias("__r"), F.col("tp").alias("__tp2"),
                        F.col("fp").alias("__fp2"))
-        j = r.join(prev, [*group, "__r"], "left").join(nxt, [*group, "__r"], "left")
+        at = [*group, "__r"]
+        j = blocked.join_null_safe(blocked.join_null_safe(r, prev, at, "left"), nxt, at, "left")
         corner = ((F.col("__fp2") - 2 * F.col("fp") + F.col("__fp0")) != 0) | \
                  ((F.col("__tp2") - 2 * F.col("tp") + F.col("__tp0")) != 0)
         cum = j.filter(F.col("__tp0").isNull() | F.col("__tp2").isNull() | corner)
@@ -222,7 +223,7 @@ def threshold_sweep(df: DataFrame, p: str = "p", y: str = "y", n: int = 512,
     frame = c.select(*group).distinct().crossJoin(grid) if group else grid
     w = (Window.partitionBy(*group).orderBy(F.col("__j").desc())
          .rowsBetween(Window.unboundedPreceding, 0))
-    s = (frame.join(b, [*group, "__j"], "left")
+    s = (blocked.join_null_safe(frame, b, [*group, "__j"], "left")
          .select(*group, "__j",
                  F.sum(F.coalesce("__pos", F.lit(0))).over(w).alias("tp"),
                  F.sum(F.coalesce("__neg", F.lit(0))).over(w).alias("fp")))

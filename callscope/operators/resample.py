@@ -167,6 +167,13 @@ def upsample(df: DataFrame, id_col: str = "id", label: str = "label", rate: floa
     return base.unionByName(copies.withColumn("is_copy", F.lit(True)))
 
 
+def upsample_prevalence(upsampled: DataFrame, label: str = "label", target: int = 1) -> DataFrame:
+    """The target class's share before and after ``upsample`` (one row)."""
+    hit = (F.col(label) == F.lit(target)).cast("double")
+    return upsampled.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("is_copy").alias("n_copies"),
+                         F.avg(F.when(~F.col("is_copy"), hit)).alias("prevalence_before"), F.avg(hit).alias("prevalence"))
+
+
 def bootstrap_summary(per_rep: DataFrame, metrics: Sequence[str], group: Sequence[str] = (),
                       display_digits: int = 3) -> DataFrame:
     """Mean and population std over replicates, plus ``mean±std`` text."""

@@ -109,29 +109,48 @@ def wide_slots(utt: DataFrame, max_sentence: int, id_col: str = "id", seq: str =
     return g.select(*cols)
 
 
-def wide_to_long(wide: DataFrame, max_sentence: int, id_col: str = "id") -> DataFrame:
-    """Wide slots back to ``(id, seq, speaker, text, start_ms, end_ms)``;
-    empty slots are dropped."""
+def beyond_slots(utt: DataFrame, max_sentence: int, id_col: str = "id", seq: str = "seq",
+                 end_col: str = "end_ms") -> DataFrame:
+    """The utterances that ``wide_slots`` has no slot for, in long form: what calls
+    flagged ``truncated`` lack.  Hand it to ``wide_to_long`` and ``rebuild_text``."""
+    return (utt.filter(F.col(seq) >= F.lit(max_sentence))
+            .select(id_col, F.col(seq).cast("long").alias("seq"), F.col("speaker").cast("int").alias("speaker"), "text",
+                    F.col("start_ms").cast("long").alias("start_ms"), F.col(end_col).cast("long").alias("end_ms")))
+
+
+def wide_to_long(wide: DataFrame, max_sentence: int, id_col: str = "id", rest: DataFrame | None = None) -> DataFrame:
+    """Wide slots back to ``(id, seq, speaker, text, start_ms, end_ms)``; empty
+    slots are dropped.  ``rest``: the utterances beyond the slots (``beyond_slots``)."""
     arr = F.array(*[F.struct(F.col(f"S{n}_Speaker").alias("speaker"), F.col(f"S{n}").alias("text"),
                              F.col(f"S{n}_startAt").alias("start_ms"),
                              F.col(f"S{n}_endAt").alias("end_ms"))
                     for n in range(max_sentence)])
-    return (wide.select(id_col, F.posexplode(arr).alias("seq", "s"))
+    long = (wide.select(id_col, F.posexplode(arr).alias("seq", "s"))
             .filter(F.col("s.text").isNotNull())
             .select(id_col, F.col("seq").cast("long").alias("seq"), "s.speaker", "s.text",
                     "s.start_ms", "s.end_ms"))
+    return long if rest is None else long.unionByName(rest.filter(F.col("text").isNotNull()))
 
 
-def rebuild_text(wide: DataFrame, max_sentence: int, id_col: str = "id") -> DataFrame:
-    """Tagged text rebuilt from slots, stopping at the first empty slot."""
+def rebuild_text(wide: DataFrame, max_sentence: int, id_col: str = "id", rest: DataFrame | None = None) -> DataFrame:
+    """Tagged text rebuilt from slots, stopping at the first empty slot.  ``rest``:
+    the utterances beyond the slots, which follow where no slot is empty."""
     arr = F.array(*[F.struct(F.col(f"S{n}_Speaker").alias("speaker"), F.col(f"S{n}").alias("text"))
                     for n in range(max_sentence)])
     first_null = F.array_position(F.transform("__a", lambda x: x["text"].isNull()), F.lit(True))
     kept = F.when(first_null == 0, F.col("__a")).otherwise(
         F.slice("__a", 1, F.greatest(first_null - 1, F.lit(0))))
-    return (wide.select(id_col, arr.alias("__a"))
-            .select(id_col, F.array_join(F.transform(kept, lambda x: speaker_tag(x["speaker"], x["text"])),
-                                         " ").alias("text")))
+    out = (wide.select(id_col, arr.alias("__a"))
+           .select(id_col, F.array_join(F.transform(kept, lambda x: speaker_tag(x["speaker"], x["text"])), " ").alias("text"),
+                   (first_null == 0).alias("__full")))
+    if rest is None:
+        return out.drop("__full")
+    empty = rest.filter(F.col("text").isNull()).groupBy(id_col).agg(F.min("seq").alias("__stop"))
+    more = blocked.join_null_safe(rest, empty, [id_col], "left").filter(F.col("__stop").isNull() | (F.col("seq") < F.col("__stop")))
+    more = assemble_calls(tag_speaker(more), id_col).select(id_col, F.col("text").alias("__more"))
+    joined = blocked.join_null_safe(out, more, [id_col], "left")
+    text = F.when(F.col("__full") & F.col("__more").isNotNull(), F.concat_ws(" ", "text", "__more")).otherwise(F.col("text"))
+    return joined.select(id_col, text.alias("text"))
 
 
 def last_sequence(df: DataFrame, id_col: str = "id", seq: str = "seq",

@@ -118,8 +118,8 @@ METRIC_DOUBLES = ["accuracy", "precision", "recall", "specificity", "f1", "npv",
 
 def u_sql(seed: str, key: str) -> str:
     """DuckDB form of ``functions.uniform_hash``; ``seed`` is a SQL expression."""
-    return (f"(CAST('0x' || substr(md5(CAST({seed} AS VARCHAR) || ':' || CAST({key} AS VARCHAR)), 1, 8) "
-            f"AS UBIGINT) / 4294967296.0)")
+    return (f"(CAST('0x' || substr(md5(CAST({seed} AS VARCHAR) || ':' || CAST({key} AS VARCHAR)), 1, 13) "
+            f"AS UBIGINT) / 4503599627370496.0)")
 
 
 V2_LABELS = """v2l AS (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from callscope.operators import metrics, resample, smoothing
+from callscope.operators import metrics, ml, resample
 from callscope.plans import views
 from callscope.plans.oracle import auroc_ap_ctes, binary_metrics_cte, sql, u_sql
 from callscope.plans.q_eval import smoothed_calls
@@ -108,6 +108,18 @@ def upsample_by_row(spark, sf):
     return resample.upsample(v3, "id", "y", rate=0.35, by_id=False, row_key="s_id", seed=SEED).drop("s_id")
 
 
+@query("upsample_prevalence", sql(
+    ["v3"],
+    ["t AS (SELECT id, seq, y, CAST(id AS VARCHAR) || '_' || CAST(seq AS VARCHAR) AS s_id FROM v3 WHERE y = 1)",
+     f"r AS (SELECT *, row_number() OVER (ORDER BY {u_sql('42', 's_id')}, s_id) AS rk, COUNT(*) OVER () AS n FROM t)",
+     "a AS (SELECT COUNT(*) AS n, SUM(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS pos FROM v3)",
+     "b AS (SELECT COUNT(*) AS c FROM r WHERE rk <= round_even(n * 0.35, 0))"],
+    "SELECT a.n + b.c AS n_rows, b.c AS n_copies, a.pos / a.n AS prevalence_before, (a.pos + b.c) / (a.n + b.c) AS prevalence FROM a, b",
+    round6=["prevalence_before", "prevalence"]))
+def upsample_prevalence(spark, sf):
+    return finish(resample.upsample_prevalence(upsample_by_row(spark, sf), "y"))
+
+
 # --- E27 K9 P4: configuration selection by per-call AUROC after smoothing ----------------------
 _CONFIGS = [(0, "identity"), (1, "square"), (2, "complement")]
 
@@ -130,19 +142,10 @@ def _config_score(p):
     "SELECT method, config, CAST(ordinal AS INTEGER) AS ordinal, auroc FROM r_rank "
     "QUALIFY row_number() OVER (PARTITION BY method ORDER BY auroc DESC, ordinal) = 1", round6=["auroc"]))
 def best_config(spark, sf):
-    """Score every configuration as a column value, smooth and pool per call,
-    evaluate all in one grouped job, keep the first best per aggregator."""
+    """Every configuration scores every segment; ``ml.select_best`` smooths and pools
+    per call, evaluates all in one grouped job and keeps the first best."""
     v3 = views.segment_scores(spark, sf)
     cfg = spark.createDataFrame(_CONFIGS, "ordinal INT, config STRING")
-    sc = v3.crossJoin(F.broadcast(cfg)).withColumn("p", _config_score(F.col("p")))
-    sm = smoothing.moving_average(sc, 3, ["p"], id_col=["ordinal", "id"])
-    pooled = (sm.groupBy("ordinal", "config", "id").agg(F.max("p").alias("p_max"), F.avg("p").alias("p_avg"),
-                                                        F.max("y").alias("y")))
-    long = pooled.select("ordinal", "config", "id", "y",
-                         F.explode(F.array(F.struct(F.lit("max").alias("method"), F.col("p_max").alias("p")),
-                                           F.struct(F.lit("average").alias("method"), F.col("p_avg").alias("p"))))
-                         .alias("m")).select("ordinal", "config", "id", "y", "m.method", "m.p")
-    r = metrics.auroc_ap(long, group=["method", "ordinal", "config"])
-    best = r.groupBy("method").agg(F.max_by(F.struct("config", "ordinal", "auroc"),
-                                            F.struct(F.col("auroc"), -F.col("ordinal"))).alias("b"))
-    return finish(best.select("method", "b.config", "b.ordinal", "b.auroc"))
+    scored = v3.crossJoin(F.broadcast(cfg)).withColumn("p", _config_score(F.col("p"))).select("config", "ordinal", "id", "seq", "p")
+    labels = v3.groupBy("id").agg(F.max("y").alias("y"))
+    return finish(ml.select_best(scored, labels, window=3)[1])

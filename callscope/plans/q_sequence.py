@@ -107,15 +107,15 @@ def wide_slots(spark, sf):
 
 @query("wide_to_long", sql(["v1"], [], "SELECT id, seq, speaker, text, start_ms, end_ms FROM v1"))
 def wide_to_long(spark, sf):
-    wide = sequence.wide_slots(views.utterances(spark, sf), MAX_SENTENCE)
-    return sequence.wide_to_long(wide, MAX_SENTENCE)
+    utt = views.utterances(spark, sf)
+    return sequence.wide_to_long(sequence.wide_slots(utt, MAX_SENTENCE), MAX_SENTENCE, rest=sequence.beyond_slots(utt, MAX_SENTENCE))
 
 
 @query("rebuild_text_from_slots", sql(
     ["v1"], [], f"SELECT id, string_agg({TAG_SQL}, ' ' ORDER BY seq) AS text FROM v1 GROUP BY id"))
 def rebuild_text_from_slots(spark, sf):
-    wide = sequence.wide_slots(views.utterances(spark, sf), MAX_SENTENCE)
-    return sequence.rebuild_text(wide, MAX_SENTENCE)
+    utt = views.utterances(spark, sf)
+    return sequence.rebuild_text(sequence.wide_slots(utt, MAX_SENTENCE), MAX_SENTENCE, rest=sequence.beyond_slots(utt, MAX_SENTENCE))
 
 
 # --- C10 F6 ----------------------------------------------------------------------------------------
@@ -182,15 +182,17 @@ def json_scan(spark, sf):
                                  F.max_by("end_ms", "seq").alias("end_ms"))
 
 
-@query("csv_round_trip", sql(["v4"], [], "SELECT id, p, y, CAST(id % 3 AS INTEGER) AS time_cut FROM v4",
+@query("csv_round_trip", sql(["v4"], [], "SELECT id, p, y, 'say \"' || CAST(id AS VARCHAR) || '\", \\ ok' || chr(10) || 'next; line' AS note, "
+                                         "CAST(id % 3 AS INTEGER) AS time_cut FROM v4",
                              round6=["p"]))
 def csv_round_trip(spark, sf):
     """Scores written as CSV partitioned by a run parameter and read back with
     a declared schema (partition column recovered from the folder names)."""
-    v4 = views.call_scores(spark, sf).withColumn("time_cut", (F.col("id") % 3).cast("int"))
+    note = F.concat(F.lit('say "'), F.col("id").cast("string"), F.lit('", \\ ok\nnext; line'))
+    v4 = views.call_scores(spark, sf).select("id", "p", "y", note.alias("note"), (F.col("id") % 3).cast("int").alias("time_cut"))
     path = _scratch(spark, "scores-csv")
     sinks.write_csv(v4, path, ["time_cut"])
-    back = call_src.read_csv(spark, path, "id BIGINT, p DOUBLE, y INT, time_cut INT")
+    back = call_src.read_csv(spark, path, "id BIGINT, p DOUBLE, y INT, note STRING, time_cut INT")
     return finish(back)
 
 

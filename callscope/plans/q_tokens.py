@@ -12,7 +12,7 @@ from callscope.plans.registry import finish, query
 from callscope.session import cut_lineage
 from callscope.sources.tables import table
 
-MAX_LEN = 32
+MAX_LEN = 256
 RUN = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 SPLIT_SQL = "list_filter(regexp_split_to_array({t}, '[ \\t\\n\\r]+'), lambda x: x <> '')"
 

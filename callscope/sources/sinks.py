@@ -13,7 +13,7 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 
 def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    w = df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8")
+    w = df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").option("escape", '"')
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)
