@@ -10,16 +10,11 @@ import types
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callscope.session import cut_lineage
 
-#: Entries after which a worker's cache is emptied (bounds its memory).
-CACHE_ENTRIES = 600_000
-
-
 def worker_cache(name: str, make):
     """An object that lives as long as the Python worker, so that tasks that run
     one after the other in a worker share what they have computed."""
@@ -29,18 +24,28 @@ def worker_cache(name: str, make):
     return getattr(holder, name)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hash of every word."""
-    known = worker_cache("words", _WordHashes)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def word_hashes(raws: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (runs of bytes other than white space) of a batch of
+    texts, and where each text's words begin and end among them; ``lower``: A-Z count
+    as a-z.  All at once, by prefix sums of powers of an odd number times a random
+    value for each byte."""
+    buf = np.frombuffer(b" " + b" ".join(raws) + b" ", np.uint8)
+    space = _SPACE[buf]
+    start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    end = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    powers = worker_cache("powers_word", lambda: _Powers(99)).get(len(buf))
+    values = np.random.default_rng(77).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    if lower:
+        values[65:91] = values[97:123]
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(values[buf] * powers[0], dtype=np.uint64, out=sums[1:])
+    hashes = mix((sums[end] - sums[start]) * powers[1][start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    at = np.cumsum([1, *(len(r) + 1 for r in raws)])
+    return hashes, np.searchsorted(start, at)
 
 
 def _multipliers(k: int, seed: int) -> np.ndarray:

@@ -35,20 +35,23 @@ from callscope.session import cut_lineage
 BUCKETS, FILTER_BITS = 1 << 18, 1 << 22
 #: A bucket is crowded from this count, or this many times the mean.
 CROWDED, TIMES_MEAN = 64, 4
-#: Groups of a list in one block.
-BLOCK = 512
+#: Groups of a list in one block, and pairs that are compared at a time.
+BLOCK, PAIRS = 512, 1 << 17
 
 
-def shingle_set(text: str | None, k: int, lower: bool) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's word n-grams."""
-    raw = (text or "").encode()
-    words = (raw.lower() if lower else raw).split()  # bytes: A-Z alone
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(words) < k:
-        h = word_hashes(words)
-        return mix(np.array([(h * _multipliers(len(h), 1000 + len(h))).sum()], np.uint64))
-    return np.unique(shingle_hashes(word_hashes(words), k))
+def shingle_sets(texts: list[str | None], k: int, lower: bool) -> list[np.ndarray]:
+    """The sorted distinct 64-bit hashes of each text's word n-grams."""
+    hashes, at = word_hashes([(t or "").encode() for t in texts], lower)
+    every = shingle_hashes(hashes, k)  # those across two texts are not used
+    out = []
+    for a, b in zip(at.tolist(), at[1:].tolist()):
+        if b - a >= k:
+            out.append(np.unique(every[a:b - k + 1]))
+        elif b > a:
+            out.append(mix(np.array([(hashes[a:b] * _multipliers(b - a, 1000 + b - a)).sum()], np.uint64)))
+        else:
+            out.append(hashes[:0])
+    return out
 
 
 def class_id(s: np.ndarray) -> int:
@@ -89,8 +92,9 @@ def _prefix(s: np.ndarray, measure: Measure, crowded: np.ndarray) -> np.ndarray:
 
 
 def _sketch(s: np.ndarray) -> bytes:
-    """Parities of the n-grams by bit; as many bits as n-grams, up to a power of two."""
-    bits = 1 << max(7, (len(s) - 1).bit_length())
+    """Parities of the n-grams by bit: half as many bits as n-grams, up to a power of
+    two, tell sets apart that share less than most of them."""
+    bits = 1 << max(7, (len(s) - 1).bit_length() - 1)
     odd = np.bincount((mix(s ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -103,51 +107,61 @@ def _fold(words: np.ndarray, width: int) -> np.ndarray:
 
 
 class _Sketches:
-    """The sketches of a block's classes, by their width."""
+    """The sketches of a batch of classes, folded to any smaller width on demand."""
 
     def __init__(self, raw: list[bytes]):
-        self.raw = raw
-        self.width = np.array([len(r) // 8 for r in raw])
-
-    def rows(self, at: np.ndarray, width: int) -> np.ndarray:
-        out = np.empty((len(at), width), np.uint64)
-        for w in np.unique(self.width[at]):
-            own = np.flatnonzero(self.width[at] == w)
-            out[own] = _fold(np.frombuffer(b"".join([self.raw[i] for i in at[own].tolist()]), np.uint64).reshape(len(own), w), width)
+        self.width = np.array([len(r) // 8 for r in raw], np.int64)
+        self.place = np.zeros(len(raw), np.int64)
+        self.full, self.folded = {}, {}
+        for w in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == w)
+            self.place[own] = np.arange(len(own))
+            self.full[w] = np.frombuffer(b"".join([raw[i] for i in own.tolist()]), np.uint64).reshape(len(own), w)
+
+    def _at(self, own: int, width: int) -> np.ndarray:
+        if (own, width) not in self.folded:
+            self.folded[own, width] = _fold(self.full[own], width)
+        return self.folded[own, width]
+
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For pairs of rows, the bits in which their sketches (of one width) differ."""
+        out = np.zeros(len(a), np.int64)
+        kind = self.width[a] * (1 << 32) + self.width[b]
+        for code in np.unique(kind).tolist():
+            wa, wb = divmod(code, 1 << 32)
+            w, own = min(wa, wb), np.flatnonzero(kind == code)
+            x, y = self._at(wa, w)[self.place[a[own]]], self._at(wb, w)[self.place[b[own]]]
+            out[own] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
         return out
 
 
-def _near(n: np.ndarray, sketches: _Sketches, left: np.ndarray, right: np.ndarray, same: bool, measure: Measure):
-    """Pairs (of left and right rows) that sizes and sketches allow."""
-    out = []
-    right = right[np.argsort(n[right], kind="stable")]
-    sizes = n[right]
-    for width in np.unique(sketches.width[left]):
-        own = left[sketches.width[left] == width]
-        for at in range(0, len(own), 256):
-            rows = own[at:at + 256]
-            lo = np.searchsorted(sizes, (measure.num * n[rows].min() + measure.den - 1) // measure.den, "left")
-            hi = np.searchsorted(sizes, measure.den * n[rows].max() // measure.num, "right")
-            others = right[lo:hi]
-            for w2 in np.unique(sketches.width[others]):
-                them = others[sketches.width[others] == w2]
-                w = min(width, w2)
-                a, b = sketches.rows(rows, w), sketches.rows(them, w)
-                differ = np.zeros((len(rows), len(them)), np.int64)
-                for c in range(w):
-                    differ += np.bitwise_count(a[:, c, None] ^ b[None, :, c])
-                na, nb = n[rows][:, None], n[them][None, :]
-                i, j = np.nonzero((differ <= measure.difference(na, nb)) & measure.sizes(na, nb))
-                i, j = rows[i], them[j]
-                out.append((i[i < j], j[i < j]) if same else (i, j))
-    if not out:
-        return np.empty(0, int), np.empty(0, int)
-    return tuple(np.concatenate(c) for c in zip(*out))
+def _pairs(first: np.ndarray, size: np.ndarray):
+    """Chunks of (list, a, b): all pairs of rows of each list (rows first .. first + size)."""
+    for c in np.unique(size[size > 1]).tolist():
+        lists = np.flatnonzero(size == c)
+        if c * (c - 1) // 2 > PAIRS:  # one row against the others at a time
+            for i in lists.tolist():
+                for x in range(c - 1):
+                    b = np.arange(x + 1, c) + first[i]
+                    yield np.full(len(b), i), np.full(len(b), first[i] + x), b
+            continue
+        x, y = np.triu_indices(c, 1)
+        step = max(1, PAIRS // len(x))
+        for at in range(0, len(lists), step):
+            some = lists[at:at + step]
+            yield np.repeat(some, len(x)), (first[some][:, None] + x).ravel(), (first[some][:, None] + y).ravel()
+
+
+def _near(n: np.ndarray, sketches: _Sketches, a: np.ndarray, b: np.ndarray, measure: Measure) -> np.ndarray:
+    """Which pairs the sizes and sketches allow."""
+    ok = np.flatnonzero(measure.sizes(n[a], n[b]))
+    differ = sketches.differ(a[ok], b[ok])
+    return ok[differ <= measure.difference(n[a[ok]], n[b[ok]])]
 
 
 def _sets(batches, text, k, lower):
-    for batch in small_batches(batches, text):
-        sets = [shingle_set(t, k, lower) for t in column(batch, text).to_pylist()]
+    for batch in small_batches(batches, text, 2 << 20):
+        sets = shingle_sets(column(batch, text).to_pylist(), k, lower)
         yield batch, sets, [class_id(s) if len(s) else None for s in sets]
 
 
@@ -253,33 +267,37 @@ def _candidates(lists: DataFrame, members: DataFrame, measure: Measure) -> DataF
 
     def run(batches):
         for batch in batches:
-            out = []
-            for token, i, j, them in zip(*(column(batch, c).to_pylist() for c in ("token", "i", "j")), column(batch, "rows"), strict=True):
-                them = them.values
-                if len(them) < 2:
-                    continue
-                n, block = them.field("n").to_numpy(), them.field("block").to_numpy()
-                cid, sketches = them.field("cid").to_numpy(), _Sketches(them.field("sketch").to_pylist())
-                every = np.arange(len(n))
-                a, b = (_near(n, sketches, every, every, True, measure) if i == j
-                        else _near(n, sketches, every[block == i], every[block == j], False, measure))
-                if not len(a):
-                    continue
-                # of the lists where a pair meets, that of the least n-gram passes it on (as far as the leads tell)
-                leads = them.field("lead")
-                lead = np.full((len(n), 4), np.iinfo(np.int64).max)
-                sizes = leads.value_lengths().to_numpy()
-                at = np.repeat(every, sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                lead[at] = leads.flatten().to_numpy()
-                earlier = np.zeros(len(a), bool)
-                for x in range(4):
-                    for y in range(4):
-                        earlier |= (lead[a, x] == lead[b, y]) & (lead[a, x] < token)
-                a, b = cid[a[~earlier]], cid[b[~earlier]]
-                out.append(np.column_stack([np.minimum(a, b), np.maximum(a, b)]))
-            if out:
-                pairs = np.unique(np.concatenate(out), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+            for at in range(0, batch.num_rows, 4096):
+                pairs = compare(batch.slice(at, 4096))
+                if len(pairs):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+
+    def compare(batch):
+        lists = column(batch, "rows")
+        size = lists.value_lengths().to_numpy()
+        token, i, j = (column(batch, c).to_numpy() for c in ("token", "i", "j"))
+        them = lists.flatten()
+        n, cid, block = (them.field(c).to_numpy() for c in ("n", "cid", "block"))
+        sketches, first = _Sketches(them.field("sketch").to_pylist()), np.cumsum(size) - size
+        # of the lists where a pair meets, that of the least n-gram passes it on (as far as the leads tell)
+        leads = them.field("lead")
+        held = leads.value_lengths().to_numpy()
+        lead = np.full((len(n), 4), np.iinfo(np.int64).max)
+        rows = np.repeat(np.arange(len(n)), held)
+        lead[rows, np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)] = leads.flatten().to_numpy()
+        out = [np.empty((0, 2), np.int64)]
+        for which, a, b in _pairs(first, size):
+            across = (i[which] == j[which]) | (block[a] != block[b])
+            which, a, b = which[across], a[across], b[across]
+            for x in range(4):
+                for y in range(4):
+                    later = (lead[a, x] == lead[b, y]) & (lead[a, x] < token[which])
+                    if later.any():
+                        which, a, b = which[~later], a[~later], b[~later]
+            ok = _near(n, sketches, a, b, measure)
+            a, b = cid[a[ok]], cid[b[ok]]
+            out.append(np.column_stack([np.minimum(a, b), np.maximum(a, b)]))
+        return np.unique(np.concatenate(out), axis=0)
 
     return met.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
@@ -336,7 +354,8 @@ def similarity_components(df: DataFrame, key: str = "doc_id", text: str = "text"
     named = cut_lineage(docs.mapInArrow(name, f"__key {kind}, n long, cid long"))
     crowded = _crowded(docs, "__text", k, lower, measure)
     lists = cut_lineage(_lists(_entries(docs, "__text", k, lower, measure, crowded)))
-    pairs = cut_lineage(_candidates(lists, _members(docs, "__text", k, lower, measure, crowded), measure))
+    members = cut_lineage(_members(docs, "__text", k, lower, measure, crowded))
+    pairs = cut_lineage(_candidates(lists, members, measure))
     groups = components(_links(pairs, docs, "__text", k, lower, measure)).withColumnRenamed("id", "cid")
     classes = named.where("cid is not null").groupBy("cid").agg(F.min("__key").alias("least"))
     whole = classes.join(groups, "cid", "left").withColumn("component", F.coalesce("component", "cid"))

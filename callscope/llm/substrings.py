@@ -34,15 +34,14 @@ from callscope.session import cut_lineage
 
 
 class _Document:
-    """The words of a text, and its paths: representative, hash, first window, end."""
+    """The paths of a document's words: representative, hash, first window, end."""
 
-    def __init__(self, text: str | None, window: int, k: int):
-        self.words = (text or "").encode().split()
+    def __init__(self, words: np.ndarray, window: int, k: int):
         self.path = self.whole = np.empty(0, np.int64)
         self.start = self.end = np.empty(0, np.int64)
-        if len(self.words) < window:
+        if len(words) < window:
             return
-        self.spans = Spans(word_hashes(self.words))
+        self.spans = Spans(words)
         least = sliding_min(self.spans.every(k), window - k + 1)
         self.start = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
         self.end = np.r_[self.start[1:], len(least)]
@@ -57,6 +56,11 @@ class _Document:
         return as_long(self.spans.hash(at, at + self.window))
 
 
+def _documents(texts: list[str | None], window: int, k: int) -> list[_Document]:
+    hashes, at = word_hashes([(t or "").encode() for t in texts])
+    return [_Document(hashes[a:b], window, k) for a, b in zip(at, at[1:])]
+
+
 def _longs(*names):
     return T.StructType([T.StructField(n, T.LongType()) for n in names])
 
@@ -66,10 +70,9 @@ def _paths(docs: DataFrame, key: str, text: str, window: int, k: int) -> DataFra
     schema = _longs("path", "whole", "doc")
 
     def run(batches):
-        for batch in small_batches(batches, text):
+        for batch in small_batches(batches, text, 2 << 20):
             rows = []
-            for doc, t in zip(column(batch, key).to_pylist(), column(batch, text).to_pylist(), strict=True):
-                d = _Document(t, window, k)
+            for doc, d in zip(column(batch, key).to_pylist(), _documents(column(batch, text).to_pylist(), window, k), strict=True):
                 if doc is not None and len(d.path):
                     own = np.unique(np.column_stack([d.path, d.whole]), axis=0)
                     rows.append(np.column_stack([own, np.full(len(own), doc)]))
@@ -93,14 +96,13 @@ def _branching_windows(docs: DataFrame, key: str, text: str, window: int, k: int
     schema = _longs("path", "own", "doc")
 
     def run(batches):
-        for batch in small_batches(batches, text):
+        for batch in small_batches(batches, text, 2 << 20):
             rows = []
             flags = _structs(column(batch, "flags"), ("path", "whole", "source"))
-            for doc, t, f in zip(column(batch, key).to_pylist(), column(batch, text).to_pylist(), flags, strict=True):
+            for doc, d, f in zip(column(batch, key).to_pylist(), _documents(column(batch, text).to_pylist(), window, k), flags, strict=True):
                 mine = f["source"] == doc
                 first = set(zip(f["path"][mine].tolist(), f["whole"][mine].tolist(), strict=True))
                 if first:
-                    d = _Document(t, window, k)
                     for i, own in enumerate(zip(d.path.tolist(), d.whole.tolist(), strict=True)):
                         if own in first:
                             first.discard(own)
@@ -112,11 +114,10 @@ def _branching_windows(docs: DataFrame, key: str, text: str, window: int, k: int
     return docs.mapInArrow(run, schema)
 
 
-def _kept(t: str | None, doc, flags: dict, later: dict, window: int, k: int) -> tuple[str, int, int]:
+def _kept(t: str | None, d: _Document, doc, flags: dict, later: dict, window: int) -> tuple[str, int, int]:
+    words = (t or "").encode().split()
     if not len(flags["path"]):
-        words = (t or "").encode().split()
         return b" ".join(words).decode(), len(words), 0
-    d = _Document(t, window, k)
     old = flags["source"] < doc
     decided = set(zip(flags["path"][old].tolist(), flags["whole"][old].tolist(), strict=True))
     some = {}
@@ -124,7 +125,7 @@ def _kept(t: str | None, doc, flags: dict, later: dict, window: int, k: int) ->
     paths, at = np.unique(later["path"][order], return_index=True)
     for p, own in zip(paths.tolist(), np.split(later["own"][order], at[1:])):  # of no path, one empty part
         some[p] = own
-    change = np.zeros(len(d.words) + 1, np.int64)
+    change = np.zeros(len(words) + 1, np.int64)
     for i, (path, whole) in enumerate(zip(d.path.tolist(), d.whole.tolist(), strict=True)):
         if (path, whole) in decided:
             change[d.start[i]] += 1
@@ -134,8 +135,8 @@ def _kept(t: str | None, doc, flags: dict, later: dict, window: int, k: int) ->
             np.add.at(change, hit, 1)
             np.add.at(change, hit + window, -1)
     stay = np.cumsum(change[:-1]) == 0
-    kept = [w for w, s in zip(d.words, stay.tolist(), strict=True) if s]
-    return b" ".join(kept).decode(), len(d.words), len(d.words) - len(kept)
+    kept = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
+    return b" ".join(kept).decode(), len(words), len(words) - len(kept)
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50, k: int = 20,
@@ -173,10 +174,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                            T.StructField(out, T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def run(batches):
-        for batch in small_batches(batches, "__text"):
+        for batch in small_batches(batches, "__text", 2 << 20):
             flags, later = (_structs(column(batch, c), n) for c, n in (("flags", ("path", "whole", "source")), ("later", ("path", "own"))))
-            got = [_kept(t, doc, f, x, window, k) for t, doc, f, x in zip(
-                column(batch, "__text").to_pylist(), column(batch, "__key").to_pylist(), flags, later, strict=True)]
+            texts = column(batch, "__text").to_pylist()
+            got = [_kept(t, d, doc, f, x, window) for t, d, doc, f, x in zip(
+                texts, _documents(texts, window, k), column(batch, "__key").to_pylist(), flags, later, strict=True)]
             texts, n, gone = zip(*got)
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in source), pa.array(texts, pa.string()),
                                               pa.array(n, pa.int64()), pa.array(gone, pa.int64())], schema.names)

@@ -48,6 +48,7 @@ def test_against_brute_force(spark, monkeypatch, k, num, den, crowded, block):
     monkeypatch.setattr(jaccard, "CROWDED", crowded)
     monkeypatch.setattr(jaccard, "TIMES_MEAN", 0)
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "PAIRS", 40 * block)
     rng = random.Random(4)
     base = [[rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("xyz") for _ in range(rng.choice((5, 40, 90, 400)))] for _ in range(12)]
     line = "this common line is in many of the documents here".split()
@@ -75,5 +76,6 @@ def test_sketches_never_lose_a_pair():
         for part in (0, 0.02, 0.05, 0.07):
             b = np.unique(np.concatenate([a[int(part * n):], random_.integers(0, 2**63, int(part * n / 2), dtype=np.uint64)]))
             common = len(np.intersect1d(a, b))
-            got = jaccard._near(np.array([len(a), len(b)]), jaccard._Sketches([jaccard._sketch(a), jaccard._sketch(b)]), np.array([0]), np.array([1]), False, measure)
-            assert len(got[0]) >= measure.linked(common, len(a), len(b))
+            sketches = jaccard._Sketches([jaccard._sketch(a), jaccard._sketch(b)])
+            got = jaccard._near(np.array([len(a), len(b)]), sketches, np.array([0]), np.array([1]), measure)
+            assert len(got) >= measure.linked(common, len(a), len(b))
