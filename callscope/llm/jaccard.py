@@ -55,7 +55,8 @@ def shingle_sets(texts: list[str | None], k: int, lower: bool) -> list[np.ndarra
 
 
 def class_id(s: np.ndarray) -> int:
-    return int(as_long(mix(np.array([mix(s + np.uint64(1)).sum() + np.uint64(len(s))], np.uint64)))[0])
+    size = np.array([len(s)], np.uint64)
+    return int(as_long(mix(size + mix(s + np.uint64(1)).sum()))[0])
 
 
 class Measure:
@@ -201,7 +202,8 @@ def _entries(docs: DataFrame, text: str, k: int, lower: bool, measure: Measure,
 
 
 def _group(prefix: np.ndarray, n: int) -> int:
-    return int(as_long(mix(np.array([mix(prefix).sum() + np.uint64(n) * np.uint64(0x9E3779B97F4A7C15)], np.uint64)))[0])
+    size = np.array([n], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return int(as_long(mix(size + mix(prefix).sum()))[0])
 
 
 def _lists(entries: DataFrame) -> DataFrame:

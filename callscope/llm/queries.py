@@ -10,12 +10,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm import ann, bpe, html_blocks, jaccard, packing, quality, rabitq, secrets, substrings, warc
+from callscope.llm import ann, bpe, html_blocks, jaccard, oracle, packing, quality, rabitq, secrets, substrings, warc
 from callscope.llm.common import table
 from callscope.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_warc": oracle.WARC, "op4_jaccard": oracle.JACCARD, "op7_substrings": oracle.SUBSTRINGS,
+                         "op10_near_vectors": oracle.NEAR_VECTORS}
 
 
 def query(fn):
