@@ -22,8 +22,9 @@ def per_replicate(sample):
     return m.select("k", *[F.col("ap" if c == "auprc" else c).alias(c) for c in BOOT_METRICS])
 
 
-def _summary_sql(src_ctes, src: str) -> str:
-    aggs = []
+def _summary_sql(src_ctes, src: str, threshold: str = str(THRESHOLD), group: tuple[str, ...] = ()) -> str:
+    by = [*group, "k"]
+    aggs = list(group)
     doubles = []
     for m in BOOT_METRICS:
         aggs += [f"AVG({m}) AS {m}_mean", f"stddev_pop({m}) AS {m}_std",
@@ -31,9 +32,9 @@ def _summary_sql(src_ctes, src: str) -> str:
         doubles += [f"{m}_mean", f"{m}_std"]
     return sql(
         ["v3"] if "v3" in " ".join(src_ctes) or src == "s_ids" else ["v4"],
-        src_ctes + [binary_metrics_cte(src, "bm", str(THRESHOLD), ["k"]), *auroc_ap_ctes(src, ["k"]),
-                    "per AS (SELECT bm.*, r.auroc, r.ap AS auprc FROM bm JOIN r_rank r USING (k))"],
-        "SELECT " + ", ".join(aggs) + " FROM per", round6=doubles)
+        src_ctes + [binary_metrics_cte(src, "bm", threshold, by), *auroc_ap_ctes(src, by),
+                    f"per AS (SELECT bm.*, r.auroc, r.ap AS auprc FROM bm JOIN r_rank r USING ({', '.join(by)}))"],
+        "SELECT " + ", ".join(aggs) + " FROM per" + (f" GROUP BY {', '.join(group)}" if group else ""), round6=doubles)
 
 
 @query("bootstrap_rows", _summary_sql(
@@ -68,6 +69,29 @@ def bootstrap_ids(spark, sf):
     return finish(resample.bootstrap_summary(per_replicate(s), BOOT_METRICS))
 
 
+#: stand-in models: a score of the call score, and the model's own operating threshold
+_MODELS = [("plain", "p", 0.5), ("square", "p * p", 0.25), ("complement", "1.0 - p", 0.4)]
+
+
+@query("bootstrap_by_model", _summary_sql(
+    _CALLS_SQL + ["ids AS (SELECT DISTINCT dr.k, ix.id FROM dr JOIN ix ON dr.idx = ix.idx)",
+                  "scored AS (" + " UNION ALL ".join(f"SELECT '{m}' AS model, id, {e} AS p, y, {t} AS t FROM calls" for m, e, t in _MODELS) + ")",
+                  "s_m AS (SELECT scored.model, ids.k, scored.id, scored.p, scored.y, scored.t FROM ids JOIN scored ON ids.id = scored.id)"],
+    "s_m", "t", ("model",)))
+def bootstrap_by_model(spark, sf):
+    """J3 + E25/E26 with a model dimension: every model scores the same drawn ids, is
+    cut at its own threshold, and has its row of means and deviations."""
+    calls = cut_lineage(smoothed_calls(spark, sf, 3, "max"))  # call-level stage table, read 3 times
+    draws = resample.bootstrap_ids(calls, "id", BOOT_K, BOOT_RATE, SEED, distinct=True)
+    models = F.array(*[F.struct(F.lit(m).alias("model"), F.expr(e).alias("p"), F.lit(t).alias("t")) for m, e, t in _MODELS])
+    scored = calls.select("id", "y", F.inline(models))
+    s = cut_lineage(draws.join(scored, "id"))  # read by both kinds of metrics
+    by = ["model", "k"]
+    per = (metrics.binary_metrics(s, threshold="t", group=by).join(metrics.auroc_ap(s, group=by), by)
+           .withColumnRenamed("ap", "auprc"))
+    return finish(resample.bootstrap_summary(per, BOOT_METRICS, ["model"]))
+
+
 @query("inference_extract", sql(
     ["v4"],
     [f"ix AS (SELECT id, row_number() OVER (ORDER BY {u_sql('42', 'id')}, id) - 1 AS idx, COUNT(*) OVER () AS n FROM v4)",
