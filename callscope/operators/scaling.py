@@ -27,6 +27,14 @@ def apply_scaler(long: DataFrame, scaler: DataFrame, out: str = "z") -> DataFram
             .drop("mean", "std"))
 
 
+def apply_to_vectors(df: DataFrame, scaler: DataFrame, features: str = "features", out: str = "features") -> DataFrame:
+    """Standardised vectors, without a shuffle of the rows: the statistics become one
+    row of arrays (as long as a vector) and are zipped with each vector."""
+    one = scaler.agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "std"))).alias("__scaler"))
+    z = F.zip_with(features, "__scaler", lambda x, s: (x - s["mean"]) / s["std"])
+    return df.crossJoin(F.broadcast(one)).withColumn(out, z).drop("__scaler")
+
+
 def to_vectors(long: DataFrame, value: str = "z", id_col: str = "id", out: str = "features") -> DataFrame:
     """Long -> dense ``ARRAY<DOUBLE>`` ordered by dim (one row per id)."""
     return (long.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("dim", value))).alias("__v"))

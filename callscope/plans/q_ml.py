@@ -32,10 +32,8 @@ def prepared(spark, sf, label: str = "y"):
     calls = seg.groupBy("call").agg(F.max("y").alias("y"))
     split = resample.stratified_split(calls, "call", "y", 42)
     seg = seg.join(split.select("call", "split"), "call")
-    long = scaling.to_long(seg)
-    sc = scaling.fit_scaler(long.join(seg.filter("split = 'train'").select("id"), "id", "left_semi"))
-    z = scaling.to_vectors(scaling.apply_scaler(long, sc))
-    out = seg.drop("features").join(z, "id").withColumn("label", F.col(label).cast("double"))
+    sc = scaling.fit_scaler(scaling.to_long(seg.filter("split = 'train'")))
+    out = scaling.apply_to_vectors(seg, sc).withColumn("label", F.col(label).cast("double"))
     return ml.with_vector(out), calls
 
 

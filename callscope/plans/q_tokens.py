@@ -132,6 +132,5 @@ def cross_entropy(spark, sf):
 def standardise_features(spark, sf):
     fv = views.feature_vectors(spark, sf)
     train = resample.stratified_split(fv.select("id", "y"), "id", "y", 42).filter("split = 'train'")
-    long = scaling.to_long(fv)
-    sc = scaling.fit_scaler(long.join(train.select("id"), "id", "left_semi"))
-    return finish(scaling.apply_scaler(long, sc).select("id", "dim", "z"))
+    sc = scaling.fit_scaler(scaling.to_long(fv.join(train.select("id"), "id", "left_semi")))
+    return finish(scaling.to_long(scaling.apply_to_vectors(fv, sc)).withColumnRenamed("x", "z").select("id", "dim", "z"))
