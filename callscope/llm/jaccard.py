@@ -9,7 +9,8 @@ size form a group.
 2. Groups are expanded to their classes.  The classes of a list (and those of a group
    among themselves) are compared in blocks by size and by parity sketches: the bits in
    which two sketches differ cannot outnumber the n-grams in which the sets do.
-3. What is left is verified on the sets, and the links give the components.
+3. What is left is verified on the sets: first one pair for each class, then the pairs
+   that these links have not connected.  The links give the components.
 
 No pair is passed on before the sketches have been compared, long lists are split into
 blocks, and copies are put together before every shuffle.  Broadcast are two bitmaps of
@@ -340,6 +341,19 @@ def _links(pairs: DataFrame, docs: DataFrame, text: str, k: int, lower: bool, me
     return both.mapInArrow(verify, "a long, b long")
 
 
+def _connections(pairs: DataFrame, *how) -> DataFrame:
+    """Links that connect all that the candidate pairs connect.  First each class is
+    compared with its smallest partner alone; then only pairs are left whose ends these
+    links have not yet brought together, so that of a group of n near copies few of the
+    n * n / 2 links are made."""
+    first = cut_lineage(_links(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), *how))
+    known = components(first)
+    rest = (pairs.join(known.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
+            .join(known.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
+            .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+    return first.unionByName(_links(cut_lineage(rest), *how))
+
+
 def similarity_components(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, num: int = 85, den: int = 100,
                           lower: bool = True) -> DataFrame:
     """(key, n_shingles, component_id) for every row: the size of its set of ``k``-word
@@ -358,7 +372,7 @@ def similarity_components(df: DataFrame, key: str = "doc_id", text: str = "text"
     lists = cut_lineage(_lists(_entries(docs, "__text", k, lower, measure, crowded)))
     members = cut_lineage(_members(docs, "__text", k, lower, measure, crowded))
     pairs = cut_lineage(_candidates(lists, members, measure))
-    groups = components(_links(pairs, docs, "__text", k, lower, measure)).withColumnRenamed("id", "cid")
+    groups = components(_connections(pairs, docs, "__text", k, lower, measure)).withColumnRenamed("id", "cid")
     classes = named.where("cid is not null").groupBy("cid").agg(F.min("__key").alias("least"))
     whole = classes.join(groups, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = whole.groupBy("component").agg(F.min("least").alias("component_id"))
