@@ -180,6 +180,21 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Bits of a filter of ids.
+FILTER_BITS = 1 << 22
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size, by the ids' remainder: whoever is not in it is not among
+    the ids (longs); others may be in it too."""
+    words = ids.select(F.expr(f"cast(pmod(id, {FILTER_BITS}) div 64 as int)").alias("w"),
+                       F.expr(f"shiftleft(1L, cast(pmod(id, {FILTER_BITS}) % 64 as int))").alias("m"))
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in words.groupBy("w").agg(F.bit_or("m").alias("m")).collect():  # of a fixed number
+        out[r.w] = r.m
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list of longs: (id, component), component
     being the smallest id that can be reached; ids without an edge do not appear.

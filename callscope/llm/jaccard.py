@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import _multipliers, as_long, column, components, mix, shingle_hashes, small_batches, word_hashes
+from callscope.llm.common import _multipliers, as_long, column, components, id_filter, mix, shingle_hashes, small_batches, word_hashes
 from callscope.session import cut_lineage
 
-#: Buckets that prefix n-grams are counted in, and the bits of the filter of classes.
-BUCKETS, FILTER_BITS = 1 << 18, 1 << 22
+#: Buckets that prefix n-grams are counted in.
+BUCKETS = 1 << 18
 #: A bucket is crowded from this count, or this many times the mean.
 CROWDED, TIMES_MEAN = 64, 4
 #: Groups of a list in one block, and pairs that are compared at a time.
@@ -305,23 +305,13 @@ def _candidates(lists: DataFrame, members: DataFrame, measure: Measure) -> DataF
     return met.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
-def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A bitmap (of FILTER_BITS) that holds the ids."""
-    bit = F.pmod("cid", F.lit(FILTER_BITS))
-    words = ids.select((bit / 64).cast("long").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(cid, {FILTER_BITS}) % 64 as int))").alias("m"))
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in words.groupBy("w").agg(F.bit_or("m").alias("m")).collect():  # of a fixed number
-        out[r.w] = r.m
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
-
-
 def _links(pairs: DataFrame, docs: DataFrame, text: str, k: int, lower: bool, measure: Measure) -> DataFrame:
     """The pairs whose sets are similar enough."""
-    wanted = _filter_of(pairs.select(F.explode(F.array("a", "b")).alias("cid")))
+    wanted = id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")))
 
     def find(batches):
         for _, sets, ids in _sets(batches, text, k, lower):
-            once = {c: s for c, s in zip(ids, sets, strict=True) if c is not None and wanted[c % FILTER_BITS]}
+            once = {c: s for c, s in zip(ids, sets, strict=True) if c is not None and wanted[c % len(wanted)]}
             yield pa.RecordBatch.from_arrays([pa.array(list(once), pa.int64()), pa.array([s.tobytes() for s in once.values()], pa.binary())], ["cid", "s"])
 
     sets = docs.select(text).mapInArrow(find, "cid long, s binary").groupBy("cid").agg(F.first("s").alias("s"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callscope.llm.common import Spans, as_long, column, mix, sliding_min, small_batches, word_hashes
+from callscope.llm.common import Spans, as_long, column, id_filter, mix, sliding_min, small_batches, word_hashes
 from callscope.session import cut_lineage
 
 
@@ -153,11 +153,22 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     whole = paths.groupBy("path", "whole").agg(F.min("doc").alias("source"), F.max("doc").alias("last"))
     repeated = (whole.groupBy("path").agg(F.min("source").alias("a"), F.max("last").alias("b"), (F.count("*") > 1).alias("branching"))
                 .where("a <> b").select("path", "branching"))
-    known = whole.join(repeated, "path").select("path", "whole", "source", "branching")
+    # (a repeated path that does not branch has a later copy; both sides read one exchange)
+    known = whole.join(repeated, "path").where("branching or last > source").select("path", "whole", "source", "branching")
     flags = cut_lineage(paths.join(known, ["path", "whole"]).where("source < doc or branching").groupBy("doc")
                         .agg(F.collect_list(F.struct("path", "whole", "source")).alias("flags")))  # at most a document's paths
 
-    first = texts.join(flags, texts["__key"] == flags["doc"]).select("__key", "__text", "flags")
+    # only documents with the first copy of a path are asked for its windows
+    firsts = flags.where(F.exists("flags", lambda f: f["source"] == F.col("doc")))
+    wanted = id_filter(firsts.select(F.col("doc").alias("id")))
+
+    def asked(batches):
+        for batch in batches:
+            keys = column(batch, "__key").to_pylist()
+            yield batch.filter(pa.array([x is not None and bool(wanted[x % len(wanted)]) for x in keys], pa.bool_()))
+
+    some = texts.mapInArrow(asked, texts.schema)
+    first = some.join(firsts, F.col("__key") == F.col("doc")).select("__key", "__text", "flags")
     windows = _branching_windows(first, "__key", "__text", window, k)
     twice = (windows.groupBy("path", "own").agg(F.min("doc").alias("source"), F.max("doc").alias("last"))
              .where("source <> last").select("path", "own", "source"))
