@@ -53,9 +53,12 @@ def _logits(w, x):
 
 def neighbours(x: np.ndarray, k: int) -> np.ndarray:
     """The k nearest of every row of a sample (of unit vectors)."""
-    s = x @ x.T
-    np.fill_diagonal(s, -2)
-    return np.argpartition(-s, min(k, len(x) - 1) - 1, axis=1)[:, :k]
+    out = []
+    for at in range(0, len(x), 512):  # of a bounded sample, some rows at a time
+        s = x[at:at + 512] @ x.T
+        s[np.arange(len(s)), at + np.arange(len(s))] = -2
+        out.append(np.argpartition(-s, min(k, len(x) - 1) - 1, axis=1)[:, :k])
+    return np.concatenate(out)
 
 
 def balanced_parts(x: np.ndarray, near: np.ndarray, parts: int, rounds: int = 12, slack: float = 1.05, seed: int = 0) -> np.ndarray:
