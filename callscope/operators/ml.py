@@ -14,14 +14,18 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest,
-                                       OneVsRestModel, RandomForestClassifier)
+from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
+                                       LogisticRegressionModel, OneVsRest, OneVsRestModel,
+                                       RandomForestClassifier)
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callscope.operators import metrics, smoothing
 
+#: Rows of a task of a boosted fit, and models that are chained in one plan.
+BOOST_ROWS, CHAIN = 16_384, 25
+
 
 def logspace(lo: float, hi: float, n: int) -> list[float]:
     """``n`` points 10**lo .. 10**hi (numpy.logspace)."""
@@ -77,12 +81,60 @@ def gbt_configs(depths: Sequence[int], iters: Sequence[int], seed: int = 42,
     return out
 
 
+def _booster(estimator: Estimator) -> GBTClassifier | None:
+    inner = estimator.getClassifier() if isinstance(estimator, OneVsRest) else estimator
+    return inner if isinstance(inner, GBTClassifier) else None
+
+
+def _shared(name: str, estimator: Estimator) -> tuple:
+    """Equal for boosted configurations that differ in the number of iterations alone."""
+    booster = _booster(estimator)
+    if booster is None or booster.isDefined("validationIndicatorCol"):
+        return (name, id(estimator))
+    return (type(estimator).__name__, repr(sorted((p.name, v) for p, v in booster.extractParamMap().items()
+                                                  if p.name != "maxIter")))
+
+
+def first_trees(model: Model, n: int) -> Model:
+    """The boosted model of the first ``n`` iterations: each tree is fitted to what the
+    earlier ones leave, so it equals a fit with ``maxIter = n``."""
+    if isinstance(model, OneVsRestModel):
+        out = model.copy()
+        out.models = [first_trees(m, n) for m in model.models]
+        return out
+    if n >= model.getNumTrees:
+        return model
+    jvm, whole = SparkSession.active()._jvm, model._java_obj
+    cut = jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+        f"{model.uid}_{n}", whole.trees()[:n], whole.treeWeights()[:n],
+        model.numFeatures, model.numClasses)
+    out = GBTClassificationModel(cut)
+    model._copyValues(out)
+    return out._set(maxIter=n)
+
+
 def fit_all(configs: Sequence[tuple[str, Estimator]], train: DataFrame,
             parallelism: int = 4) -> list[tuple[str, Model]]:
-    """Fit every configuration; ``parallelism`` concurrent Spark jobs."""
+    """Fit every configuration; ``parallelism`` concurrent Spark jobs.  Boosted
+    configurations that differ in the number of iterations alone are one fit of the
+    largest number, of which the others are the first trees."""
+    largest: dict[tuple, Estimator] = {}
+    for name, e in configs:
+        key, booster = _shared(name, e), _booster(e)
+        if key not in largest or booster is not None and booster.getMaxIter() > _booster(largest[key]).getMaxIter():
+            largest[key] = e
+    few = train
+    if any(_booster(e) is not None for e in largest.values()):
+        # a boosting iteration is a job for each level: no more tasks than the rows need
+        few = train.coalesce(max(1, n_rows(train) // BOOST_ROWS))
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        models = list(pool.map(lambda ce: (ce[0], ce[1].fit(train)), configs))
-    return models
+        fits = list(pool.map(lambda e: e.fit(train if _booster(e) is None else few), largest.values()))
+    fitted = dict(zip(largest, fits, strict=True))
+    out = []
+    for name, e in configs:
+        model, booster = fitted[_shared(name, e)], _booster(e)
+        out.append((name, model if booster is None else first_trees(model, booster.getMaxIter())))
+    return out
 
 
 def score_all(models: Sequence[tuple[str, Model]], df: DataFrame, keys: Sequence[str],
@@ -130,6 +182,24 @@ def score_linear(models: Sequence[tuple[str, Model]], df: DataFrame, keys: Seque
             .select("config", "ordinal", *keys, (F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))).alias("p")))
 
 
+def score_grid(models: Sequence[tuple[str, Model]], df: DataFrame, keys: Sequence[str],
+               klass: int = 1) -> DataFrame:
+    """K8/K10 for a grid of several families: binary logistic models by their
+    coefficients, the others chained ``CHAIN`` at a time; ordinals are places in
+    ``models``."""
+    linear = [i for i, (_, m) in enumerate(models) if isinstance(m, LogisticRegressionModel) and m.numClasses == 2
+              and klass == 1]
+    others = [i for i in range(len(models)) if i not in set(linear)]
+    parts = [(linear, score_linear)] if linear else []
+    parts += [(others[at:at + CHAIN], lambda *a: score_all(*a, klass=klass)) for at in range(0, len(others), CHAIN)]
+    out = None
+    for places, score in parts:
+        own = score([models[i] for i in places], df, keys).withColumn(
+            "ordinal", F.element_at(F.lit(places), F.col("ordinal") + 1))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def select_best(scored: DataFrame, labels: DataFrame, window: int = 0,
                 methods: Sequence[str] = ("max", "average"), id_col: str = "id",
                 seq: str = "seq") -> tuple[DataFrame, DataFrame]:
@@ -171,4 +241,4 @@ def n_rows(df: DataFrame) -> int:
 
 
 __all__ = ["logspace", "with_vector", "long_to_dense", "lr_configs", "rf_configs", "gbt_configs",
-           "fit_all", "score_all", "score_linear", "select_best", "n_rows", "save_models", "load_models"]
+           "fit_all", "first_trees", "score_all", "score_linear", "score_grid", "select_best", "n_rows", "save_models", "load_models"]

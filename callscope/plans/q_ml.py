@@ -20,7 +20,7 @@ SEG_PER_CALL = 4
 LR_GRID = ml.logspace(-4, 4, 100)
 TREE_DEPTHS = [1, 2, 3, 4, 5]
 RF_TREES = [100, 200, 300, 400, 500]
-GBT_ITERS = [10, 20]
+GBT_ITERS = [100, 200, 300, 400, 500]
 WINDOW = 3
 
 
@@ -37,7 +37,7 @@ def prepared(spark, sf, label: str = "y"):
     return ml.with_vector(out), calls
 
 
-def _grid(spark, sf, configs_fn, linear=False, persist=False):
+def _grid(spark, sf, configs_fn, persist=False):
     data, calls = prepared(spark, sf)
     data = data.cache()
     train = data.filter("split = 'train'")
@@ -46,10 +46,7 @@ def _grid(spark, sf, configs_fn, linear=False, persist=False):
     if persist:  # A6 + K10: score the saved grid, as a separate scoring job would
         base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
         models = ml.load_models(ml.save_models(models, base))
-    if linear:
-        scored = ml.score_linear(models, valid, ["call", "seq"])
-    else:
-        scored = ml.score_all(models, valid, ["call", "seq"])
+    scored = ml.score_grid(models, valid, ["call", "seq"])
     labels = calls.select(F.col("call"), F.col("y"))
     res, best = ml.select_best(scored.withColumnRenamed("call", "id"), labels.withColumnRenamed("call", "id"),
                                window=WINDOW)
@@ -59,7 +56,7 @@ def _grid(spark, sf, configs_fn, linear=False, persist=False):
 @query("train_lr_grid")
 def train_lr_grid(spark, sf):
     """K3 + K9: 100 values of C, validation AUROC per pooling method."""
-    res, _ = _grid(spark, sf, lambda tr: ml.lr_configs(LR_GRID, ml.n_rows(tr)), linear=True)
+    res, _ = _grid(spark, sf, lambda tr: ml.lr_configs(LR_GRID, ml.n_rows(tr)))
     return finish(res.select("method", "config", "auroc"))
 
 
@@ -81,8 +78,8 @@ def train_gbt(spark, sf):
 def score_and_select(spark, sf):
     """Every family scored into one table, best per pooling method."""
     def cfgs(tr):
-        return (ml.lr_configs(LR_GRID[::10], ml.n_rows(tr)) + ml.rf_configs([3, 5], [100])
-                + ml.gbt_configs([2], [10]))
+        return (ml.lr_configs(LR_GRID, ml.n_rows(tr)) + ml.rf_configs(TREE_DEPTHS, RF_TREES)
+                + ml.gbt_configs(TREE_DEPTHS, GBT_ITERS))
     _, best = _grid(spark, sf, cfgs, persist=True)
     return finish(best)
 
@@ -94,10 +91,10 @@ def three_way_model(spark, sf):
     data, _ = prepared(spark, sf, label="label3")
     data = data.cache()
     train, valid = data.filter("split = 'train'"), data.filter("split = 'valid'")
-    cfgs = (ml.lr_configs([1.0], ml.n_rows(train), multinomial=True) + ml.rf_configs([5], [100])
-            + ml.gbt_configs([2], [10], multiclass=True))
-    models = ml.fit_all(cfgs, train)
-    scored = ml.score_all(models, valid, ["id", "label3"], klass=1)
+    cfgs = (ml.lr_configs(LR_GRID, ml.n_rows(train), multinomial=True) + ml.rf_configs(TREE_DEPTHS, RF_TREES)
+            + ml.gbt_configs(TREE_DEPTHS, GBT_ITERS, multiclass=True))
+    models = ml.fit_all(cfgs, train, parallelism=8)
+    scored = ml.score_grid(models, valid, ["id", "label3"], klass=1)
     from callscope.operators import metrics
     ev = scored.withColumn("y", (F.col("label3") == 1).cast("int"))
     return finish(metrics.auroc_ap(ev, "p", "y", ["config"]))

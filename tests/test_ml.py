@@ -73,3 +73,47 @@ def test_pluggable_pandas_tokenizer(spark):
     docs = spark.createDataFrame([("a b a",), ("b c",)], "text string")
     got = {r.term: r.frequency for r in text.term_frequency(docs, tokenizer=upper_words).collect()}
     assert got == {"A": 2, "B": 2, "C": 1}
+
+
+def test_first_trees_equal_a_shorter_fit(spark, data):
+    """One boosted fit serves the smaller numbers of iterations of its depth."""
+    alone = [(n, e.fit(data)) for n, e in ml.gbt_configs([1, 2], [3, 7])]
+    shared = ml.fit_all(ml.gbt_configs([1, 2], [3, 7]), data, parallelism=2)
+    assert [(n, m.getNumTrees) for n, m in shared] == [(n, m.getNumTrees) for n, m in alone]
+    score = lambda models: {(r.config, r.ordinal, r.id): r.p for r in ml.score_grid(models, data, ["id"]).collect()}
+    assert score(shared) == pytest.approx(score(alone), abs=1e-9)
+    saved = ml.load_models(ml.save_models(shared, tempfile.mkdtemp(prefix="callscope-boosted-")))
+    assert score(saved) == pytest.approx(score(alone), abs=1e-9)
+    three = data.withColumn("label", (F.col("id") % 3).cast("double"))
+    alone = [(n, e.fit(three)) for n, e in ml.gbt_configs([2], [2, 5], multiclass=True)]
+    shared = ml.fit_all(ml.gbt_configs([2], [2, 5], multiclass=True), three, parallelism=2)
+    assert score(shared) == pytest.approx(score(alone), abs=1e-9)
+
+
+def test_grid_of_all_families_keeps_its_order(spark, data):
+    models = ml.fit_all(ml.rf_configs([1], [2]) + ml.lr_configs([0.1, 1.0], 80) + ml.gbt_configs([1], [2]), data)
+    got = {(r.config, r.ordinal) for r in ml.score_grid(models, data, ["id"]).collect()}
+    assert got == {(n, i) for i, (n, _) in enumerate(models)}
+
+
+def test_queries_fit_the_whole_grids(spark, sf_small, monkeypatch):
+    """Each family in full: 100 C; depths 1-5 x 100-500 trees."""
+    from callscope.plans import q_ml
+
+    class Seen(Exception):
+        pass
+
+    seen = []
+
+    def stop(configs, *a, **k):
+        seen.extend(n for n, _ in configs)
+        raise Seen
+
+    monkeypatch.setattr(ml, "fit_all", stop)
+    trees = [f"d={d}_n={n}" for d in range(1, 6) for n in range(100, 501, 100)]
+    for fn, families in ((q_ml.train_gbt, ("gbt",)), (q_ml.score_and_select, ("rf", "gbt")), (q_ml.three_way_model, ("rf", "gbt"))):
+        seen.clear()
+        with pytest.raises(Seen):
+            fn(spark, sf_small)
+        assert [n for n in seen if n[:2] != "lr"] == [f"{f}_{t}" for f in families for t in trees]
+        assert len({n for n in seen if n[:2] == "lr"}) == (0 if fn is q_ml.train_gbt else 100)
