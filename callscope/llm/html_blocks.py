@@ -5,6 +5,11 @@ and link density, those of the blocks before and after it, and what kind of sect
 it lies in.  A decision tree trained on the small labelled table below says which
 blocks are main text.
 
+Tags, roles and hidden parts decide a section.  A class name or id alone only makes it
+doubtful: ``main`` and ``article`` inside it are main text all the same (an ``article``
+not among comments and the like), and on a page without such a section the words and
+links of the blocks and their neighbours decide.
+
 Defined results: a null or empty page, or one without main text, gives an empty
 string; broken markup is read as far as it goes; repeated rows give equal texts; an
 input column that has the name of an output column is replaced; an empty table gives
@@ -40,46 +45,65 @@ BOILERPLATE_WORDS = frozenset("ad ads adv advert advertisement advertising banne
                               "sponsor sponsored subscribe tags teaser toolbar topbar widget widgets".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 MAIN_WORDS = frozenset("article content post entry story main body text".split())
+#: Words of sections that hold articles other than the page's.
+OTHER_WORDS = frozenset("ad ads adv advert advertisement advertising comment comments disqus feedback promo promotion recommended "
+                        "related replies reply respond sponsor sponsored teaser widget widgets".split())
+#: What follows one of these in a name says how the page is laid out ("with-sidebar").
+LAYOUT_WORDS = frozenset("no not with without has have show hide".split())
 
 TAG = re.compile(r"<!--(?:.*?-->|.*)|<!\[CDATA\[(?:.*?\]\]>|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+|[^<>]*)>", re.S)
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I | re.S)
 WORD = re.compile(r"[a-z]+|[0-9]+")
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "section")
-MAIN, PLAIN, BOILERPLATE = 1, 0, -1
+#: DOUBTFUL and OTHER: by a class name or id alone.
+MAIN, PLAIN, DOUBTFUL, OTHER, BOILERPLATE = 1, 0, -0.5, -0.75, -1
+
+
+def _name_words(value: str) -> set[str]:
+    out = set()
+    for name in value.split():
+        words = WORD.findall(name)
+        out.update(words[:next((i for i, w in enumerate(words) if w in LAYOUT_WORDS), len(words))])
+    return out
 
 
-def _section(tag: str, attributes: str, outer: int) -> int:
+def _section(tag: str, attributes: str, outer: float) -> float:
     """What kind of section a tag opens inside an outer one."""
     if outer == BOILERPLATE or tag in BOILERPLATE_TAGS:
         return BOILERPLATE
-    kind = MAIN if tag in ("article", "main") else outer
     if tag == "header" and outer != MAIN:
         return BOILERPLATE
-    if not attributes:
-        return kind
-    for name, a, b, c in ATTRIBUTE.findall(attributes):
+    names, role = {}, ""
+    for name, a, b, c in ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return BOILERPLATE
         if name == "role":
             if value in BOILERPLATE_ROLES:
                 return BOILERPLATE
-            kind = MAIN if value in ("main", "article") else kind
-        elif name in ("class", "id") and tag not in ("article", "main", "body"):
-            words = set(WORD.findall(value))
-            if words & BOILERPLATE_WORDS:
-                return BOILERPLATE
-            if words & MAIN_WORDS:
-                kind = MAIN
-    return kind
+            role = value
+        elif name in ("class", "id") and tag != "body":
+            names[name] = _name_words(value)
+    words = set().union(*names.values())
+    if tag == "main" or role == "main":
+        return MAIN
+    if tag == "article" or role == "article":
+        # one among comments, or named like one in a doubtful section, is not the page's
+        return outer if outer == OTHER or outer == DOUBTFUL and words & BOILERPLATE_WORDS else MAIN
+    if words & BOILERPLATE_WORDS and not (names.get("id") and names["id"] <= MAIN_WORDS):
+        if outer == MAIN:
+            return BOILERPLATE
+        return OTHER if words & OTHER_WORDS else min(outer, DOUBTFUL)
+    return MAIN if words & MAIN_WORDS and outer == PLAIN else outer
 
 
-def blocks(page: str | None) -> list[tuple[str, int, int, int]]:
-    """(text, words, words in links, section) of every block that has text."""
+def blocks(page: str | None) -> list[tuple[str, int, int, float]]:
+    """(text, words, words in links, section) of every block that has text.  What is
+    doubtful by its names is boilerplate on a page that has main text elsewhere."""
     page = page or ""
     out, pieces, linked = [], [], 0
-    sections: list[tuple[str, int]] = []
+    sections: list[tuple[str, float]] = []
     in_link, at = False, 0
 
     def flush():
@@ -129,7 +153,7 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int]]:
                         while sections[-1][0] != tag and sections[-1][0] == "span":
                             sections.pop()
                         if sections[-1][0] == tag:
-                            if sections[-1][1] == BOILERPLATE:
+                            if sections[-1][1] < PLAIN:
                                 flush()
                             sections.pop()
                     else:
@@ -137,14 +161,15 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int]]:
                             pass
             elif not attributes.endswith("/"):
                 kind = _section(tag, attributes, sections[-1][1] if sections else PLAIN)
-                if tag == "span" and kind == BOILERPLATE and (not sections or sections[-1][1] != BOILERPLATE):
+                if tag == "span" and kind < PLAIN and (not sections or sections[-1][1] != kind):
                     flush()
                 sections.append((tag, kind))
     flush()
-    return out
+    marked = any(b[3] == MAIN for b in out)
+    return [(*b[:3], b[3] if b[3] >= PLAIN else BOILERPLATE if marked or b[3] == BOILERPLATE else DOUBTFUL) for b in out]
 
 
-def block_features(found: list[tuple[str, int, int, int]]) -> np.ndarray:
+def block_features(found: list[tuple[str, int, int, float]]) -> np.ndarray:
     words = np.array([0, *(b[1] for b in found), 0], float)
     links = np.array([0, *(b[2] / b[1] for b in found), 0], float)
     return np.column_stack([words[1:-1], links[1:-1], words[:-2], links[:-2], words[2:], links[2:],
@@ -169,6 +194,18 @@ LABELLED = (
     [(1, 0, 0, 1), (1, 1, 0, 0), (1, 1, 0, 0), (1, 1, 0, 0)],
     [(200, 0, 0, 1), (1, 1, -1, 0), (100, 0, -1, 0), (150, 0.2, -1, 0), (300, 0, 1, 1), (1, 1, 1, 1)],
     [(5, 0.6, 0, 0), (40, 0.5, 0, 0), (30, 0.45, 0, 0), (11, 0.2, 0, 1), (20, 0.3, 0, 1), (60, 0.25, 0, 1)],
+    # wrapped in a section of a doubtful name: the text, between menu and copyright
+    [(1, 1, -0.5, 0), (2, 1, -0.5, 0), (1, 1, -0.5, 0), (7, 0, -0.5, 1), (50, 0, -0.5, 1), (80, 0.05, -0.5, 1), (25, 0, -0.5, 1),
+     (64, 0, -0.5, 1), (5, 0, -0.5, 0), (3, 1, -0.5, 0)],
+    [(3, 0, -0.5, 0), (2, 1, -0.5, 0), (30, 0.1, -0.5, 1), (28, 0, -0.5, 1), (90, 0, -0.5, 1), (6, 0, -0.5, 0), (2, 1, -0.5, 0)],
+    # doubtful names for the notices, adverts and widgets of a page without marks
+    [(11, 0, -0.5, 0), (2, 1, -0.5, 0), (9, 0, 0, 1), (60, 0, 0, 1), (10, 0, -0.5, 0), (45, 0, 0, 1), (4, 1, -0.5, 0), (4, 0, -0.5, 0), (2, 1, -0.5, 0)],
+    [(40, 0, 0, 1), (14, 0, -0.5, 0), (35, 0, 0, 1), (50, 0, 0, 1), (8, 0, -0.5, 0), (6, 0, -0.5, 0)],
+    # captions between links, and a copyright line after them
+    [(1, 1, 0, 0), (1, 0, 0, 0), (1, 1, 0, 0), (2, 0, 0, 0), (2, 1, 0, 0), (30, 0, 0, 1), (44, 0, 0, 1), (2, 1, 0, 0), (2, 1, 0, 0), (6, 0, 0, 0)],
+    [(2, 1, 0, 0), (2, 0, 0, 0), (3, 1, 0, 0), (55, 0, 0, 1), (38, 0, 0, 1), (3, 1, 0, 0), (9, 0, 0, 0)],
+    # a list of links to other pages at the end of an article
+    [(8, 0, 1, 1), (70, 0, 1, 1), (40, 0, 1, 1), (5, 1, 1, 0), (6, 1, 1, 0), (5, 1, 1, 0), (7, 1, 1, 0)],
 )
 
 

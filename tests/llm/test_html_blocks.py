@@ -63,3 +63,32 @@ def test_edge_cases(spark):
     assert got[7] == "plain words" and got[9] == "text" and got[12] == "deep"
     assert len(got[11].split("\n")) == 60_000
     assert H.extract(df.limit(0)).count() == 0
+
+
+def kept(page):
+    found = H.blocks(page)
+    return [b[0] for b, yes in zip(found, H.predict(H.train_tree(*H.labelled()), H.block_features(found))) if yes]
+
+
+def test_tree_needs_words_and_neighbours():
+    used = {H.FEATURES[n[0]] for n in H.train_tree(*H.labelled()) if n[0] >= 0}
+    assert "words" in used and used & {"words_before", "links_before"} and used & {"words_after", "links_after"}
+
+
+def test_names_of_outer_sections_do_not_hide_the_text():
+    long = ["some words of the text " * n for n in (6, 9, 12)]
+    text = "".join(f"<p>{t}</p>" for t in long)
+    want = [t.strip() for t in long]
+    menu, end = "<div><a href=1>One</a></div><div><a href=2>Two</a></div>", "<div><a href=3>Next</a></div>"
+    for page in (f'<div class="layout sidebar-left"><main><article>{text}</article></main></div>',
+                 f'<div class="layout no-sidebar"><main><article>{text}</article></main></div>',
+                 f'<section class="header-fixed"><article>{text}</article></section>',
+                 f'<div class="comments-open"><main>{text}</main></div>',
+                 f'<div id="content" class="with-sidebar">{text}</div>', f'<div id="content" class="sidebar-right">{text}</div>',
+                 f'<div class="page has-banner">{menu}{text}{end}</div>', f'<div class="page sidebar-right">{menu}{text}{end}</div>'):
+        assert kept(f"<body>{page}</body>") == want, page
+    other = "<article><p>Another long article that nobody asked for on this page, with many words in it, twenty at the very least.</p></article>"
+    for name in ("related", "comments"):
+        assert kept(f'<main><article>{text}</article></main><div class="{name}">{other}</div>') == want
+        assert kept(f'<article>{text}<section id="{name}">{other}</section></article>') == want
+    assert kept(f'<body>{menu}{text}<div class="ad-slot"><p>Buy this now, it is cheap.</p></div>{end}</body>') == want
