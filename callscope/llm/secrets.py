@@ -4,8 +4,9 @@ models that tell random strings from ordinary identifiers.
 Two first-order models over the characters of a candidate (a run of 20 or more
 characters of identifiers and encodings) are trained from labelled samples: random
 strings (digests of running numbers in the usual encodings) and ordinary identifiers
-(words of labelled good documents, alone and put together as programs do).  A
-candidate whose log-likelihood ratio exceeds a margin is a span of kind ``markov``.
+(distinct words of labelled good documents, alone and put together as programs do).
+A candidate is a span of kind ``markov``, as a whole, if the log-likelihood ratio of any
+part of it exceeds a margin: ordinary parts before or after do not hide a random one.
 
 Defined results: a null text is empty; spans are counted in code points, end
 exclusive; repeated rows have equal spans; without labelled documents the identifiers
@@ -30,9 +31,9 @@ IDENTIFIERS = ("get set user name value index count list config client server re
                "manager builder default option message session buffer stream parser format update delete create select "
                "insert return static public private import package version release document controller").split()
 
-#: Bound of the labelled documents that words are taken from, of the words, and of the random strings.
+#: Bound of the labelled documents that words are taken from, of the distinct words, and of the random strings.
 DOCUMENTS, WORDS, RANDOM = 2_000, 50_000, 20_000
-#: A candidate is random if it is so many times (as a logarithm) likelier under that model.
+#: A candidate is random if a part of it is so many times (as a logarithm) likelier under that model.
 MARGIN = 12.0
 _BLOCK = 64
 
@@ -51,7 +52,7 @@ def _ordinary(docs: DataFrame, labels: DataFrame | None, text: str, key: str, la
         good = (labels.where(F.col(label) == 1).select(key).where(F.col(key).isNotNull()).distinct()
                 .orderBy(F.xxhash64(key), key).limit(DOCUMENTS))
         found = docs.join(F.broadcast(good), key).select(F.explode(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{2,}(?![A-Za-z0-9+/_=-])"), F.lit(0))).alias("w"))
-        words = words.unionByName(found.orderBy(F.xxhash64("w"), "w").limit(WORDS))
+        words = words.unionByName(found.distinct().orderBy(F.xxhash64("w"), "w").limit(WORDS))
     n = F.abs(F.hash("w")) % 1000
     other = F.element_at(F.array(*[F.lit(w) for w in IDENTIFIERS]), (n % len(IDENTIFIERS) + 1).cast("int"))
     forms = F.array("w", F.concat_ws("_", F.lower("w"), other), F.concat(other, F.initcap("w")), F.concat_ws("/", other, "w"),
@@ -115,8 +116,10 @@ def scan(docs: DataFrame, ratios: list[float], text: str = "text", out: str = "s
         df = _starts(df, "__t", pattern, name)
     group = "regexp_extract(m.s, '(?i)^(?:password|passwd|secret|token|api_?key)[\"\\']?\\\\x20*[:=]\\\\x20*[\"\\']?([A-Za-z0-9+/_.=-]+)$', 1)"
     df = df.withColumn("__llr", F.from_json(F.lit(json.dumps(ratios)), "array<double>"))
+    # the largest sum over a run of pairs: the best that ends here, and the best so far
     score = ("aggregate(zip_with(slice(split(m.s, ''), 1, length(m.s) - 1), slice(split(m.s, ''), 2, length(m.s) - 1), "
-             "(a, b) -> element_at(__llr, ascii(a) * 128 + ascii(b) + 1)), 0D, (x, v) -> x + v)")
+             "(a, b) -> element_at(__llr, ascii(a) * 128 + ascii(b) + 1)), "
+             "named_struct('here', 0D, 'best', 0D), (x, v) -> named_struct('here', greatest(x.here + v, 0D), 'best', greatest(x.best, x.here + v)), x -> x.best)")
     df = df.withColumn(out, F.array_sort(F.concat(
         _spans("__assign", "assign", f"length({group}) >= 6"), _spans("__access", "access"), _spans("__hex", "hex"),
         _spans("__run", "markov", f"{score} > {MARGIN}D"))))

@@ -61,3 +61,25 @@ def test_models_tell_random_strings(spark, sf_small):
 def test_no_python_on_the_main_path(spark, sf_small):
     plan = queries.op5_secrets(spark, sf_small)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_random_part_of_an_ordinary_run(spark, sf_small):
+    ratios = secrets.train(spark.read.parquet(f"{sf_small}/documents.parquet"), spark.read.parquet(f"{sf_small}/labels.parquet"))
+    secret, path = "x8Kd02LmQz71RtYp45VbNc93", "static/public/import/package/version/release"
+    texts = [f"see {path}/{secret} here", f"{path.replace('/', '_')}={secret}", f"{secret}-{path.replace('/', '-')}", f"{path}/{secret}/{path}",
+             f"{path}/{path}", path.replace("/", "_") + "=" + path.replace("/", "-")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in secrets.redact(secrets.scan(docs, ratios)).collect()}
+    for i, r in rows.items():
+        assert [s.kind for s in r.spans] == (["markov"] if i < 4 else []) and secret not in r.text
+    assert rows[0].text == "see [SECRET] here" and rows[4].text == texts[4]
+
+
+def test_more_text_does_not_narrow_the_words(spark, monkeypatch):
+    """The bound counts words, not their occurrences."""
+    words = [a * 3 + b * 2 for a in "bcdfg" for b in "kl"]
+    docs = spark.createDataFrame([(1, " ".join(words * 100))], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    monkeypatch.setattr(secrets, "WORDS", len(words))
+    got = {r.s for r in secrets._ordinary(docs, labels, "text", "doc_id", "quality").collect()}
+    assert got >= set(words)
