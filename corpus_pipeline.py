@@ -29,15 +29,23 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id (all
-    that have no id)."""
-    groups = jaccard.similarity_components(docs, k=SHINGLE, num=SIMILARITY[0], den=SIMILARITY[1])
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    copies = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    # rows that repeat an id: one of each text
-    again = kept.join(copies, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(copies, "doc_id", "left_anti").unionByName(again).select(*COLUMNS)
+    """One row of each group of near-duplicates: that with the smallest id, a row
+    without one last; of rows that repeat an id, one.  Texts without words are no group:
+    rows of an id that repeat one are kept once."""
+    docs = docs.select(*COLUMNS)
+    similar = {"k": SHINGLE, "num": SIMILARITY[0], "den": SIMILARITY[1]}
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        gone = jaccard.similarity_components(docs, **similar).where("doc_id <> component_id").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    # ids do not name rows: numbers, written once, do
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rows-{uuid.uuid4()}"
+    docs.withColumn("__row", F.monotonically_increasing_id()).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row").alias("__key")
+    groups = jaccard.similarity_components(rows.select(key, "text"), key="__key", **similar)
+    kept = rows.join(groups.where("__key <> component_id").select("__key.__row"), "__row", "left_anti").select(*COLUMNS)
+    again = F.col("doc_id").isNotNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return kept.where(~again).unionByName(kept.where(again).dropDuplicates(["doc_id", "text"]))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,6 +62,20 @@ def test_edge_cases(spark):
         assert C.good(spark, spark.createDataFrame(data, kind), sf).columns == list(C.COLUMNS)
 
 
+def test_near_copies_by_row(spark):
+    """Removal goes by row where ids are repeated or null."""
+    text = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
+    near = lambda name: text(name) + " changed"
+    given = [(1, text("a")), (5, near("a")), (5, text("clean")), (7, text("b")), (7, near("b")), (None, text("c")), (None, near("c")),
+             (None, near("a")), (None, text("alone")), (8, text("d")), (8, text("d")), (9, None), (9, None), (9, " "), (None, None), (None, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in given], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in C.unique(spark, docs.repartition(4), "").collect()]
+    assert len(got) == 10 and (1, text("a")) in got and (5, text("clean")) in got and (None, text("alone")) in got and (8, text("d")) in got
+    assert not {(5, near("a")), (None, near("a"))} & set(got)
+    assert sum(t in (text("b"), near("b")) for _, t in got) == sum(t in (text("c"), near("c")) for _, t in got) == 1
+    assert got.count((9, None)) == 1 and got.count((9, " ")) == 1 and got.count((None, None)) == 2
+
+
 def test_registered():
     assert entry.queries()["pipeline"] is C.run
     assert {n.split("_")[0] for n in entry.queries() if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)}
