@@ -21,6 +21,12 @@ def nearest(ids, x, queries, k):
     return out
 
 
+def nearest_ids(x, queries, k):
+    u = unit(x)
+    s = {q: u @ u[q] for q in queries}
+    return {q: {int(i) for i in np.argsort(-own)[:k + 1] if i != q} for q, own in s.items()}
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
 def test_recall_and_scores(spark, sf):
     ids, x = load(spark, sf)
@@ -49,6 +55,27 @@ def test_ann_on_clusters_visits_few_parts(spark):
     assert index.probes <= 2 < index.parts
 
 
+@pytest.mark.parametrize("spread, most", [(0.5, 8), (None, 48)])
+def test_ann_recall_with_many_parts(spark, monkeypatch, spread, most):
+    """64 parts, 16 sample rows a part as with the most parts, few of the rows sampled:
+    clusters, and vectors without any (``spread`` None)."""
+    monkeypatch.setattr(ann, "PART_ROWS", 250)
+    random = np.random.default_rng(5)
+    x = random.normal(size=(16_000, 16))
+    if spread:
+        x = np.repeat(random.normal(size=(200, 16)) * 3, 80, axis=0) + x * spread
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    index = ann.fit(usable(df, "vec_id", "embedding"), n_sample=1024)
+    got = {}
+    for r in ann.search(df, F.col("id") % 50 == 0, k=5, index=index).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = nearest_ids(x, got, 5)
+    recall = sum(len(own & want[q]) for q, own in got.items()) / (5 * len(want))
+    print(f"spread {spread}: {index.parts} parts, {index.probes} probes, recall {recall:.4f}")
+    assert len(got) == 320 and index.parts == 64 and index.probes <= most
+    assert recall >= 0.9
+
+
 EDGE = [(0, None), (1, []), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (50, [1.0, 0.0]), (100, [2.0, 0.0]),
         (7, [1.0, 0.1]), (6, [1.0, 0.1]), (6, [1.0, 0.1]), (8, [-1.0, 0.0]), (9, [1e-30, 1e-30]), (10, [3e37, 3e37])]
 
