@@ -94,7 +94,9 @@ def pack(df: DataFrame, definition: str, key: str = "doc_id", text: str = "text"
     sequence_tokens, ids.
 
     ``definition``: the JSON text of a byte-level tokenizer of the tokenizers library;
-    it is encoded without special tokens.  Each document is followed by the id ``end``.
+    it is encoded without special tokens, also where a text holds one's name: that is
+    text like any other (``encode_special_tokens``; the library's default would give it
+    the special id).  Each document is followed by the id ``end``.
     """
     tokens = cut_lineage(tokenise(df, definition, key, text, end))
     totals = tokens.groupBy("part").agg(F.max(F.col("before") + F.col("n")).alias("total"))
