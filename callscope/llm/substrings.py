@@ -1,4 +1,7 @@
-"""Removal of long repeated word spans by De Bruijn compaction.
+"""Removal of long repeated word spans by compacted paths of k-mer representatives.
+
+They stand for the De Bruijn graph of all k-mers, which would shuffle an edge for every
+word: k-mers are not edges, and no in- or out-degrees are computed.
 
 Each window of words has one representative, the least hash among its shorter k-mers,
 so that equal windows in any document have the same one.  Windows that follow one
