@@ -3,9 +3,11 @@ and distributed connected components."""
 
 from __future__ import annotations
 
+import gc
 import re
 import sys
 import types
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,9 @@ def worker_cache(name: str, make):
     return getattr(holder, name)
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: White space, by byte.
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def word_hashes(raws: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -34,7 +37,7 @@ def word_hashes(raws: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.
     as a-z.  All at once, by prefix sums of powers of an odd number times a random
     value for each byte."""
     buf = np.frombuffer(b" " + b" ".join(raws) + b" ", np.uint8)
-    space = _SPACE[buf]
+    space = SPACE[buf]
     start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     end = np.flatnonzero(~space[:-1] & space[1:]) + 1
     powers = worker_cache("powers_word", lambda: _Powers(99)).get(len(buf))
@@ -176,6 +179,45 @@ class Generations:
         return todo.difference(found)
 
 
+class ByteGenerations:
+    """A cache of two generations, each bounded by an estimate of its bytes: what was not
+    asked for while a generation filled up is dropped, so that frequent keys stay.  It
+    belongs to a task and goes with it."""
+
+    #: Bytes of a dict entry and of the objects' own headers, about.
+    ENTRY = 220
+
+    def __init__(self, max_bytes: int):
+        self.max_bytes, self.size, self.new, self.old = max_bytes, 0, {}, {}
+
+    def missing(self, keys: set) -> set:
+        """Moves the known keys into the new generation; returns the others, which the
+        caller is to ``put``."""
+        if self.size > self.max_bytes:
+            self.old, self.new, self.size = self.new, {}, 0
+        todo = keys.difference(self.new)
+        found = todo.intersection(self.old)
+        for k in found:
+            self.put(k, self.old[k])
+        return todo.difference(found)
+
+    def put(self, key, value: bytes) -> None:
+        self.new[key] = value
+        self.size += self.ENTRY + len(key) + len(value)
+
+
+@contextmanager
+def paused_gc():
+    """Work that makes many small objects and no cycles, without collector runs."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -10,13 +10,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm import ann, bpe, html_blocks, jaccard, oracle, packing, quality, rabitq, secrets, substrings, warc
+from callscope.llm import (ann, bpe, divergence, fim, html_blocks, jaccard, oracle, packing, pieces, quality, rabitq, secrets, substrings,
+                           warc)
 from callscope.llm.common import table
 from callscope.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {"op3_warc": oracle.WARC, "op4_jaccard": oracle.JACCARD, "op7_substrings": oracle.SUBSTRINGS,
-                         "op10_near_vectors": oracle.NEAR_VECTORS}
+                         "op10_near_vectors": oracle.NEAR_VECTORS, "op11_fim": oracle.FIM, "op13_divergence": oracle.DIVERGENCE}
 
 
 def query(fn):
@@ -115,3 +116,30 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingles have a similarity of 0.85 or more."""
     return jaccard.similarity_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
+@query
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the documents with a middle moved to the end, and back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    moved = fim.transform(docs, keep=["doc_id"])
+    back = fim.restore(moved, keep=["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"])
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2("restored", 256).alias("restored_sha256"))
+
+
+@query
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, and back."""
+    model = pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = pieces.decode(pieces.encode(docs, model, keep=["doc_id"]), model)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language differ, and by which terms."""
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"), min_docs=30)
