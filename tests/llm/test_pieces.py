@@ -17,6 +17,9 @@ CASES = [None, "", " ", "  ", "     a", "a ", "a  b \n c", "it's 42\t\tnow", "é
          "ab" * 2000, " " * 100, "\x00\x01", "line one\nline two\n\n\n  three", "🙂" * 50, "　x y﻿", "�"]
 
 
+ENCODER = pieces.Encoder(VOCABULARY, check=True)
+
+
 def run(encoder, texts):
     return [np.frombuffer(x, np.int32).tolist() for x in encoder.encode(texts, b"")]
 
@@ -34,10 +37,10 @@ def test_cases_and_extra_columns(spark):
     assert pieces.decode(pieces.encode(df.limit(0), MODEL), MODEL).count() == 0
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("  \n▁abcdeinorst's.1é日🙂"), st.characters(codec="utf-8")), max_size=30), max_size=4))
 def test_equals_the_library(texts):
-    assert run(pieces.Encoder(VOCABULARY, check=True), texts) == LIBRARY.encode(texts)
+    assert run(ENCODER, texts) == LIBRARY.encode(texts)
 
 
 def test_words_long_parts_and_a_small_cache(spark, sf_small):
@@ -53,12 +56,12 @@ def test_any_ids_decode_like_the_library():
     decoder, rng = pieces.Decoder(VOCABULARY), random.Random(3)
     for _ in range(2000):
         ids = [rng.choice([rng.randrange(3, 259), rng.randrange(259, 32000), 28705, 259, 1, 2]) for _ in range(rng.randrange(8))]
-        assert decoder.decode(np.array(ids, np.int64)).decode() == LIBRARY.decode(ids), ids
+        assert decoder.decode(ids).decode() == LIBRARY.decode(ids), ids
 
 
 def test_a_difference_ends_the_job():
     wrong = pieces.Vocabulary(MODEL)
-    del wrong.scores["▁the"]
+    del wrong.texts["▁the"], wrong.scores["▁the"]
     with pytest.raises(ValueError, match="differently"):
         pieces.Encoder(wrong, check=True).encode(["the theme"], b"")
 
