@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from callscope.llm.common import column, small_batches
 from callscope.session import cut_lineage
 
+#: Shares that a language's terms are dealt to when they meet its totals.
+SALTS = 64
 #: Groups and terms of a block, on average.
 GROUP_BLOCK, TERM_BLOCK = 32, 4096
 #: Counted terms that a task holds before it hands them on, and bytes of a text scanned at once.
@@ -133,7 +135,9 @@ def audit(df: DataFrame, lang: str = "lang", source: str = "source", text: str =
         F.greatest(F.lit(1), F.ceil(F.col("v") / term_block)).alias("term_blocks")))
     # places of the terms in their blocks; a block is a share of the terms by hash
     block = F.pmod(F.xxhash64("term"), "term_blocks")
-    placed = terms.join(langs, "lang").select("lang", "term", "v", block.alias("block"),
+    salt = F.pmod(F.xxhash64("term", F.lit(1)), F.lit(SALTS)).cast("int")
+    salted = langs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = terms.withColumn("salt", salt).join(salted, ["lang", "salt"]).select("lang", "term", "v", block.alias("block"),
                                               _share(F.col("lang_n"), F.col("lang_total"), F.col("v"), scale, prior).alias("q"))
     placed = cut_lineage(placed.withColumn("at", F.row_number().over(Window.partitionBy("lang", "block").orderBy("term")) - 1))
     kept = cut_lineage(counts.where("n > 0").select("lang", "source", "term", "n").join(placed, ["lang", "term"]))
