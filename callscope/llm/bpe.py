@@ -15,7 +15,6 @@ that has the name of an output column is replaced.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 
 import duckdb
@@ -25,12 +24,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from callscope.llm.common import Generations, column, part_text, parts, small_batches, worker_cache
+from callscope.llm.common import ByteGenerations, column, part_text, parts, paused_gc, small_batches
 
 #: Bytes of distinct words (or ids of distinct runs) in one DuckDB query.
 BYTES_PER_QUERY = 400_000
-#: Entries of a generation of each cache of a worker.
-CACHE = 180_000
+#: Bytes of a generation of a task's caches: of parts, and of words or runs each.
+PART_CACHE, CACHE = 48 << 20, 24 << 20
 #: Bytes of text (or ids) that are worked on together.
 BATCH = 2 << 20
 #: One word's positions are told apart from its ranks by this factor.
@@ -118,7 +117,7 @@ class Vocabulary:
 
 
 class _Coder:
-    """A worker's DuckDB connection and what it has encoded and decoded so far."""
+    """A task's DuckDB connection and what it has encoded and decoded so far."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.ranks = vocabulary.ranks
@@ -128,8 +127,8 @@ class _Coder:
         self.starts_run = np.zeros(size, bool)
         for token, rank in self.ranks.items():
             self.starts_run[rank] = token[:1] == b" "
-        self.parts, self.words, self.runs = Generations(2 * CACHE), Generations(CACHE), Generations(CACHE)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
+        self.parts, self.words, self.runs = ByteGenerations(PART_CACHE), ByteGenerations(CACHE), ByteGenerations(CACHE)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "160MB"})
         a, b, rank = vocabulary.merges.T.copy()
         merges = pa.table({"a": a, "b": b, "rank": rank, "self_low": vocabulary.self_low})  # noqa: F841  read by name
         tokens = pa.table({"id": pa.array(self.ranks.values(), pa.int32()),  # noqa: F841
@@ -137,6 +136,12 @@ class _Coder:
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM tokens")
 
+    def __enter__(self) -> _Coder:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.db.close()
+
     # encoding -------------------------------------------------------------------
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -152,16 +157,16 @@ class _Coder:
         for word in missing:
             raw = word.encode()
             if raw in self.ranks:
-                known[word] = np.int32(self.ranks[raw]).tobytes()
+                self.words.put(word, np.int32(self.ranks[raw]).tobytes())
             else:
                 todo[word] = raw
         for query, own in ((ENCODE, [x for x in todo.items() if len(x[1]) < LONG]),
                            (ENCODE_LONG, [x for x in todo.items() if len(x[1]) >= LONG])):
             for chunk in _chunks(own):
-                known.update(zip([w for w, _ in chunk], self._merge(query, [raw for _, raw in chunk]), strict=True))
-        done = self.parts.new
+                for (word, _), ids in zip(chunk, self._merge(query, [raw for _, raw in chunk]), strict=True):
+                    self.words.put(word, ids)
         for part, its in words.items():
-            done[part] = known[its[0]] if len(its) == 1 else b"".join([known[w] for w in its])
+            self.parts.put(part, known[its[0]] if len(its) == 1 else b"".join([known[w] for w in its]))
 
     def _merge(self, query: str, words: list[bytes]) -> list[bytes]:
         size = np.array([len(w) for w in words])
@@ -191,7 +196,7 @@ class _Coder:
             runs = pa.table({"run": np.arange(len(keys)),  # noqa: F841  read by name
                              "ids": pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids))})
             for run, raw in self.db.execute(DECODE).fetchall():
-                self.runs.new[keys[run]] = raw
+                self.runs.put(keys[run], raw)
         return [b"".join(map(self.runs.new.__getitem__, its)) for its in cut]
 
     def _runs(self, ids: np.ndarray) -> list[bytes]:
@@ -233,14 +238,13 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     passed = schema.names[:-1]
 
     def run(batches):
-        gc.disable()  # the tasks make no cycles, and many small objects
-        coder = worker_cache(f"bpe_{vocabulary.key}", lambda: _Coder(vocabulary))
-        for batch in small_batches(batches, text, BATCH):
-            got = coder.encode(column(batch, text).to_pylist())
-            ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
-            values = pa.array(np.concatenate(got) if got else np.empty(0, np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in passed),
-                                              pa.ListArray.from_arrays(pa.array(ends), values)], schema.names)
+        with paused_gc(), _Coder(vocabulary) as coder:
+            for batch in small_batches(batches, text, BATCH):
+                got = coder.encode(column(batch, text).to_pylist())
+                ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
+                values = pa.array(np.concatenate(got) if got else np.empty(0, np.int32), pa.int32())
+                yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in passed),
+                                                  pa.ListArray.from_arrays(pa.array(ends), values)], schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -253,16 +257,15 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out:
     passed = schema.names[:-1]
 
     def run(batches):
-        gc.disable()  # the tasks make no cycles, and many small objects
-        coder = worker_cache(f"bpe_{vocabulary.key}", lambda: _Coder(vocabulary))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                lists = column(part, ids)
-                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32, copy=False)
-                sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                docs = np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
-                yield pa.RecordBatch.from_arrays([*(column(part, c) for c in passed),
-                                                  pa.array(coder.decode(docs), pa.binary())], schema.names)
+        with paused_gc(), _Coder(vocabulary) as coder:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    lists = column(part, ids)
+                    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32, copy=False)
+                    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                    docs = np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
+                    yield pa.RecordBatch.from_arrays([*(column(part, c) for c in passed),
+                                                      pa.array(coder.decode(docs), pa.binary())], schema.names)
 
     return df.mapInArrow(run, schema)

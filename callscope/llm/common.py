@@ -161,24 +161,6 @@ def part_text(part) -> str:
     return part[0] if isinstance(part, tuple) else " " + part
 
 
-class Generations:
-    """A bounded cache of two generations: what was not asked for while a generation
-    filled up is dropped, so that frequent keys stay."""
-
-    def __init__(self, entries: int):
-        self.entries, self.new, self.old = entries, {}, {}
-
-    def missing(self, keys: set) -> set:
-        """Moves the known keys into the new generation; returns the others."""
-        if len(self.new) + len(keys) > self.entries:
-            self.old, self.new = self.new, {}
-        todo = keys.difference(self.new)
-        found = todo.intersection(self.old)
-        for k in found:
-            self.new[k] = self.old[k]
-        return todo.difference(found)
-
-
 class ByteGenerations:
     """A cache of two generations, each bounded by an estimate of its bytes: what was not
     asked for while a generation filled up is dropped, so that frequent keys stay.  It

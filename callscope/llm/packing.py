@@ -14,10 +14,9 @@ its tokens where that is a power of two.
 
 from __future__ import annotations
 
-import gc
-import hashlib
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,42 +26,55 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callscope.llm.common import Generations, column, part_text, parts, small_batches, worker_cache
+from callscope.llm.common import ByteGenerations, column, part_text, parts, paused_gc, small_batches
 from callscope.session import cut_lineage
 
-#: Entries of a generation of each of a worker's caches of encoded text parts.
-CACHE = 300_000
+#: Bytes of a generation of a task's caches of encoded parts and words.
+PART_CACHE, WORD_CACHE = 64 << 20, 32 << 20
 #: Byte-level tokenizers always cut between a letter and a character of no word.
 _AFTER_LETTER = re.compile(r"(?<=[^\W\d_])(?=[^\w\s])")
 
 
 class _Tokenizer:
     def __init__(self, definition: str):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(definition)
-        self.model.encode_special_tokens = True
         self.kind = np.uint16 if self.model.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known, self.words = Generations(CACHE), Generations(CACHE)
+        self.known, self.words = ByteGenerations(PART_CACHE), ByteGenerations(WORD_CACHE)
+        added = json.loads(definition).get("added_tokens", [])
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added):
+            raise ValueError("added tokens that take their neighbourhood into account are not supported")
+        # added tokens are cut out before anything else, the longest where several begin
+        names = sorted((t["content"] for t in added), key=len, reverse=True)
+        self.added = {t["content"]: self.kind(t["id"]).tobytes() for t in added}
+        self.cut_added = re.compile("(" + "|".join(map(re.escape, names)) + ")").split if names else None
+
+    def _parts(self, text: str | None) -> list:
+        if not text or self.cut_added is None or not any(name in text for name in self.added):
+            return parts(text)
+        return [x for i, piece in enumerate(self.cut_added(text)) for x in ([(piece,)] if i % 2 else parts(piece))]
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
-        cut = [parts(t) for t in texts]
+        cut = [self._parts(t) for t in texts]
         missing = self.known.missing(set().union(*cut))
-        known = self.known.new
-        pieces = {part: _AFTER_LETTER.split(part_text(part)) for part in missing}
+        pieces = {part: [part[0]] if isinstance(part, tuple) and part[0] in self.added else _AFTER_LETTER.split(part_text(part))
+                  for part in missing}
         new = list(self.words.missing(set().union(*pieces.values())))
         words = self.words.new
         for at in range(0, len(new), 20_000):
             some = new[at:at + 20_000]
             for word, got in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                words[word] = np.array(got.ids, self.kind).tobytes()
+                self.words.put(word, array(self.kind().dtype.char, got.ids).tobytes())
         for part, its in pieces.items():
-            known[part] = words[its[0]] if len(its) == 1 else b"".join([words[w] for w in its])
+            self.known.put(part, words[its[0]] if len(its) == 1 else b"".join([words[w] for w in its]))
         tail = self.kind(end).tobytes()
-        return [b"".join(map(known.__getitem__, its)) + tail for its in cut]
+        known = self.known.new.__getitem__
+        return [b"".join(map(known, its)) + tail for its in cut]
 
 
 def tokenise(df: DataFrame, definition: str, key: str, text: str, end: int) -> DataFrame:
@@ -71,18 +83,17 @@ def tokenise(df: DataFrame, definition: str, key: str, text: str, end: int) -> D
     same partition that come before the document."""
     schema = T.StructType([df.schema[key], T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType()),
                            T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
-    name = "tokens_" + hashlib.sha1(definition.encode()).hexdigest()
 
     def run(batches):
-        gc.disable()  # the tasks make no cycles, and many small objects
-        model = worker_cache(name, lambda: _Tokenizer(definition))
-        width, before, part = np.dtype(model.kind).itemsize, 0, TaskContext.get().partitionId()
-        for batch in small_batches(batches, text, 4 << 20):
-            ids = model.encode(column(batch, text).to_pylist(), end)
-            n = np.array([len(x) // width for x in ids], np.int64)
-            yield pa.RecordBatch.from_arrays([column(batch, key), pa.array(np.full(len(n), part, np.int32)),
-                                              pa.array(before + np.cumsum(n) - n), pa.array(n), pa.array(ids, pa.binary())], schema.names)
-            before += int(n.sum())
+        with paused_gc():
+            model = _Tokenizer(definition)
+            width, before, part = np.dtype(model.kind).itemsize, 0, TaskContext.get().partitionId()
+            for batch in small_batches(batches, text, 4 << 20):
+                ids = model.encode(column(batch, text).to_pylist(), end)
+                n = np.array([len(x) // width for x in ids], np.int64)
+                yield pa.RecordBatch.from_arrays([column(batch, key), pa.array(np.full(len(n), part, np.int32)),
+                                                  pa.array(before + np.cumsum(n) - n), pa.array(n), pa.array(ids, pa.binary())], schema.names)
+                before += int(n.sum())
 
     return df.select(key, text).mapInArrow(run, schema)
 
@@ -93,10 +104,9 @@ def pack(df: DataFrame, definition: str, key: str = "doc_id", text: str = "text"
     ids_crc32 (of little-endian unsigned 32-bit ids), doc_tokens, sequence_id, offset,
     sequence_tokens, ids.
 
-    ``definition``: the JSON text of a byte-level tokenizer of the tokenizers library;
-    it is encoded without special tokens, also where a text holds one's name: that is
-    text like any other (``encode_special_tokens``; the library's default would give it
-    the special id).  Each document is followed by the id ``end``.
+    ``definition``: the JSON text of a byte-level tokenizer of the tokenizers library.
+    No special tokens are added; the name of one in a text has its id, as the library
+    encodes it by default.  Each document is followed by the id ``end``.
     """
     tokens = cut_lineage(tokenise(df, definition, key, text, end))
     totals = tokens.groupBy("part").agg(F.max(F.col("before") + F.col("n")).alias("total"))

@@ -9,9 +9,7 @@ from callscope.llm import packing, queries
 
 
 def reference():
-    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
 
 
 def check(docs, pieces, size):
@@ -48,7 +46,8 @@ def test_query_small(spark, sf_small):
 
 
 def test_edge_cases(spark):
-    rows = [(1, None, 7), (2, "", 7), (3, "a", 7), (3, "a", 7), (4, "<|endoftext|> x  y\n z", 7), (5, "word " * 5000, 7),
+    rows = [(1, None, 7), (2, "", 7), (3, "a", 7), (3, "a", 7), (4, "<|endoftext|> x  y\n z", 7),
+            (7, "a<|endoftext|>b", 7), (8, "it's <|endoftext|><|endoftext|>  <|endoftext", 7), (9, " <|endoftext|>", 7), (5, "word " * 5000, 7),
             (None, "nobody", 7)] + [(i, f"text {i}", 0) for i in range(10, 60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, length int").repartition(5)
     docs = defaultdict(list)
