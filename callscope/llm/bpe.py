@@ -28,8 +28,8 @@ from callscope.llm.common import ByteGenerations, column, part_text, parts, paus
 
 #: Bytes of distinct words (or ids of distinct runs) in one DuckDB query.
 BYTES_PER_QUERY = 400_000
-#: Bytes of a generation of a task's caches: of parts, and of words or runs each.
-PART_CACHE, CACHE = 48 << 20, 24 << 20
+#: Bytes of a generation of a task's caches: of parts, words and decoded runs.
+PART_CACHE, WORD_CACHE, RUN_CACHE = 64 << 20, 32 << 20, 64 << 20
 #: Bytes of text (or ids) that are worked on together.
 BATCH = 2 << 20
 #: One word's positions are told apart from its ranks by this factor.
@@ -96,7 +96,7 @@ LONG = 96
 
 DECODE = """
 SELECT run, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes
-FROM (SELECT run, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM runs) JOIN vocab USING (id)
+FROM runs JOIN vocab USING (id)
 GROUP BY run
 """
 
@@ -127,7 +127,7 @@ class _Coder:
         self.starts_run = np.zeros(size, bool)
         for token, rank in self.ranks.items():
             self.starts_run[rank] = token[:1] == b" "
-        self.parts, self.words, self.runs = ByteGenerations(PART_CACHE), ByteGenerations(CACHE), ByteGenerations(CACHE)
+        self.parts, self.words, self.runs = ByteGenerations(PART_CACHE), ByteGenerations(WORD_CACHE), ByteGenerations(RUN_CACHE)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "160MB"})
         a, b, rank = vocabulary.merges.T.copy()
         merges = pa.table({"a": a, "b": b, "rank": rank, "self_low": vocabulary.self_low})  # noqa: F841  read by name
@@ -192,9 +192,8 @@ class _Coder:
         for chunk in _chunks((r, r) for r in new):
             keys = [r for r, _ in chunk]
             ids = np.frombuffer(b"".join(keys), np.int32)
-            ends = np.cumsum([len(r) // 4 for r in keys])
-            runs = pa.table({"run": np.arange(len(keys)),  # noqa: F841  read by name
-                             "ids": pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids))})
+            sizes = [len(r) // 4 for r in keys]
+            runs = pa.table({"run": np.repeat(np.arange(len(keys)), sizes), "pos": np.arange(len(ids)), "id": ids})  # noqa: F841  read by name
             for run, raw in self.db.execute(DECODE).fetchall():
                 self.runs.put(keys[run], raw)
         return [b"".join(map(self.runs.new.__getitem__, its)) for its in cut]
