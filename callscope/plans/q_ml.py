@@ -2,19 +2,20 @@
 
 Segments are embedding rows; a call is ``vec_id div 4`` with ``seq = vec_id mod 4``.
 Train / valid calls come from the stratified split on the call label.
-These queries are checked rows-only (no SQL oracle for model fits).
+Model fits are checked rows-only; scoring is checked in SQL on models that are written down.
 """
 
 from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from callscope.operators import ml, resample, scaling
+from callscope.operators import boosting, metrics, ml, resample, scaling
 from callscope.plans import views
 from callscope.plans.registry import finish, query
-from callscope.session import ensure_checkpoint_dir
+from callscope.session import cut_lineage, ensure_checkpoint_dir
 
 SEG_PER_CALL = 4
 LR_GRID = ml.logspace(-4, 4, 100)
@@ -37,20 +38,43 @@ def prepared(spark, sf, label: str = "y"):
     return ml.with_vector(out), calls
 
 
-def _grid(spark, sf, configs_fn, persist=False):
+def boosted(*families):
+    """The boosted families at every depth, with the largest number of rounds; the smaller
+    numbers are read off on the way."""
+    return [make(d, max(GBT_ITERS)) for make in families for d in TREE_DEPTHS]
+
+
+def _scored(data, configs, boosted_configs, keys, classes=2, persist=False):
+    """Class-1 probabilities of the valid rows under every configuration of the grid."""
+    train, valid = data.filter("split = 'train'"), data.filter("split = 'valid'")
+    spark = data.sparkSession
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
+    out, at = None, 0
+    if configs:
+        models = ml.fit_all(configs, train, parallelism=8)
+        if persist:  # A6 + K10: score the saved grid, as a separate scoring job would
+            models = ml.load_models(ml.save_models(models, base))
+        out, at = ml.score_grid(models, valid, keys), len(models)
+    if boosted_configs:
+        model = boosting.fit(train, boosted_configs, classes=classes)
+        if persist:
+            boosting.save(model, spark, f"{base}/boosted")
+            model = boosting.load(spark, f"{base}/boosted")
+        own = boosting.score(model, valid, keys, GBT_ITERS, ordinal=at)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def _grid(spark, sf, configs_fn, boosted_configs=(), persist=False):
     data, calls = prepared(spark, sf)
-    data = data.cache()
-    train = data.filter("split = 'train'")
-    valid = data.filter("split = 'valid'")
-    models = ml.fit_all(configs_fn(train), train, parallelism=8)
-    if persist:  # A6 + K10: score the saved grid, as a separate scoring job would
-        base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
-        models = ml.load_models(ml.save_models(models, base))
-    scored = ml.score_grid(models, valid, ["call", "seq"])
-    labels = calls.select(F.col("call"), F.col("y"))
-    res, best = ml.select_best(scored.withColumnRenamed("call", "id"), labels.withColumnRenamed("call", "id"),
-                               window=WINDOW)
-    return res, best
+    data = cut_lineage(data)
+    scored = _scored(data, configs_fn(data.filter("split = 'train'")), boosted_configs, ["call", "seq"], persist=persist)
+    labels = calls.select(F.col("call").alias("id"), "y")
+    return ml.select_best(scored.withColumnRenamed("call", "id"), labels, window=WINDOW)
+
+
+def _none(train):
+    return []
 
 
 @query("train_lr_grid")
@@ -69,32 +93,90 @@ def train_rf(spark, sf):
 
 @query("train_gbt")
 def train_gbt(spark, sf):
-    """K5/K6: gradient-boosted trees, depth x iterations."""
-    res, _ = _grid(spark, sf, lambda tr: ml.gbt_configs(TREE_DEPTHS, GBT_ITERS))
+    """K5: gradient boosting of residuals, depth x rounds."""
+    res, _ = _grid(spark, sf, _none, boosted(boosting.residual_config))
+    return finish(res.select("method", "config", "auroc"))
+
+
+@query("train_xgb")
+def train_xgb(spark, sf):
+    """K6: second-order boosting, depth x rounds."""
+    res, _ = _grid(spark, sf, _none, boosted(boosting.newton_config))
     return finish(res.select("method", "config", "auroc"))
 
 
 @query("score_and_select")
 def score_and_select(spark, sf):
     """Every family scored into one table, best per pooling method."""
-    def cfgs(tr):
-        return (ml.lr_configs(LR_GRID, ml.n_rows(tr)) + ml.rf_configs(TREE_DEPTHS, RF_TREES)
-                + ml.gbt_configs(TREE_DEPTHS, GBT_ITERS))
-    _, best = _grid(spark, sf, cfgs, persist=True)
+    _, best = _grid(spark, sf, lambda tr: ml.lr_configs(LR_GRID, ml.n_rows(tr)) + ml.rf_configs(TREE_DEPTHS, RF_TREES),
+                    boosted(boosting.newton_config, boosting.residual_config), persist=True)
     return finish(best)
 
 
 @query("three_way_model")
 def three_way_model(spark, sf):
-    """K7: 3-way targets (multinomial LR, RF, one-vs-rest GBT); class-1
-    probability evaluated against the binarised label."""
+    """K7: 3-way targets (multinomial LR, RF, jointly boosted classes of both families);
+    class-1 probability evaluated against the binarised label."""
     data, _ = prepared(spark, sf, label="label3")
-    data = data.cache()
-    train, valid = data.filter("split = 'train'"), data.filter("split = 'valid'")
-    cfgs = (ml.lr_configs(LR_GRID, ml.n_rows(train), multinomial=True) + ml.rf_configs(TREE_DEPTHS, RF_TREES)
-            + ml.gbt_configs(TREE_DEPTHS, GBT_ITERS, multiclass=True))
-    models = ml.fit_all(cfgs, train, parallelism=8)
-    scored = ml.score_grid(models, valid, ["id", "label3"], klass=1)
-    from callscope.operators import metrics
+    data = cut_lineage(data)
+    configs = (ml.lr_configs(LR_GRID, ml.n_rows(data.filter("split = 'train'")), multinomial=True) + ml.rf_configs(TREE_DEPTHS, RF_TREES))
+    scored = _scored(data, configs, boosted(boosting.newton_config, boosting.residual_config), ["id", "label3"], classes=3)
     ev = scored.withColumn("y", (F.col("label3") == 1).cast("int"))
     return finish(metrics.auroc_ap(ev, "p", "y", ["config"]))
+
+
+#: A small forest that is written down, not fitted, so that SQL can walk it too.
+LITERAL = {"features": 64, "depths": [2, 3], "rounds": 6, "stages": [2, 6]}
+
+
+def literal_model(classes: int = 2) -> boosting.Model:
+    """Trees whose splits and leaves follow from their numbers."""
+    configs = [boosting.Config(f"literal_d={d}", "newton", d, LITERAL["rounds"], 1.0) for d in LITERAL["depths"]]
+    outputs = 1 if classes == 2 else classes
+    trees = []
+    for config in configs:
+        t = boosting.Trees.empty(config.rounds, outputs, config.nodes)
+        for r in range(config.rounds):
+            for k in range(outputs):
+                for node in range(config.nodes):
+                    key = config.depth * 1009 + r * 97 + k * 31 + node
+                    if node < config.nodes // 2 and not (node and key % 5 == 0):  # some inner nodes are leaves
+                        t.feature[r, k, node], t.threshold[r, k, node] = key * 7 % LITERAL["features"], (key % 9 - 4) / 16
+                        t.missing_left[r, k, node] = key % 2 == 0
+                    t.value[r, k, node] = (key % 11 - 5) / 8
+        trees.append(t)
+    return boosting.Model(configs, classes, trees, np.zeros((len(configs), outputs)), LITERAL["features"])
+
+
+def literal_sql(classes: int = 2, klass: int = 1) -> str:
+    """The same walk as nested CASE expressions over ``embeddings``."""
+    model = literal_model(classes)
+
+    def walk(t, r, k, node):
+        f = int(t.feature[r, k, node])
+        if f < 0:
+            return str(float(t.value[r, k, node]))
+        x = f"CAST(embedding[{f + 1}] AS DOUBLE)"
+        left, right = walk(t, r, k, 2 * node + 1), walk(t, r, k, 2 * node + 2)
+        missing = left if t.missing_left[r, k, node] else right
+        return f"CASE WHEN {x} IS NULL OR isnan({x}) THEN {missing} WHEN {x} <= {float(t.threshold[r, k, node])} THEN {left} ELSE {right} END"
+
+    parts = []
+    for c, (config, t) in enumerate(zip(model.configs, model.trees, strict=True)):
+        for s, n in enumerate(LITERAL["stages"]):
+            m = [" + ".join(walk(t, r, k, 0) for r in range(n)) for k in range(t.feature.shape[1])]
+            p = f"1 / (1 + exp(-({m[0]})))" if classes == 2 else f"exp({m[klass]}) / ({' + '.join(f'exp({x})' for x in m)})"
+            parts.append(f"SELECT '{config.name}_n={n}' AS config, {c * len(LITERAL['stages']) + s} AS ordinal, vec_id AS id, round({p}, 6) AS p FROM embeddings")
+    return " UNION ALL ".join(parts)
+
+
+@query("score_trees_staged", literal_sql())
+def score_trees_staged(spark, sf):
+    """A grid of written-down trees over all vectors, read off after 2 and 6 rounds."""
+    return finish(boosting.score(literal_model(), views.feature_vectors(spark, sf), ["id"], LITERAL["stages"]))
+
+
+@query("score_trees_three_way", literal_sql(3))
+def score_trees_three_way(spark, sf):
+    """K7/K8: joint probabilities of three classes."""
+    return finish(boosting.score(literal_model(3), views.feature_vectors(spark, sf), ["id"], LITERAL["stages"]))

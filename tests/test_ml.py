@@ -98,6 +98,7 @@ def test_grid_of_all_families_keeps_its_order(spark, data):
 
 def test_queries_fit_the_whole_grids(spark, sf_small, monkeypatch):
     """Each family in full: 100 C; depths 1-5 x 100-500 trees."""
+    from callscope.operators import boosting
     from callscope.plans import q_ml
 
     class Seen(Exception):
@@ -105,15 +106,23 @@ def test_queries_fit_the_whole_grids(spark, sf_small, monkeypatch):
 
     seen = []
 
-    def stop(configs, *a, **k):
+    def fit_all(configs, *a, **k):
         seen.extend(n for n, _ in configs)
+        return []
+
+    def fit(train, configs, **k):
+        seen.extend(f"{c.name}_n={n}" for c in configs for n in q_ml.GBT_ITERS if n <= c.rounds)
         raise Seen
 
-    monkeypatch.setattr(ml, "fit_all", stop)
+    monkeypatch.setattr(ml, "fit_all", fit_all)
+    monkeypatch.setattr(ml, "load_models", lambda saved: saved)
+    monkeypatch.setattr(ml, "score_grid", lambda *a, **k: None)
+    monkeypatch.setattr(boosting, "fit", fit)
     trees = [f"d={d}_n={n}" for d in range(1, 6) for n in range(100, 501, 100)]
-    for fn, families in ((q_ml.train_gbt, ("gbt",)), (q_ml.score_and_select, ("rf", "gbt")), (q_ml.three_way_model, ("rf", "gbt"))):
+    for fn, families in ((q_ml.train_gbt, ("gbt",)), (q_ml.train_xgb, ("xgb",)), (q_ml.score_and_select, ("rf", "xgb", "gbt")),
+                         (q_ml.three_way_model, ("rf", "xgb", "gbt"))):
         seen.clear()
         with pytest.raises(Seen):
             fn(spark, sf_small)
         assert [n for n in seen if n[:2] != "lr"] == [f"{f}_{t}" for f in families for t in trees]
-        assert len({n for n in seen if n[:2] == "lr"}) == (0 if fn is q_ml.train_gbt else 100)
+        assert len({n for n in seen if n[:2] == "lr"}) == (0 if len(families) == 1 else 100)
