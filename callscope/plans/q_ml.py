@@ -8,11 +8,13 @@ Model fits are checked rows-only; scoring is checked in SQL on models that are w
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.operators import boosting, metrics, ml, resample, scaling
+from callscope.operators import boosting, logistic, metrics, ml, resample, scaling
 from callscope.plans import views
 from callscope.plans.registry import finish, query
 from callscope.session import cut_lineage, ensure_checkpoint_dir
@@ -44,83 +46,86 @@ def boosted(*families):
     return [make(d, max(GBT_ITERS)) for make in families for d in TREE_DEPTHS]
 
 
-def _scored(data, configs, boosted_configs, keys, classes=2, persist=False):
-    """Class-1 probabilities of the valid rows under every configuration of the grid."""
+def _scored(data, keys, cs=(), forests=(), boosted_configs=(), classes=2, persist=False):
+    """Class-1 probabilities of the valid rows under every configuration of the grid, in the
+    order: penalties, forests, boosted trees.  ``persist``: every model is saved and loaded
+    before it scores, as by a separate scoring job (A6, K10)."""
     train, valid = data.filter("split = 'train'"), data.filter("split = 'valid'")
     spark = data.sparkSession
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
-    out, at = None, 0
-    if configs:
-        models = ml.fit_all(configs, train, parallelism=8)
-        if persist:  # A6 + K10: score the saved grid, as a separate scoring job would
-            models = ml.load_models(ml.save_models(models, base))
-        out, at = ml.score_grid(models, valid, keys), len(models)
+    parts, at = [], 0
+    if cs:
+        path = logistic.fit(train, cs, classes=classes)
+        if persist:
+            logistic.save(path, spark, f"{base}/path")
+            path = logistic.load(spark, f"{base}/path")
+        parts.append(logistic.score(path, valid, keys))
+        at = len(cs)
+    if forests:
+        models = ml.fit_all(forests, train, parallelism=8)
+        if persist:
+            models = ml.load_models(ml.save_models(models, f"{base}/forests"))
+        parts.append(ml.score_grid(models, valid, keys).withColumn("ordinal", F.col("ordinal") + at))
+        at += len(forests)
     if boosted_configs:
         model = boosting.fit(train, boosted_configs, classes=classes)
         if persist:
             boosting.save(model, spark, f"{base}/boosted")
             model = boosting.load(spark, f"{base}/boosted")
-        own = boosting.score(model, valid, keys, GBT_ITERS, ordinal=at)
-        out = own if out is None else out.unionByName(own)
-    return out
+        parts.append(boosting.score(model, valid, keys, GBT_ITERS, ordinal=at))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _grid(spark, sf, configs_fn, boosted_configs=(), persist=False):
+def _grid(spark, sf, **families):
     data, calls = prepared(spark, sf)
-    data = cut_lineage(data)
-    scored = _scored(data, configs_fn(data.filter("split = 'train'")), boosted_configs, ["call", "seq"], persist=persist)
+    scored = _scored(cut_lineage(data), ["call", "seq"], **families)
     labels = calls.select(F.col("call").alias("id"), "y")
     return ml.select_best(scored.withColumnRenamed("call", "id"), labels, window=WINDOW)
 
 
-def _none(train):
-    return []
-
-
 @query("train_lr_grid")
 def train_lr_grid(spark, sf):
     """K3 + K9: 100 values of C, validation AUROC per pooling method."""
-    res, _ = _grid(spark, sf, lambda tr: ml.lr_configs(LR_GRID, ml.n_rows(tr)))
+    res, _ = _grid(spark, sf, cs=LR_GRID)
     return finish(res.select("method", "config", "auroc"))
 
 
 @query("train_rf")
 def train_rf(spark, sf):
     """K4: random forest depth x tree-count grid."""
-    res, _ = _grid(spark, sf, lambda tr: ml.rf_configs(TREE_DEPTHS, RF_TREES))
+    res, _ = _grid(spark, sf, forests=ml.rf_configs(TREE_DEPTHS, RF_TREES))
     return finish(res.select("method", "config", "auroc"))
 
 
 @query("train_gbt")
 def train_gbt(spark, sf):
     """K5: gradient boosting of residuals, depth x rounds."""
-    res, _ = _grid(spark, sf, _none, boosted(boosting.residual_config))
+    res, _ = _grid(spark, sf, boosted_configs=boosted(boosting.residual_config))
     return finish(res.select("method", "config", "auroc"))
 
 
 @query("train_xgb")
 def train_xgb(spark, sf):
     """K6: second-order boosting, depth x rounds."""
-    res, _ = _grid(spark, sf, _none, boosted(boosting.newton_config))
+    res, _ = _grid(spark, sf, boosted_configs=boosted(boosting.newton_config))
     return finish(res.select("method", "config", "auroc"))
 
 
 @query("score_and_select")
 def score_and_select(spark, sf):
     """Every family scored into one table, best per pooling method."""
-    _, best = _grid(spark, sf, lambda tr: ml.lr_configs(LR_GRID, ml.n_rows(tr)) + ml.rf_configs(TREE_DEPTHS, RF_TREES),
-                    boosted(boosting.newton_config, boosting.residual_config), persist=True)
+    _, best = _grid(spark, sf, cs=LR_GRID, forests=ml.rf_configs(TREE_DEPTHS, RF_TREES),
+                    boosted_configs=boosted(boosting.newton_config, boosting.residual_config), persist=True)
     return finish(best)
 
 
 @query("three_way_model")
 def three_way_model(spark, sf):
-    """K7: 3-way targets (multinomial LR, RF, jointly boosted classes of both families);
+    """K7: 3-way targets (softmax path, forests, jointly boosted classes of both families);
     class-1 probability evaluated against the binarised label."""
     data, _ = prepared(spark, sf, label="label3")
-    data = cut_lineage(data)
-    configs = (ml.lr_configs(LR_GRID, ml.n_rows(data.filter("split = 'train'")), multinomial=True) + ml.rf_configs(TREE_DEPTHS, RF_TREES))
-    scored = _scored(data, configs, boosted(boosting.newton_config, boosting.residual_config), ["id", "label3"], classes=3)
+    scored = _scored(cut_lineage(data), ["id", "label3"], cs=LR_GRID, forests=ml.rf_configs(TREE_DEPTHS, RF_TREES),
+                     boosted_configs=boosted(boosting.newton_config, boosting.residual_config), classes=3)
     ev = scored.withColumn("y", (F.col("label3") == 1).cast("int"))
     return finish(metrics.auroc_ap(ev, "p", "y", ["config"]))
 
@@ -180,3 +185,32 @@ def score_trees_staged(spark, sf):
 def score_trees_three_way(spark, sf):
     """K7/K8: joint probabilities of three classes."""
     return finish(boosting.score(literal_model(3), views.feature_vectors(spark, sf), ["id"], LITERAL["stages"]))
+
+
+def literal_path(classes: int = 3) -> logistic.Path:
+    """Coefficients that follow from their numbers."""
+    cs = [0.01, 1.0, 100.0]
+    weights = np.array([[[((c * 13 + k * 29 + f * 7) % 17 - 8) / 32 for f in range(65)] for k in range(1 if classes == 2 else classes)] for c in range(len(cs))])
+    return logistic.Path(cs, classes, weights, np.zeros(len(cs)), 0)
+
+
+def literal_path_sql(classes: int = 3, klass: int = 1) -> str:
+    path = literal_path(classes)
+    parts = []
+    for i, (name, w) in enumerate(zip(path.names, path.weights, strict=True)):
+        m = [f"(list_dot_product(CAST(embedding AS DOUBLE[]), {row[:-1].tolist()}::DOUBLE[]) + {row[-1]})" for row in w]
+        p = f"1 / (1 + exp(-{m[0]}))" if classes == 2 else f"exp({m[klass]}) / ({' + '.join(f'exp({x})' for x in m)})"
+        parts.append(f"SELECT '{name}' AS config, {i} AS ordinal, vec_id AS id, round({p}, 6) AS p FROM embeddings")
+    return " UNION ALL ".join(parts)
+
+
+@query("score_path", literal_path_sql(2))
+def score_path(spark, sf):
+    """K3/K8: a path of written-down coefficients over all vectors."""
+    return finish(logistic.score(literal_path(2), views.feature_vectors(spark, sf), ["id"]))
+
+
+@query("score_path_three_way", literal_path_sql(3))
+def score_path_three_way(spark, sf):
+    """K3/K7: joint probabilities of three classes."""
+    return finish(logistic.score(literal_path(3), views.feature_vectors(spark, sf), ["id"]))
