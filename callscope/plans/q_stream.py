@@ -75,17 +75,17 @@ CUT_DAYS_MS = 3 * DAY_MS
 s AS (SELECT id, event_id, e, p, row_number() OVER (PARTITION BY id ORDER BY ts, event_id) AS rn FROM e
       WHERE e - st <= {CUT_DAYS_MS}),
 m AS (SELECT *, AVG(p) OVER (PARTITION BY id ORDER BY rn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS p_ma FROM s),
-h AS (SELECT id, MIN(rn) FILTER (WHERE p_ma >= {HIT_THRESHOLD}) AS hit_rn, MAX(e) AS last_e,
-      arg_max(event_id, rn) AS last_event FROM m GROUP BY id),
+h AS (SELECT id, MIN(rn) FILTER (WHERE p_ma >= {HIT_THRESHOLD}) AS hit_rn, arg_max(event_id, rn) AS last_event FROM m GROUP BY id),
+seen AS (SELECT id, MAX(e) AS last_e, MAX(e - st) > {CUT_DAYS_MS} AS cut FROM e GROUP BY id),
 mx AS (SELECT MAX(epoch_ms(ts)) AS max_e FROM events)
 SELECT m.id, CAST(m.rn AS BIGINT) AS s_num, m.event_id, round(m.p_ma, 6) AS p_ma
 FROM m JOIN h ON m.id = h.id AND m.rn = h.hit_rn
 UNION ALL
-SELECT h.id, CAST(-1 AS BIGINT), h.last_event, CAST(NULL AS DOUBLE) FROM h, mx
-WHERE h.hit_rn IS NULL AND h.last_e + {DAY_MS} < mx.max_e - {DAY_MS}""")
+SELECT h.id, CAST(-1 AS BIGINT), h.last_event, CAST(NULL AS DOUBLE) FROM h JOIN seen ON seen.id = h.id, mx
+WHERE h.hit_rn IS NULL AND (seen.cut OR seen.last_e + {DAY_MS} < mx.max_e - {DAY_MS})""")
 def stream_first_hit_cut(spark, sf):
-    """L2 with L3: calls are cut three days after their first segment; a cut call
-    without a hit reports ``s_num = -1`` like a silent one."""
+    """L2 with L3: calls are cut three days after their first segment; a call without a
+    hit reports ``s_num = -1`` when it is cut, or like a silent one."""
     stream = st.first_hit_stream(st.score_stream(spark, sf), HIT_THRESHOLD, window=3, cut_ms=CUT_DAYS_MS,
                                  watermark="1 day", silence_ms=DAY_MS)
     return finish(st.run_available_now(stream, "hit-cut").select("id", "s_num", "event_id", "p_ma"))

@@ -1,31 +1,29 @@
 """L1-L3: incremental per-call smoothing, first-hit alerts and the time cut.
 
 Segment scores arrive as a stream; each call keeps a small state — the last
-``window - 1`` scores, the segment count, the hit flag and the cut flag — in
-Spark's state store via ``applyInPandasWithState``.  Within a micro-batch the
-rows of a call are ordered by event time; across batches the state carries the
-history.  A watermark on event time bounds the state: calls that stay silent
-past it time out (and a call without a hit then reports ``s_num = -1``).
+``window - 1`` scores, the segment count and what has been reported — as value and
+list states of a stateful processor (``transformWithState``).  Within a micro-batch
+the rows of a call are ordered by event time; across batches the state carries the
+history.  A watermark on event time bounds the state: a timer closes calls that stay
+silent past it (a call without a hit then reports ``s_num = -1``).
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from callscope.session import ensure_checkpoint_dir
 
 SCORE_SCHEMA = "id LONG, event_id LONG, ts TIMESTAMP, end_ms LONG, p DOUBLE"
 MA_OUT = "id LONG, event_id LONG, ts TIMESTAMP, seq LONG, p DOUBLE, p_ma DOUBLE"
-MA_STATE = "hist ARRAY<DOUBLE>, n LONG, cut BOOLEAN, start LONG"
 HIT_OUT = "id LONG, s_num LONG, event_id LONG, ts TIMESTAMP, p_ma DOUBLE"
-HIT_STATE = ("hist ARRAY<DOUBLE>, n LONG, hit BOOLEAN, last_event LONG, last_ts TIMESTAMP, cut BOOLEAN, "
-             "start LONG, last_ms LONG")
 #: files of a micro-batch, unless the caller says otherwise
 MAX_FILES = 64
 
@@ -47,125 +45,150 @@ def score_stream(spark: SparkSession, folder: str, file_glob: str = "events.parq
                      (F.col("value") / (F.col("value") + F.lit(50.0))).alias("p"))
 
 
-def _apply_cut(pdf: pd.DataFrame, cut_ms: int | None, already_cut: bool, call_start: int):
-    """L3: once a segment ends more than ``cut_ms`` after the call start, the
-    call ignores it and everything after it (a prefix break, not a filter)."""
-    if already_cut:
-        return pdf.iloc[0:0], True
-    if cut_ms is None:
-        return pdf, False
-    rel = pdf["end_ms"] - call_start
-    over = np.flatnonzero(rel.to_numpy() > cut_ms)
-    if len(over):
-        return pdf.iloc[: over[0]], True
-    return pdf, False
+class _Calls(StatefulProcessor):
+    """What both operators know of a call: the last ``window - 1`` scores, the number of
+    segments, whether it is cut, and the time at which silence ends it.
 
+    The timer is set by the last segment *seen*, so a call that is cut stays known, and its
+    segments ignored, as long as they keep arriving.  Segments behind the watermark are late
+    and ignored.  The rows of a call in a micro-batch are ordered by event time."""
 
-def _drop_late(pdf: pd.DataFrame, state) -> pd.DataFrame:
-    """L3: segments older than the current watermark are late and ignored
-    (stateful pandas operators do not filter them by themselves)."""
-    wm = state.getCurrentWatermarkMs()
-    return pdf[pdf["end_ms"] >= wm] if wm > 0 else pdf
+    SCHEMA = "n LONG, done BOOLEAN, cut BOOLEAN, start LONG, last_event LONG, last_ms LONG, timer LONG"
 
+    def __init__(self, window: int, cut_ms: int | None, silence_ms: int):
+        self.window, self.cut_ms, self.silence_ms = window, cut_ms, silence_ms
 
-def _keep(state, values: tuple, last_ms: int, silence_ms: int) -> None:
-    """Store the state and set its timeout again (an update clears it): ``silence_ms``
-    after the call's last segment, on the watermark's clock."""
-    state.update(values)
-    state.setTimeoutTimestamp(max(last_ms + silence_ms, state.getCurrentWatermarkMs() + 1))
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.call = handle.getValueState("call", self.SCHEMA)
+        self.last = handle.getListState("last", "p DOUBLE")
 
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+        frame = pd.concat(list(rows))
+        watermark = timerValues.getCurrentWatermarkInMs()
+        if watermark > 0:
+            frame = frame[frame["end_ms"] >= watermark]
+        frame = frame.sort_values(["ts", "event_id"], kind="stable")
+        if len(frame) == 0:
+            return
+        if self.call.exists():
+            n, done, cut, start, last_event, last_ms, timer = self.call.get()
+            before = [x[0] for x in self.last.get()]
+        else:
+            n, done, cut, start, last_event, last_ms, timer = 0, False, False, int(frame["end_ms"].iloc[0]), None, None, None
+            before = []
+        seen = int(frame["end_ms"].iloc[-1])
+        if cut:
+            frame = frame.iloc[:0]
+        elif self.cut_ms is not None:
+            over = np.flatnonzero(frame["end_ms"].to_numpy() - start > self.cut_ms)
+            if len(over):
+                frame, cut = frame.iloc[:over[0]], True
+        if len(frame):
+            mean = _trailing(before, frame["p"].to_numpy(), self.window)
+            if self.window > 1:
+                self.last.put([(float(p),) for p in (before + frame["p"].tolist())[1 - self.window:]])
+            last_event, last_ms = int(frame["event_id"].iloc[-1]), int(frame["end_ms"].iloc[-1])
+        else:
+            mean = np.empty(0)
+        out, done = self.answer(key, frame, mean, n, done, cut, last_event, last_ms)
+        expires = max(seen + self.silence_ms, timer or 0, watermark + 1)
+        if expires != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(expires)
+        self.call.update((int(n + len(frame)), bool(done), bool(cut), int(start), last_event, last_ms, int(expires)))
+        if out is not None:
+            yield out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.call.exists():
+            _, done, _, _, last_event, last_ms, _ = self.call.get()
+            if not done:
+                out = self.silent(key, last_event, last_ms)
+                if out is not None:
+                    yield out
+            self.call.clear()
+            self.last.clear()
+
+    def answer(self, key, frame, mean, n, done, cut, last_event, last_ms):
+        """(rows to emit or None, whether the call has been answered)."""
+        raise NotImplementedError
+
+    def silent(self, key, last_event, last_ms):
+        """What a call that ends unanswered emits."""
+        return None
+
+    def close(self) -> None:
+        pass
+
+
+class _Means(_Calls):
+    def answer(self, key, frame, mean, n, done, cut, last_event, last_ms):
+        if not len(frame):
+            return None, done
+        return pd.DataFrame({"id": frame["id"].to_numpy(), "event_id": frame["event_id"].to_numpy(), "ts": frame["ts"].to_numpy(),
+                             "seq": np.arange(n, n + len(frame)), "p": frame["p"].to_numpy(), "p_ma": mean}), done
+
+
+class _FirstHit(_Calls):
+    def __init__(self, threshold: float, *args):
+        super().__init__(*args)
+        self.threshold = threshold
+
+    def answer(self, key, frame, mean, n, done, cut, last_event, last_ms):
+        if done:
+            return None, True
+        hits = np.flatnonzero(mean >= self.threshold)
+        if len(hits):
+            i = hits[0]
+            return self._row(key, n + i + 1, frame["event_id"].iloc[i], int(frame["end_ms"].iloc[i]), mean[i]), True
+        return (self.silent(key, last_event, last_ms), True) if cut else (None, False)
+
+    def silent(self, key, last_event, last_ms):
+        return self._row(key, -1, last_event, last_ms, np.nan)
+
+    def _row(self, key, s_num, event, ms, mean):
+        return pd.DataFrame({"id": [key[0]], "s_num": [s_num], "event_id": [event], "ts": pd.to_datetime([ms], unit="ms"), "p_ma": [mean]})
 
-def _trailing(hist: list[float], new: np.ndarray, window: int) -> np.ndarray:
-    vals = np.concatenate([np.asarray(hist, dtype=float), new.astype(float)])
+
+def _trailing(before: list[float], new: np.ndarray, window: int) -> np.ndarray:
+    values = np.concatenate([np.asarray(before, dtype=float), new.astype(float)])
     if window <= 1:
         return new.astype(float)
-    c = np.concatenate([[0.0], np.cumsum(vals)])
-    idx = np.arange(len(hist), len(vals))
-    lo = np.maximum(idx - window + 1, 0)
-    return (c[idx + 1] - c[lo]) / (idx + 1 - lo)
+    c = np.concatenate([[0.0], np.cumsum(values)])
+    at = np.arange(len(before), len(values))
+    low = np.maximum(at - window + 1, 0)
+    return (c[at + 1] - c[low]) / (at + 1 - low)
+
+
+def _by_call(scores: DataFrame, processor: StatefulProcessor, schema: str, watermark: str) -> DataFrame:
+    return (scores.withWatermark("ts", watermark).groupBy("id")
+            .transformWithStateInPandas(processor, schema, "append", "eventTime"))
 
 
 def moving_average_stream(scores: DataFrame, window: int = 3, cut_ms: int | None = None,
                           watermark: str = "1 day", silence_ms: int = 86_400_000) -> DataFrame:
-    """L1 (+L3): trailing mean of the last ``window`` scores of each call,
-    emitted for every arriving segment (append mode).  A call silent for
-    ``silence_ms`` of event time past the watermark is closed (state dropped)."""
-    def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        hist, n, cut, start = (([], 0, False, None) if not state.exists else
-                               (list(state.get[0]), state.get[1], state.get[2], state.get[3]))
-        pdf = _drop_late(pd.concat(list(pdfs)), state).sort_values(["ts", "event_id"], kind="stable")
-        if len(pdf) == 0:
-            if state.exists:
-                _keep(state, (hist, int(n), bool(cut), start), state.getCurrentWatermarkMs(), silence_ms)
-            return
-        last_ms = int(pdf["end_ms"].iloc[-1])  # epoch ms, same clock as the watermark
-        if start is None:  # the call clock starts with its first segment
-            start = int(pdf["end_ms"].iloc[0])
-        pdf, cut = _apply_cut(pdf, cut_ms, cut, start)
-        if len(pdf):
-            ma = _trailing(hist, pdf["p"].to_numpy(), window)
-            out = pd.DataFrame({"id": pdf["id"].to_numpy(), "event_id": pdf["event_id"].to_numpy(),
-                                "ts": pdf["ts"].to_numpy(), "seq": np.arange(n, n + len(pdf)),
-                                "p": pdf["p"].to_numpy(), "p_ma": ma})
-            hist = (hist + pdf["p"].tolist())[-(window - 1):] if window > 1 else []
-            n += len(pdf)
-            yield out
-        # a cut call keeps its state while segments arrive, so that they stay ignored
-        _keep(state, (hist, int(n), bool(cut), start), last_ms, silence_ms)
-
-    return (scores.withWatermark("ts", watermark).groupBy("id")
-            .applyInPandasWithState(fn, MA_OUT, MA_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+    """L1 (+L3): trailing mean of the last ``window`` scores of each call, emitted for every
+    arriving segment (append mode).  A call silent for ``silence_ms`` of event time past the
+    watermark is closed (state dropped).  With ``cut_ms``, the first segment that ends more
+    than that after the call's first one, and all that follow, are ignored."""
+    return _by_call(scores, _Means(window, cut_ms, silence_ms), MA_OUT, watermark)
 
 
 def first_hit_stream(scores: DataFrame, threshold: float, window: int = 3,
                      cut_ms: int | None = None, watermark: str = "1 day",
                      silence_ms: int = 86_400_000) -> DataFrame:
-    """L2 (+L1, L3): one alert per call — the first segment whose trailing mean
-    reaches ``threshold`` (``s_num`` 1-based).  A call without a hit whose last
-    segment (within the cut) lies ``silence_ms`` behind the watermark reports
-    ``s_num = -1`` with that segment; its state is dropped."""
-    def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            hist, n, hit, last_event, last_ts, cut, start, last_ms = state.get
-            if not hit:
-                yield pd.DataFrame({"id": [key[0]], "s_num": [-1], "event_id": [last_event],
-                                    "ts": [last_ts], "p_ma": [np.nan]})
-            state.remove()
-            return
-        if state.exists:
-            hist, n, hit, last_event, last_ts, cut, start, last_ms = state.get
-            hist = list(hist)
-        else:
-            hist, n, hit, last_event, last_ts, cut, start, last_ms = [], 0, False, None, None, False, None, None
-        pdf = _drop_late(pd.concat(list(pdfs)), state).sort_values(["ts", "event_id"], kind="stable")
-        if len(pdf) == 0:
-            if last_ms is not None:
-                _keep(state, (hist, int(n), bool(hit), last_event, last_ts, bool(cut), start, int(last_ms)), int(last_ms), silence_ms)
-            return
-        if start is None:
-            start = int(pdf["end_ms"].iloc[0])
-        pdf, cut = _apply_cut(pdf, cut_ms, cut, start)
-        if len(pdf):
-            ma = _trailing(hist, pdf["p"].to_numpy(), window)
-            if not hit:
-                over = np.flatnonzero(ma >= threshold)
-                if len(over):
-                    i = over[0]
-                    hit = True
-                    yield pd.DataFrame({"id": [key[0]], "s_num": [n + i + 1],
-                                        "event_id": [pdf["event_id"].iloc[i]], "ts": [pdf["ts"].iloc[i]],
-                                        "p_ma": [ma[i]]})
-            hist = (hist + pdf["p"].tolist())[-(window - 1):] if window > 1 else []
-            n += len(pdf)
-            last_event, last_ts, last_ms = int(pdf["event_id"].iloc[-1]), pdf["ts"].iloc[-1], int(pdf["end_ms"].iloc[-1])
-        if last_ms is not None:
-            _keep(state, (hist, int(n), bool(hit), last_event, last_ts, bool(cut), start, int(last_ms)), int(last_ms), silence_ms)
+    """L2 (+L1, L3): one alert per call — the first segment whose trailing mean reaches
+    ``threshold`` (``s_num`` 1-based).  A call without a hit reports ``s_num = -1`` with its
+    last segment (within the cut) once, when it is cut or has been silent for ``silence_ms``
+    past the watermark.  Silence alone ends a call and drops its state."""
+    return _by_call(scores, _FirstHit(threshold, window, cut_ms, silence_ms), HIT_OUT, watermark)
 
-    return (scores.withWatermark("ts", watermark).groupBy("id")
-            .applyInPandasWithState(fn, HIT_OUT, HIT_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+
+#: The state store that timers and list states need.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def run_available_now(stream: DataFrame, name: str) -> DataFrame:
@@ -174,8 +197,16 @@ def run_available_now(stream: DataFrame, name: str) -> DataFrame:
     the sink as a batch DataFrame."""
     spark = stream.sparkSession
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
-    q = (stream.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True)
-         .start(f"{base}/out"))
-    q.awaitTermination()
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, ROCKS)
+    try:
+        q = (stream.writeStream.format("parquet").outputMode("append")
+             .option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True)
+             .start(f"{base}/out"))
+        q.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(_PROVIDER)
+        else:
+            spark.conf.set(_PROVIDER, before)
     return spark.read.parquet(f"{base}/out")

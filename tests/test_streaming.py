@@ -87,3 +87,58 @@ def test_late_segments_are_dropped(spark):
     out = st.run_available_now(st.moving_average_stream(stream, window=1), "late-test")
     got = sorted((r.event_id, r.seq) for r in out.collect())
     assert got == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (100, 5)]
+
+
+def _batches(spark, batches):
+    """One file for each micro-batch, in order, of (event_id, hours, call, score) rows."""
+    import datetime as dt
+    import os
+    import shutil
+    folder = tempfile.mkdtemp(prefix="callscope-batches-")
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    for i, rows in enumerate(batches):
+        rows = [(e, dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), c, "x", 50.0 * p / (1 - p), "{}") for e, h, c, p in rows]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/part{i}")
+        f = [x for x in os.listdir(f"{folder}/part{i}") if x.endswith(".parquet")][0]
+        shutil.copy(f"{folder}/part{i}/{f}", f"{folder}/events-{i}.parquet")
+        os.utime(f"{folder}/events-{i}.parquet", (1_700_000_000 + 100 * i,) * 2)
+    return st.score_stream(spark, folder, file_glob="events-*.parquet", max_files=1)
+
+
+HOUR = 3_600_000
+
+
+@pytest.mark.parametrize("cut,expected", [
+    (None, {(1, 7, 106), (2, 1, 200), (3, -1, 300), (4, -1, 401)}),
+    (2, {(1, -1, 101), (2, 1, 200), (3, -1, 300), (4, -1, 401)})])
+def test_one_alert_per_call_over_many_batches(spark, cut, expected):
+    """Call 1 speaks every 90 minutes and hits late (behind the cut); call 2 hits at once and
+    often; 3 falls silent early, 4 too, after two segments.  Silence: two hours."""
+    batches = []
+    for i in range(12):
+        rows = [(100 + i, 1.5 * i, 1, 0.9 if i >= 6 else 0.1), (200 + i, 1.5 * i + 0.1, 2, 0.9)]
+        if i == 0:
+            rows.append((300, 0.2, 3, 0.2))
+        if i in (0, 1):
+            rows.append((400 + i, 1.5 * i + 0.3, 4, 0.3))
+        batches.append(rows)
+    batches += [[(900 + i, 40.0 + 10 * i, 9, 0.1)] for i in range(2)]  # moves the watermark; call 9 stays open
+    stream = st.first_hit_stream(_batches(spark, batches), 0.8, window=1, cut_ms=None if cut is None else cut * HOUR, watermark="0 seconds", silence_ms=2 * HOUR)
+    out = [(r.id, r.s_num, r.event_id) for r in st.run_available_now(stream, "alerts").collect()]
+    assert len(out) == len(set(out))
+    assert {r for r in out if r[0] != 9} == expected
+
+
+def test_closed_calls_leave_no_state(spark):
+    batches = [[(i * 10 + c, float(i), c, 0.1) for c in range(5)] for i in range(3)] + [[(900, 50.0, 9, 0.1)], [(901, 100.0, 10, 0.1)], [(902, 100.5, 10, 0.1)]]
+    stream = st.moving_average_stream(_batches(spark, batches), window=3, watermark="0 seconds", silence_ms=2 * HOUR)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", st.ROCKS)
+    try:
+        folder = tempfile.mkdtemp(prefix="callscope-state-")
+        q = (stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start(f"{folder}/o"))
+        q.awaitTermination()
+        left = spark.read.format("statestore").option("stateVarName", "call").load(f"{folder}/c").count()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert left == 1  # call 10
+    assert spark.read.parquet(f"{folder}/o").count() == 18
