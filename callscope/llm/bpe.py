@@ -163,10 +163,8 @@ class _Coder:
         for query, own in ((ENCODE, [x for x in todo.items() if len(x[1]) < LONG]),
                            (ENCODE_LONG, [x for x in todo.items() if len(x[1]) >= LONG])):
             for chunk in _chunks(own):
-                for (word, _), ids in zip(chunk, self._merge(query, [raw for _, raw in chunk]), strict=True):
-                    self.words.put(word, ids)
-        for part, its in words.items():
-            self.parts.put(part, known[its[0]] if len(its) == 1 else b"".join([known[w] for w in its]))
+                self.words.put_all([w for w, _ in chunk], self._merge(query, [raw for _, raw in chunk]))
+        self.parts.put_all(words, [known[its[0]] if len(its) == 1 else b"".join([known[w] for w in its]) for its in words.values()])
 
     def _merge(self, query: str, words: list[bytes]) -> list[bytes]:
         size = np.array([len(w) for w in words])

@@ -179,14 +179,17 @@ class ByteGenerations:
             self.old, self.new, self.size = self.new, {}, 0
         todo = keys.difference(self.new)
         found = todo.intersection(self.old)
-        for k in found:
-            self.put(k, self.old[k])
+        self.put_all(found, [self.old[k] for k in found])
         return todo.difference(found)
 
     def put(self, key, value: bytes) -> None:
         self.new[key] = value
         self.size += self.ENTRY + len(key) + len(value)
 
+    def put_all(self, keys, values: list[bytes]) -> None:
+        self.new.update(zip(keys, values, strict=True))
+        self.size += self.ENTRY * len(values) + sum(map(len, keys)) + sum(map(len, values))
+
 
 @contextmanager
 def paused_gc():

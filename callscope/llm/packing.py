@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callscope.llm.common import ByteGenerations, column, part_text, parts, paused_gc, small_batches
+from callscope.llm.common import ByteGenerations, column, parts, paused_gc, small_batches
 from callscope.session import cut_lineage
 
 #: Bytes of a generation of a task's caches of encoded parts and words.
@@ -61,17 +61,16 @@ class _Tokenizer:
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         cut = [self._parts(t) for t in texts]
-        missing = self.known.missing(set().union(*cut))
-        pieces = {part: [part[0]] if isinstance(part, tuple) and part[0] in self.added else _AFTER_LETTER.split(part_text(part))
-                  for part in missing}
-        new = list(self.words.missing(set().union(*pieces.values())))
-        words = self.words.new
+        missing = list(self.known.missing(set().union(*cut)))
+        split, added = _AFTER_LETTER.split, self.added
+        pieces = [split(" " + part) if part.__class__ is str else [part[0]] if part[0] in added else split(part[0]) for part in missing]
+        new = list(self.words.missing(set().union(*pieces)))
+        code = np.dtype(self.kind).char
         for at in range(0, len(new), 20_000):
             some = new[at:at + 20_000]
-            for word, got in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.words.put(word, array(self.kind().dtype.char, got.ids).tobytes())
-        for part, its in pieces.items():
-            self.known.put(part, words[its[0]] if len(its) == 1 else b"".join([words[w] for w in its]))
+            self.words.put_all(some, [array(code, got.ids).tobytes() for got in self.model.encode_batch_fast(some, add_special_tokens=False)])
+        words = self.words.new
+        self.known.put_all(missing, [words[its[0]] if len(its) == 1 else b"".join([words[w] for w in its]) for its in pieces])
         tail = self.kind(end).tobytes()
         known = self.known.new.__getitem__
         return [b"".join(map(known, its)) + tail for its in cut]

@@ -115,8 +115,7 @@ class Encoder:
             ids = self._encode_parts(some)
             if self.library is not None:
                 self._compare(some, ids)
-            for part, own in zip(some, ids, strict=True):
-                self.known.put(part, own)
+            self.known.put_all(some, ids)
         get = self.known.new.__getitem__
         return [b"".join(map(get, its)) + tail for its in cut]
 
