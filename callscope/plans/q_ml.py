@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.operators import boosting, logistic, metrics, ml, resample, scaling
+from callscope.operators import boosting, forest, logistic, metrics, ml, resample, scaling
 from callscope.plans import views
 from callscope.plans.registry import finish, query
 from callscope.session import cut_lineage, ensure_checkpoint_dir
@@ -46,7 +46,7 @@ def boosted(*families):
     return [make(d, max(GBT_ITERS)) for make in families for d in TREE_DEPTHS]
 
 
-def _scored(data, keys, cs=(), forests=(), boosted_configs=(), classes=2, persist=False):
+def _scored(data, keys, cs=(), forests=False, boosted_configs=(), classes=2, persist=False):
     """Class-1 probabilities of the valid rows under every configuration of the grid, in the
     order: penalties, forests, boosted trees.  ``persist``: every model is saved and loaded
     before it scores, as by a separate scoring job (A6, K10)."""
@@ -62,11 +62,12 @@ def _scored(data, keys, cs=(), forests=(), boosted_configs=(), classes=2, persis
         parts.append(logistic.score(path, valid, keys))
         at = len(cs)
     if forests:
-        models = ml.fit_all(forests, train, parallelism=8)
+        trees = forest.fit(train, max(RF_TREES), max(TREE_DEPTHS), classes=classes)
         if persist:
-            models = ml.load_models(ml.save_models(models, f"{base}/forests"))
-        parts.append(ml.score_grid(models, valid, keys).withColumn("ordinal", F.col("ordinal") + at))
-        at += len(forests)
+            forest.save(trees, spark, f"{base}/forest")
+            trees = forest.load(spark, f"{base}/forest")
+        parts.append(forest.score(trees, valid, keys, TREE_DEPTHS, RF_TREES, ordinal=at))
+        at += len(TREE_DEPTHS) * len(RF_TREES)
     if boosted_configs:
         model = boosting.fit(train, boosted_configs, classes=classes)
         if persist:
@@ -93,7 +94,7 @@ def train_lr_grid(spark, sf):
 @query("train_rf")
 def train_rf(spark, sf):
     """K4: random forest depth x tree-count grid."""
-    res, _ = _grid(spark, sf, forests=ml.rf_configs(TREE_DEPTHS, RF_TREES))
+    res, _ = _grid(spark, sf, forests=True)
     return finish(res.select("method", "config", "auroc"))
 
 
@@ -114,7 +115,7 @@ def train_xgb(spark, sf):
 @query("score_and_select")
 def score_and_select(spark, sf):
     """Every family scored into one table, best per pooling method."""
-    _, best = _grid(spark, sf, cs=LR_GRID, forests=ml.rf_configs(TREE_DEPTHS, RF_TREES),
+    _, best = _grid(spark, sf, cs=LR_GRID, forests=True,
                     boosted_configs=boosted(boosting.newton_config, boosting.residual_config), persist=True)
     return finish(best)
 
@@ -124,7 +125,7 @@ def three_way_model(spark, sf):
     """K7: 3-way targets (softmax path, forests, jointly boosted classes of both families);
     class-1 probability evaluated against the binarised label."""
     data, _ = prepared(spark, sf, label="label3")
-    scored = _scored(cut_lineage(data), ["id", "label3"], cs=LR_GRID, forests=ml.rf_configs(TREE_DEPTHS, RF_TREES),
+    scored = _scored(cut_lineage(data), ["id", "label3"], cs=LR_GRID, forests=True,
                      boosted_configs=boosted(boosting.newton_config, boosting.residual_config), classes=3)
     ev = scored.withColumn("y", (F.col("label3") == 1).cast("int"))
     return finish(metrics.auroc_ap(ev, "p", "y", ["config"]))

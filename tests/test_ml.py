@@ -98,7 +98,7 @@ def test_grid_of_all_families_keeps_its_order(spark, data):
 
 def test_queries_fit_the_whole_grids(spark, sf_small, monkeypatch):
     """Each family in full: 100 C; depths 1-5 x 100-500 trees."""
-    from callscope.operators import boosting, logistic
+    from callscope.operators import boosting, forest, logistic
     from callscope.plans import q_ml
 
     class Seen(Exception):
@@ -110,18 +110,17 @@ def test_queries_fit_the_whole_grids(spark, sf_small, monkeypatch):
         seen.extend(f"lr_C={c:.6g}" for c in cs)
         return q_ml.literal_path(k["classes"])
 
-    def fit_all(configs, *a, **k):
-        seen.extend(n for n, _ in configs)
-        return []
+    def grow(train, trees, depth, **k):
+        seen.extend(f"rf_d={d}_n={n}" for d in q_ml.TREE_DEPTHS if d <= depth for n in q_ml.RF_TREES if n <= trees)
+        return boosting.Trees.empty(2, 1 if k["classes"] == 2 else k["classes"], 3)
 
     def fit(train, configs, **k):
         seen.extend(f"{c.name}_n={n}" for c in configs for n in q_ml.GBT_ITERS if n <= c.rounds)
         raise Seen
 
     monkeypatch.setattr(logistic, "fit", path)
-    monkeypatch.setattr(ml, "fit_all", fit_all)
-    monkeypatch.setattr(ml, "load_models", lambda saved: saved)
-    monkeypatch.setattr(ml, "score_grid", lambda models, df, keys, **k: logistic.score(q_ml.literal_path(2), df, keys))
+    monkeypatch.setattr(forest, "fit", grow)
+    monkeypatch.setattr(forest, "load", lambda spark, path: boosting.Trees.empty(2, 1, 3))
     monkeypatch.setattr(boosting, "fit", fit)
     trees = [f"d={d}_n={n}" for d in range(1, 6) for n in range(100, 501, 100)]
     for fn, families in ((q_ml.train_gbt, ("gbt",)), (q_ml.train_xgb, ("xgb",)), (q_ml.score_and_select, ("rf", "xgb", "gbt")),
