@@ -14,21 +14,14 @@ EMERGENCY_SYMPTOMS_GROUP1 = ['얼굴마비', '구음장애', '팔 위약/ 마비
 EMERGENCY_SYMPTOMS_GROUP2 = ['흉통', '가슴불편감', '실신', '호흡곤란', '심계향진']
 CARDIAC_SYMPTOMS = ['흉통', '가슴불편감', '실신', '호흡곤란', '심계향진']
 
-# --- fixed values: time cuts (ms), slot count, split and resampling settings --
-TIME_CUTS_MS = [60000, 90000, 120000]
+# --- fixed values: slot count, split and resampling settings -----------------
 MAX_SENTENCE = 117
-TEST_SIZE = 0.2
-VALID_SIZE = 0.2
 SPLIT_SEED = 42
 BOOTSTRAP_ROUNDS = 10
 BOOTSTRAP_RATE = 0.75
 SWEEP_POINTS = 512
 VOCAB_TOP_K = 776
 
-# --- fixed values: speaker markers and pad of the token fixture --------------
-PAD_TOKEN_ID = 0
-SPLIT_MARKER_IDS = [42000, 42001, 42002, 42003]
-
 # --- fixed values: operating thresholds -------------------------------------
 # (mode, time_cut_s, window, method) -> {model: threshold}, in original order.
 OPERATING_THRESHOLDS = {
