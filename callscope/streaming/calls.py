@@ -162,7 +162,16 @@ def _trailing(before: list[float], new: np.ndarray, window: int) -> np.ndarray:
     return (c[at + 1] - c[low]) / (at + 1 - low)
 
 
+#: The state store that timers and list states need.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
 def _by_call(scores: DataFrame, processor: StatefulProcessor, schema: str, watermark: str) -> DataFrame:
+    """A session that still has Spark's default state store gets the one that is needed."""
+    conf = scores.sparkSession.conf
+    if not conf.get(_PROVIDER, "").endswith("RocksDBStateStoreProvider"):
+        conf.set(_PROVIDER, ROCKS)
     return (scores.withWatermark("ts", watermark).groupBy("id")
             .transformWithStateInPandas(processor, schema, "append", "eventTime"))
 
@@ -186,27 +195,14 @@ def first_hit_stream(scores: DataFrame, threshold: float, window: int = 3,
     return _by_call(scores, _FirstHit(threshold, window, cut_ms, silence_ms), HIT_OUT, watermark)
 
 
-#: The state store that timers and list states need.
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-
-
 def run_available_now(stream: DataFrame, name: str) -> DataFrame:
     """Process everything available into a Parquet sink under the shared
     checkpoint folder (exactly-once file sink + checkpointed state) and return
     the sink as a batch DataFrame."""
     spark = stream.sparkSession
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, ROCKS)
-    try:
-        q = (stream.writeStream.format("parquet").outputMode("append")
-             .option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True)
-             .start(f"{base}/out"))
-        q.awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+    q = (stream.writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True)
+         .start(f"{base}/out"))
+    q.awaitTermination()
     return spark.read.parquet(f"{base}/out")
