@@ -8,7 +8,9 @@ blocks are main text.
 Tags, roles and hidden parts decide a section.  A class name or id alone only makes it
 doubtful: ``main`` and ``article`` inside it are main text all the same (an ``article``
 not among comments and the like), and on a page without such a section the words and
-links of the blocks and their neighbours decide.
+links of the blocks and their neighbours decide.  Comments, adverts and the like go there
+too if there is text outside them.  A name on a paragraph, heading or list item counts for
+that block alone.
 
 Defined results: a null or empty page, or one without main text, gives an empty
 string; broken markup is read as far as it goes; repeated rows give equal texts; an
@@ -33,7 +35,9 @@ BLOCK_TAGS = frozenset("address article aside blockquote body br caption center
                        "figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre "
                        "section summary table tbody td tfoot th thead tr ul".split())
 #: Tags whose nesting is followed, as they make or hold a section.
-SECTION_TAGS = frozenset("article aside blockquote body dialog div dl figure footer form header main menu nav ol section table ul span".split())
+SECTION_TAGS = frozenset("article aside blockquote body dialog div dl figure footer form header li main menu nav ol section table ul span".split())
+#: Tags of a single block whose own name counts.
+NAMED_TAGS = frozenset("p li h1 h2 h3 h4 h5 h6 figcaption caption dt dd pre".split())
 #: Tags whose content is no text of the page.
 DROPPED_TAGS = frozenset("script style noscript template textarea select button svg iframe object title math canvas audio video".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -48,6 +52,8 @@ MAIN_WORDS = frozenset("article content post entry story main body text".split()
 #: Words of sections that hold articles other than the page's.
 OTHER_WORDS = frozenset("ad ads adv advert advertisement advertising comment comments disqus feedback promo promotion recommended "
                         "related replies reply respond sponsor sponsored teaser widget widgets".split())
+#: Words that say nothing about a single paragraph, heading or list item.
+LAYOUT_ONLY = frozenset("banner header masthead menu nav navigation sidebar topbar".split())
 #: What follows one of these in a name says how the page is laid out ("with-sidebar").
 LAYOUT_WORDS = frozenset("no not with without has have show hide".split())
 
@@ -58,6 +64,8 @@ WORD = re.compile(r"[a-z]+|[0-9]+")
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "section")
 #: DOUBTFUL and OTHER: by a class name or id alone.
 MAIN, PLAIN, DOUBTFUL, OTHER, BOILERPLATE = 1, 0, -0.5, -0.75, -1
+#: A block of so many words, fewer than half of them in links, is text.
+TEXT_WORDS = 15
 
 
 def _name_words(value: str) -> set[str]:
@@ -98,20 +106,39 @@ def _section(tag: str, attributes: str, outer: float) -> float:
     return MAIN if words & MAIN_WORDS and outer == PLAIN else outer
 
 
+def _own_section(tag: str, attributes: str, outer: float) -> float:
+    """The section of a paragraph, heading or list item by its own attributes, which can
+    only make it less likely to be main text."""
+    names = set()
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), (a or b or c).lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+            return BOILERPLATE
+        if name == "role" and value in BOILERPLATE_ROLES:
+            return BOILERPLATE
+        if name in ("class", "id"):
+            names |= _name_words(value)
+    names &= BOILERPLATE_WORDS - LAYOUT_ONLY
+    if not names:
+        return outer
+    return BOILERPLATE if outer == MAIN else min(outer, OTHER if names & OTHER_WORDS else DOUBTFUL)
+
+
 def blocks(page: str | None) -> list[tuple[str, int, int, float]]:
     """(text, words, words in links, section) of every block that has text.  What is
     doubtful by its names is boilerplate on a page that has main text elsewhere."""
     page = page or ""
     out, pieces, linked = [], [], 0
     sections: list[tuple[str, float]] = []
-    in_link, at = False, 0
+    in_link, at, own = False, 0, None
 
     def flush():
         nonlocal pieces, linked
         if pieces:
             words = "".join(pieces).split()
             if words:
-                out.append((" ".join(words), len(words), min(linked, len(words)), sections[-1][1] if sections else PLAIN))
+                outer = sections[-1][1] if sections else PLAIN
+                out.append((" ".join(words), len(words), min(linked, len(words)), outer if own is None else min(own, outer)))
         pieces, linked = [], 0
 
     def text(raw):
@@ -143,7 +170,18 @@ def blocks(page: str | None) -> list[tuple[str, int, int, float]]:
             continue
         if tag in BLOCK_TAGS:
             flush()
+            own = None
             in_link = in_link and tag != "body"
+            if tag == "li" and not closing:  # ends the item before it, if that is open
+                inner = next((i for i in range(len(sections) - 1, -1, -1) if sections[i][0] in ("li", "ul", "ol", "menu")), -1)
+                if inner >= 0 and sections[inner][0] == "li":
+                    del sections[inner:]
+            if tag in NAMED_TAGS and not closing and attributes:
+                own = _own_section(tag, attributes, sections[-1][1] if sections else PLAIN)
+                if tag == "li":
+                    sections.append((tag, own))
+                    own = None
+                continue
         if tag == "a":
             in_link = not closing
         if tag in SECTION_TAGS:
@@ -166,7 +204,9 @@ def blocks(page: str | None) -> list[tuple[str, int, int, float]]:
                 sections.append((tag, kind))
     flush()
     marked = any(b[3] == MAIN for b in out)
-    return [(*b[:3], b[3] if b[3] >= PLAIN else BOILERPLATE if marked or b[3] == BOILERPLATE else DOUBTFUL) for b in out]
+    # text that is not among comments, adverts and the like
+    apart = any(b[3] >= DOUBTFUL and b[1] >= TEXT_WORDS and 2 * b[2] < b[1] for b in out)
+    return [(*b[:3], b[3] if b[3] >= PLAIN else BOILERPLATE if marked or b[3] == BOILERPLATE or b[3] == OTHER and apart else DOUBTFUL) for b in out]
 
 
 def block_features(found: list[tuple[str, int, int, float]]) -> np.ndarray:
@@ -204,20 +244,43 @@ LABELLED = (
     # captions between links, and a copyright line after them
     [(1, 1, 0, 0), (1, 0, 0, 0), (1, 1, 0, 0), (2, 0, 0, 0), (2, 1, 0, 0), (30, 0, 0, 1), (44, 0, 0, 1), (2, 1, 0, 0), (2, 1, 0, 0), (6, 0, 0, 0)],
     [(2, 1, 0, 0), (2, 0, 0, 0), (3, 1, 0, 0), (55, 0, 0, 1), (38, 0, 0, 1), (3, 1, 0, 0), (9, 0, 0, 0)],
+    # articles: a linked paragraph or heading belongs to the text around it, and text follows links
+    [(8, 0, 1, 1), (50, 0, 1, 1), (12, 1, 1, 1), (200, 0, 1, 1), (3, 0, 1, 1)],
+    [(4, 1, 1, 1), (80, 0, 1, 1), (3, 1, 1, 1), (60, 0, 1, 1), (2, 1, 1, 1), (30, 0, 1, 1)],
+    [(5, 0, 1, 1), (100, 0, 1, 1), (6, 1, 1, 1), (9, 0, 1, 1), (1, 0, 1, 1)],
+    [(7, 0, 1, 1), (25, 0, 1, 1), (24, 1, 1, 1), (18, 0, 1, 1), (40, 0.9, 1, 1), (16, 0, 1, 1)],
+    [(6, 0, 1, 1), (15, 0.3, 1, 1), (9, 0.9, 1, 1), (65, 0.1, 1, 1), (10, 0.5, 1, 1), (33, 0, 1, 1)],
+    # articles with lists of links, before the text and between its parts
+    [(2, 1, 1, 0), (2, 1, 1, 0), (3, 1, 1, 0), (40, 0, 1, 1), (70, 0, 1, 1)],
+    [(9, 0, 1, 1), (15, 0, 1, 1), (5, 1, 1, 0), (6, 1, 1, 0), (4, 1, 1, 0), (35, 0, 1, 1), (2, 0, 1, 1)],
+    [(3, 0, 1, 1), (60, 0, 1, 1), (2, 1, 1, 0), (3, 1, 1, 0), (150, 0, 1, 1)],
+    [(6, 0, 1, 1), (4, 1, 1, 0), (3, 1, 1, 0), (16, 0, 1, 1), (4, 1, 1, 0), (5, 1, 1, 0), (20, 0, 1, 1), (1, 0, 1, 1)],
+    [(3, 1, 1, 0), (3, 1, 1, 0), (4, 0, 1, 1), (3, 1, 1, 0), (2, 1, 1, 0), (17, 0, 1, 1)],
+    # pages without marks where long text follows links or stands before short blocks
+    [(2, 1, 0, 0), (8, 0, 0, 1), (50, 0, 0, 1), (3, 1, 0, 0), (100, 0, 0, 1), (2, 0, 0, 0)],
+    [(1, 1, 0, 0), (2, 1, 0, 0), (200, 0, 0, 1), (4, 0, 0, 0)],
+    [(3, 1, 0, 0), (2, 1, 0, 0), (25, 0, 0, 1), (16, 0, 0, 1), (2, 1, 0, 0), (30, 0, 0, 1), (5, 0, 0, 0)],
+    [(2, 1, -0.5, 0), (40, 0, -0.5, 1), (90, 0, -0.5, 1), (3, 1, -0.5, 0), (55, 0, -0.5, 1), (4, 0, -0.5, 0)],
+    [(1, 1, -0.5, 0), (1, 1, -0.5, 0), (120, 0, -0.5, 1), (33, 0.1, -0.5, 1), (2, 1, -0.5, 0)],
+    # boilerplate of any length, before, after and between the parts of the text
+    [(40, 0, -1, 0), (3, 1, -1, 0), (5, 0, 1, 1), (90, 0, 1, 1), (35, 0, -1, 0), (250, 0, 1, 1), (60, 0, -1, 0), (18, 0.3, -1, 0), (130, 0, -1, 0)],
+    [(20, 0, -1, 0), (6, 0, 0, 1), (70, 0, 0, 1), (28, 0, -1, 0), (16, 0, 0, 1), (110, 0, 0, 1), (45, 0, -1, 0), (4, 0, -1, 0)],
+    [(9, 0, -1, 0), (22, 0, -1, 0), (300, 0, 0, 1), (180, 0, -1, 0), (55, 0.1, -1, 0)],
+    [(2, 0, -1, 0), (50, 0, -1, 0), (26, 0, -0.5, 1), (140, 0, -0.5, 1), (65, 0, -0.5, 1), (30, 0, -1, 0), (100, 0, -1, 0)],
     # a list of links to other pages at the end of an article
     [(8, 0, 1, 1), (70, 0, 1, 1), (40, 0, 1, 1), (5, 1, 1, 0), (6, 1, 1, 0), (5, 1, 1, 0), (7, 1, 1, 0)],
 )
 
 
-def labelled() -> tuple[np.ndarray, np.ndarray]:
+def labelled(pages=LABELLED) -> tuple[np.ndarray, np.ndarray]:
     x, y = [], []
-    for page in LABELLED:
+    for page in pages:
         x.append(block_features([("", w, w * share, s) for w, share, s, _ in page]))
         y += [b[3] for b in page]
     return np.concatenate(x), np.array(y)
 
 
-def train_tree(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1) -> list[tuple]:
+def train_tree(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 1) -> list[tuple]:
     """A CART tree by Gini impurity: nodes (feature, threshold, left, right, label)."""
     nodes: list[tuple] = []
 

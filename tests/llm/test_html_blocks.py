@@ -1,4 +1,5 @@
 import html
+import random
 import re
 
 from callscope.llm import html_blocks as H
@@ -92,3 +93,68 @@ def test_names_of_outer_sections_do_not_hide_the_text():
         assert kept(f'<main><article>{text}</article></main><div class="{name}">{other}</div>') == want
         assert kept(f'<article>{text}<section id="{name}">{other}</section></article>') == want
     assert kept(f'<body>{menu}{text}<div class="ad-slot"><p>Buy this now, it is cheap.</p></div>{end}</body>') == want
+
+
+def _words(n):
+    return " ".join(f"w{i}" for i in range(n))
+
+
+def _link(n):
+    return f"<a href=1>{_words(n)}</a>"
+
+
+def _shape(page):
+    return [len(t.split()) for t in kept(page)]
+
+
+def test_text_beside_links_stays():
+    page = f"<article><h1>{_words(4)}</h1><p>{_words(50)}</p><p>{_link(9)}</p><p>{_words(200)}</p><p>{_words(3)}</p></article>"
+    assert _shape(page) == [4, 50, 9, 200, 3]
+    assert _shape(f"<article><h2>{_link(4)}</h2><p>{_words(80)}</p></article>") == [4, 80]
+    assert _shape(f"<article><ul><li>{_link(2)}<li>{_link(2)}</ul><p>{_words(50)}</p></article>") == [50]
+
+
+def _random_page(r):
+    out, long = [], 0
+    for _ in range(r.randint(1, 12)):
+        k = r.random()
+        if k < 0.45:
+            out.append(f"<p>{_words(r.randint(15, 300))}</p>")
+            long += 1
+        elif k < 0.6:
+            out.append(f"<p>{_words(r.randint(1, 14))}</p>")
+        elif k < 0.75:
+            out.append(f"<p>{_link(r.randint(1, 30))}</p>")
+        elif k < 0.85:
+            out.append("<ul>" + "".join(f"<li>{_link(r.randint(1, 6))}" for _ in range(r.randint(1, 6))) + "</ul>")
+        else:
+            out.append(f"<h2>{_link(r.randint(1, 6))}</h2>")
+    return "".join(out), long
+
+
+def test_no_long_paragraph_is_dropped_whichever_page_is_left_out():
+    r = random.Random(1)
+    pages = [_random_page(r) for _ in range(120)]
+    for out in range(-1, len(H.LABELLED)):
+        rows = [p for i, p in enumerate(H.LABELLED) if i != out]
+        tree = H.train_tree(*H.labelled(rows))
+        for page, long in pages:
+            for whole in (f"<main><article>{page}</article></main>", f"<body>{page}</body>"):
+                found = H.blocks(whole)
+                main = H.predict(tree, H.block_features(found))
+                assert sum(b[1] >= 15 and b[2] == 0 and bool(yes) for b, yes in zip(found, main)) == long, (out, whole)
+
+
+def test_names_of_single_blocks():
+    text = f"<p>{_words(50)}</p>"
+    assert _shape(f"<article>{text}<p class=advert>{_words(20)}</p><ul><li class=ad><p>{_words(5)}</p><li>{_words(6)}</ul></article>") == [50, 6]
+    assert _shape(f"<article><h1 class='page-header'>{_words(5)}</h1><p class='content lead'>{_words(30)}</p>{text}</article>") == [5, 30, 50]
+    assert _shape(f"<article>{text}<p hidden>{_words(20)}</p>{text}</article>") == [50, 50]
+    assert _shape(f"<article><ul><li>{_words(20)}<ul><li class=promo>{_words(9)}</ul><li>{_words(21)}</ul>{text}</article>") == [20, 21, 50]
+
+
+def test_comments_on_a_page_without_marks():
+    text = f"<p>{_words(40)}</p><p>{_words(60)}</p>"
+    assert _shape(f"<div>{text}</div><div class=comments><p>{_words(70)}</p><p>{_words(30)}</p></div>") == [40, 60]
+    # a name around all of the text is that of the layout
+    assert _shape(f'<div class="page comments-open"><div><a href=1>One</a></div>{text}</div>') == [40, 60]
