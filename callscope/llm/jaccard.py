@@ -9,8 +9,11 @@ size form a group.
 2. Groups are expanded to their classes.  The classes of a list (and those of a group
    among themselves) are compared in blocks by size and by parity sketches: the bits in
    which two sketches differ cannot outnumber the n-grams in which the sets do.
-3. What is left is verified on the sets: first one pair for each class, then the pairs
-   that these links have not connected.  The links give the components.
+3. In rounds, every class asks for a few partners that links have not yet brought
+   together with it, and these pairs are verified on the sets.  Each round allows more
+   partners; the last is the one in which no class had to leave any out, so that every
+   pair the sketches allow is verified or already connected.  n near copies of one
+   another so cost about n pairs, not n * n / 2.
 
 No pair is passed on before the sketches have been compared, long lists are split into
 blocks, and copies are put together before every shuffle.  Broadcast are two bitmaps of
@@ -26,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callscope.llm.common import _multipliers, as_long, column, components, id_filter, mix, shingle_hashes, small_batches, word_hashes
@@ -38,6 +41,8 @@ BUCKETS = 1 << 18
 CROWDED, TIMES_MEAN = 64, 4
 #: Groups of a list in one block, and pairs that are compared at a time.
 BLOCK, PAIRS = 512, 1 << 17
+#: Partners that a class asks for in the first round, and how many times more in each further one.
+PARTNERS, MORE = 2, 16
 
 
 def shingle_sets(texts: list[str | None], k: int, lower: bool) -> list[np.ndarray]:
@@ -186,20 +191,28 @@ def _crowded(docs: DataFrame, text: str, k: int, lower: bool, measure: Measure)
     return out
 
 
-def _entries(docs: DataFrame, text: str, k: int, lower: bool, measure: Measure, crowded: np.ndarray) -> DataFrame:
-    """(token, g): the prefix n-grams of every group, once for each batch of documents."""
+def _named(docs: DataFrame, key: str, text: str, k: int, lower: bool, measure: Measure, crowded: np.ndarray) -> DataFrame:
+    """(key, n, cid) of every row.  The first row of a class in a batch has its group g
+    and sketch too, and the first row of a group the n-grams of its prefix."""
     def run(batches):
-        for _, sets, _ in _sets(batches, text, k, lower):
-            groups = {}
-            for s in sets:
-                if len(s):
-                    p = _prefix(s, measure, crowded)
-                    groups[_group(p, len(s))] = p
-            if groups:
-                tokens = as_long(np.concatenate(list(groups.values())))
-                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.repeat(list(groups), [len(p) for p in groups.values()]))], ["token", "g"])
+        for batch, sets, ids in _sets(batches, text, k, lower):
+            classes, groups, rows = set(), set(), []
+            for s, c in zip(sets, ids, strict=True):
+                if c is None or c in classes:
+                    rows.append((None, None, None))
+                    continue
+                classes.add(c)
+                p = _prefix(s, measure, crowded)
+                g = _group(p, len(s))
+                rows.append((g, _sketch(s), None if g in groups else as_long(p)))
+                groups.add(g)
+            g, sketch, prefix = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([
+                column(batch, key), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()),
+                pa.array(g, pa.int64()), pa.array(sketch, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["__key", "n", "cid", "g", "sketch", "prefix"])
 
-    return docs.select(text).mapInArrow(run, "token long, g long")
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text).mapInArrow(run, f"__key {kind}, n long, cid long, g long, sketch binary, prefix array<long>")
 
 
 def _group(prefix: np.ndarray, n: int) -> int:
@@ -239,48 +252,38 @@ def _lists(entries: DataFrame) -> DataFrame:
     return entries.repartition("token").sortWithinPartitions("token", "g").mapInArrow(run, "token long, g long, blocks int")
 
 
-def _members(docs: DataFrame, text: str, k: int, lower: bool, measure: Measure, crowded: np.ndarray) -> DataFrame:
-    """(cid, g, n, sketch) of every class."""
-    def run(batches):
-        for _, sets, ids in _sets(batches, text, k, lower):
-            once = dict(zip(ids, sets, strict=True))
-            once.pop(None, None)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(list(once), pa.int64()), pa.array([_group(_prefix(s, measure, crowded), len(s)) for s in once.values()], pa.int64()),
-                pa.array([len(s) for s in once.values()], pa.int64()), pa.array([_sketch(s) for s in once.values()], pa.binary())], ["cid", "g", "n", "sketch"])
-
-    rows = docs.select(text).mapInArrow(run, "cid long, g long, n long, sketch binary")
-    return rows.groupBy("cid").agg(F.first("g").alias("g"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-
-
-def _candidates(lists: DataFrame, members: DataFrame, measure: Measure) -> DataFrame:
-    """(a, b): pairs of classes that the sketches allow."""
+def _candidates(lists: DataFrame, members: DataFrame, measure: Measure, most: int) -> DataFrame:
+    """(a, b, more): for every class b up to ``most`` smaller classes a of another
+    component that the sketches allow; ``more`` says that b had to leave some out."""
     by_group = lists.groupBy("g").agg(F.collect_list(F.struct("token", "blocks")).alias("tokens"))  # at most a prefix
     sizes = members.groupBy("g").agg(F.count("*").alias("classes")).where("classes > 1")
     own = F.when(F.col("classes").isNotNull(), F.array(F.struct(F.col("g").alias("token"), F.ceil(F.col("classes") / BLOCK).cast("int").alias("blocks"))))
     empty = F.array().cast("array<struct<token:bigint,blocks:int>>")
     full = (members.join(by_group, "g", "left").join(sizes, "g", "left")
             .withColumn("all", F.array_sort(F.concat(F.coalesce("tokens", empty), F.coalesce(own, empty)))).where(F.size("all") > 0))
-    rows = (full.select("cid", "n", "sketch", F.transform(F.slice("all", 1, 4), lambda x: x["token"]).alias("lead"), F.explode("all").alias("x"))
-            .select("cid", "n", "sketch", "lead", F.col("x.token").alias("token"), F.col("x.blocks").alias("blocks"))
+    rows = (full.select("cid", "component", "n", "sketch", F.transform(F.slice("all", 1, 4), lambda x: x["token"]).alias("lead"), F.explode("all").alias("x"))
+            .select("cid", "component", "n", "sketch", "lead", F.col("x.token").alias("token"), F.col("x.blocks").alias("blocks"))
             .withColumn("block", F.pmod(F.xxhash64("cid", F.lit(3)), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
     met = (rows.groupBy("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-           .agg(F.collect_list(F.struct("cid", "n", "sketch", "lead", "block")).alias("rows")))
+           .agg(F.collect_list(F.struct("cid", "component", "n", "sketch", "lead", "block")).alias("rows")))
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                pairs = compare(batch.slice(at, 4096))
-                if len(pairs):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+                a, b, more = compare(batch.slice(at, 4096))
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(more)], ["a", "b", "more"])
 
     def compare(batch):
         lists = column(batch, "rows")
         size = lists.value_lengths().to_numpy()
         token, i, j = (column(batch, c).to_numpy() for c in ("token", "i", "j"))
         them = lists.flatten()
-        n, cid, block = (them.field(c).to_numpy() for c in ("n", "cid", "block"))
+        # the classes of a list by their ids, so that all ask for the smallest first
+        order = np.lexsort((them.field("cid").to_numpy(), np.repeat(np.arange(len(size)), size)))
+        them = them.take(pa.array(order))
+        n, cid, component, block = (them.field(c).to_numpy() for c in ("n", "cid", "component", "block"))
         sketches, first = _Sketches(them.field("sketch").to_pylist()), np.cumsum(size) - size
         # of the lists where a pair meets, that of the least n-gram passes it on (as far as the leads tell)
         leads = them.field("lead")
@@ -288,9 +291,9 @@ def _candidates(lists: DataFrame, members: DataFrame, measure: Measure) -> DataF
         lead = np.full((len(n), 4), np.iinfo(np.int64).max)
         rows = np.repeat(np.arange(len(n)), held)
         lead[rows, np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)] = leads.flatten().to_numpy()
-        out = [np.empty((0, 2), np.int64)]
+        taken, left_out, out = np.zeros(len(n), np.int64), np.zeros(len(n), bool), [np.empty((0, 2), np.int64)]
         for which, a, b in _pairs(first, size):
-            across = (i[which] == j[which]) | (block[a] != block[b])
+            across = ((i[which] == j[which]) | (block[a] != block[b])) & (component[a] != component[b])
             which, a, b = which[across], a[across], b[across]
             for x in range(4):
                 for y in range(4):
@@ -298,11 +301,24 @@ def _candidates(lists: DataFrame, members: DataFrame, measure: Measure) -> DataF
                     if later.any():
                         which, a, b = which[~later], a[~later], b[~later]
             ok = _near(n, sketches, a, b, measure)
-            a, b = cid[a[ok]], cid[b[ok]]
-            out.append(np.column_stack([np.minimum(a, b), np.maximum(a, b)]))
-        return np.unique(np.concatenate(out), axis=0)
-
-    return met.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+            a, b = a[ok], b[ok]
+            by_b = np.lexsort((a, b))
+            a, b = a[by_b], b[by_b]
+            place = np.arange(len(b)) - np.searchsorted(b, b) + taken[b]
+            left_out[b[place >= most]] = True
+            a, b = a[place < most], b[place < most]
+            np.add.at(taken, b, 1)
+            out.append(np.column_stack([a, b]))
+        rows = np.concatenate(out)
+        return cid[rows[:, 0]], cid[rows[:, 1]], left_out[rows[:, 1]]
+
+    found = (met.mapInArrow(run, "a long, b long, more boolean").where("a <> b")
+             .groupBy("a", "b").agg(F.max("more").alias("more")))
+    # what a class asks for in all its lists, of which there is one for an n-gram of its prefix
+    place = F.row_number().over(Window.partitionBy("b").orderBy("a"))
+    return (found.withColumn("place", place).where(F.col("place") <= most + 1)
+            .withColumn("more", F.max(F.col("more") | (F.col("place") > most)).over(Window.partitionBy("b")))
+            .where(F.col("place") <= most).select("a", "b", "more"))
 
 
 def _links(pairs: DataFrame, docs: DataFrame, text: str, k: int, lower: bool, measure: Measure) -> DataFrame:
@@ -331,17 +347,24 @@ def _links(pairs: DataFrame, docs: DataFrame, text: str, k: int, lower: bool, me
     return both.mapInArrow(verify, "a long, b long")
 
 
-def _connections(pairs: DataFrame, *how) -> DataFrame:
-    """Links that connect all that the candidate pairs connect.  First each class is
-    compared with its smallest partner alone; then only pairs are left whose ends these
-    links have not yet brought together, so that of a group of n near copies few of the
-    n * n / 2 links are made."""
-    first = cut_lineage(_links(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), *how))
-    known = components(first)
-    rest = (pairs.join(known.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
-            .join(known.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-            .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
-    return first.unionByName(_links(cut_lineage(rest), *how))
+def _components(lists: DataFrame, members: DataFrame, docs: DataFrame, text: str, k: int, lower: bool, measure: Measure) -> DataFrame:
+    """(id, component) of the classes that links connect."""
+    links, known, most = None, None, PARTNERS
+    while True:
+        if known is None:
+            at = members.withColumn("component", F.col("cid"))
+        else:
+            at = (members.join(known.select(F.col("id").alias("cid"), "component"), "cid", "left")
+                  .withColumn("component", F.coalesce("component", "cid")))
+        pairs = cut_lineage(_candidates(lists, at, measure, most))
+        more = pairs.agg(F.count("*").alias("n"), F.max("more").alias("more")).first()
+        if more.n or links is None:
+            new = cut_lineage(_links(pairs.select("a", "b"), docs, text, k, lower, measure))
+            links = new if links is None else links.unionByName(new)
+            known = components(links)
+        if not more.more:
+            return known
+        most *= MORE
 
 
 def similarity_components(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, num: int = 85, den: int = 100,
@@ -352,17 +375,12 @@ def similarity_components(df: DataFrame, key: str = "doc_id", text: str = "text"
     measure = Measure(num, den)
     docs = df.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
 
-    def name(batches):
-        for batch, sets, ids in _sets(batches, "__text", k, lower):
-            yield pa.RecordBatch.from_arrays([column(batch, "__key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64())], ["__key", "n", "cid"])
-
-    kind = df.schema[key].dataType.simpleString()
-    named = cut_lineage(docs.mapInArrow(name, f"__key {kind}, n long, cid long"))
     crowded = _crowded(docs, "__text", k, lower, measure)
-    lists = cut_lineage(_lists(_entries(docs, "__text", k, lower, measure, crowded)))
-    members = cut_lineage(_members(docs, "__text", k, lower, measure, crowded))
-    pairs = cut_lineage(_candidates(lists, members, measure))
-    groups = components(_connections(pairs, docs, "__text", k, lower, measure)).withColumnRenamed("id", "cid")
+    named = cut_lineage(_named(docs, "__key", "__text", k, lower, measure, crowded))
+    lists = cut_lineage(_lists(named.where("prefix is not null").select(F.explode("prefix").alias("token"), "g")))
+    members = cut_lineage(named.where("g is not null").groupBy("cid")
+                          .agg(F.first("g").alias("g"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    groups = _components(lists, members, docs, "__text", k, lower, measure).withColumnRenamed("id", "cid")
     classes = named.where("cid is not null").groupBy("cid").agg(F.min("__key").alias("least"))
     whole = classes.join(groups, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = whole.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -79,3 +79,24 @@ def test_sketches_never_lose_a_pair():
             sketches = jaccard._Sketches([jaccard._sketch(a), jaccard._sketch(b)])
             got = jaccard._near(np.array([len(a), len(b)]), sketches, np.array([0]), np.array([1]), measure)
             assert len(got) >= measure.linked(common, len(a), len(b))
+
+
+def test_near_copies_cost_few_pairs(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(6):  # two of them share about 0.8 to 0.95 of their n-grams
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    verified, links = [], jaccard._links
+
+    def counted(pairs, *how):
+        verified.append(pairs.count())
+        return links(pairs, *how)
+
+    monkeypatch.setattr(jaccard, "_links", counted)
+    got = sorted(map(tuple, jaccard.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == brute(rows, 4, 85, 100)
+    assert sum(verified) < 20 * len(rows), verified
