@@ -87,7 +87,7 @@ def test_near_copies_cost_few_pairs(spark, monkeypatch):
     rows = []
     for i in range(300):
         w = list(base)
-        for _ in range(6):  # two of them share about 0.8 to 0.95 of their n-grams
+        for _ in range(3):  # two of them share 0.88 of their n-grams, about
             w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
         rows.append((i, " ".join(w)))
     verified, links = [], jaccard._links
@@ -97,6 +97,6 @@ def test_near_copies_cost_few_pairs(spark, monkeypatch):
         return links(pairs, *how)
 
     monkeypatch.setattr(jaccard, "_links", counted)
-    got = sorted(map(tuple, jaccard.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    got = sorted(map(tuple, jaccard.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == brute(rows, 4, 85, 100)
-    assert sum(verified) < 20 * len(rows), verified
+    assert sum(verified) < 10 * len(rows), verified
