@@ -10,8 +10,8 @@ size form a group.
    among themselves) are compared in blocks by size and by parity sketches: the bits in
    which two sketches differ cannot outnumber the n-grams in which the sets do.
 3. In rounds, every class asks for a few partners that links have not yet brought
-   together with it, and these pairs are verified on the sets.  Each round allows more
-   partners; the last is the one in which no class had to leave any out, so that every
+   together with it, and these pairs are verified on the sets.  Those that had to leave
+   some out ask again, each round for more; the last is the one in which no class had to leave any out, so that every
    pair the sketches allow is verified or already connected.  n near copies of one
    another so cost about n pairs, not n * n / 2.
 
@@ -42,7 +42,7 @@ CROWDED, TIMES_MEAN = 64, 4
 #: Groups of a list in one block, and pairs that are compared at a time.
 BLOCK, PAIRS = 512, 1 << 17
 #: Partners that a class asks for in the first round, and how many times more in each further one.
-PARTNERS, MORE = 2, 16
+PARTNERS, MORE = 4, 16
 
 
 def shingle_sets(texts: list[str | None], k: int, lower: bool) -> list[np.ndarray]:
@@ -254,19 +254,23 @@ def _lists(entries: DataFrame) -> DataFrame:
 
 def _candidates(lists: DataFrame, members: DataFrame, measure: Measure, most: int) -> DataFrame:
     """(a, b, more): for every class b up to ``most`` smaller classes a of another
-    component that the sketches allow; ``more`` says that b had to leave some out."""
+    component that the sketches allow; ``more`` says that b had to leave some out.  Only
+    ``open`` classes ask, and only lists that hold one are compared."""
+    groups = members.where("open").select("g").distinct()
+    tokens = lists.join(groups, "g", "left_semi").select("token").distinct()
+    lists = lists.join(tokens, "token", "left_semi")
     by_group = lists.groupBy("g").agg(F.collect_list(F.struct("token", "blocks")).alias("tokens"))  # at most a prefix
-    sizes = members.groupBy("g").agg(F.count("*").alias("classes")).where("classes > 1")
+    sizes = members.groupBy("g").agg(F.count("*").alias("classes"), F.max("open").alias("any")).where("classes > 1 and any").drop("any")
     own = F.when(F.col("classes").isNotNull(), F.array(F.struct(F.col("g").alias("token"), F.ceil(F.col("classes") / BLOCK).cast("int").alias("blocks"))))
     empty = F.array().cast("array<struct<token:bigint,blocks:int>>")
     full = (members.join(by_group, "g", "left").join(sizes, "g", "left")
             .withColumn("all", F.array_sort(F.concat(F.coalesce("tokens", empty), F.coalesce(own, empty)))).where(F.size("all") > 0))
-    rows = (full.select("cid", "component", "n", "sketch", F.transform(F.slice("all", 1, 4), lambda x: x["token"]).alias("lead"), F.explode("all").alias("x"))
-            .select("cid", "component", "n", "sketch", "lead", F.col("x.token").alias("token"), F.col("x.blocks").alias("blocks"))
+    rows = (full.select("cid", "component", "open", "n", "sketch", F.transform(F.slice("all", 1, 4), lambda x: x["token"]).alias("lead"), F.explode("all").alias("x"))
+            .select("cid", "component", "open", "n", "sketch", "lead", F.col("x.token").alias("token"), F.col("x.blocks").alias("blocks"))
             .withColumn("block", F.pmod(F.xxhash64("cid", F.lit(3)), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
     met = (rows.groupBy("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-           .agg(F.collect_list(F.struct("cid", "component", "n", "sketch", "lead", "block")).alias("rows")))
+           .agg(F.collect_list(F.struct("cid", "component", "open", "n", "sketch", "lead", "block")).alias("rows")))
 
     def run(batches):
         for batch in batches:
@@ -284,6 +288,7 @@ def _candidates(lists: DataFrame, members: DataFrame, measure: Measure, most: in
         order = np.lexsort((them.field("cid").to_numpy(), np.repeat(np.arange(len(size)), size)))
         them = them.take(pa.array(order))
         n, cid, component, block = (them.field(c).to_numpy() for c in ("n", "cid", "component", "block"))
+        asks = them.field("open").to_numpy(zero_copy_only=False)
         sketches, first = _Sketches(them.field("sketch").to_pylist()), np.cumsum(size) - size
         # of the lists where a pair meets, that of the least n-gram passes it on (as far as the leads tell)
         leads = them.field("lead")
@@ -293,7 +298,7 @@ def _candidates(lists: DataFrame, members: DataFrame, measure: Measure, most: in
         lead[rows, np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)] = leads.flatten().to_numpy()
         taken, left_out, out = np.zeros(len(n), np.int64), np.zeros(len(n), bool), [np.empty((0, 2), np.int64)]
         for which, a, b in _pairs(first, size):
-            across = ((i[which] == j[which]) | (block[a] != block[b])) & (component[a] != component[b])
+            across = ((i[which] == j[which]) | (block[a] != block[b])) & (component[a] != component[b]) & asks[b]
             which, a, b = which[across], a[across], b[across]
             for x in range(4):
                 for y in range(4):
@@ -352,10 +357,11 @@ def _components(lists: DataFrame, members: DataFrame, docs: DataFrame, text: str
     links, known, most = None, None, PARTNERS
     while True:
         if known is None:
-            at = members.withColumn("component", F.col("cid"))
+            at = members.withColumn("component", F.col("cid")).withColumn("open", F.lit(True))
         else:
-            at = (members.join(known.select(F.col("id").alias("cid"), "component"), "cid", "left")
-                  .withColumn("component", F.coalesce("component", "cid")))
+            asking = pairs.where("more").select(F.col("b").alias("cid")).distinct().withColumn("open", F.lit(True))
+            at = (members.join(known.select(F.col("id").alias("cid"), "component"), "cid", "left").join(asking, "cid", "left")
+                  .withColumn("component", F.coalesce("component", "cid")).withColumn("open", F.coalesce("open", F.lit(False))))
         pairs = cut_lineage(_candidates(lists, at, measure, most))
         more = pairs.agg(F.count("*").alias("n"), F.max("more").alias("more")).first()
         if more.n or links is None:
