@@ -4,7 +4,8 @@ models that tell random strings from ordinary identifiers.
 Two first-order models over the characters of a candidate (a run of 20 or more
 characters of identifiers and encodings) are trained from labelled samples: random
 strings (digests of running numbers in the usual encodings) and ordinary identifiers
-(distinct words of labelled good documents, alone and put together as programs do).
+(distinct words of labelled good documents, alone and put together as programs do, and
+ruled lines, repeated characters, dates, versions and numbered names).
 A candidate is a span of kind ``markov``, as a whole, if the log-likelihood ratio of any
 part of it exceeds a margin: ordinary parts before or after do not hide a random one.
 
@@ -33,6 +34,9 @@ IDENTIFIERS = ("get set user name value index count list config client server re
 
 #: Bound of the labelled documents that words are taken from, of the distinct words, and of the random strings.
 DOCUMENTS, WORDS, RANDOM = 2_000, 50_000, 20_000
+#: Dates that ordinary names are made of, and ruled lines of each character.
+DATES, RULES = 2_500, 20
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: A candidate is random if a part of it is so many times (as a logarithm) likelier under that model.
 MARGIN = 12.0
 _BLOCK = 64
@@ -60,16 +64,28 @@ def _ordinary(docs: DataFrame, labels: DataFrame | None, text: str, key: str, la
     return words.select(F.explode(forms).alias("s")).where(F.col("s").rlike(r"^[A-Za-z0-9+/_=-]+$"))
 
 
+def _written(spark: SparkSession) -> DataFrame:
+    """Ruled lines and repeated characters, dates, versions and numbered names."""
+    day, word = F.expr("date_add(date'1995-01-01', cast(id * 5 as int))"), F.element_at(F.array(*[F.lit(w) for w in IDENTIFIERS]), (F.col("id") % len(IDENTIFIERS) + 1).cast("int"))
+    iso = F.date_format(day, "yyyy-MM-dd")
+    dated = F.array(F.concat_ws("_", iso, F.date_format(F.date_add(day, 364), "yyyy-MM-dd")), F.concat_ws("-", iso, word, F.concat(F.lit("v"), F.col("id") % 20)),
+                    F.concat(F.translate(iso, "-", "/"), F.lit("/"), word), F.concat_ws("_", word, F.translate(iso, "-", "")),
+                    F.concat_ws("-", word, F.lpad(F.col("id").cast("string"), 6, "0")))
+    rules = F.transform(F.split(F.lit(ALPHABET), ""), lambda c: F.repeat(c, 100))
+    return (spark.range(DATES).select(F.explode(dated).alias("s"))
+            .unionByName(spark.range(RULES).select(F.explode(rules).alias("s")).where("s <> ''")))
+
+
 def train(docs: DataFrame, labels: DataFrame | None = None, text: str = "text", key: str = "doc_id", label: str = "quality") -> list[float]:
     """The log-likelihood ratio of every pair of ASCII characters (128 x 128, row by
     row): random against ordinary, with add-one smoothing over the alphabet."""
     samples = (_random(docs.sparkSession, RANDOM).withColumn("random", F.lit(1))
-               .unionByName(_ordinary(docs, labels, text, key, label).withColumn("random", F.lit(0))))
+               .unionByName(_ordinary(docs, labels, text, key, label).unionByName(_written(docs.sparkSession)).withColumn("random", F.lit(0))))
     chars = samples.select("random", F.split("s", "").alias("c")).where(F.size("c") > 1)
     pairs = chars.select("random", F.explode(F.zip_with(F.expr("slice(c, 1, size(c) - 1)"), F.expr("slice(c, 2, size(c) - 1)"),
                                                         lambda a, b: F.ascii(a) * 128 + F.ascii(b))).alias("pair"))
     counts = pairs.groupBy("random", "pair").count().collect()  # at most 2 x 66 x 66 rows
-    alphabet = [ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]
+    alphabet = [ord(c) for c in ALPHABET]
     seen = {(r["random"], r["pair"]): r["count"] for r in counts}
     from math import log
 

@@ -83,3 +83,11 @@ def test_more_text_does_not_narrow_the_words(spark, monkeypatch):
     monkeypatch.setattr(secrets, "WORDS", len(words))
     got = {r.s for r in secrets._ordinary(docs, labels, "text", "doc_id", "quality").collect()}
     assert got >= set(words)
+
+
+def test_rules_dates_and_repeats_are_ordinary(spark, sf_small):
+    ratios = secrets.train(spark.read.parquet(f"{sf_small}/documents.parquet"), spark.read.parquet(f"{sf_small}/labels.parquet"))
+    texts = ["-" * 40, "=" * 20, "_" * 300, "A" * 30, "2024-01-01_2024-12-31-report-final-version", "release-2023-11-05-version-000123", "/" * 25,
+             "session_20240101_20241231_update"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.text: [s.kind for s in r.spans] for r in secrets.scan(docs, ratios).collect()} == {t: [] for t in texts}
