@@ -27,6 +27,19 @@ def moving_average(df: DataFrame, window: int, cols: Sequence[str] = ("p",),
                                  {c + suffix: c for c in cols})
 
 
+def moving_average_arrays(df: DataFrame, window: int, col: str = "p", id_col: str | Sequence[str] = "id",
+                          seq: str = "seq") -> DataFrame:
+    """F2 for an array of scores (one element for each configuration): the elements' trailing
+    means.  A row is shuffled once, whatever the number of configurations."""
+    if window <= 1:
+        return df
+    part = [id_col] if isinstance(id_col, str) else list(id_col)
+    framed = blocked.trailing_frames(df, part, seq, window, col, "__frame")
+    rest = F.slice("__frame", F.lit(2), F.size("__frame") - 1)
+    total = F.aggregate(rest, F.get("__frame", F.lit(0)), lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
+    return framed.withColumn(col, F.transform(total, lambda s: s / F.size("__frame"))).drop("__frame")
+
+
 def call_score(df: DataFrame, method: str = "max", col: str = "p",
                id_col: str = "id", out: str | None = None) -> DataFrame:
     """One score per call, the max or the mean of the segment scores."""

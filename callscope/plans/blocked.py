@@ -139,6 +139,21 @@ def trailing_mean(df: DataFrame, part: Sequence[str], seq: str, window: int,
         for name, src in cols.items():
             out = out.withColumn(name, F.col(src).cast("double"))
         return out
+    both, w = _with_halo(df, part, seq, window, width)
+    for name, src in cols.items():
+        both = both.withColumn(name, F.avg(F.col(src).cast("double")).over(w))
+    return both.filter(~F.col("__halo")).drop(_BLK, "__halo")
+
+
+def trailing_frames(df: DataFrame, part: Sequence[str], seq: str, window: int, col: str, out: str,
+                    width: int = SEQ_BLOCK) -> DataFrame:
+    """``out``: the values of ``col`` in the same frame as ``trailing_mean``'s, oldest first."""
+    both, w = _with_halo(df, part, seq, max(window, 1), width)
+    return both.withColumn(out, F.collect_list(col).over(w)).filter(~F.col("__halo")).drop(_BLK, "__halo")
+
+
+def _with_halo(df: DataFrame, part: Sequence[str], seq: str, window: int, width: int):
+    """Blocks with the halo rows of the block before, and the window over them."""
     halo = window - 1
     if halo >= width:
         width = halo + 1
@@ -150,7 +165,4 @@ def trailing_mean(df: DataFrame, part: Sequence[str], seq: str, window: int,
     tail = F.pmod(F.col(seq), F.lit(width)) >= F.lit(width - halo)
     both = (df.withColumn("__c", F.explode(F.when(tail, F.array(own, nxt)).otherwise(F.array(own))))
             .withColumn(_BLK, F.col("__c.b")).withColumn("__halo", F.col("__c.h")).drop("__c"))
-    w = (Window.partitionBy(*part, _BLK).orderBy(seq).rowsBetween(-halo, 0))
-    for name, src in cols.items():
-        both = both.withColumn(name, F.avg(F.col(src).cast("double")).over(w))
-    return both.filter(~F.col("__halo")).drop(_BLK, "__halo")
+    return both, Window.partitionBy(*part, _BLK).orderBy(seq).rowsBetween(-halo, 0)
