@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from callscope.functions.scalar import col_, occurrences
 from callscope.operators import sequence
@@ -160,6 +163,49 @@ def tfidf(tf: DataFrame, idf: DataFrame, keys: str | Sequence[str] = "doc_id",
     return w.select(*ks, "term", "tfidf")
 
 
+def term_index(vocab: DataFrame) -> DataFrame:
+    """K2: (term, index): the place of a term in vectors, from 0, by its rank in the vocabulary."""
+    return vocab.select("term", (F.col("rank") - 1).cast("int").alias("index"))
+
+
+def sparse_vectors(weights: DataFrame, index: DataFrame, rows: DataFrame, keys: str | Sequence[str] = "doc_id", value: str = "tfidf") -> DataFrame:
+    """K2: (keys.., indices, values): the weights of every row of ``rows`` (unique keys) by the
+    places of their terms, ascending; a row without terms has empty arrays, and terms that have
+    no place are left out.  A vector holds at most as many entries as there are places."""
+    ks = [keys] if isinstance(keys, str) else list(keys)
+    entry = F.struct("index", F.col(value).cast("double").alias("value"))
+    found = weights.join(index, "term").groupBy(*ks).agg(F.array_sort(F.collect_list(entry)).alias("__e"))
+    every = blocked.join_null_safe(rows.select(*ks), found, ks, "left")
+    return every.select(*ks, F.coalesce(F.col("__e.index"), F.array().cast("array<int>")).alias("indices"),
+                        F.coalesce(F.col("__e.value"), F.array().cast("array<double>")).alias("values"))
+
+
+#: Numbers of a batch of dense vectors.
+DENSE_BATCH = 1 << 20
+
+
+def dense_vectors(df: DataFrame, size: int, indices: str = "indices", values: str = "values", out: str = "features") -> DataFrame:
+    """K2: sparse arrays as one array of ``size`` numbers, the others being 0; places of ``size``
+    or more are an error."""
+    rest = [f for f in df.schema.fields if f.name not in (indices, values, out)]
+    schema = T.StructType([*rest, T.StructField(out, T.ArrayType(T.DoubleType()))])
+    step = max(1, DENSE_BATCH // max(size, 1))
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                places, numbers = batch.column(batch.schema.get_field_index(indices)), batch.column(batch.schema.get_field_index(values))
+                lengths = np.diff(places.offsets.to_numpy())
+                flat = np.zeros((batch.num_rows, size))
+                flat[np.repeat(np.arange(batch.num_rows), lengths), places.flatten().to_numpy()] = numbers.flatten().to_numpy()
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * size), pa.array(flat.ravel()))
+                kept = [batch.column(batch.schema.get_field_index(f.name)) for f in rest]
+                yield pa.RecordBatch.from_arrays([*kept, lists], schema.names)
+
+    return df.select(*[f.name for f in rest], indices, values).mapInArrow(run, schema)
+
+
 def fit_tfidf(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str = "text",
               regex: bool = False, materialize: bool = True) -> tuple[DataFrame, DataFrame]:
     """Bag of words -> IDF -> L2-normalised TF-IDF, every text read once.

@@ -14,8 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.operators import boosting, forest, logistic, metrics, ml, resample, scaling
-from callscope.plans import views
+from callscope.operators import boosting, forest, logistic, metrics, ml, resample, scaling, text
+from callscope.plans import q_text, views
 from callscope.plans.registry import finish, query
 from callscope.session import cut_lineage, ensure_checkpoint_dir
 
@@ -112,6 +112,23 @@ def train_xgb(spark, sf):
     return finish(res.select("method", "config", "auroc"))
 
 
+@query("train_lr_tfidf")
+def train_lr_tfidf(spark, sf):
+    """K2 + K3: 100 values of C on the documents' TF-IDF vectors (776 terms); vocabulary and IDF
+    are those of the train documents, AUROC that of the valid ones."""
+    labelled = views.call_scores(spark, sf).select(F.col("id").alias("doc_id"), "y")
+    docs = resample.stratified_split(q_text.docs(spark, sf).join(labelled, "doc_id"), "doc_id", "y", 42, tag_in_place=True)
+    train = docs.where("split = 'train'")
+    v = cut_lineage(text.vocabulary(text.term_frequency(train), top_k=q_text.BOW_K))
+    _, idf = text.fit_tfidf(train, v, "doc_id")
+    weights = text.tfidf(text.bag_of_words(docs, v, "doc_id"), idf)
+    vectors = text.dense_vectors(text.sparse_vectors(weights, text.term_index(v), docs), v.count())
+    data = cut_lineage(vectors.join(docs.select("doc_id", "split", "y"), "doc_id").withColumn("label", F.col("y").cast("double")))
+    path = logistic.fit(data.where("split = 'train'"), LR_GRID)
+    scored = logistic.score(path, data.where("split = 'valid'"), ["doc_id", "y"])
+    return finish(metrics.auroc_ap(scored, "p", "y", ["config"]))
+
+
 @query("score_and_select")
 def score_and_select(spark, sf):
     """Every family scored into one table, best per pooling method."""

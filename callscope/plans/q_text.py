@@ -140,3 +140,53 @@ def prefix_tf_running(spark, sf):
     v = cut_lineage(text.vocabulary(text.term_frequency(utt), top_k=BOW_K))
     out = text.prefix_term_frequency(utt, v)
     return out.withColumn("s_id", F.concat_ws("_", F.col("id").cast("string"), F.col("seq").cast("string")))
+
+
+# --- K2: vectors of TF-IDF; prefixes of valid and test calls weighted by the train IDF ------------------
+
+@query("tfidf_vectors", sql(
+    [], [*_IDF_CTES, "px AS (SELECT term, row_number() OVER (ORDER BY frequency DESC, term) - 1 AS pos FROM f)",
+         _TFIDF_SELECT[0], f"t AS ({_TFIDF_SELECT[1]})"],
+    "SELECT t.doc_id, CAST(px.pos AS INTEGER) AS \"index\", t.tfidf AS value FROM t JOIN px USING (term) WHERE round(t.tfidf, 6) <> 0", round6=["value"]))
+def tfidf_vectors(spark, sf):
+    """The non-zero places of every document's dense vector of 776 numbers."""
+    v = doc_vocab(spark, sf)
+    weights, _ = text.fit_tfidf(docs(spark, sf), v, "doc_id")
+    size = v.count()  # at most the study's 776
+    sparse = text.sparse_vectors(weights, text.term_index(v), docs(spark, sf).select("doc_id"))
+    long = text.dense_vectors(sparse, size).select("doc_id", F.posexplode("features").alias("index", "value"))
+    return finish(long.where(F.round("value", 6) != 0))
+
+
+_PREFIX_CTES = [
+    f"r AS (SELECT id, row_number() OVER (PARTITION BY id % 3 ORDER BY {u_sql('42', 'id')}, id) AS rk, COUNT(*) OVER (PARTITION BY id % 3) AS n "
+    "FROM (SELECT DISTINCT id FROM v1))",
+    "sp AS (SELECT id, CASE WHEN rk <= ceil(n * 0.2) THEN 'test' WHEN rk <= ceil(n * 0.2) + ceil((n - ceil(n * 0.2)) * 0.2) THEN 'valid' "
+    "ELSE 'train' END AS split FROM r)",
+    f"tx AS (SELECT id, seq, split, {_TAG} AS text FROM v1 JOIN sp USING (id))",
+    "train AS (SELECT id, string_agg(text, ' ' ORDER BY seq) AS text FROM tx WHERE split = 'train' GROUP BY id)",
+    FREQ_SQL.format(src="train"), TOP_SQL.format(k=BOW_K),
+    "nd AS (SELECT COUNT(*) AS n_docs FROM train)",
+    f"dfr AS (SELECT v.term, COUNT(*) FILTER (WHERE {COUNT_SQL.format(t='train.text')} > 0) AS df FROM train, v GROUP BY v.term)",
+    "idf AS (SELECT dfr.term, ln((nd.n_docs + 1.0) / (dfr.df + 1.0)) + 1.0 AS idf FROM dfr, nd)",
+    f"ps AS (SELECT id, seq, split, string_agg(text, ' ') OVER (PARTITION BY id ORDER BY seq {RUN}) AS ptext FROM tx WHERE split <> 'train')",
+    f"pt AS (SELECT * FROM (SELECT id, seq, split, v.term, {COUNT_SQL.format(t='ps.ptext')} AS tf FROM ps, v) WHERE tf > 0)",
+    "w AS (SELECT id, seq, split, pt.term, tf * idf AS x FROM pt JOIN idf USING (term))"]
+
+
+@query("prefix_tfidf_valid_test", sql(
+    ["v1"], _PREFIX_CTES,
+    "SELECT id, seq, split, term, x / CASE WHEN sqrt(SUM(x * x) OVER (PARTITION BY id, seq)) = 0 THEN 1e-10 "
+    "ELSE sqrt(SUM(x * x) OVER (PARTITION BY id, seq)) END AS tfidf FROM w", round6=["tfidf"]))
+def prefix_tfidf_valid_test(spark, sf):
+    """Vocabulary and IDF of the train calls' whole texts; every prefix of the valid and test
+    calls is weighted by that IDF and normalised on its own."""
+    utt = sequence.tag_speaker(views.utterances(spark, sf))
+    calls = utt.select("id").distinct().withColumn("__stratum", F.col("id") % 3)
+    split = cut_lineage(resample.stratified_split(calls, "id", "__stratum", 42).select("id", "split"))
+    utt = cut_lineage(utt.join(split, "id"))  # read by the vocabulary, the IDF and the prefixes
+    train = sequence.assemble_calls(utt.where("split = 'train'"))
+    v = cut_lineage(text.vocabulary(text.term_frequency(train), top_k=BOW_K))
+    _, idf = text.fit_tfidf(train, v, "id")
+    counts = text.prefix_term_frequency(utt.where("split <> 'train'"), v)
+    return finish(text.tfidf(counts, idf, ["id", "seq"]).join(split, "id"))
