@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,6 +102,10 @@ def _by_scan(docs: DataFrame, vocab: DataFrame, ks: list[str], text: str, regex:
             .filter(F.col("tf") > 0))
 
 
+#: Terms that go along with the tasks, letters of a run that is looked up along with others, runs counted at once.
+TASK_TERMS, SHORT_RUN, RUN_CHUNK = 1 << 16, 64, 1 << 18
+
+
 def bag_of_words_by_runs(docs: DataFrame, vocab: DataFrame, keys: str | Sequence[str] = "doc_id",
                          text: str = "text") -> DataFrame:
     """Literal counts of letters-only terms without scanning each text once per
@@ -109,18 +114,83 @@ def bag_of_words_by_runs(docs: DataFrame, vocab: DataFrame, keys: str | Sequence
 
         tf(doc, term) = sum over letter runs r of doc:  m(doc, r) * count(term in r)
 
-    Plan: letter runs per document are counted (one tokenising pass, combined
-    map-side); for the *distinct* runs only, every substring whose length is a
-    vocabulary term length is matched against the vocabulary, and the
-    non-overlapping count inside the run is taken for the matching pairs; the
-    per-document run counts are then joined on the run and summed.  Terms with
-    non-letters must use ``method="scan"``.  Spark broadcasts the vocabulary where it
-    is small enough (``spark.sql.autoBroadcastJoinThreshold``)."""
+    The runs of a text are counted where the text is read (``_count_runs``): nothing but
+    the counts is shuffled, once, for rows of equal keys.  The vocabulary goes along with
+    the tasks up to ``TASK_TERMS`` terms; larger ones are joined with the substrings of the
+    distinct runs (``_runs_by_join``).  Terms with non-letters must use ``method="scan"``."""
     ks = [keys] if isinstance(keys, str) else list(keys)
-    runs = (spread(docs.select(*ks, text))
-            .select(*ks, F.explode(F.regexp_extract_all(F.col(text), F.lit(LETTER_RUN), 1)).alias("run")))
-    per_doc = runs.groupBy(*ks, "run").agg(F.count(F.lit(1)).alias("__m"))
-    terms = vocab.select("term").distinct()
+    runs = spread(docs.select(*ks, text)).select(*ks, F.regexp_extract_all(F.col(text), F.lit(LETTER_RUN), 1).alias("__runs"))
+    terms = vocab.select("term").where("term is not null").distinct()
+    few = sorted(r.term for r in terms.limit(TASK_TERMS + 1).collect())  # at most so many terms
+    if len(few) > TASK_TERMS:
+        return _runs_by_join(runs, terms, ks)
+    return _count_runs(runs, few, ks).groupBy(*ks, "term").agg(F.sum("tf").alias("tf"))
+
+
+def _count_runs(runs: DataFrame, terms: list[str], ks: list[str]) -> DataFrame:
+    """(keys.., term, tf) of every row's runs.  The distinct runs of a batch meet the terms by
+    their substrings of the terms' lengths; the rest is array arithmetic."""
+    schema = T.StructType([*(runs.schema[k] for k in ks), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+    size, step, short, chunk = max(len(terms), 1), max(1, DENSE_BATCH // max(len(terms), 1)), SHORT_RUN, RUN_CHUNK
+
+    def run(batches):
+        words, places = pa.array(terms, pa.string()), {t: i for i, t in enumerate(terms)}
+        of = {n: np.array([i for i, t in enumerate(terms) if len(t) == n]) for n in sorted({len(t) for t in terms})}
+        sets = {n: words.take(pa.array(i)) for n, i in of.items()}
+
+        def matches(distinct) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(run, term, count), by run: a term's places in a run, or what does not overlap of them."""
+            length = pa.compute.utf8_length(distinct).to_numpy()
+            order = np.argsort(-length, kind="stable")
+            ordered, length = distinct.take(pa.array(order)), length[order]
+            long = int(np.searchsorted(-length, -short, side="left"))
+            found = [np.array([k * size + places[t] for k, word in enumerate(ordered.slice(0, long).to_pylist()) for n in of
+                               for i in range(len(word) - n + 1) if (t := word[i:i + n]) in places], np.int64)]
+            for n, own in of.items():
+                for i in range(max(0, short - n + 1)):
+                    stop = int(np.searchsorted(-length, -(i + n), side="right"))
+                    if stop <= long:
+                        break
+                    at = pa.compute.index_in(pa.compute.utf8_slice_codeunits(ordered.slice(long, stop - long), i, i + n), value_set=sets[n])
+                    at = at.fill_null(-1).to_numpy()
+                    hit = np.flatnonzero(at >= 0)
+                    found.append((hit + long) * size + own[at[hit]])
+            pair, count = np.unique(np.concatenate(found), return_counts=True)
+            for j in np.flatnonzero(count > 1):
+                k, t = divmod(int(pair[j]), size)
+                if len(terms[t]) > 1:
+                    count[j] = ordered[k].as_py().count(terms[t])
+            return order[pair // size], pair % size, count
+
+        for whole in batches:
+            lists = whole.column(whole.schema.get_field_index("__runs"))
+            flat = lists.flatten().dictionary_encode()
+            row = np.repeat(np.arange(whole.num_rows), lists.value_lengths().fill_null(0).to_numpy())
+            word, term, count = matches(flat.dictionary)
+            by = np.argsort(word, kind="stable")
+            term, count = term[by], count[by]
+            many = np.bincount(word, minlength=len(flat.dictionary))
+            start, code = np.cumsum(many) - many, flat.indices.to_numpy()
+            for at in range(0, whole.num_rows, step):
+                first, last = np.searchsorted(row, [at, at + step])
+                tf = np.zeros(min(step, whole.num_rows - at) * size)
+                for c in range(first, last, chunk):
+                    some = code[c:min(c + chunk, last)]
+                    n = many[some]
+                    pick = np.repeat(start[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    tf += np.bincount(np.repeat(row[c:min(c + chunk, last)] - at, n) * size + term[pick], count[pick], len(tf))
+                cell = np.flatnonzero(tf)
+                kept = [whole.column(whole.schema.get_field_index(k)).take(pa.array(at + cell // size)) for k in ks]
+                yield pa.RecordBatch.from_arrays([*kept, words.take(pa.array(cell % size)), pa.array(tf[cell].astype(np.int64))], schema.names)
+
+    return runs.mapInArrow(run, schema)
+
+
+def _runs_by_join(runs: DataFrame, terms: DataFrame, ks: list[str]) -> DataFrame:
+    """The same by joins: for the distinct runs only, every substring whose length is a
+    term's is matched against the vocabulary; the runs of each row are then joined on the
+    run and summed."""
+    per_doc = runs.select(*ks, F.explode("__runs").alias("run")).groupBy(*ks, "run").agg(F.count(F.lit(1)).alias("__m"))
     lens = F.broadcast(terms.agg(F.array_distinct(F.collect_list(F.length("term"))).alias("__lens")))
     subs = F.flatten(F.transform("__lens", lambda n: F.transform(
         F.sequence(F.lit(1), F.greatest(F.length("run") - n + 1, F.lit(0))), lambda i: F.substring("run", i, n))))
@@ -137,6 +207,11 @@ def letters_only(vocab: DataFrame) -> bool:
     return vocab.filter(~F.col("term").rlike(LETTERS_ONLY)).limit(1).count() == 0
 
 
+def few_terms(terms: DataFrame) -> bool:
+    """True for at most ``TASK_TERMS`` rows (one small action on a table by term)."""
+    return terms.limit(TASK_TERMS + 1).count() <= TASK_TERMS
+
+
 def inverse_document_frequency(tf: DataFrame, docs: DataFrame, vocab: DataFrame,
                                key: str = "doc_id") -> DataFrame:
     """E2-E4 (``tf`` is sparse: only non-zero counts): ``df`` = documents
@@ -156,6 +231,8 @@ def tfidf(tf: DataFrame, idf: DataFrame, keys: str | Sequence[str] = "doc_id",
     is dropped), then divided by the document's L2 norm (0 -> 1e-10)."""
     ks = [keys] if isinstance(keys, str) else list(keys)
     side = idf.select("term", "idf")
+    if few_terms(side):  # the weights are joined where they are
+        side = F.broadcast(side)
     w = tf.join(side, "term").withColumn("tfidf", F.col("tf") * F.col("idf"))
     if normalize:
         norm = F.sqrt(F.sum(F.col("tfidf") * F.col("tfidf")).over(Window.partitionBy(*ks)))
@@ -220,6 +297,8 @@ def fit_tfidf(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str
     if materialize:
         tf = cut_lineage(tf)
     idf = inverse_document_frequency(tf, docs, vocab, key)
+    if materialize:
+        idf = cut_lineage(idf)  # a row for each term
     return tfidf(tf, idf, key), idf
 
 
