@@ -19,10 +19,12 @@ that gained most.  Equal gains: the smaller feature, then the smaller threshold,
 values to the left.
 
 Gradients are rounded to multiples of 2^-30 and added as whole numbers, so splits do not depend
-on how the rows are partitioned.  A partition holds at most about ``PARTITION_ROWS`` rows;
-where one partition holds them all there is nothing to reduce, and a task grows several rounds
-on its own by the same functions.  Margins are kept with the binned rows; every few rounds they
-are renewed and, less often, checkpointed, so a lost executor replays a few trees only.
+on how the rows are partitioned.  Rows are cut into parts of at most about ``GROW_ROWS`` rows,
+and a task has one part for one configuration: what is shuffled grows with the number of parts,
+and the configurations share the cores.  Where one part holds all rows there is nothing to
+reduce, and a task grows several rounds of its configuration on its own by the same functions.
+Margins are kept with the binned rows; every few rounds they are renewed and, less often,
+checkpointed, so a lost executor replays a few trees only.
 """
 
 from __future__ import annotations
@@ -38,12 +40,13 @@ from pyspark.sql import functions as F
 
 from callscope.session import cut_lineage, ensure_checkpoint_dir
 
-#: Rows of a partition, bins of a feature, rounds between two renewals and two checkpoints.
-PARTITION_ROWS, BINS, RENEW, CHECKPOINT = 16_384, 64, 20, 100
+#: Rows of a forest's partition and of a part here, bins of a feature, rounds between two renewals
+#: (where every pass replays them: ``REPLAY``) and two checkpoints.
+PARTITION_ROWS, GROW_ROWS, BINS, RENEW, REPLAY, CHECKPOINT = 16_384, 131_072, 64, 20, 4, 100
 #: What a gradient of 1 counts, and bytes of trees that may be broadcast at once.
 UNIT, BROADCAST_BYTES = float(1 << 30), 64 << 20
 #: Values that are counted at once in a pass.
-CHUNK = 1 << 22
+CHUNK = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -206,12 +209,18 @@ class Part:
                 at = self.walk(trees[c], 0, k, level) - first
                 live = np.flatnonzero(at >= 0)
                 out = np.zeros((3, width, n_features, bins), np.int64)
-                step = max(1, CHUNK // max(n, 1))
+                step = min(max(1, CHUNK // max(n, 1)), max(n_features, 1))
+                every = len(live) == n
+                at = at[live]
+                weights = [np.tile(w[k, live], step) for w in (g, h)]
                 for f in range(0, n_features, step):
-                    x = self.x[f:f + step, live]
-                    cell = ((at[live] * len(x) + np.arange(len(x))[:, None]) * bins + x).ravel()
-                    for i, w in enumerate((g[k, live], h[k, live], None)):
-                        got = np.bincount(cell, None if w is None else np.broadcast_to(w, x.shape).ravel(), width * len(x) * bins)
+                    x = self.x[f:f + step] if every else self.x[f:f + step].take(live, axis=1)
+                    cell = x.astype(np.int64)
+                    cell += at * (len(x) * bins)
+                    cell += (np.arange(len(x)) * bins)[:, None]
+                    cell = cell.ravel()
+                    for i, w in enumerate((*weights, None)):
+                        got = np.bincount(cell, None if w is None else w[:cell.size], width * len(x) * bins)
                         out[i, :, f:f + step] = np.rint(got).astype(np.int64).reshape(width, len(x), bins)
                 yield (c, k), out
 
@@ -277,7 +286,7 @@ def set_level(trees: Trees, k: int, level: int, splits: list[tuple]) -> None:
 # training ----------------------------------------------------------------------------
 
 def fit(df: DataFrame, configs: Sequence[Config], features: str = "features", label: str = "label", classes: int = 2,
-        bins: int = BINS, partition_rows: int = PARTITION_ROWS) -> Model:
+        bins: int = BINS, partition_rows: int = GROW_ROWS) -> Model:
     """Fits all configurations together.  Rows without a label take no part; labels are
     0 .. classes-1; without rows there is no model (ValueError)."""
     configs = list(configs)
@@ -302,11 +311,16 @@ def fit(df: DataFrame, configs: Sequence[Config], features: str = "features", la
             x.append(binned(_matrix([r[0] for r in some], len(cuts)), cuts, width))
             y.append(np.array([r[1] for r in some], np.int64))
         y = np.concatenate(y)
-        yield [], (width, np.concatenate(x, 1), y, np.repeat(base[:, :, None], len(y), 2))
+        x = np.concatenate(x, 1)
+        for c in range(len(configs)):
+            yield c, (width, x, y, np.repeat(base[c:c + 1, :, None], len(y), 2))
 
     ensure_checkpoint_dir(df.sparkSession)
-    parts = rows.repartition(max(1, -(-n // partition_rows))).rdd.mapPartitions(to_part)
-    trees = _grow(parts, configs, outputs, classes)
+    n_parts = max(1, -(-n // partition_rows))
+    parts = rows.repartition(n_parts).rdd.mapPartitionsWithIndex(
+        lambda i, items: ((c * n_parts + i, (c, [], part)) for c, part in to_part(items)))
+    state = parts.partitionBy(n_parts * len(configs), lambda place: place).values()
+    trees = _grow(state, configs, outputs, classes, n_parts == 1)
     for t in trees:  # bins back to values; beyond the last cut lie missing values alone
         for f, c in enumerate(cuts):
             of = t.feature == f
@@ -325,59 +339,70 @@ def _blocks(items, size: int):
         yield out
 
 
-def _grow(state, configs: list[Config], outputs: int, classes: int) -> list[Trees]:
-    """``state``: (trees of the last rounds, the plain Part) of every partition.  What lies in
-    it and what tasks return are plain arrays, so that workers need no copy of this package."""
+def _grow(state, configs: list[Config], outputs: int, classes: int, alone: bool) -> list[Trees]:
+    """``state``: (configuration, trees of its last rounds, the plain Part) of every part.  What
+    lies in it and what tasks return are plain arrays, so that workers need no copy of this
+    package.  ``alone``: one part holds all rows."""
     rounds, deepest = max(c.rounds for c in configs), max(c.depth for c in configs)
     trees = [Trees.empty(c.rounds, outputs, c.nodes) for c in configs]
-    alone = state.getNumPartitions() == 1
+    step = min(RENEW, rounds if alone else REPLAY)
+    keys = min(len(configs) * outputs, state.ctx.defaultParallelism)
 
-    def empty(r: int) -> list[Trees]:
-        return [Trees.empty(int(r < c.rounds), outputs, c.nodes) for c in configs]
+    def empty(c: int, r: int) -> Trees:
+        return Trees.empty(int(r < configs[c].rounds), outputs, configs[c].nodes)
 
-    def grow_alone(plain: tuple, start: int, stop: int):
-        """Several rounds where one partition holds all rows."""
-        part, found = Part(*plain), []
+    def grow_alone(item: tuple, start: int, stop: int):
+        """Several rounds where one part holds all rows."""
+        c, part, found = item[0], Part(*item[2]), []
+        own = [configs[c]]
         for r in range(start, stop):
-            own = empty(r)
-            for level in range(deepest):
-                for (c, k), s in part.sums(configs, own, level):
-                    set_level(own[c], k, level, best_splits(configs[c], classes, s))
-            part = part.add(configs, own)
-            found.append([t.plain() for t in own])
-        return found, part.plain()
-
-    def add_all(plain: tuple, found: list) -> Part:
-        part = Part(*plain)
+            tree = empty(c, r)
+            for level in range(configs[c].depth):
+                for (_, k), s in part.sums(own, [tree], level):
+                    set_level(tree, k, level, best_splits(configs[c], classes, s))
+            part = part.add(own, [tree])
+            found.append(tree.plain())
+        return c, found, part.plain()
+
+    def add_all(item: tuple, found: list) -> Part:
+        """``found``: of every round, the plain trees of all configurations."""
+        c, part = item[0], Part(*item[2])
         for own in found:
-            part = part.add(configs, [Trees(*t) for t in own])
+            part = part.add([configs[c]], [Trees(*own[c])])
         return part
 
+    def level_sums(item: tuple, found: list, own: list[Trees], level: int):
+        c = item[0]
+        if level < configs[c].depth and len(own[c].feature):
+            for (_, k), s in add_all(item, found).sums([configs[c]], [own[c]], level):
+                yield (c, k), s
+
     def grow_together(state, start: int, stop: int):
         found = []
         for r in range(start, stop):
-            own = empty(r)
+            own = [empty(c, r) for c in range(len(configs))]
             for level in range(deepest):
-                sums = state.flatMap(lambda item, v=level: add_all(item[1], found).sums(configs, own, v))  # noqa: B023  runs at once
-                best = (sums.reduceByKey(lambda a, b: a + b)
+                sums = state.flatMap(lambda item, v=level: level_sums(item, found, own, v))  # noqa: B023  runs at once
+                best = (sums.reduceByKey(lambda a, b: a + b, keys)
                         .map(lambda kv: (kv[0], best_splits(configs[kv[0][0]], classes, kv[1]))).collect())  # a row for each tree
                 for (c, k), splits in best:
                     set_level(own[c], k, level, splits)
             found.append([t.plain() for t in own])
-        return state.map(lambda item: (found, add_all(item[1], found).plain()))
+        return state.map(lambda item: (item[0], [own[item[0]] for own in found], add_all(item, found).plain()))
 
     state = state.persist(StorageLevel.MEMORY_AND_DISK)
-    for start in range(0, rounds, RENEW):
-        stop = min(start + RENEW, rounds)
-        renewed = state.map(lambda item, a=start, b=stop: grow_alone(item[1], a, b)) if alone else grow_together(state, start, stop)
+    for start in range(0, rounds, step):
+        stop = min(start + step, rounds)
+        renewed = state.map(lambda item, a=start, b=stop: grow_alone(item, a, b)) if alone else grow_together(state, start, stop)
         renewed = renewed.persist(StorageLevel.MEMORY_AND_DISK)
         if stop % CHECKPOINT == 0:
             renewed.checkpoint()
-        renewed.count()
-        for r, own in enumerate(renewed.map(lambda item: item[0]).first(), start):
-            for t, o in zip(trees, own, strict=True):
+        # every part of a configuration has the same trees
+        grown = dict(renewed.map(lambda item: (item[0], item[1])).reduceByKey(lambda a, b: a, keys).collect())
+        for c, found in grown.items():
+            for r, o in enumerate(found, start):
                 if len(o[0]):
-                    t.put(r, Trees(*o))
+                    trees[c].put(r, Trees(*o))
         state.unpersist()
         state = renewed
     state.unpersist()

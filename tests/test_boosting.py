@@ -172,3 +172,14 @@ def test_odd_rows(spark):
         B.fit(df.withColumn("label", F.lit(5)), [B.newton_config(1, 1)])
     flat = B.fit(df.withColumn("label", F.lit(1)), [B.newton_config(1, 2), B.residual_config(1, 2)])
     assert (flat.trees[0].feature == -1).all()
+
+
+def test_configurations_have_tasks_of_their_own(spark, monkeypatch):
+    """What is shuffled grows with the parts of the rows, and a part is not small."""
+    grow, tasks = B._grow, []
+    monkeypatch.setattr(B, "_grow", lambda state, *rest: tasks.append(state.getNumPartitions()) or grow(state, *rest))
+    configs = [B.newton_config(1, 1), B.newton_config(2, 1), B.residual_config(1, 1)]
+    many = spark.range(20_000).select(F.array((F.col("id") % 10).cast("double")).alias("features"), (F.col("id") % 2).cast("double").alias("label"))
+    B.fit(many, configs)
+    B.fit(frame(spark, rows(90, 2, 1)), configs, partition_rows=25)
+    assert tasks == [3, 12]
