@@ -121,7 +121,7 @@ def train_lr_tfidf(spark, sf):
     train = docs.where("split = 'train'")
     v = cut_lineage(text.vocabulary(text.term_frequency(train), top_k=q_text.BOW_K))
     _, idf = text.fit_tfidf(train, v, "doc_id")
-    weights = text.tfidf(text.bag_of_words(docs, v, "doc_id"), idf)
+    weights = text.tfidf(text.bag_of_words(docs, v, "doc_id", packed=True), idf)
     vectors = text.dense_vectors(text.sparse_vectors(weights, text.term_index(v), docs), v.count())
     data = cut_lineage(vectors.join(docs.select("doc_id", "split", "y"), "doc_id").withColumn("label", F.col("y").cast("double")))
     path = logistic.fit(data.where("split = 'train'"), LR_GRID)

@@ -121,7 +121,7 @@ def tfidf_apply_train_idf(spark, sf):
     train, test = s.filter("split = 'train'"), s.filter("split <> 'train'")
     v = cut_lineage(text.vocabulary(text.term_frequency(train), top_k=BOW_K))  # bounded, used twice
     _, idf = text.fit_tfidf(train, v, "doc_id", materialize=True)
-    return finish(text.tfidf(text.bag_of_words(test, v, "doc_id"), idf))
+    return finish(text.unpack(text.tfidf(text.bag_of_words(test, v, "doc_id", packed=True), idf), "doc_id", "tfidf"))
 
 
 _TAG = "'[SPK' || CAST(speaker AS VARCHAR) || '] ' || text"
@@ -151,7 +151,7 @@ def prefix_tf_running(spark, sf):
 def tfidf_vectors(spark, sf):
     """The non-zero places of every document's dense vector of 776 numbers."""
     v = doc_vocab(spark, sf)
-    weights, _ = text.fit_tfidf(docs(spark, sf), v, "doc_id")
+    weights, _ = text.fit_tfidf(docs(spark, sf), v, "doc_id", packed=True)
     size = v.count()  # at most the study's 776
     sparse = text.sparse_vectors(weights, text.term_index(v), docs(spark, sf).select("doc_id"))
     long = text.dense_vectors(sparse, size).select("doc_id", F.posexplode("features").alias("index", "value"))
