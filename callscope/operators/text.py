@@ -566,21 +566,19 @@ def prefix_term_frequency(utt: DataFrame, vocab: DataFrame, id_col: str = "id",
     running sum per ``(id, term)``.  Equal to counting on the space-joined
     prefix text for terms without whitespace (a match cannot cross the joining
     space); terms with whitespace are counted on the joined texts.  ``seq`` must be
-    dense per call.  The per-utterance counts feed three
-    branches and are checkpointed (``materialize``) so the texts are counted once."""
+    dense per call.  A count is carried on to the utterance before the next one of its call
+    and term, so only counts that change are shuffled and summed, and nothing has to be
+    written down (``materialize`` is accepted and has no effect)."""
     spaced = vocab.filter(F.col("term").rlike(r"\s"))
     if spaced.limit(1).count():
         joined = sequence.stack_prefixes(utt, id_col, seq, text, end_col=seq).select(id_col, seq, "text")
         rest = vocab.filter(~F.col("term").rlike(r"\s"))
         return (prefix_term_frequency(utt, rest, id_col, seq, text, materialize)
                 .unionByName(bag_of_words(joined, spaced, [id_col, seq], "text")))
-    per = bag_of_words(utt, vocab, [id_col, seq], text)
-    if materialize:
-        per = cut_lineage(per)
+    per = bag_of_words(utt, vocab, [id_col, seq], text).where(F.col(seq).isNotNull())
     last = utt.groupBy(id_col).agg(F.max(seq).alias("__last"))
-    first = per.groupBy(id_col, "term").agg(F.min(seq).alias("__first"))
-    grid = (first.join(last, id_col)
-            .select(id_col, "term", F.explode(F.sequence("__first", "__last")).alias(seq)))
-    cum = blocked.running_sum(grid.join(per, [id_col, seq, "term"], "left"), [id_col, "term"], [seq],
-                              blocked.seq_block(seq), {"__tf": F.coalesce("tf", F.lit(0))})
-    return cum.select(id_col, seq, "term", F.col("__tf").alias("tf"))
+    w = Window.partitionBy(id_col, "term").orderBy(seq)
+    steps = per.select(id_col, "term", seq, F.sum("tf").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("tf"),
+                       (F.lead(seq).over(w) - 1).alias("__stop"))
+    steps = steps.join(last, id_col)
+    return steps.select(id_col, F.explode(F.sequence(seq, F.coalesce("__stop", "__last"))).alias(seq), "term", "tf")
