@@ -22,7 +22,8 @@ Gradients are rounded to multiples of 2^-30 and added as whole numbers, so split
 on how the rows are partitioned.  Rows are cut into parts of at most about ``GROW_ROWS`` rows,
 and a task has one part for one configuration: what is shuffled grows with the number of parts,
 and the configurations share the cores.  Where one part holds all rows there is nothing to
-reduce, and a task grows several rounds of its configuration on its own by the same functions.
+reduce, and a task grows several rounds of its configuration on its own by the same functions;
+there only the smaller one of two siblings is counted, the other being the rest of their parent.
 Margins are kept with the binned rows; every few rounds they are renewed and, less often,
 checkpointed, so a lost executor replays a few trees only.
 """
@@ -65,6 +66,11 @@ class Config:
     def nodes(self) -> int:
         return 2 ** (self.depth + 1) - 1
 
+    @property
+    def counts_rows(self) -> bool:
+        """Whether the gain of a split depends on the number of rows on its sides."""
+        return self.family == "residual" or not self.min_child > 0
+
 
 def newton_config(depth: int, rounds: int, name: str | None = None, rate: float = 0.3, **kw) -> Config:
     """K6, with the usual defaults of second-order boosting."""
@@ -198,9 +204,10 @@ class Part:
 
     def sums(self, configs: list[Config], trees: list[Trees], level: int):
         """((configuration, class), sums): whole numbers by (gradient, curvature, rows), node
-        of the level, feature and bin, for every tree that may still split."""
-        n_features, n = self.x.shape
-        first, width, bins = 2 ** level - 1, 2 ** level, self.bins
+        of the level, feature and bin, for every tree that may still split.  Rows that no gain
+        asks for are counted on the first feature only."""
+        n = len(self.y)
+        first, width = 2 ** level - 1, 2 ** level
         for c, config in enumerate(configs):
             if level >= config.depth or not len(trees[c].feature):
                 continue
@@ -208,36 +215,78 @@ class Part:
             for k in range(len(g)):
                 at = self.walk(trees[c], 0, k, level) - first
                 live = np.flatnonzero(at >= 0)
-                out = np.zeros((3, width, n_features, bins), np.int64)
-                step = min(max(1, CHUNK // max(n, 1)), max(n_features, 1))
-                every = len(live) == n
-                at = at[live]
-                weights = [np.tile(w[k, live], step) for w in (g, h)]
-                for f in range(0, n_features, step):
-                    x = self.x[f:f + step] if every else self.x[f:f + step].take(live, axis=1)
-                    cell = x.astype(np.int64)
-                    cell += at * (len(x) * bins)
-                    cell += (np.arange(len(x)) * bins)[:, None]
-                    cell = cell.ravel()
-                    for i, w in enumerate((*weights, None)):
-                        got = np.bincount(cell, None if w is None else w[:cell.size], width * len(x) * bins)
-                        out[i, :, f:f + step] = np.rint(got).astype(np.int64).reshape(width, len(x), bins)
-                yield (c, k), out
-
-
-def best_splits(config: Config, classes: int, sums: np.ndarray) -> list[tuple]:
+                x = self.x if len(live) == n else self.x.take(live, axis=1)
+                yield (c, k), self.histogram(x, at[live], width, (g[k, live], h[k, live], None), (True, True, config.counts_rows))
+
+    def histogram(self, x: np.ndarray, at: np.ndarray, width: int, weights: tuple, whole: tuple) -> np.ndarray:
+        """Sums of the weights (None: 1) by weight, node, feature and bin; of the first feature alone
+        for those that are not ``whole``."""
+        (n_features, n), bins = x.shape, self.bins
+        out = np.zeros((3, width, n_features, bins), np.int64)
+        step = min(max(1, CHUNK // max(n, 1)), max(n_features, 1))
+        tiled = [np.tile(w, step) if w is not None and all_of else w for w, all_of in zip(weights, whole, strict=True)]
+        for f in range(0, n_features, step):
+            cell = x[f:f + step].astype(np.int64)
+            some = len(cell)
+            cell += at * (some * bins)
+            cell += (np.arange(some) * bins)[:, None]
+            cell = cell.ravel()
+            for i, w in enumerate(tiled):
+                if whole[i]:
+                    got = np.bincount(cell, None if w is None else w[:cell.size], width * some * bins)
+                    out[i, :, f:f + step] = np.rint(got).astype(np.int64).reshape(width, some, bins)
+        for i, w in enumerate(weights):
+            if not whole[i] and n_features:
+                out[i, :, 0] = np.rint(np.bincount(at * bins + x[0], w, width * bins)).astype(np.int64).reshape(width, bins)
+        return out
+
+    def grow_tree(self, config: Config, classes: int, trees: Trees, k: int, g: np.ndarray, h: np.ndarray) -> None:
+        """A tree where this part holds all rows.  Of two siblings the one of fewer rows is
+        counted, and the other is what that leaves of their parent."""
+        residual = config.family == "residual"
+        whole = (True, not residual, config.counts_rows)  # residuals: curvatures of the chosen splits only
+        live, at = np.arange(len(self.y)), np.zeros(len(self.y), np.int64)
+        sums = self.histogram(self.x, at, 1, (g, h, None), whole)
+        for level in range(config.depth):
+            def curvature(node: int, f: int, live=live, at=at) -> np.ndarray:
+                rows = live[at == node]
+                return np.bincount(self.x[f, rows], h[rows], self.bins)
+
+            found = best_splits(config, classes, sums, curvature if residual else None)
+            set_level(trees, k, level, found)
+            feature, cut, left = (np.array([s[i] for s in found]) for i in (1, 2, 3))
+            split = feature >= 0
+            live, at = live[split[at]], at[split[at]]
+            if level + 1 == config.depth or not len(live):
+                break
+            value = self.x[feature[at], live]
+            at = 2 * at + 1 - np.where(value == self.bins - 1, left[at], value <= cut[at])
+            parents = np.arange(len(found))
+            small = np.bincount(at, minlength=2 * len(found)).reshape(-1, 2).argmin(1)
+            own = (at & 1) == small[at >> 1]
+            rows = live[own]
+            counted = self.histogram(self.x.take(rows, axis=1), at[own] >> 1, len(found), (g[rows], h[rows], None), whole)
+            rest = sums - counted
+            rest[:, ~split] = 0
+            sums = np.empty((3, 2 * len(found), *sums.shape[2:]), np.int64)
+            sums[:, 2 * parents + small], sums[:, 2 * parents + 1 - small] = counted, rest
+
+
+def best_splits(config: Config, classes: int, sums: np.ndarray, curvature=None) -> list[tuple]:
     """(gain, feature, bin, missing values left, value, value left, value right) of every node
-    of a level; feature -1: no split gains."""
+    of a level; feature -1: no split gains.  ``curvature``: (node, feature) -> the curvatures by
+    bin, where the sums have those of the first feature alone."""
     last = sums.shape[3] - 1
     out = []
-    for g, h, n in np.moveaxis(sums, 1, 0).astype(float):
+    for node, (g, h, n) in enumerate(np.moveaxis(sums, 1, 0).astype(float)):
         g, h = g / UNIT, h / UNIT
         total = g[0].sum(), h[0].sum(), n[0].sum()
         best = (0.0, -1, 0, False, 0.0, 0.0)
         if total[2]:
             inner = [np.cumsum(s[:, :last], 1) for s in (g, h, n)]
             gains = []
-            for to_left in (1.0, 0.0):
+            missing = any(s[:, last:].any() for s in (g, h, n))
+            for to_left in (1.0, 0.0) if missing else (1.0,):  # without missing values both ways are one
                 left = [i + to_left * s[:, last:] for i, s in zip(inner, (g, h, n), strict=True)]
                 right = [t - x for t, x in zip(total, left, strict=True)]
                 gains.append(_gain(config, left, right, total))
@@ -246,8 +295,9 @@ def best_splits(config: Config, classes: int, sums: np.ndarray) -> list[tuple]:
                 at = int(np.argmax(both))
                 f, b, way = np.unravel_index(at, both.shape)
                 if both[f, b, way] > 1e-6:
-                    left = [float(i[f, b] + (way == 0) * s[f, last]) for i, s in zip(inner, (g, h, n), strict=True)]
-                    best = (float(both[f, b, way]), int(f), int(b), way == 0, _leaf(config, classes, *left[:2]),
+                    own = [g[f], h[f] if curvature is None else curvature(node, f) / UNIT]
+                    left = [float(np.cumsum(s[:last])[b] + (way == 0) * s[last]) for s in own]
+                    best = (float(both[f, b, way]), int(f), int(b), way == 0, _leaf(config, classes, *left),
                             _leaf(config, classes, total[0] - left[0], total[1] - left[1]))
         out.append((*best[:4], _leaf(config, classes, *total[:2]) if total[2] else 0.0, *best[4:]))
     return out
@@ -259,7 +309,9 @@ def _gain(config: Config, left, right, total) -> np.ndarray:
         both = (nl > 0) & (nr > 0)
         nl, nr = np.maximum(nl, 1), np.maximum(nr, 1)
         return np.where(both, nl * nr / (nl + nr) * (gl / nl - gr / nr) ** 2, -np.inf)
-    enough = (hl >= config.min_child) & (hr >= config.min_child) & (nl > 0) & (nr > 0)
+    enough = (hl >= config.min_child) & (hr >= config.min_child)
+    if config.counts_rows:  # else a side with enough curvature has rows
+        enough &= (nl > 0) & (nr > 0)
     own = g * g / (h + config.l2) if h + config.l2 > 0 else 0.0
     hl, hr = np.maximum(hl + config.l2, 1e-300), np.maximum(hr + config.l2, 1e-300)
     return np.where(enough, 0.5 * (gl * gl / hl + gr * gr / hr - own), -np.inf)
@@ -357,9 +409,9 @@ def _grow(state, configs: list[Config], outputs: int, classes: int, alone: bool)
         own = [configs[c]]
         for r in range(start, stop):
             tree = empty(c, r)
-            for level in range(configs[c].depth):
-                for (_, k), s in part.sums(own, [tree], level):
-                    set_level(tree, k, level, best_splits(configs[c], classes, s))
+            if len(tree.feature):
+                for k, (g, h) in enumerate(zip(*part.gradients(own[0], 0), strict=True)):
+                    part.grow_tree(own[0], classes, tree, k, g, h)
             part = part.add(own, [tree])
             found.append(tree.plain())
         return c, found, part.plain()
