@@ -369,8 +369,9 @@ def fit(df: DataFrame, configs: Sequence[Config], features: str = "features", la
 
     ensure_checkpoint_dir(df.sparkSession)
     n_parts = max(1, -(-n // partition_rows))
+    turn = {c: i for i, c in enumerate(sorted(range(len(configs)), key=lambda c: -configs[c].depth))}  # the longest tasks start first
     parts = rows.repartition(n_parts).rdd.mapPartitionsWithIndex(
-        lambda i, items: ((c * n_parts + i, (c, [], part)) for c, part in to_part(items)))
+        lambda i, items: ((turn[c] * n_parts + i, (c, [], part)) for c, part in to_part(items)))
     state = parts.partitionBy(n_parts * len(configs), lambda place: place).values()
     trees = _grow(state, configs, outputs, classes, n_parts == 1)
     for t in trees:  # bins back to values; beyond the last cut lie missing values alone
