@@ -5,19 +5,23 @@ crowded hash buckets last), and the first n - ceil(t n) + 1 of a set are its pre
 sets of similarity t share an n-gram of their prefixes.  Classes with one prefix and one
 size form a group.
 
-1. The lists of groups per prefix n-gram are made; those of a single group end there.
+1. The lists of groups per prefix n-gram are made.  A group goes on only in lists where
+   another's size, and what both have left behind that n-gram, allow a link.
 2. Groups are expanded to their classes.  The classes of a list (and those of a group
    among themselves) are compared in blocks by size and by parity sketches: the bits in
    which two sketches differ cannot outnumber the n-grams in which the sets do.
 3. In rounds, every class asks for a few partners that links have not yet brought
-   together with it, and these pairs are verified on the sets.  Those that had to leave
-   some out ask again, each round for more; the last is the one in which no class had to leave any out, so that every
+   together with it, and these pairs are verified on the sets.  The first round compares
+   long lists within their blocks alone, which differ from list to list.  From the second,
+   lists of one component are done, and in a long list the classes that are not of its
+   largest component go to all its blocks.  Classes that had to leave partners out ask
+   again, each round for more; the last is the one in which no class had to leave any out, so that every
    pair the sketches allow is verified or already connected.  n near copies of one
-   another so cost about n pairs, not n * n / 2.
+   another so cost about n pairs and n rows, not n * n / 2.
 
 No pair is passed on before the sketches have been compared, long lists are split into
-blocks, and copies are put together before every shuffle.  Broadcast are two bitmaps of
-fixed size: the crowded buckets, and the hashes of the classes to verify.
+blocks, and copies are put together before every shuffle.  Broadcast are bitmaps of
+fixed size: the crowded buckets, the classes to verify, and the texts that have them.
 
 Defined results: a null text, or one without words, has the empty set and links with
 nothing; one with fewer words than an n-gram has its whole sequence as its only member;
@@ -40,7 +44,13 @@ BUCKETS = 1 << 18
 #: A bucket is crowded from this count, or this many times the mean.
 CROWDED, TIMES_MEAN = 64, 4
 #: Groups of a list in one block, and pairs that are compared at a time.
-BLOCK, PAIRS = 512, 1 << 17
+BLOCK, PAIRS = 2048, 1 << 17
+#: Long lists of a class that the first round compares.
+FIRST_LONG = 2
+#: Lists up to this length lose the groups that can link with no other of the list.
+SHORT = 64
+#: Bytes of text that are worked on together, and names that a task remembers.
+BATCH, REMEMBERED = 1 << 18, 1 << 16
 #: Partners that a class asks for in the first round, and how many times more in each further one.
 PARTNERS, MORE = 4, 16
 
@@ -77,9 +87,13 @@ class Measure:
     def sizes(self, a, b):
         return (self.num * np.maximum(a, b)) <= (self.den * np.minimum(a, b))
 
+    def common(self, a, b):
+        """The fewest n-grams that linked sets of these sizes share."""
+        return -(-(self.num * (a + b)) // (self.num + self.den))
+
     def difference(self, a, b):
         """The most n-grams in which sets of these sizes may differ."""
-        return (a + b) - 2 * -(-(self.num * (a + b)) // (self.num + self.den))
+        return (a + b) - 2 * self.common(a, b)
 
     def linked(self, common, a, b):
         return self.den * common >= self.num * (a + b - common)
@@ -142,15 +156,18 @@ class _Sketches:
         return out
 
 
-def _pairs(first: np.ndarray, size: np.ndarray):
-    """Chunks of (list, a, b): all pairs of rows of each list (rows first .. first + size)."""
+def _pairs(first: np.ndarray, size: np.ndarray, home: np.ndarray):
+    """Chunks of (list, a, b), a < b: the pairs of rows of each list (rows first .. first + size);
+    in long lists only those with a row that is at ``home`` there."""
     for c in np.unique(size[size > 1]).tolist():
         lists = np.flatnonzero(size == c)
         if c * (c - 1) // 2 > PAIRS:  # one row against the others at a time
             for i in lists.tolist():
-                for x in range(c - 1):
-                    b = np.arange(x + 1, c) + first[i]
-                    yield np.full(len(b), i), np.full(len(b), first[i] + x), b
+                at = home[first[i]:first[i] + c]
+                away = np.flatnonzero(~at)
+                for x in np.flatnonzero(at).tolist():
+                    other = np.concatenate([away[:np.searchsorted(away, x)], np.arange(x + 1, c)]) + first[i]
+                    yield np.full(len(other), i), np.minimum(other, first[i] + x), np.maximum(other, first[i] + x)
             continue
         x, y = np.triu_indices(c, 1)
         step = max(1, PAIRS // len(x))
@@ -167,20 +184,31 @@ def _near(n: np.ndarray, sketches: _Sketches, a: np.ndarray, b: np.ndarray, meas
 
 
 def _sets(batches, text, k, lower):
-    for batch in small_batches(batches, text, 2 << 20):
+    for batch in small_batches(batches, text, BATCH):
         sets = shingle_sets(column(batch, text).to_pylist(), k, lower)
         yield batch, sets, [class_id(s) if len(s) else None for s in sets]
 
 
+class _Seen(set):
+    """Names that a task has met, forgotten when there are many."""
+
+    def new(self, name) -> bool:
+        if name in self:
+            return False
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self.add(name)
+        return True
+
+
 def _crowded(docs: DataFrame, text: str, k: int, lower: bool, measure: Measure) -> np.ndarray:
     """Which buckets hold many more prefix n-grams (by hash alone) than others."""
     def run(batches):
-        total = np.zeros(BUCKETS, np.int64)
+        total, classes = np.zeros(BUCKETS, np.int64), _Seen()
         for _, sets, ids in _sets(batches, text, k, lower):
-            once = dict(zip(ids, sets, strict=True))
-            once.pop(None, None)
+            once = [s[:measure.prefix(len(s))] for s, c in zip(sets, ids, strict=True) if c is not None and classes.new(c)]
             if once:
-                np.add.at(total, _buckets(np.concatenate([s[:measure.prefix(len(s))] for s in once.values()])), 1)
+                np.add.at(total, _buckets(np.concatenate(once)), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
@@ -192,27 +220,27 @@ def _crowded(docs: DataFrame, text: str, k: int, lower: bool, measure: Measure)
 
 
 def _named(docs: DataFrame, key: str, text: str, k: int, lower: bool, measure: Measure, crowded: np.ndarray) -> DataFrame:
-    """(key, n, cid) of every row.  The first row of a class in a batch has its group g
-    and sketch too, and the first row of a group the n-grams of its prefix."""
+    """(key, n, cid) and the text's hash of every row.  The first row of a class (of those a
+    task remembers) has its group g and sketch too, and the first row of a group the n-grams
+    of its prefix."""
     def run(batches):
+        classes, groups = _Seen(), _Seen()
         for batch, sets, ids in _sets(batches, text, k, lower):
-            classes, groups, rows = set(), set(), []
+            rows = []
             for s, c in zip(sets, ids, strict=True):
-                if c is None or c in classes:
+                if c is None or not classes.new(c):
                     rows.append((None, None, None))
                     continue
-                classes.add(c)
                 p = _prefix(s, measure, crowded)
                 g = _group(p, len(s))
-                rows.append((g, _sketch(s), None if g in groups else as_long(p)))
-                groups.add(g)
+                rows.append((g, _sketch(s), as_long(p) if groups.new(g) else None))
             g, sketch, prefix = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([
                 column(batch, key), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()),
-                pa.array(g, pa.int64()), pa.array(sketch, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["__key", "n", "cid", "g", "sketch", "prefix"])
+                pa.array(g, pa.int64()), pa.array(sketch, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), column(batch, "__hash")], ["__key", "n", "cid", "g", "sketch", "prefix", "hash"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"__key {kind}, n long, cid long, g long, sketch binary, prefix array<long>")
+    return docs.select(key, text, "__hash").mapInArrow(run, f"__key {kind}, n long, cid long, g long, sketch binary, prefix array<long>, hash long")
 
 
 def _group(prefix: np.ndarray, n: int) -> int:
@@ -220,57 +248,89 @@ def _group(prefix: np.ndarray, n: int) -> int:
     return int(as_long(mix(size + mix(prefix).sum()))[0])
 
 
-def _lists(entries: DataFrame) -> DataFrame:
-    """(token, g, blocks): the entries of the n-grams that several groups have."""
+def _lists(entries: DataFrame, measure: Measure) -> DataFrame:
+    """(token, g, blocks): the groups that may link with another one that has the n-gram.
+    Two sets whose first common n-gram this is share at most as many as each has from it on."""
     def run(batches):
-        last, kept = None, []
-
-        def done():
-            groups = sorted(set(kept))
-            if len(groups) > 1:
-                n = len(groups)
-                return [(last, g, -(-n // BLOCK)) for g in groups]
-            return []
-
-        out = []
+        held = []  # of the last n-gram, which may go on
         for batch in batches:
-            for token, g in zip(column(batch, "token").to_pylist(), column(batch, "g").to_pylist(), strict=True):
-                if token != last:
-                    out += done()
-                    last, kept = token, []
-                kept.append(g)
-            if len(out) > 50_000:
-                yield _rows(out)
-                out = []
-        out += done()
-        yield _rows(out)
-
-    def _rows(out):
-        cols = list(zip(*out)) or [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], ["token", "g", "blocks"])
+            if not batch.num_rows:
+                continue
+            rows = [column(batch, c).to_numpy() for c in ("token", "g", "n", "pos")]
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            if last or (held and held[-1][0][-1] != rows[0][0]):
+                yield done([*held, [x[:last] for x in rows]])
+                held = []
+            held.append([x[last:] for x in rows])
+        if held:
+            yield done(held)
+
+    def done(pieces):
+        token, g, n, pos = (np.concatenate(x) for x in zip(*pieces))
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (g[1:] != g[:-1])
+        token, g, n, pos = (x[new] for x in (token, g, n, pos))
+        _, first, size = np.unique(token, return_index=True, return_counts=True)
+        live = np.repeat(size > SHORT, size)
+        short = size <= SHORT
+        for _, a, b in _pairs(first[short], size[short], np.ones(len(token), bool)):
+            ok = measure.sizes(n[a], n[b]) & (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= measure.common(n[a], n[b]))
+            live[a[ok]] = live[b[ok]] = True
+        token, g = token[live], g[live]
+        _, size = np.unique(token, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(g), pa.array(np.repeat(-(-size // BLOCK), size).astype(np.int32))],
+                                          ["token", "g", "blocks"])
 
     return entries.repartition("token").sortWithinPartitions("token", "g").mapInArrow(run, "token long, g long, blocks int")
 
 
-def _candidates(lists: DataFrame, members: DataFrame, measure: Measure, most: int) -> DataFrame:
+def _largest(rows: DataFrame, by: str) -> DataFrame:
+    """(by, major): the component that most classes are of."""
+    return (rows.groupBy(by, "component").agg(F.count("*").alias("n"))
+            .groupBy(by).agg(F.max_by("component", F.struct("n", "component")).alias("major")))
+
+
+def _candidates(lists: DataFrame, members: DataFrame, measure: Measure, most: int, first_round: bool) -> DataFrame:
     """(a, b, more): for every class b up to ``most`` smaller classes a of another
     component that the sketches allow; ``more`` says that b had to leave some out.  Only
-    ``open`` classes ask, and only lists that hold one are compared."""
-    groups = members.where("open").select("g").distinct()
-    tokens = lists.join(groups, "g", "left_semi").select("token").distinct()
-    lists = lists.join(tokens, "token", "left_semi")
-    by_group = lists.groupBy("g").agg(F.collect_list(F.struct("token", "blocks")).alias("tokens"))  # at most a prefix
-    sizes = members.groupBy("g").agg(F.count("*").alias("classes"), F.max("open").alias("any")).where("classes > 1 and any").drop("any")
-    own = F.when(F.col("classes").isNotNull(), F.array(F.struct(F.col("g").alias("token"), F.ceil(F.col("classes") / BLOCK).cast("int").alias("blocks"))))
-    empty = F.array().cast("array<struct<token:bigint,blocks:int>>")
-    full = (members.join(by_group, "g", "left").join(sizes, "g", "left")
-            .withColumn("all", F.array_sort(F.concat(F.coalesce("tokens", empty), F.coalesce(own, empty)))).where(F.size("all") > 0))
-    rows = (full.select("cid", "component", "open", "n", "sketch", F.transform(F.slice("all", 1, 4), lambda x: x["token"]).alias("lead"), F.explode("all").alias("x"))
-            .select("cid", "component", "open", "n", "sketch", "lead", F.col("x.token").alias("token"), F.col("x.blocks").alias("blocks"))
-            .withColumn("block", F.pmod(F.xxhash64("cid", F.lit(3)), F.col("blocks")).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    met = (rows.groupBy("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-           .agg(F.collect_list(F.struct("cid", "component", "open", "n", "sketch", "lead", "block")).alias("rows")))
+    ``open`` classes ask, and only lists that hold one that has ``left`` partners out, and
+    several components, are compared; in the first round, long lists only within their
+    blocks, so that those are compared again (their classes being open) in the second."""
+    spans = members.groupBy("g").agg(F.count("*").alias("classes"), F.min("component").alias("low"), F.max("component").alias("high"),
+                                     F.max("open").alias("any"), F.max("left").alias("left"))
+    asked = "low < high and (left or (any and blocks > 1))"
+    own = spans.withColumn("blocks", F.ceil(F.col("classes") / BLOCK).cast("int")).where(f"classes > 1 and {asked}").select("g", "blocks")
+    no_major = F.lit(None).cast("long").alias("major")
+    if first_round:
+        lists, own = lists.select("*", no_major), own.select("*", no_major)
+    else:
+        mixed = (lists.join(spans, "g").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"),
+                                                               F.max("any").alias("any"), F.max("left").alias("left"), F.max("blocks").alias("blocks"))
+                 .where(asked).select("token"))
+        lists = lists.join(mixed, "token", "left_semi")
+        at = members.select("g", "component")
+        lists = lists.join(_largest(lists.where("blocks > 1").select("token", "g").join(at, "g"), "token"), "token", "left")
+        own = own.join(_largest(own.where("blocks > 1").select("g").join(at, "g"), "g"), "g", "left")
+    by_group = lists.groupBy("g").agg(F.collect_list(F.struct("token", "blocks", "major")).alias("tokens"))  # at most a prefix
+    own = own.select("g", F.array(F.struct(F.col("g").alias("token"), "blocks", "major")).alias("own"))
+    empty = F.array().cast("array<struct<token:bigint,blocks:int,major:bigint>>")
+    full = (members.join(by_group, "g", "left").join(own, "g", "left")
+            .withColumn("all", F.array_sort(F.concat(F.coalesce("tokens", empty), F.coalesce("own", empty)))).where(F.size("all") > 0))
+    # a list that is not compared as a whole leaves its pairs to the others
+    whole = F.col("all")
+    if first_round:
+        whole = F.filter("all", lambda x: x["blocks"] == 1)
+        full = full.withColumn("all", F.concat(whole, F.slice(F.filter("all", lambda x: x["blocks"] > 1), 1, FIRST_LONG)))
+    rows = (full.select("cid", "component", "open", "n", "sketch", F.transform(F.slice(whole, 1, 4), lambda x: x["token"]).alias("lead"), F.explode("all").alias("x"))
+            .select("cid", "component", "open", "n", "sketch", "lead", F.col("x.token").alias("token"), F.col("x.blocks").alias("blocks"), F.col("x.major").alias("major"))
+            .withColumn("home", F.pmod(F.xxhash64("cid", "token"), F.col("blocks")).cast("int")))
+    if first_round:
+        rows = rows.withColumn("block", F.col("home")).withColumn("stays", F.lit(False))
+    else:
+        rows = (rows.withColumn("stays", (F.col("blocks") == 1) | F.coalesce(F.col("component") == F.col("major"), F.lit(False)))
+                .withColumn("block", F.explode(F.when(F.col("stays"), F.array("home")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))))
+    met = (rows.groupBy("token", "block")
+           .agg(F.collect_list(F.struct("cid", "component", "open", "n", "sketch", "lead", "home", "stays")).alias("rows")))
 
     def run(batches):
         for batch in batches:
@@ -282,13 +342,14 @@ def _candidates(lists: DataFrame, members: DataFrame, measure: Measure, most: in
     def compare(batch):
         lists = column(batch, "rows")
         size = lists.value_lengths().to_numpy()
-        token, i, j = (column(batch, c).to_numpy() for c in ("token", "i", "j"))
+        token, block = (column(batch, c).to_numpy() for c in ("token", "block"))
         them = lists.flatten()
         # the classes of a list by their ids, so that all ask for the smallest first
         order = np.lexsort((them.field("cid").to_numpy(), np.repeat(np.arange(len(size)), size)))
         them = them.take(pa.array(order))
-        n, cid, component, block = (them.field(c).to_numpy() for c in ("n", "cid", "component", "block"))
-        asks = them.field("open").to_numpy(zero_copy_only=False)
+        n, cid, component, home = (them.field(c).to_numpy() for c in ("n", "cid", "component", "home"))
+        asks, stays = (them.field(c).to_numpy(zero_copy_only=False) for c in ("open", "stays"))
+        at_home = home == np.repeat(block, size)
         sketches, first = _Sketches(them.field("sketch").to_pylist()), np.cumsum(size) - size
         # of the lists where a pair meets, that of the least n-gram passes it on (as far as the leads tell)
         leads = them.field("lead")
@@ -297,8 +358,9 @@ def _candidates(lists: DataFrame, members: DataFrame, measure: Measure, most: in
         rows = np.repeat(np.arange(len(n)), held)
         lead[rows, np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)] = leads.flatten().to_numpy()
         taken, left_out, out = np.zeros(len(n), np.int64), np.zeros(len(n), bool), [np.empty((0, 2), np.int64)]
-        for which, a, b in _pairs(first, size):
-            across = ((i[which] == j[which]) | (block[a] != block[b])) & (component[a] != component[b]) & asks[b]
+        for which, a, b in _pairs(first, size, at_home):
+            # two that go to all blocks meet in each; that of the larger one counts
+            across = (at_home[b] | stays[a]) & (component[a] != component[b]) & asks[b]
             which, a, b = which[across], a[across], b[across]
             for x in range(4):
                 for y in range(4):
@@ -326,16 +388,25 @@ def _candidates(lists: DataFrame, members: DataFrame, measure: Measure, most: in
             .where(F.col("place") <= most).select("a", "b", "more"))
 
 
-def _links(pairs: DataFrame, docs: DataFrame, text: str, k: int, lower: bool, measure: Measure) -> DataFrame:
-    """The pairs whose sets are similar enough."""
-    wanted = id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+def _links(pairs: DataFrame, members: DataFrame, docs: DataFrame, text: str, k: int, lower: bool, measure: Measure) -> DataFrame:
+    """The pairs whose sets are similar enough.  Only texts that may be one of those the
+    members have been made from are cut into n-grams again."""
+    asked = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(members.select("cid", "hash"), "cid"))
+    wanted, texts = id_filter(asked.select(F.col("cid").alias("id"))), id_filter(asked.select(F.col("hash").alias("id")))
+
+    def some(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array(texts[column(batch, "__hash").to_numpy() % len(texts)]))
+            if batch.num_rows:
+                yield batch
 
     def find(batches):
-        for _, sets, ids in _sets(batches, text, k, lower):
-            once = {c: s for c, s in zip(ids, sets, strict=True) if c is not None and wanted[c % len(wanted)]}
+        classes = _Seen()
+        for _, sets, ids in _sets(some(batches), text, k, lower):
+            once = {c: s for c, s in zip(ids, sets, strict=True) if c is not None and wanted[c % len(wanted)] and classes.new(c)}
             yield pa.RecordBatch.from_arrays([pa.array(list(once), pa.int64()), pa.array([s.tobytes() for s in once.values()], pa.binary())], ["cid", "s"])
 
-    sets = docs.select(text).mapInArrow(find, "cid long, s binary").groupBy("cid").agg(F.first("s").alias("s"))
+    sets = docs.select(text, "__hash").mapInArrow(find, "cid long, s binary").groupBy("cid").agg(F.first("s").alias("s"))
     both = (pairs.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a")
             .join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b"))
 
@@ -355,20 +426,30 @@ def _links(pairs: DataFrame, docs: DataFrame, text: str, k: int, lower: bool, me
 def _components(lists: DataFrame, members: DataFrame, docs: DataFrame, text: str, k: int, lower: bool, measure: Measure) -> DataFrame:
     """(id, component) of the classes that links connect."""
     links, known, most = None, None, PARTNERS
+    # classes of long lists have not met all partners in the first round
+    long = lists.where("blocks > 1").select("g").unionByName(members.groupBy("g").count().where(F.col("count") > BLOCK).select("g")).distinct()
+    long = cut_lineage(members.join(long, "g", "left_semi").select("cid"))
+    any_long = not long.isEmpty()
     while True:
-        if known is None:
-            at = members.withColumn("component", F.col("cid")).withColumn("open", F.lit(True))
+        first_round = known is None
+        if first_round:
+            at = members.withColumn("component", F.col("cid")).withColumn("open", F.lit(True)).withColumn("left", F.lit(True))
         else:
-            asking = pairs.where("more").select(F.col("b").alias("cid")).distinct().withColumn("open", F.lit(True))
+            asking = pairs.where("more").select(F.col("b").alias("cid"), F.lit(True).alias("left"))
+            asking = (asking.unionByName(long.withColumn("left", F.lit(False))) if any_long else asking)
+            asking = asking.groupBy("cid").agg(F.max("left").alias("left")).withColumn("open", F.lit(True))
+            any_long = False
+            no = F.lit(False)
             at = (members.join(known.select(F.col("id").alias("cid"), "component"), "cid", "left").join(asking, "cid", "left")
-                  .withColumn("component", F.coalesce("component", "cid")).withColumn("open", F.coalesce("open", F.lit(False))))
-        pairs = cut_lineage(_candidates(lists, at, measure, most))
+                  .withColumn("component", F.coalesce("component", "cid"))
+                  .withColumn("open", F.coalesce("open", no)).withColumn("left", F.coalesce("left", no)))
+        pairs = cut_lineage(_candidates(lists, at, measure, most, first_round))
         more = pairs.agg(F.count("*").alias("n"), F.max("more").alias("more")).first()
         if more.n or links is None:
-            new = cut_lineage(_links(pairs.select("a", "b"), docs, text, k, lower, measure))
+            new = cut_lineage(_links(pairs.select("a", "b"), members, docs, text, k, lower, measure))
             links = new if links is None else links.unionByName(new)
             known = components(links)
-        if not more.more:
+        if not more.more and not any_long:
             return known
         most *= MORE
 
@@ -379,13 +460,13 @@ def similarity_components(df: DataFrame, key: str = "doc_id", text: str = "text"
     n-grams (of the text with A-Z in lower case), and the smallest key that links lead
     to; two rows link if their sets' Jaccard similarity is at least num / den."""
     measure = Measure(num, den)
-    docs = df.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    docs = df.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.xxhash64(text).alias("__hash"))
 
     crowded = _crowded(docs, "__text", k, lower, measure)
     named = cut_lineage(_named(docs, "__key", "__text", k, lower, measure, crowded))
-    lists = cut_lineage(_lists(named.where("prefix is not null").select(F.explode("prefix").alias("token"), "g")))
+    lists = cut_lineage(_lists(named.where("prefix is not null").select(F.posexplode("prefix").alias("pos", "token"), "g", "n"), measure))
     members = cut_lineage(named.where("g is not null").groupBy("cid")
-                          .agg(F.first("g").alias("g"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+                          .agg(F.first("g").alias("g"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("hash").alias("hash")))
     groups = _components(lists, members, docs, "__text", k, lower, measure).withColumnRenamed("id", "cid")
     classes = named.where("cid is not null").groupBy("cid").agg(F.min("__key").alias("least"))
     whole = classes.join(groups, "cid", "left").withColumn("component", F.coalesce("component", "cid"))

@@ -100,3 +100,29 @@ def test_near_copies_cost_few_pairs(spark, monkeypatch):
     got = sorted(map(tuple, jaccard.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == brute(rows, 4, 85, 100)
     assert sum(verified) < 10 * len(rows), verified
+
+
+def test_groups_that_can_link_with_none_leave_their_lists(spark):
+    measure = jaccard.Measure(85, 100)
+    rows = [(1, 10, 100, 0), (1, 11, 100, 2), (1, 11, 100, 2), (1, 12, 50, 0),  # 12: of another size
+            (2, 10, 100, 5), (2, 11, 100, 12),  # 11: too few are left behind its place
+            (3, 13, 100, 0), (4, 14, 1, 0), (4, 15, 1, 0)]
+    found = jaccard._lists(spark.createDataFrame(rows, "token long, g long, n long, pos int"), measure)
+    assert sorted(map(tuple, found.collect())) == [(1, 10, 1), (1, 11, 1), (4, 14, 1), (4, 15, 1)]
+
+
+def test_near_copies_in_long_lists_stay_in_their_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    found, whole = [], jaccard._candidates
+
+    def candidates(*args):
+        out = whole(*args)
+        found.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "_candidates", candidates)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join([*words[:-1], f"own{i}"])) for i in range(200)] + [(900, " ".join(words[:150] + ["else"] * 100))]
+    got = jaccard.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, 0) for i in range(200)} | {(900, 900)}
+    assert sum(found) <= 6 * 200 and found[-1] == 0
