@@ -82,3 +82,21 @@ def test_odd_rows_classes_and_a_saved_path(spark):
     for bad in (df.where("false"), df.withColumn("label", F.lit(3))):
         with pytest.raises(ValueError):
             logistic.fit(bad, [1.0], classes=3)
+
+
+def test_correlated_features_cost_few_passes(spark):
+    rng = np.random.default_rng(5)
+    common = rng.normal(size=(3000, 1))
+    x = (common + 0.05 * rng.normal(size=(3000, 12))) * np.logspace(-1, 1, 12)
+    y = (x[:, 3] - x[:, 2] + 0.2 * rng.normal(size=3000) > 0).astype(int)
+    df = spark.createDataFrame([(r.tolist(), int(k)) for r, k in zip(x, y)], "features array<double>, label int")
+    path = logistic.fit(df, ml.logspace(-4, 4, 20), tol=1e-6, partition_rows=1000)
+    assert path.gradients.max() <= 1e-6
+    assert path.passes <= 60
+
+
+def test_many_features_are_fitted_without_their_products(spark, monkeypatch):
+    df = frame(spark)
+    whole = logistic.fit(df, [0.1, 10.0], tol=1e-8)
+    monkeypatch.setattr(logistic, "GRAM_FEATURES", 3)
+    assert np.allclose(whole.weights, logistic.fit(df, [0.1, 10.0], tol=1e-8).weights, atol=1e-5)
