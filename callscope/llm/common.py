@@ -161,6 +161,67 @@ def part_text(part) -> str:
     return part[0] if isinstance(part, tuple) else " " + part
 
 
+#: Bytes that begin a character other than white space, whatever follows them, and those that white space begins with too.
+_SOLID = np.zeros(256, bool)
+_SOLID[0x21:0x80] = _SOLID[0xC3:] = True
+_MIXED = np.zeros(256, bool)
+_MIXED[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_SOLID &= ~_MIXED
+
+
+def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of texts (or of binary values), without copies where they lie
+    together, and where each value begins, with the end; a null has none."""
+    if col.type not in (pa.string(), pa.binary()):
+        col = col.cast(pa.binary() if pa.types.is_large_binary(col.type) else pa.string())
+    if col.null_count:
+        col = pc.fill_null(col, b"" if pa.types.is_binary(col.type) else "")
+    if not len(col):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = col.buffers()
+    at = np.frombuffer(offsets, np.int32)[col.offset:col.offset + len(col) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8)[at[0]:at[-1]] if at[-1] > at[0] else np.empty(0, np.uint8), at - at[0]
+
+
+def space_cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which bytes the parts of texts begin at: a text's first, and every space that a
+    character of the same text, other than white space or a control character, follows."""
+    cut = np.zeros(len(data) + 1, bool)
+    here = np.flatnonzero(data[:-1] == 0x20)
+    first = data[here + 1]
+    ok = _SOLID[first]
+    unsure = np.flatnonzero(_MIXED[first])
+    if len(unsure):
+        near = np.append(data, np.zeros(3, np.uint8))
+        a, b, c = (near[here[unsure] + i] for i in (1, 2, 3))
+        white = (((a == 0xC2) & ((b == 0x85) | (b == 0xA0))) | ((a == 0xE1) & (b == 0x9A)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
+                 | ((a == 0xE2) & ((b == 0x81) | ((b == 0x80) & ((c <= 0x8A) | (c >= 0xA8))))))
+        ok[unsure] = ~white
+    cut[here[ok]] = True
+    cut[at[1:][at[1:] > 0] - 1] = False  # what follows is another text's
+    cut[at] = True
+    return cut[:-1]
+
+
+def distinct_slices(data: np.ndarray, cut: np.ndarray, at: np.ndarray, kind: pa.DataType, width: int = 1) -> tuple[list, np.ndarray, np.ndarray]:
+    """The distinct slices of a buffer that is cut before the items of ``width`` bytes
+    where ``cut`` is true, which of them each slice is, and where the slices of each value
+    (whose items ``at`` bounds) begin, with the end."""
+    starts = np.flatnonzero(cut)
+    ends = np.append(starts, len(cut)).astype(np.int32) * width
+    found = pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+    return found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(), np.searchsorted(starts, at)
+
+
+def joined(values: list[bytes], which: np.ndarray, at: np.ndarray) -> tuple[pa.Buffer, np.ndarray]:
+    """The bytes of ``values[which]`` one after the other, and where those from
+    ``which[at[i]]`` on begin."""
+    if not len(which):
+        return pa.py_buffer(b""), np.zeros(len(at), np.int32)
+    _, offsets, data = pa.array(values, pa.binary()).take(pa.array(which)).buffers()
+    return data if data is not None else pa.py_buffer(b""), np.frombuffer(offsets, np.int32)[at]
+
+
 class ByteGenerations:
     """A cache of two generations, each bounded by an estimate of its bytes: what was not
     asked for while a generation filled up is dropped, so that frequent keys stay.  It
@@ -172,12 +233,12 @@ class ByteGenerations:
     def __init__(self, max_bytes: int):
         self.max_bytes, self.size, self.new, self.old = max_bytes, 0, {}, {}
 
-    def missing(self, keys: set) -> set:
+    def missing(self, keys) -> set:
         """Moves the known keys into the new generation; returns the others, which the
         caller is to ``put``."""
         if self.size > self.max_bytes:
             self.old, self.new, self.size = self.new, {}, 0
-        todo = keys.difference(self.new)
+        todo = set(keys).difference(self.new)
         found = todo.intersection(self.old)
         self.put_all(found, [self.old[k] for k in found])
         return todo.difference(found)

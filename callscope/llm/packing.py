@@ -26,13 +26,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callscope.llm.common import ByteGenerations, column, parts, paused_gc, small_batches
+from callscope.llm.common import ByteGenerations, column, distinct_slices, joined, paused_gc, small_batches, space_cuts, text_bytes
 from callscope.session import cut_lineage
 
-#: Bytes of a generation of a task's caches of encoded parts and words.
-PART_CACHE, WORD_CACHE = 64 << 20, 32 << 20
-#: Byte-level tokenizers always cut between a letter and a character of no word.
-_AFTER_LETTER = re.compile(r"(?<=[^\W\d_])(?=[^\w\s])")
+#: Bytes of a generation of a task's cache of encoded pieces.
+PIECE_CACHE = 64 << 20
+
+
+def _bytes(*ranges: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for a, b in ranges:
+        out[a:b + 1] = True
+    return out
+
+
+#: Byte-level tokenizers always cut between a letter and a mark, and after a lone line end
+#: before a letter: by bytes of ASCII, and of letters of two bytes (Latin, Cyrillic; C3 97
+#: and C3 B7 are none, so what ends like them does not count).
+_LETTER, _SOLID, _MARK = _bytes((65, 90), (97, 122)), _bytes((0x21, 0x7E)), _bytes((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x5E), (0x60, 0x60), (0x7B, 0x7E))
+_LEAD, _FOLLOWS = _bytes((0xC3, 0xC9), (0xD0, 0xD1)), _bytes((0x80, 0x96), (0x98, 0xB6), (0xB8, 0xBF))
 
 
 class _Tokenizer:
@@ -45,35 +57,54 @@ class _Tokenizer:
 
         self.model = Tokenizer.from_str(definition)
         self.kind = np.uint16 if self.model.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known, self.words = ByteGenerations(PART_CACHE), ByteGenerations(WORD_CACHE)
+        self.known = ByteGenerations(PIECE_CACHE)
         added = json.loads(definition).get("added_tokens", [])
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added):
             raise ValueError("added tokens that take their neighbourhood into account are not supported")
         # added tokens are cut out before anything else, the longest where several begin
-        names = sorted((t["content"] for t in added), key=len, reverse=True)
-        self.added = {t["content"]: self.kind(t["id"]).tobytes() for t in added}
-        self.cut_added = re.compile("(" + "|".join(map(re.escape, names)) + ")").split if names else None
-
-    def _parts(self, text: str | None) -> list:
-        if not text or self.cut_added is None or not any(name in text for name in self.added):
-            return parts(text)
-        return [x for i, piece in enumerate(self.cut_added(text)) for x in ([(piece,)] if i % 2 else parts(piece))]
-
-    def encode(self, texts: list[str | None], end: int) -> list[bytes]:
-        cut = [self._parts(t) for t in texts]
-        missing = list(self.known.missing(set().union(*cut)))
-        split, added = _AFTER_LETTER.split, self.added
-        pieces = [split(" " + part) if part.__class__ is str else [part[0]] if part[0] in added else split(part[0]) for part in missing]
-        new = list(self.words.missing(set().union(*pieces)))
+        self.added = sorted((t["content"].encode() for t in added), key=len, reverse=True)
+        self.find_added = re.compile(b"|".join(map(re.escape, self.added))).finditer if added else None
+
+    def _cuts(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which bytes the pieces of texts begin at."""
+        cut = space_cuts(data, at)
+        if len(data) > 2:
+            one, two, three = data[:-2], data[1:-1], data[2:]
+            letter = _LETTER[one]
+            letter[1:] |= _LEAD[data[:-3]] & _FOLLOWS[one[1:]]
+            cut[1:-1] |= letter & _MARK[two]
+            cut[2:] |= (letter | _SOLID[one]) & (two == 0x0A) & (_LETTER[three] | _LEAD[three])
+        if self.find_added:
+            raw = data.tobytes()
+            if any(name in raw for name in self.added):
+                self._cut_added(raw, at, cut)
+        return cut
+
+    def _cut_added(self, raw: bytes, at: np.ndarray, cut: np.ndarray) -> None:
+        """Names of added tokens are pieces of their own, and what is before one ends there."""
+        for a, b in zip(at.tolist(), at[1:].tolist()):
+            last = a
+            for m in self.find_added(raw[a:b]):
+                x, y = a + m.start(), a + m.end()
+                if x - 1 > last and raw[x - 1] == 0x20:
+                    cut[x - 1] = False
+                cut[x + 1:y] = False
+                cut[x] = True
+                cut[y:y + 1] = True  # a text's end is cut in any case
+                last = y
+
+    def encode(self, texts: pa.Array, end: int) -> pa.BinaryArray:
+        """The packed ids of each text, with the id ``end``."""
+        data, at = text_bytes(texts)
+        names, which, at = distinct_slices(data, self._cuts(data, at), at, pa.string())
+        new = list(self.known.missing(names))
         code = np.dtype(self.kind).char
-        for at in range(0, len(new), 20_000):
-            some = new[at:at + 20_000]
-            self.words.put_all(some, [array(code, got.ids).tobytes() for got in self.model.encode_batch_fast(some, add_special_tokens=False)])
-        words = self.words.new
-        self.known.put_all(missing, [words[its[0]] if len(its) == 1 else b"".join([words[w] for w in its]) for its in pieces])
-        tail = self.kind(end).tobytes()
-        known = self.known.new.__getitem__
-        return [b"".join(map(known, its)) + tail for its in cut]
+        for i in range(0, len(new), 20_000):
+            some = new[i:i + 20_000]
+            self.known.put_all(some, [array(code, got.ids).tobytes() for got in self.model.encode_batch_fast(some, add_special_tokens=False)])
+        values = [*map(self.known.new.__getitem__, names), self.kind(end).tobytes()]
+        ids, ends = joined(values, np.insert(which, at[1:], len(names)), at + np.arange(len(at)))
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends), ids])
 
 
 def tokenise(df: DataFrame, definition: str, key: str, text: str, end: int) -> DataFrame:
@@ -88,10 +119,10 @@ def tokenise(df: DataFrame, definition: str, key: str, text: str, end: int) -> D
             model = _Tokenizer(definition)
             width, before, part = np.dtype(model.kind).itemsize, 0, TaskContext.get().partitionId()
             for batch in small_batches(batches, text, 4 << 20):
-                ids = model.encode(column(batch, text).to_pylist(), end)
-                n = np.array([len(x) // width for x in ids], np.int64)
+                ids = model.encode(column(batch, text), end)
+                n = pc.binary_length(ids).to_numpy().astype(np.int64) // width
                 yield pa.RecordBatch.from_arrays([column(batch, key), pa.array(np.full(len(n), part, np.int32)),
-                                                  pa.array(before + np.cumsum(n) - n), pa.array(n), pa.array(ids, pa.binary())], schema.names)
+                                                  pa.array(before + np.cumsum(n) - n), pa.array(n), ids], schema.names)
                 before += int(n.sum())
 
     return df.select(key, text).mapInArrow(run, schema)

@@ -3,10 +3,15 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from callscope.llm import packing, queries
 
+TOKENIZER = packing._Tokenizer(queries.packing_tokenizer())
+
 
 def reference():
     return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
@@ -56,3 +61,21 @@ def test_edge_cases(spark):
     got = packing.pack(df, queries.packing_tokenizer(), size=16).collect()
     check(docs, got, 16)
     assert packing.pack(df.limit(0), queries.packing_tokenizer()).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n", "\r", "a", "bé", "ж", "×", "'s", ".", "_", "1", "²", "日", " "]),
+                                              max_size=9).map("".join)), max_size=5))
+def test_pieces_have_the_ids_of_whole_texts(texts):
+    tok = TOKENIZER.model
+    got = TOKENIZER.encode(pa.array(texts, pa.string()), 0).to_pylist()
+    assert [np.frombuffer(x, np.uint16).tolist() for x in got] == [[*tok.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+
+
+def test_pieces_of_a_batch_are_told_apart_before_they_are_objects():
+    model = packing._Tokenizer(queries.packing_tokenizer())
+    asked = []
+    missing = model.known.missing
+    model.known.missing = lambda names: missing(asked.append(len(names)) or names)
+    model.encode(pa.array([" ".join(f"Wort {i}." for i in range(40))] * 100), 0)
+    assert asked == [42]  # Wort with and without a space, 40 numbers
