@@ -1,7 +1,7 @@
 """Byte-level BPE with DuckDB recursive queries inside Spark tasks.
 
 Texts are cut at places that the split pattern never crosses (before a space that
-a non-space follows).  The distinct parts of a batch are split into words, and the
+a non-space follows), on the bytes of a batch.  Its distinct parts are split into words, and the
 distinct words are encoded by a recursive query: token-position rows join the merge
 table, and the leftmost pair of lowest rank of each word is contracted until no word
 has such a pair.  Decoding cuts ids into runs, joins the distinct runs with the
@@ -16,22 +16,25 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
+from itertools import chain
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from callscope.llm.common import ByteGenerations, column, part_text, parts, paused_gc, small_batches
+from callscope.llm.common import ByteGenerations, column, distinct_slices, joined, paused_gc, small_batches, space_cuts, text_bytes
 
 #: Bytes of distinct words (or ids of distinct runs) in one DuckDB query.
 BYTES_PER_QUERY = 400_000
 #: Bytes of a generation of a task's caches: of parts, words and decoded runs.
 PART_CACHE, WORD_CACHE, RUN_CACHE = 64 << 20, 32 << 20, 64 << 20
-#: Bytes of text (or ids) that are worked on together.
-BATCH = 2 << 20
+#: Bytes of text, and ids, that are worked on together.
+BATCH, IDS = 2 << 20, 1 << 20
 #: One word's positions are told apart from its ranks by this factor.
 STRIDE = 1 << 31
 
@@ -144,27 +147,26 @@ class _Coder:
 
     # encoding -------------------------------------------------------------------
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [parts(t) for t in texts]
-        self._encode_parts(self.parts.missing(set().union(*cut)))
-        known = self.parts.new
-        return [np.frombuffer(b"".join(map(known.__getitem__, its)), np.int32) for its in cut]
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        data, at = text_bytes(texts)
+        names, which, at = distinct_slices(data, space_cuts(data, at), at, pa.string())
+        self._encode_parts(self.parts.missing(names))
+        ids, ends = joined([*map(self.parts.new.__getitem__, names)], which, at)
+        return pa.ListArray.from_arrays(pa.array(ends // 4), pa.Array.from_buffers(pa.int32(), int(ends[-1]) // 4, [None, ids]))
 
     def _encode_parts(self, new) -> None:
-        words = {part: self.split(part_text(part)) for part in new}
-        todo, missing = {}, self.words.missing(set().union(*words.values()))
-        known = self.words.new
-        for word in missing:
-            raw = word.encode()
-            if raw in self.ranks:
-                self.words.put(word, np.int32(self.ranks[raw]).tobytes())
-            else:
-                todo[word] = raw
-        for query, own in ((ENCODE, [x for x in todo.items() if len(x[1]) < LONG]),
-                           (ENCODE_LONG, [x for x in todo.items() if len(x[1]) >= LONG])):
-            for chunk in _chunks(own):
-                self.words.put_all([w for w, _ in chunk], self._merge(query, [raw for _, raw in chunk]))
-        self.parts.put_all(words, [known[its[0]] if len(its) == 1 else b"".join([known[w] for w in its]) for its in words.values()])
+        new = list(new)
+        words = list(map(self.split, new))
+        missing = list(self.words.missing(chain.from_iterable(words)))
+        known, raws = self.words.new, [w.encode() for w in missing]
+        ranks = list(map(self.ranks.get, raws))
+        own = [i for i, r in enumerate(ranks) if r is not None]
+        self.words.put_all([missing[i] for i in own], [ranks[i].to_bytes(4, sys.byteorder) for i in own])
+        size = np.array([len(raw) if r is None else 0 for raw, r in zip(raws, ranks, strict=True)], np.int64)
+        for query, todo in ((ENCODE, np.flatnonzero((size > 0) & (size < LONG))), (ENCODE_LONG, np.flatnonzero(size >= LONG))):
+            for chunk in _chunks(todo, size[todo]):
+                self.words.put_all([missing[i] for i in chunk], self._merge(query, [raws[i] for i in chunk]))
+        self.parts.put_all(new, [known[its[0]] if len(its) == 1 else b"".join([known[w] for w in its]) for its in words])
 
     def _merge(self, query: str, words: list[bytes]) -> list[bytes]:
         size = np.array([len(w) for w in words])
@@ -184,40 +186,42 @@ class _Coder:
 
     # decoding -------------------------------------------------------------------
 
-    def decode(self, docs: list[np.ndarray]) -> list[bytes]:
-        cut = [self._runs(ids) for ids in docs]
-        new = self.runs.missing(set().union(*cut))
-        for chunk in _chunks((r, r) for r in new):
-            keys = [r for r, _ in chunk]
+    def decode(self, lists: pa.ListArray) -> pa.BinaryArray:
+        """Runs of ids are cut before tokens that begin with a space."""
+        if lists.null_count:
+            lists = pc.fill_null(lists, pa.scalar([], lists.type))
+        ids = np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32, copy=False))
+        at = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+        cut = np.append(self.starts_run[ids], False)
+        cut[at] = True
+        names, which, at = distinct_slices(ids.view(np.uint8), cut[:-1], at, pa.binary(), 4)
+        new = list(self.runs.missing(names))
+        for chunk in _chunks(np.arange(len(new)), np.array([len(r) for r in new], np.int64)):
+            keys = [new[i] for i in chunk]
             ids = np.frombuffer(b"".join(keys), np.int32)
             sizes = [len(r) // 4 for r in keys]
             runs = pa.table({"run": np.repeat(np.arange(len(keys)), sizes), "pos": np.arange(len(ids)), "id": ids})  # noqa: F841  read by name
-            for run, raw in self.db.execute(DECODE).fetchall():
-                self.runs.put(keys[run], raw)
-        return [b"".join(map(self.runs.new.__getitem__, its)) for its in cut]
-
-    def _runs(self, ids: np.ndarray) -> list[bytes]:
-        """Cut before tokens that begin with a space."""
-        if not len(ids):
-            return []
-        at = np.flatnonzero(self.starts_run[ids])
-        at = at[at > 0] * 4
-        raw = ids.tobytes()
-        bounds = [0, *at.tolist(), len(raw)]
-        return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
-
-
-def _chunks(items):
-    """Lists of (key, bytes) items of about BYTES_PER_QUERY together."""
-    out, size = [], 0
-    for item in items:
-        if out and size + len(item[1]) > BYTES_PER_QUERY:
-            yield out
-            out, size = [], 0
-        out.append(item)
-        size += len(item[1])
-    if out:
-        yield out
+            rows = self.db.execute(DECODE).fetchall()
+            self.runs.put_all([keys[i] for i, _ in rows], [raw for _, raw in rows])
+        raw, ends = joined([*map(self.runs.new.__getitem__, names)], which, at)
+        return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends), raw])
+
+
+def _chunks(items: np.ndarray, size: np.ndarray):
+    """Lists of items of about BYTES_PER_QUERY together."""
+    whose = np.cumsum(size) // BYTES_PER_QUERY
+    for own in np.split(items, np.flatnonzero(whose[1:] > whose[:-1]) + 1):
+        if len(own):
+            yield own.tolist()
+
+
+def _by_ids(batch: pa.RecordBatch, ids: str):
+    """Slices of a batch of about IDS ids."""
+    whose = np.cumsum(column(batch, ids).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) // IDS
+    ends = [0, *(np.flatnonzero(whose[1:] > whose[:-1]) + 1).tolist(), batch.num_rows]
+    for a, b in zip(ends, ends[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
 def _schema(df: DataFrame, keep: list[str], name: str, kind: T.DataType) -> T.StructType:
@@ -237,11 +241,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     def run(batches):
         with paused_gc(), _Coder(vocabulary) as coder:
             for batch in small_batches(batches, text, BATCH):
-                got = coder.encode(column(batch, text).to_pylist())
-                ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
-                values = pa.array(np.concatenate(got) if got else np.empty(0, np.int32), pa.int32())
-                yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in passed),
-                                                  pa.ListArray.from_arrays(pa.array(ends), values)], schema.names)
+                yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in passed), coder.encode(column(batch, text))], schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -256,13 +256,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out:
     def run(batches):
         with paused_gc(), _Coder(vocabulary) as coder:
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    lists = column(part, ids)
-                    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32, copy=False)
-                    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                    docs = np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
-                    yield pa.RecordBatch.from_arrays([*(column(part, c) for c in passed),
-                                                      pa.array(coder.decode(docs), pa.binary())], schema.names)
+                for part in _by_ids(batch, ids):
+                    yield pa.RecordBatch.from_arrays([*(column(part, c) for c in passed), coder.decode(column(part, ids))], schema.names)
 
     return df.mapInArrow(run, schema)

@@ -2,13 +2,14 @@ import base64
 import hashlib
 
 import public_tokenizers as P
+import pyarrow as pa
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from callscope.llm import bpe, queries
-from callscope.llm.common import part_text, parts
+from callscope.llm.common import distinct_slices, part_text, parts, space_cuts, text_bytes
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -69,3 +70,30 @@ def test_query_small(spark, sf_small):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256((docs[r.doc_id] or "").encode()).hexdigest()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from(" \n\t ab'sé1.²日\x1c　“\x85 ×"), max_size=14)), max_size=5), st.integers(0, 2))
+def test_slices_of_a_batch_never_change_the_words(texts, skip):
+    import regex
+    split = regex.compile(P.PATTERN).findall
+    col = pa.array(texts, pa.string()).slice(skip)
+    data, at = text_bytes(col)
+    names, which, at = distinct_slices(data, space_cuts(data, at), at, pa.string())
+    assert len(set(names)) == len(names)
+    for t, a, b in zip(col.to_pylist(), at, at[1:]):
+        cut = [names[i] for i in which[a:b]]
+        assert "".join(cut) == (t or "")
+        assert [w for p in cut for w in split(p)] == split(t or "")
+
+
+def test_a_batch_makes_no_object_for_every_word():
+    """100 texts of the same 40 words: slices are told apart before they are Python's."""
+    coder = bpe._Coder(bpe.Vocabulary(PATH, P.PATTERN))
+    asked = []
+    missing = coder.parts.missing
+    coder.parts.missing = lambda names: missing(asked.append(len(names)) or names)
+    text = " ".join(f"word{i}" for i in range(40))
+    ids = coder.encode(pa.array([text] * 100))
+    assert asked == [40]
+    assert coder.decode(ids).to_pylist() == [text.encode()] * 100
