@@ -6,7 +6,9 @@ sets of similarity t share an n-gram of their prefixes.  Classes with one prefix
 size form a group.
 
 1. The lists of groups per prefix n-gram are made.  A group goes on only in lists where
-   another's size, and what both have left behind that n-gram, allow a link.
+   another's size, and what both have left behind that n-gram, allow a link.  Of lists (of
+   one block) that are left with the same groups, one goes on: near copies share most of
+   their n-grams, and need to meet once only.
 2. Groups are expanded to their classes.  The classes of a list (and those of a group
    among themselves) are compared in blocks by size and by parity sketches: the bits in
    which two sketches differ cannot outnumber the n-grams in which the sets do.
@@ -161,13 +163,20 @@ def _pairs(first: np.ndarray, size: np.ndarray, home: np.ndarray):
     in long lists only those with a row that is at ``home`` there."""
     for c in np.unique(size[size > 1]).tolist():
         lists = np.flatnonzero(size == c)
-        if c * (c - 1) // 2 > PAIRS:  # one row against the others at a time
+        if c * (c - 1) // 2 > PAIRS:  # some rows against the others at a time
             for i in lists.tolist():
                 at = home[first[i]:first[i] + c]
-                away = np.flatnonzero(~at)
+                away, a, b, held = np.flatnonzero(~at), [], [], 0
                 for x in np.flatnonzero(at).tolist():
                     other = np.concatenate([away[:np.searchsorted(away, x)], np.arange(x + 1, c)]) + first[i]
-                    yield np.full(len(other), i), np.minimum(other, first[i] + x), np.maximum(other, first[i] + x)
+                    a.append(np.minimum(other, first[i] + x))
+                    b.append(np.maximum(other, first[i] + x))
+                    held += len(other)
+                    if held >= PAIRS:
+                        yield np.full(held, i), np.concatenate(a), np.concatenate(b)
+                        a, b, held = [], [], 0
+                if held:
+                    yield np.full(held, i), np.concatenate(a), np.concatenate(b)
             continue
         x, y = np.triu_indices(c, 1)
         step = max(1, PAIRS // len(x))
@@ -249,7 +258,8 @@ def _group(prefix: np.ndarray, n: int) -> int:
 
 
 def _lists(entries: DataFrame, measure: Measure) -> DataFrame:
-    """(token, g, blocks): the groups that may link with another one that has the n-gram.
+    """(token, g, blocks): the groups that may link with another one that has the n-gram,
+    once for all n-grams that leave the same groups.
     Two sets whose first common n-gram this is share at most as many as each has from it on."""
     def run(batches):
         held = []  # of the last n-gram, which may go on
@@ -277,11 +287,17 @@ def _lists(entries: DataFrame, measure: Measure) -> DataFrame:
             ok = measure.sizes(n[a], n[b]) & (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= measure.common(n[a], n[b]))
             live[a[ok]] = live[b[ok]] = True
         token, g = token[live], g[live]
-        _, size = np.unique(token, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(g), pa.array(np.repeat(-(-size // BLOCK), size).astype(np.int32))],
-                                          ["token", "g", "blocks"])
+        _, first, size = np.unique(token, return_index=True, return_counts=True)
+        same = as_long(mix(np.add.reduceat(mix(g.view(np.uint64)), first) + size.astype(np.uint64))) if len(g) else g
+        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(g), pa.array(np.repeat(-(-size // BLOCK), size).astype(np.int32)),
+                                           pa.array(np.repeat(same, size))], ["token", "g", "blocks", "same"])
 
-    return entries.repartition("token").sortWithinPartitions("token", "g").mapInArrow(run, "token long, g long, blocks int")
+    lists = cut_lineage(entries.repartition("token").sortWithinPartitions("token", "g")
+                        .mapInArrow(run, "token long, g long, blocks int, same long"))
+    # lists of the same groups say the same: one of them stays
+    one = lists.where("blocks = 1").groupBy("same").agg(F.min("token").alias("token"))
+    return (lists.where("blocks = 1").join(one, ["same", "token"], "left_semi").unionByName(lists.where("blocks > 1"))
+            .select("token", "g", "blocks"))
 
 
 def _largest(rows: DataFrame, by: str) -> DataFrame:
@@ -362,13 +378,13 @@ def _candidates(lists: DataFrame, members: DataFrame, measure: Measure, most: in
             # two that go to all blocks meet in each; that of the larger one counts
             across = (at_home[b] | stays[a]) & (component[a] != component[b]) & asks[b]
             which, a, b = which[across], a[across], b[across]
+            ok = _near(n, sketches, a, b, measure)
+            which, a, b = which[ok], a[ok], b[ok]
             for x in range(4):
                 for y in range(4):
                     later = (lead[a, x] == lead[b, y]) & (lead[a, x] < token[which])
                     if later.any():
                         which, a, b = which[~later], a[~later], b[~later]
-            ok = _near(n, sketches, a, b, measure)
-            a, b = a[ok], b[ok]
             by_b = np.lexsort((a, b))
             a, b = a[by_b], b[by_b]
             place = np.arange(len(b)) - np.searchsorted(b, b) + taken[b]

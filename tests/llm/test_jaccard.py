@@ -126,3 +126,20 @@ def test_near_copies_in_long_lists_stay_in_their_blocks(spark, monkeypatch):
     got = jaccard.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.component_id) for r in got} == {(i, 0) for i in range(200)} | {(900, 900)}
     assert sum(found) <= 6 * 200 and found[-1] == 0
+
+
+def test_lists_of_the_same_groups_go_on_once(spark):
+    measure = jaccard.Measure(85, 100)
+    rows = [(token, g, 100, token % 10) for token in range(1, 9) for g in (10, 11)] + [(token, 12, 100, token % 10) for token in (3, 8)]
+    found = sorted(map(tuple, jaccard._lists(spark.createDataFrame(rows, "token long, g long, n long, pos int"), measure).collect()))
+    assert found == [(1, 10, 1), (1, 11, 1), (3, 10, 1), (3, 11, 1), (3, 12, 1)]
+
+
+def test_pairs_of_long_lists_come_in_large_chunks(monkeypatch):
+    monkeypatch.setattr(jaccard, "PAIRS", 300)
+    home = np.ones(60, bool)
+    home[5:15] = False
+    chunks = list(jaccard._pairs(np.array([0, 20]), np.array([20, 40]), home))
+    got = [p for _, a, b in chunks for p in zip(a.tolist(), b.tolist(), strict=True)]
+    want = [(a, b) for lo, hi in ((0, 20), (20, 60)) for a in range(lo, hi) for b in range(a + 1, hi) if hi == 20 or home[a] or home[b]]
+    assert sorted(got) == sorted(want) and len(chunks) <= 4
