@@ -12,7 +12,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.session import cut_lineage
@@ -275,14 +275,37 @@ FILTER_BITS = 1 << 22
 def id_filter(ids: DataFrame) -> np.ndarray:
     """A bitmap of fixed size, by the ids' remainder: whoever is not in it is not among
     the ids (longs); others may be in it too."""
-    words = ids.select(F.expr(f"cast(pmod(id, {FILTER_BITS}) div 64 as int)").alias("w"),
-                       F.expr(f"shiftleft(1L, cast(pmod(id, {FILTER_BITS}) % 64 as int))").alias("m"))
     out = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in words.groupBy("w").agg(F.bit_or("m").alias("m")).collect():  # of a fixed number
+    for r in _filter_words(ids).collect():  # of a fixed number
         out[r.w] = r.m
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
+def _word(i: str) -> Column:
+    return F.expr(f"cast(pmod({i}, {FILTER_BITS}) div 64 as int)")
+
+
+def _bit(i: str) -> Column:
+    return F.expr(f"shiftleft(1L, cast(pmod({i}, {FILTER_BITS}) % 64 as int))")
+
+
+def _filter_words(ids: DataFrame) -> DataFrame:
+    """(w, m): the words of the bitmap that are not 0."""
+    return ids.select(_word("id").alias("w"), _bit("id").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows whose key (not null) is not among the keys of ``gone``.  Only rows that a
+    bitmap of fixed size takes for such are shuffled; the others stay where they are read."""
+    gone = cut_lineage(gone.select(key).distinct())
+    words = cut_lineage(_filter_words(gone.select(F.xxhash64(key).alias("id"))))
+    marked = (rows.withColumn("__id", F.xxhash64(key)).withColumn("__w", _word("__id"))
+              .join(F.broadcast(words), F.col("__w") == F.col("w"), "left"))  # of a fixed number
+    hit = F.coalesce(F.col("m").bitwiseAND(_bit("__id")) != 0, F.lit(False))
+    clear, maybe = marked.where(~hit).select(*rows.columns), marked.where(hit).select(*rows.columns)
+    return clear.unionByName(maybe.join(gone, key, "left_anti").select(*rows.columns))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list of longs: (id, component), component
     being the smallest id that can be reached; ids without an edge do not appear.

@@ -1,8 +1,8 @@
 """Set similarity join of documents on word n-grams: a grouped prefix join.
 
 Documents with equal sets form a class.  The n-grams have one order (by hash, those of
-crowded hash buckets last), and the first n - ceil(t n) + 1 of a set are its prefix: two
-sets of similarity t share an n-gram of their prefixes.  Classes with one prefix and one
+crowded hash buckets later, the more crowded the later), and the first n - ceil(t n) + 1
+of a set are its prefix: two sets of similarity t share an n-gram of their prefixes.  Classes with one prefix and one
 size form a group.
 
 1. The lists of groups per prefix n-gram are made.  A group goes on only in lists where
@@ -41,10 +41,10 @@ from pyspark.sql import functions as F
 from callscope.llm.common import _multipliers, as_long, column, components, id_filter, mix, shingle_hashes, small_batches, word_hashes
 from callscope.session import cut_lineage
 
-#: Buckets that prefix n-grams are counted in.
+#: Buckets that n-grams are counted in.
 BUCKETS = 1 << 18
-#: A bucket is crowded from this count, or this many times the mean.
-CROWDED, TIMES_MEAN = 64, 4
+#: A bucket is crowded from this count above the mean, or this many times the mean above it.
+CROWDED, TIMES_MEAN = 64, 0.25
 #: Groups of a list in one block, and pairs that are compared at a time.
 BLOCK, PAIRS = 2048, 1 << 17
 #: Long lists of a class that the first round compares.
@@ -110,14 +110,15 @@ def _prefix(s: np.ndarray, measure: Measure, crowded: np.ndarray) -> np.ndarray:
     late = crowded[_buckets(s)]
     if not late[:p].any():
         return s[:p]
-    early = s[~late]
-    return early[:p] if len(early) >= p else np.concatenate([early, s[late][:p - len(early)]])
+    return s[np.argsort(late, kind="stable")[:p]]
 
 
 def _sketch(s: np.ndarray) -> bytes:
-    """Parities of the n-grams by bit: half as many bits as n-grams, up to a power of
-    two, tell sets apart that share less than most of them."""
-    bits = 1 << max(7, (len(s) - 1).bit_length() - 1)
+    """Parities of the n-grams by bit, of as many bits as n-grams, up to a power of two.
+    Of sets with nothing in common about half the bits differ: with half as many bits that
+    is near the most that linked sets may differ in, and more such pairs pass, the larger
+    the table is; each would have both its sets shuffled."""
+    bits = 1 << max(7, (len(s) - 1).bit_length())
     odd = np.bincount((mix(s ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -210,12 +211,13 @@ class _Seen(set):
         return True
 
 
-def _crowded(docs: DataFrame, text: str, k: int, lower: bool, measure: Measure) -> np.ndarray:
-    """Which buckets hold many more prefix n-grams (by hash alone) than others."""
+def _crowded(docs: DataFrame, text: str, k: int, lower: bool) -> np.ndarray:
+    """How crowded each bucket of n-grams is: 0, or how often the limit was doubled.  All
+    n-grams of the sets count: those behind a prefix move into it as crowded ones leave."""
     def run(batches):
         total, classes = np.zeros(BUCKETS, np.int64), _Seen()
         for _, sets, ids in _sets(batches, text, k, lower):
-            once = [s[:measure.prefix(len(s))] for s, c in zip(sets, ids, strict=True) if c is not None and classes.new(c)]
+            once = [s for s, c in zip(sets, ids, strict=True) if c is not None and classes.new(c)]
             if once:
                 np.add.at(total, _buckets(np.concatenate(once)), 1)
         at = np.flatnonzero(total)
@@ -223,8 +225,10 @@ def _crowded(docs: DataFrame, text: str, k: int, lower: bool, measure: Measure)
 
     counts = cut_lineage(docs.select(text).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")))
     mean = (counts.agg(F.sum("n")).first()[0] or 0) / BUCKETS
-    out = np.zeros(BUCKETS, bool)
-    out[[r.bucket for r in counts.where(F.col("n") > max(CROWDED, TIMES_MEAN * mean)).collect()]] = True  # of a fixed number
+    above = max(CROWDED, TIMES_MEAN * mean)
+    out = np.zeros(BUCKETS, np.int8)
+    for r in counts.where(F.col("n") > mean + above).collect():  # of a fixed number
+        out[r.bucket] = 1 + int(np.log2((r.n - mean) / above))
     return out
 
 
@@ -478,7 +482,7 @@ def similarity_components(df: DataFrame, key: str = "doc_id", text: str = "text"
     measure = Measure(num, den)
     docs = df.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.xxhash64(text).alias("__hash"))
 
-    crowded = _crowded(docs, "__text", k, lower, measure)
+    crowded = _crowded(docs, "__text", k, lower)
     named = cut_lineage(_named(docs, "__key", "__text", k, lower, measure, crowded))
     lists = cut_lineage(_lists(named.where("prefix is not null").select(F.posexplode("prefix").alias("pos", "token"), "g", "n"), measure))
     members = cut_lineage(named.where("g is not null").groupBy("cid")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callscope.llm import jaccard, packing, quality, secrets, substrings
-from callscope.llm.common import table
+from callscope.llm.common import table, without
 from callscope.llm.queries import QUALITY_LEAST, held_out, packing_tokenizer
 from callscope.session import ensure_checkpoint_dir
 
@@ -36,7 +36,7 @@ def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     similar = {"k": SHINGLE, "num": SIMILARITY[0], "den": SIMILARITY[1]}
     if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         gone = jaccard.similarity_components(docs, **similar).where("doc_id <> component_id").select("doc_id")
-        return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+        return without(docs, gone, "doc_id")
     # ids do not name rows: numbers, written once, do
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rows-{uuid.uuid4()}"
     docs.withColumn("__row", F.monotonically_increasing_id()).write.parquet(folder)

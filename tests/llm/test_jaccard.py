@@ -143,3 +143,31 @@ def test_pairs_of_long_lists_come_in_large_chunks(monkeypatch):
     got = [p for _, a, b in chunks for p in zip(a.tolist(), b.tolist(), strict=True)]
     want = [(a, b) for lo, hi in ((0, 20), (20, 60)) for a in range(lo, hi) for b in range(a + 1, hi) if hi == 20 or home[a] or home[b]]
     assert sorted(got) == sorted(want) and len(chunks) <= 4
+
+
+def test_sketches_tell_sets_with_little_in_common_apart():
+    random_ = np.random.default_rng(5)
+    measure, passed = jaccard.Measure(4, 5), 0
+    for n in (140, 200, 270, 500, 530, 1000, 2100):
+        common = np.unique(random_.integers(0, 2**63, n // 5, dtype=np.uint64))
+        sets = [np.unique(np.concatenate([common, random_.integers(0, 2**63, n - n // 5, dtype=np.uint64)])) for _ in range(60)]
+        a, b = np.triu_indices(len(sets), 1)
+        passed += len(jaccard._near(np.array([len(s) for s in sets]), jaccard._Sketches([jaccard._sketch(s) for s in sets]), a, b, measure))
+    assert passed == 0  # similar by 1 / 9
+
+
+def test_a_common_passage_makes_no_long_lists(spark, monkeypatch):
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([f"w{rng.randrange(10**6)}" for _ in range(120)] + passage)) for i in range(600)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 600, 100)]
+    longest, whole = [], jaccard._candidates
+
+    def candidates(lists, *how):
+        longest.append(lists.groupBy("token").count().agg({"count": "max"}).first()[0])
+        return whole(lists, *how)
+
+    monkeypatch.setattr(jaccard, "_candidates", candidates)
+    got = sorted(map(tuple, jaccard.similarity_components(spark.createDataFrame(rows, "doc_id long, text string"), k=5, num=4, den=5).collect()), key=str)
+    assert got == brute(rows, 5, 4, 5)
+    assert longest[0] <= 6, longest  # the end of the six copies

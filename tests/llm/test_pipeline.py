@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline as C
+from callscope.llm import common
 
 
 def rows(df):
@@ -81,3 +82,14 @@ def test_registered():
     assert {n.split("_")[0] for n in entry.queries() if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)}
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     assert zlib.crc32(np.array(tok.encode("a").ids, "<u4").tobytes()) > 0
+
+
+def test_rows_that_stay_are_not_shuffled(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "t" * i, None if i % 3 else i) for i in range(500)], "doc_id long, text string, n int")
+    gone = spark.createDataFrame([(i,) for i in [*range(0, 500, 7), *range(0, 500, 7), 900]], "doc_id long")
+    want = sorted(tuple(r) for r in rows.collect() if r.doc_id % 7)
+    assert sorted(map(tuple, common.without(rows, gone, "doc_id").collect()), key=lambda r: r[0]) == sorted(want, key=lambda r: r[0])
+    monkeypatch.setattr(common, "FILTER_BITS", 128)  # a full bitmap
+    assert sorted(map(tuple, common.without(rows, gone, "doc_id").collect()), key=lambda r: r[0]) == sorted(want, key=lambda r: r[0])
+    assert common.without(rows, gone.limit(0), "doc_id").count() == 500
+    assert C.without is common.without
