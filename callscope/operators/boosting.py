@@ -19,8 +19,8 @@ that gained most.  Equal gains: the smaller feature, then the smaller threshold,
 values to the left.
 
 Gradients are rounded to multiples of 2^-30 and added as whole numbers, so splits do not depend
-on how the rows are partitioned.  Rows are cut into parts of at most about ``GROW_ROWS`` rows,
-and a task has one part for one configuration: what is shuffled grows with the number of parts,
+on how the rows are partitioned.  Rows are cut into parts of at most about ``GROW_BYTES``, and a
+task has one part for one configuration: what is shuffled grows with the number of parts,
 and the configurations share the cores.  Where one part holds all rows there is nothing to
 reduce, and a task grows several rounds of its configuration on its own by the same functions;
 there only the smaller one of two siblings is counted, the other being the rest of their parent.
@@ -41,9 +41,12 @@ from pyspark.sql import functions as F
 
 from callscope.session import cut_lineage, ensure_checkpoint_dir
 
-#: Rows of a forest's partition and of a part here, bins of a feature, rounds between two renewals
-#: (where every pass replays them: ``REPLAY``) and two checkpoints.
-PARTITION_ROWS, GROW_ROWS, BINS, RENEW, REPLAY, CHECKPOINT = 16_384, 131_072, 64, 20, 4, 100
+#: Rows of a forest's partition, bytes of a part here, bins of a feature, rounds between two
+#: renewals (where every pass replays them: ``REPLAY``) and two checkpoints.  Several parts cost
+#: two stages for every level of every round, so a part is as large as a task can well hold.
+PARTITION_ROWS, GROW_BYTES, BINS, RENEW, REPLAY, CHECKPOINT = 16_384, 96 << 20, 64, 20, 4, 100
+#: Bytes of a part's row besides its bins, and for each class.
+ROW_BYTES, CLASS_BYTES = 40, 24
 #: What a gradient of 1 counts, and bytes of trees that may be broadcast at once.
 UNIT, BROADCAST_BYTES = float(1 << 30), 64 << 20
 #: Values that are counted at once in a pass.
@@ -121,6 +124,11 @@ class Model:
     n_features: int
     cuts: list[np.ndarray] = field(default_factory=list)
 
+    def only(self, which: Sequence[int]) -> Model:
+        """The model of some of the configurations."""
+        which = list(which)
+        return Model([self.configs[c] for c in which], self.classes, [self.trees[c] for c in which], self.base[which], self.n_features, self.cuts)
+
 
 # binning ---------------------------------------------------------------------------
 
@@ -225,12 +233,16 @@ class Part:
         out = np.zeros((3, width, n_features, bins), np.int64)
         step = min(max(1, CHUNK // max(n, 1)), max(n_features, 1))
         tiled = [np.tile(w, step) if w is not None and all_of else w for w, all_of in zip(weights, whole, strict=True)]
+        first = at * bins
         for f in range(0, n_features, step):
-            cell = x[f:f + step].astype(np.int64)
-            some = len(cell)
-            cell += at * (some * bins)
-            cell += (np.arange(some) * bins)[:, None]
-            cell = cell.ravel()
+            some = min(step, n_features - f)
+            if some == 1:
+                cell = first + x[f]
+            else:
+                cell = x[f:f + some].astype(np.int64)
+                cell += first * some
+                cell += (np.arange(some) * bins)[:, None]
+                cell = cell.ravel()
             for i, w in enumerate(tiled):
                 if whole[i]:
                     got = np.bincount(cell, None if w is None else w[:cell.size], width * some * bins)
@@ -240,12 +252,13 @@ class Part:
                 out[i, :, 0] = np.rint(np.bincount(at * bins + x[0], w, width * bins)).astype(np.int64).reshape(width, bins)
         return out
 
-    def grow_tree(self, config: Config, classes: int, trees: Trees, k: int, g: np.ndarray, h: np.ndarray) -> None:
-        """A tree where this part holds all rows.  Of two siblings the one of fewer rows is
-        counted, and the other is what that leaves of their parent."""
+    def grow_tree(self, config: Config, classes: int, trees: Trees, k: int, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """A tree where this part holds all rows, and the node where each row ends.  Of two
+        siblings the one of fewer rows is counted, and the other is what that leaves of their
+        parent."""
         residual = config.family == "residual"
         whole = (True, not residual, config.counts_rows)  # residuals: curvatures of the chosen splits only
-        live, at = np.arange(len(self.y)), np.zeros(len(self.y), np.int64)
+        live, at, node = np.arange(len(self.y)), np.zeros(len(self.y), np.int64), np.zeros(len(self.y), np.int64)
         sums = self.histogram(self.x, at, 1, (g, h, None), whole)
         for level in range(config.depth):
             def curvature(node: int, f: int, live=live, at=at) -> np.ndarray:
@@ -257,10 +270,13 @@ class Part:
             feature, cut, left = (np.array([s[i] for s in found]) for i in (1, 2, 3))
             split = feature >= 0
             live, at = live[split[at]], at[split[at]]
-            if level + 1 == config.depth or not len(live):
+            if not len(live):
                 break
             value = self.x[feature[at], live]
             at = 2 * at + 1 - np.where(value == self.bins - 1, left[at], value <= cut[at])
+            node[live] = 2 ** (level + 1) - 1 + at
+            if level + 1 == config.depth:
+                break
             parents = np.arange(len(found))
             small = np.bincount(at, minlength=2 * len(found)).reshape(-1, 2).argmin(1)
             own = (at & 1) == small[at >> 1]
@@ -270,6 +286,7 @@ class Part:
             rest[:, ~split] = 0
             sums = np.empty((3, 2 * len(found), *sums.shape[2:]), np.int64)
             sums[:, 2 * parents + small], sums[:, 2 * parents + 1 - small] = counted, rest
+        return node
 
 
 def best_splits(config: Config, classes: int, sums: np.ndarray, curvature=None) -> list[tuple]:
@@ -338,9 +355,10 @@ def set_level(trees: Trees, k: int, level: int, splits: list[tuple]) -> None:
 # training ----------------------------------------------------------------------------
 
 def fit(df: DataFrame, configs: Sequence[Config], features: str = "features", label: str = "label", classes: int = 2,
-        bins: int = BINS, partition_rows: int = GROW_ROWS) -> Model:
+        bins: int = BINS, partition_rows: int | None = None) -> Model:
     """Fits all configurations together.  Rows without a label take no part; labels are
-    0 .. classes-1; without rows there is no model (ValueError)."""
+    0 .. classes-1; without rows there is no model (ValueError).  ``partition_rows``: rows of a
+    part, else as many as ``GROW_BYTES`` hold."""
     configs = list(configs)
     rows = df.where(F.col(label).isNotNull()).select(F.col(features).cast("array<double>").alias("x"), F.col(label).cast("int").alias("y"))
     rows = cut_lineage(rows)
@@ -368,6 +386,7 @@ def fit(df: DataFrame, configs: Sequence[Config], features: str = "features", la
             yield c, (width, x, y, np.repeat(base[c:c + 1, :, None], len(y), 2))
 
     ensure_checkpoint_dir(df.sparkSession)
+    partition_rows = partition_rows or max(1, GROW_BYTES // (len(cuts) * (1 if width <= 256 else 2) + ROW_BYTES + CLASS_BYTES * outputs))
     n_parts = max(1, -(-n // partition_rows))
     turn = {c: i for i, c in enumerate(sorted(range(len(configs)), key=lambda c: -configs[c].depth))}  # the longest tasks start first
     parts = rows.repartition(n_parts).rdd.mapPartitionsWithIndex(
@@ -411,9 +430,11 @@ def _grow(state, configs: list[Config], outputs: int, classes: int, alone: bool)
         for r in range(start, stop):
             tree = empty(c, r)
             if len(tree.feature):
+                margins = part.margins.copy()
                 for k, (g, h) in enumerate(zip(*part.gradients(own[0], 0), strict=True)):
-                    part.grow_tree(own[0], classes, tree, k, g, h)
-            part = part.add(own, [tree])
+                    node = part.grow_tree(own[0], classes, tree, k, g, h)
+                    margins[0, k] += tree.value[0, k][node]
+                part = Part(part.bins, part.x, part.y, margins)
             found.append(tree.plain())
         return c, found, part.plain()
 

@@ -126,12 +126,13 @@ def closing_bootstrap(spark, sf):
 
 
 def fitted_families(train) -> list[closing.Family]:
-    """The four families of the study over their whole grids."""
-    def boosted(make):
-        return boosting.fit(train, [make(d, max(GBT_ITERS)) for d in TREE_DEPTHS])
+    """The four families of the study over their whole grids; both boosted ones grow together."""
+    grids = [[make(d, max(GBT_ITERS)) for d in TREE_DEPTHS] for make in (boosting.newton_config, boosting.residual_config)]
+    both = boosting.fit(train, [c for grid in grids for c in grid])
+    newton, residual = both.only(range(len(grids[0]))), both.only(range(len(grids[0]), len(both.configs)))
     return [closing.Family("Logistic Regression", logistic.fit(train, LR_GRID)),
-            closing.Family("XGBoost", boosted(boosting.newton_config), tuple(GBT_ITERS)),
-            closing.Family("Gradient Boosting", boosted(boosting.residual_config), tuple(GBT_ITERS)),
+            closing.Family("XGBoost", newton, tuple(GBT_ITERS)),
+            closing.Family("Gradient Boosting", residual, tuple(GBT_ITERS)),
             closing.Family("Random Forest", forest.fit(train, max(RF_TREES), max(TREE_DEPTHS)), tuple(RF_TREES), tuple(TREE_DEPTHS))]
 
 
