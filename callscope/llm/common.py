@@ -93,7 +93,10 @@ class Spans:
 
 
 class _Powers:
-    """Powers of an odd base and of its inverse modulo 2^64."""
+    """Powers of an odd base and of its inverse modulo 2^64; a worker keeps them up to a
+    length, not those of one very long text."""
+
+    KEPT = 1 << 19
 
     def __init__(self, seed: int):
         base = int(_multipliers(1, seed)[0])
@@ -101,12 +104,16 @@ class _Powers:
         self.tables = [np.ones(1, np.uint64)] * 2
 
     def get(self, n: int) -> list[np.ndarray]:
-        if len(self.tables[0]) < n + 1:
-            for i, base in enumerate(self.bases):
-                powers = np.full(2 * n + 1, base, np.uint64)
+        tables = self.tables
+        if len(tables[0]) < n + 1:
+            tables = []
+            for base in self.bases:
+                powers = np.full(min(2 * n, max(n, self.KEPT)) + 1, base, np.uint64)
                 powers[0] = 1
-                self.tables[i] = np.cumprod(powers, dtype=np.uint64)
-        return [t[:n] if i == 0 else t[:n + 1] for i, t in enumerate(self.tables)]
+                tables.append(np.cumprod(powers, dtype=np.uint64))
+            if n <= self.KEPT:
+                self.tables = tables
+        return [t[:n] if i == 0 else t[:n + 1] for i, t in enumerate(tables)]
 
 
 def sliding_min(x: np.ndarray, k: int) -> np.ndarray:

@@ -35,6 +35,9 @@ from pyspark.sql import types as T
 from callscope.llm.common import Spans, as_long, column, id_filter, mix, sliding_min, small_batches, word_hashes
 from callscope.session import cut_lineage
 
+#: Bytes of text that are worked on together.
+BATCH = 1 << 18
+
 
 class _Document:
     """The paths of a document's words: representative, hash, first window, end."""
@@ -73,7 +76,7 @@ def _paths(docs: DataFrame, key: str, text: str, window: int, k: int) -> DataFra
     schema = _longs("path", "whole", "doc")
 
     def run(batches):
-        for batch in small_batches(batches, text, 2 << 20):
+        for batch in small_batches(batches, text, BATCH):
             rows = []
             for doc, d in zip(column(batch, key).to_pylist(), _documents(column(batch, text).to_pylist(), window, k), strict=True):
                 if doc is not None and len(d.path):
@@ -99,7 +102,7 @@ def _branching_windows(docs: DataFrame, key: str, text: str, window: int, k: int
     schema = _longs("path", "own", "doc")
 
     def run(batches):
-        for batch in small_batches(batches, text, 2 << 20):
+        for batch in small_batches(batches, text, BATCH):
             rows = []
             flags = _structs(column(batch, "flags"), ("path", "whole", "source"))
             for doc, d, f in zip(column(batch, key).to_pylist(), _documents(column(batch, text).to_pylist(), window, k), flags, strict=True):
@@ -188,7 +191,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                            T.StructField(out, T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def run(batches):
-        for batch in small_batches(batches, "__text", 2 << 20):
+        for batch in small_batches(batches, "__text", BATCH):
             flags, later = (_structs(column(batch, c), n) for c, n in (("flags", ("path", "whole", "source")), ("later", ("path", "own"))))
             texts = column(batch, "__text").to_pylist()
             got = [_kept(t, d, doc, f, x, window) for t, d, doc, f, x in zip(

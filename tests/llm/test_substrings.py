@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 
-from callscope.llm import queries, substrings
+import numpy as np
+
+from callscope.llm import common, queries, substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -53,3 +55,13 @@ def test_against_brute_force(spark):
         got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeats(df, window=window, k=k).collect()), key=str)
         assert got == brute(docs, window)
     assert substrings.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_a_long_text_leaves_no_long_tables_behind():
+    powers = common._Powers(5)
+    long, short = 3 * powers.KEPT, 1000
+    up, down = powers.get(long)
+    assert len(up) == long and len(down) == long + 1 and bool((up[1:] * down[1:-1] == 1).all())
+    assert len(powers.tables[0]) <= powers.KEPT + 1
+    assert all(np.array_equal(a, b[:len(a)]) for a, b in zip(powers.get(short), (up, down)))
+    assert len(powers.tables[0]) > short
