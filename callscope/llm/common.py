@@ -3,6 +3,7 @@ and distributed connected components."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import sys
@@ -26,6 +27,22 @@ def worker_cache(name: str, make):
     return getattr(holder, name)
 
 
+def _malloc_trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def give_back() -> None:
+    """Returns to the system what Arrow and the C library hold free: workers live on, and
+    an executor would keep it for each of them through all later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = worker_cache("malloc_trim", _malloc_trim)
+    if trim is not None:
+        trim(0)
+
+
 #: White space, by byte.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -147,6 +164,7 @@ def small_batches(batches, text: str, max_bytes: int = 8 << 20):
             size += n
         if start < batch.num_rows:
             yield batch.slice(start)
+        give_back()
 
 
 _CUT = re.compile(r" (?=\S)")

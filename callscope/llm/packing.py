@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callscope.llm.common import ByteGenerations, column, distinct_slices, joined, paused_gc, small_batches, space_cuts, text_bytes
+from callscope.llm.common import ByteGenerations, column, distinct_slices, give_back, joined, paused_gc, small_batches, space_cuts, text_bytes
 from callscope.session import cut_lineage
 
 #: Bytes of a generation of a task's cache of encoded pieces.
-PIECE_CACHE = 64 << 20
+PIECE_CACHE = 32 << 20
 
 
 def _bytes(*ranges: tuple[int, int]) -> np.ndarray:
@@ -124,6 +124,8 @@ def tokenise(df: DataFrame, definition: str, key: str, text: str, end: int) -> D
                 yield pa.RecordBatch.from_arrays([column(batch, key), pa.array(np.full(len(n), part, np.int32)),
                                                   pa.array(before + np.cumsum(n) - n), pa.array(n), ids], schema.names)
                 before += int(n.sum())
+        del model
+        give_back()
 
     return df.select(key, text).mapInArrow(run, schema)
 

@@ -79,3 +79,24 @@ def test_pieces_of_a_batch_are_told_apart_before_they_are_objects():
     model.known.missing = lambda names: missing(asked.append(len(names)) or names)
     model.encode(pa.array([" ".join(f"Wort {i}." for i in range(40))] * 100), 0)
     assert asked == [42]  # Wort with and without a space, 40 numbers
+
+
+def test_free_memory_goes_back():
+    """A worker does not keep what a batch has needed for its later tasks."""
+    import re as regex
+    from pathlib import Path
+
+    import pyarrow as pa
+
+    from callscope.llm import common
+
+    def mb():
+        return sum(map(int, regex.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1000
+
+    for _ in common.small_batches([pa.record_batch({"text": ["a"]})], "text"):
+        before = mb()
+        many = [bytes(1000) for _ in range(300_000)]
+        last = bytes(1000)  # behind them on the heap
+        full = mb()
+        del many
+    assert full - before > 200 and mb() - before < 100 and len(last) == 1000
